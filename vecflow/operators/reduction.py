@@ -62,10 +62,12 @@ def split_means(matrix: Column, splits: int, percent: int | None = None) -> Colu
     """Means of contiguous blocks of frames, block after block; the last takes the remainder."""
     frames = F.size(F.get(matrix, F.lit(0)))
     size = F.floor(frames / splits).cast("int")
-    blocks = []
-    for b in range(splits):
+
+    def block(b: int) -> Column:
         width = size if b < splits - 1 else frames - size * b
-        blocks.append(row_means(F.transform(matrix, lambda r, b=b, w=width: F.slice(r, size * b + 1, w)), percent))
+        return F.transform(matrix, lambda r: F.slice(r, size * b + 1, width))
+
+    blocks = [row_means(block(b), percent) for b in range(splits)]
     return F.when(frames < splits, F.raise_error(F.lit("fewer frames than splits"))).otherwise(F.concat(*blocks))
 
 

@@ -87,9 +87,29 @@ def distinct_scores_report(
     return top_n(drop_unchanged(valid, measure, tie, True, rows_per_range), n, F.col(measure).desc(), F.col(tie))
 
 
-def percent_text(value: Column) -> Column:
-    return F.format_string("%.2f%%", value * 100)
+def fixed_text(value: Column, digits: int) -> Column:
+    """The number with a fixed count of decimals (at most 4), correctly rounded.
+
+    ``format_string`` rounds the shortest decimal form, which turns 40.595 (stored just
+    below) into 40.60; here the stored value decides: its fraction in units of 2^-49 is
+    scaled by integer arithmetic, ties go to the even digit.
+    """
+    if not 0 < digits <= 4:
+        raise ValueError("digits must be 1 to 4")
+    unit, power = 2**49, 10**digits
+    size = F.abs(value)
+    whole = F.floor(size)
+    steps = (size - whole) * float(unit)
+    scaled = F.floor(steps) * F.lit(power).cast("bigint")
+    cut = F.shiftright(scaled, 49)
+    rest = scaled.bitwiseAND(F.lit(unit - 1).cast("bigint")).cast("double") + (steps - F.floor(steps)) * float(power)
+    up = (rest > unit / 2) | ((rest == unit / 2) & (cut % 2 == 1))
+    rounded = cut + up.cast("bigint")
+    carried = rounded == power
+    digits_text = F.format_string(f"%0{digits}d", F.when(carried, F.lit(0)).otherwise(rounded).cast("bigint"))
+    text = F.concat((whole + carried.cast("bigint")).cast("string"), F.lit("."), digits_text)
+    return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 
-def fixed_text(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value)
+def percent_text(value: Column) -> Column:
+    return F.concat(fixed_text(value * 100, 2), F.lit("%"))

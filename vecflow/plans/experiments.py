@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from vecflow.functions.vectors import metric_name
+from vecflow.functions.vectors import doubles, metric_name
 from vecflow.operators import evaluation, indexes, splits, votes
 from vecflow.operators.neighbors import as_vectors, exact_topk, keyed_topk
 from vecflow.operators.ranking import first_valid_by_key
@@ -113,7 +113,10 @@ def run_folds(
     each other one, scaled with the extremes of that fold's train rows.
     """
     dealt = splits.assign_folds(df, label, group, folds, seed)
-    rows = as_vectors(dealt, id, vector, label).join(dealt.select(F.col(id).cast("bigint").alias("id"), "fold"), "id")
+    rows = dealt.select(
+        F.col(id).cast("bigint").alias("id"), doubles(F.col(vector)).alias("vector"),
+        F.col(label).cast("int").alias("label"), "fold",
+    )
     others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))
     test = rows.withColumnRenamed("fold", "cell")
     train = rows.withColumn("cell", F.explode(others)).drop("fold")

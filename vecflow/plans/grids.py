@@ -178,7 +178,7 @@ def stored_grid(spark: SparkSession) -> DataFrame:
 # ---- configuration texts ----
 
 PARAMS_SCHEMA = "params string, nprobe string, efConstruction string, efSearch string, neighbors string, index_type string"
-NESTED_SCHEMA = "nlist string, m string, nbits string, M string, efConstruction string"
+NESTED_SCHEMA = "nlist string, m string, nbits string"
 LITERAL_OPTIONS = {"allowSingleQuotes": "true"}
 
 

@@ -93,9 +93,12 @@ def collection_name(features: Sequence[str], operation: str, length, overlap) ->
 
 def create_collection(
     spark: SparkSession, name: str, metric: str, index: str, recreate: bool = False, reset: bool = False,
-    extra: str = "", columns: str = VECTOR_COLUMNS,
+    extra: str = "", columns: str = VECTOR_COLUMNS, location: str | None = None,
 ) -> str:
-    """Gets a vector table or creates it; ``recreate`` drops it first, ``reset`` empties it."""
+    """Gets a vector table or creates it; ``recreate`` drops it first, ``reset`` empties it.
+
+    A table with a location keeps its files there, also after it was dropped.
+    """
     metric = metric_name(metric)
     if recreate:
         drop_collection(spark, name)
@@ -103,7 +106,8 @@ def create_collection(
         all_columns = columns + (f", {extra}" if extra else "")
         spark.sql(
             f"CREATE TABLE {name} ({all_columns}) USING parquet "
-            f"TBLPROPERTIES ('vector.metric' = '{metric}', 'vector.index' = '{index}')"
+            + (f"LOCATION '{location}' " if location else "")
+            + f"TBLPROPERTIES ('vector.metric' = '{metric}', 'vector.index' = '{index}')"
         )
     elif reset:
         clear_collection(spark, name)
@@ -115,7 +119,8 @@ def drop_collection(spark: SparkSession, name: str) -> None:
 
 
 def clear_collection(spark: SparkSession, name: str) -> None:
-    spark.sql(f"TRUNCATE TABLE {name}")
+    table = spark.table(name)
+    spark.createDataFrame([], table.schema).write.insertInto(name, overwrite=True)
 
 
 def insert_records(df: DataFrame, name: str) -> None:
