@@ -48,10 +48,10 @@ def cells(df: DataFrame, id: str, vector: str) -> DataFrame:
     return df.select(id, F.posexplode(vector).alias("pos", "x")).withColumn("x", r6(F.col("x")))
 
 
-def embedded(t: Tables) -> DataFrame:
+def embedded(t: Tables, keep: bool = True) -> DataFrame:
     """Vectors with label, recording group and the grouped hold-out flag."""
     rows = t.embeddings.select("vec_id", doubles(F.col("embedding")).alias("v"), "label", F.expr("vec_id div 10").alias("grp"))
-    return splits.holdout(rows, "label", "grp")
+    return splits.holdout(rows, "label", "grp", keep=keep)
 
 
 # the same table in SQL: s(vec_id, label, grp, v, train1)

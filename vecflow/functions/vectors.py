@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 METRICS = ("cosine", "correlation", "l2", "euclidean", "manhattan", "inner_product")
@@ -21,6 +23,15 @@ def metric_name(name: str) -> str:
     return metric
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once.
+
+    A column used inside a lambda is evaluated again for every element; as the variable of
+    an outer lambda it is evaluated once per row.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def doubles(vector: Column) -> Column:
     return vector.cast("array<double>")
 
@@ -57,20 +68,20 @@ def mean(vector: Column) -> Column:
 
 
 def std_pop(vector: Column) -> Column:
-    centre = mean(vector)
-    return F.sqrt(F.try_divide(array_sum(F.transform(vector, lambda x: (x - centre) * (x - centre))), F.size(vector)))
+    def spread(centre: Column) -> Column:
+        return array_sum(F.transform(vector, lambda x: (x - centre) * (x - centre)))
+
+    return F.sqrt(F.try_divide(let(mean(vector), spread), F.size(vector)))
 
 
 def unit(vector: Column) -> Column:
     """L2-normalised vector; a zero vector stays as it is."""
-    length = norm(vector)
-    return F.when(length == 0, vector).otherwise(F.transform(vector, lambda x: x / length))
+    return let(norm(vector), lambda n: F.when(n == 0, vector).otherwise(F.transform(vector, lambda x: x / n)))
 
 
 def centred_unit(vector: Column) -> Column:
     """Vector centred by its own mean, then L2-normalised."""
-    centre = mean(vector)
-    return unit(F.transform(vector, lambda x: x - centre))
+    return let(let(mean(vector), lambda m: F.transform(vector, lambda x: x - m)), unit)
 
 
 def prepare(vector: Column, metric: str) -> Column:
@@ -87,7 +98,7 @@ def distance(a: Column, b: Column, metric: str) -> Column:
     """Distance of two vectors, smaller is nearer (inner product: negated similarity)."""
     metric = metric_name(metric)
     if metric in ("cosine", "correlation"):
-        return 1.0 - dot(prepare(a, metric), prepare(b, metric))
+        return let(prepare(a, metric), lambda x: let(prepare(b, metric), lambda y: 1.0 - dot(x, y)))
     if metric == "l2":
         return squared_l2(a, b)
     if metric == "euclidean":

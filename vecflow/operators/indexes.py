@@ -10,16 +10,17 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from vecflow.functions.vectors import dimension, distance, metric_name, prepare, sq8_encode
-from vecflow.operators.blocks import rough
+from vecflow.operators.blocks import matrix, rough
 from vecflow.operators.neighbors import exact_topk, keyed_topk, rank_hits
 from vecflow.operators.scaling import fit_minmax
 from vecflow.session import shared_dir
@@ -101,44 +102,54 @@ def fit_centres(df: DataFrame, vector: Column, count: int, n_rows: int, seed: in
     return [c.tolist() for c in model.clusterCenters()]
 
 
-def nearest_centres(vector: Column, centres: list, count: int) -> Column:
-    """Numbers of the ``count`` nearest centres of each vector, nearest first."""
+def append_column(df: DataFrame, vector: str, name: str, kind: str, function: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Adds (or replaces) an array column computed from blocks of the vector column."""
+    names = [c for c in df.columns if c != name]
+    fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema] + [f"`{name}` array<{kind}>"])
+    items = {"int": pa.int32(), "smallint": pa.int16(), "double": pa.float64()}[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = np.ascontiguousarray(function(matrix(batch[vector])))
+                flat = pa.array(found.ravel(), type=items)
+                offsets = pa.array(np.arange(0, found.size + 1, found.shape[1]), type=pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, flat)
+                yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], lists], names=[*names, name])
+
+    return df.mapInArrow(run, fields)
+
+
+def with_centres(df: DataFrame, centres: list, count: int, out: str = "probes") -> DataFrame:
+    """Adds the numbers of the ``count`` nearest centres of each vector, nearest first."""
     table = np.array(centres)
 
-    @F.pandas_udf("array<int>")
-    def probe(vectors: pd.Series) -> pd.Series:
-        if len(vectors) == 0:
-            return pd.Series([], dtype=object)
-        order = np.argsort(rough(np.stack(vectors.to_numpy()), table, "l2"), axis=1, kind="stable")
-        return pd.Series(list(order[:, :count].astype(np.int32)))
+    def probe(vectors: np.ndarray) -> np.ndarray:
+        return np.argsort(rough(vectors, table, "l2"), axis=1, kind="stable")[:, :count].astype(np.int32)
 
-    return probe(vector)
+    return append_column(df, "vector", out, "int", probe)
 
 
-def half_codes(vector: Column) -> Column:
-    """Half-precision values, kept as their 16-bit patterns."""
+def with_cell(df: DataFrame, centres: list) -> DataFrame:
+    return with_centres(df, centres, 1).withColumn("cell", F.get("probes", F.lit(0))).drop("probes")
 
-    @F.pandas_udf("array<smallint>")
-    def encode(vectors: pd.Series) -> pd.Series:
-        return vectors.map(lambda v: np.asarray(v, dtype=np.float16).view(np.int16))
 
-    return encode(vector)
+def half_codes(vectors: np.ndarray) -> np.ndarray:
+    """Half-precision values, kept as their 16-bit patterns."""
+    return vectors.astype(np.float16).view(np.int16)
 
 
-def product_codes(vector: Column, codebooks: list) -> Column:
+def product_coder(codebooks: list) -> Callable[[np.ndarray], np.ndarray]:
     """Per sub-space the number of the nearest codebook entry."""
     books = [np.array(b) for b in codebooks]
     width = books[0].shape[1]
 
-    @F.pandas_udf("array<smallint>")
-    def encode(vectors: pd.Series) -> pd.Series:
-        if len(vectors) == 0:
-            return pd.Series([], dtype=object)
-        block = np.stack(vectors.to_numpy())
-        codes = [rough(block[:, j * width : (j + 1) * width], b, "l2").argmin(axis=1) for j, b in enumerate(books)]
-        return pd.Series(list(np.stack(codes, axis=1).astype(np.int16)))
+    def encode(vectors: np.ndarray) -> np.ndarray:
+        parts = [vectors[:, j * width : (j + 1) * width] for j in range(len(books))]
+        codes = [rough(p, b, "l2").argmin(axis=1) for p, b in zip(parts, books)]
+        return np.stack(codes, axis=1).astype(np.int16)
 
-    return encode(vector)
+    return encode
 
 
 def build_index(
@@ -157,7 +168,7 @@ def build_index(
     n_rows = train.count()
     if spec.cells:
         index.centres = fit_centres(rows, F.col("vector"), spec.cells, n_rows, seed)
-        rows = rows.withColumn("cell", F.get(nearest_centres(F.col("vector"), index.centres, 1), F.lit(0)))
+        rows = with_cell(rows, index.centres)
     if spec.degree:
         index.edges, index.centres = build_graph(rows, spec.degree, metric, ef_construction, n_rows, seed)
     if spec.storage == "sq8":
@@ -166,10 +177,10 @@ def build_index(
         low, high = (F.array(*[F.lit(x) for x in side]) for side in (index.low, index.high))
         rows = rows.withColumn("vector", sq8_encode(F.col("vector"), low, high))
     elif spec.storage == "fp16":
-        rows = rows.withColumn("vector", half_codes(F.col("vector")))
+        rows = append_column(rows, "vector", "vector", "smallint", half_codes)
     elif spec.storage == "pq":
         index.codebooks = fit_codebooks(rows, spec.parts, nbits, n_rows, seed)
-        rows = rows.withColumn("vector", product_codes(F.col("vector"), index.codebooks))
+        rows = append_column(rows, "vector", "vector", "smallint", product_coder(index.codebooks))
     index.rows = rows
     return index
 
@@ -197,7 +208,7 @@ def search_index(index: Index, queries: DataFrame, k: int, nprobe: int = 1, ef_s
         hits = beam_search(index, asked, k, max(ef_search, k), metric)
     elif index.centres:
         probed = min(nprobe, len(index.centres))
-        aimed = asked.withColumn("cell", F.explode(nearest_centres(F.col("vector"), index.centres, probed)))
+        aimed = with_centres(asked, index.centres, probed).withColumn("cell", F.explode("probes")).drop("probes")
         hits = keyed_topk(aimed, index.rows, k, metric, decode)
     else:
         hits = exact_topk(asked, index.rows, k, metric, decode=decode)
@@ -217,7 +228,7 @@ def build_graph(rows: DataFrame, degree: int, metric: str, ef_construction: int,
     """
     cells = max(1, min(int(math.sqrt(n_rows)), n_rows))
     centres = fit_centres(rows, F.col("vector"), cells, n_rows, seed)
-    placed = rows.withColumn("probes", nearest_centres(F.col("vector"), centres, _probes(ef_construction, cells, n_rows)))
+    placed = with_centres(rows, centres, _probes(ef_construction, cells, n_rows))
     members = placed.withColumn("cell", F.get("probes", F.lit(0)))
     asked = placed.withColumn("cell", F.explode("probes"))
     links = keyed_topk(asked, members, degree, metric, skip_same=True)
@@ -238,8 +249,7 @@ def _entries(index: Index, nodes: DataFrame) -> DataFrame:
     """For each entry centre the row nearest to it."""
     spark = nodes.sparkSession
     centres = spark.createDataFrame([(i, c) for i, c in enumerate(index.centres)], "cell int, centre array<double>")
-    placed = nodes.withColumn("cell", F.get(nearest_centres(F.col("vector"), index.centres, 1), F.lit(0)))
-    near = placed.join(F.broadcast(centres), "cell").withColumn("d", distance(F.col("vector"), F.col("centre"), "l2"))
+    near = with_cell(nodes, index.centres).join(F.broadcast(centres), "cell").withColumn("d", distance(F.col("vector"), F.col("centre"), "l2"))
     return near.groupBy("cell").agg(F.min_by("id", F.struct("d", "id")).alias("node"))
 
 
@@ -255,10 +265,10 @@ def beam_search(index: Index, queries: DataFrame, k: int, ef: int, metric: str,
     decode = index.decoder()
     nodes = _decoded(index.rows, decode).checkpoint()
     edges = index.edges.checkpoint()
-    asked = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
-    probe = nearest_centres(F.col("query"), index.centres, min(entries, len(index.centres)))
-    entry = _entries(index, nodes)
-    start = asked.withColumn("cell", F.explode(probe)).join(F.broadcast(entry), "cell").select("query_id", "node")
+    aimed = with_centres(queries.select("id", "vector"), index.centres, min(entries, len(index.centres))).checkpoint()
+    asked = aimed.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    probes = aimed.select(F.col("id").alias("query_id"), F.explode("probes").alias("cell"))
+    start = probes.join(F.broadcast(_entries(index, nodes)), "cell").select("query_id", "node")
 
     def measured(pairs: DataFrame) -> DataFrame:
         target = nodes.select(F.col("id").alias("node"), "vector", "label")
@@ -289,15 +299,8 @@ def beam_search(index: Index, queries: DataFrame, k: int, ef: int, metric: str,
 
 def _decoded(rows: DataFrame, decode) -> DataFrame:
     if decode is None:
-        return rows.select("id", F.col("vector").cast("array<double>").alias("vector"), "label")
-
-    @F.pandas_udf("array<double>")
-    def plain(codes: pd.Series) -> pd.Series:
-        if len(codes) == 0:
-            return pd.Series([], dtype=object)
-        return pd.Series(list(decode(np.stack(codes.to_numpy()).astype(np.float64))))
-
-    return rows.select("id", plain("vector").alias("vector"), "label")
+        return rows.select("id", "vector", "label")
+    return append_column(rows.select("id", "vector", "label"), "vector", "vector", "double", decode)
 
 
 # ---------------------------------------------------------------- saved indexes

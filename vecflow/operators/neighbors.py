@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vecflow.functions.vectors import METRICS, dimension, doubles, metric_name
+from vecflow.functions.vectors import METRICS, doubles, metric_name
 from vecflow.operators.blocks import TopK, matrix
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -183,6 +183,16 @@ def keyed_topk(
     return rank_hits(cell_search(left, right, CELL, k, metric, skip_same, decode), k)
 
 
+def _sizes(queries: DataFrame, train: DataFrame) -> tuple[int, int, int]:
+    """Rows of both sides and the longest query vector, in one job."""
+    both = queries.select(F.lit(0).alias("side"), F.size("vector").alias("dim")).unionAll(
+        train.select(F.lit(1).alias("side"), F.lit(0).alias("dim"))
+    )
+    found = {r["side"]: r for r in both.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.max("dim").alias("dim")).collect()}
+    rows = [found[side]["n"] if side in found else 0 for side in (0, 1)]
+    return rows[0], rows[1], found[0]["dim"] if rows[0] else 0
+
+
 def exact_topk(
     queries: DataFrame,
     train: DataFrame,
@@ -204,12 +214,12 @@ def exact_topk(
     if k < 1:
         raise ValueError("k must be at least 1")
     metric = metric_name(metric)
-    n_queries, n_train = queries.count(), train.count()
+    n_queries, n_train, dim = _sizes(queries, train)
     if n_queries == 0 or n_train == 0:
         return queries.sparkSession.createDataFrame(
             [], "query_id bigint, rank int, neighbor_id bigint, distance double, label int"
         )
-    query_bytes = n_queries * dimension(queries, "vector") * 8
+    query_bytes = n_queries * dim * 8
     if n_train >= seed_from:
         queries = _bounded(queries, train, n_train, k, metric, skip_same, broadcast_bytes, decode)
     if query_bytes <= broadcast_bytes:

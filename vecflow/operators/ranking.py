@@ -13,11 +13,20 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import TimestampNTZType
 
 ROWS_PER_RANGE = 500_000
 MAX_RANGES = 1024
 
 
+def sort_number(df: DataFrame, column: str) -> Column:
+    """A number or time as a double that sorts the same way."""
+    if df.schema[column].dataType == TimestampNTZType():
+        day = F.unix_date(F.to_date(column)).cast("double")
+        return day * 86400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.date_part(F.lit("SECOND"), F.col(column)).cast("double")
+    return F.col(column).cast("double")
+
+
 def range_bounds(df: DataFrame, value: str, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
     """Cut points for ranges of about ``rows_per_range`` rows; none for a small table.
 
@@ -106,7 +115,7 @@ def _sort_ranges(df: DataFrame, value: str, tie: str, descending: bool, rows_per
     Rows that equal a cut point form a range of their own (r2 = 0); such a range can be
     hot and is cut again by the tie column (r3).
     """
-    key = F.col(value).cast("double")
+    key = sort_number(df, value)
     keyed = df.withColumn("sort_key", -key if descending else key)
     bounds = range_bounds(keyed, "sort_key", rows_per_range)
     ranged = with_range(keyed, "sort_key", bounds, "r1")

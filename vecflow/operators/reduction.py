@@ -13,7 +13,7 @@ from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vecflow.functions.vectors import mean, std_pop
+from vecflow.functions.vectors import let, mean, std_pop
 from vecflow.operators.ranking import ROWS_PER_RANGE, exact_quantiles
 
 # Reductions by name: (percent of the outlier filter or None, number of splits). Fixed values.
@@ -49,9 +49,14 @@ def iqr_bounds(q_low: Column, q_high: Column) -> tuple[Column, Column]:
 
 
 def iqr_mean(values: Column, percent: int) -> Column:
-    ordered = F.array_sort(values)
-    low, high = iqr_bounds(quantile(ordered, percent / 100), quantile(ordered, 1 - percent / 100))
-    return mean(F.filter(values, lambda x: (x >= low) & (x <= high)))
+    def bounds(ordered: Column) -> Column:
+        low, high = iqr_bounds(quantile(ordered, percent / 100), quantile(ordered, 1 - percent / 100))
+        return F.struct(low.alias("low"), high.alias("high"))
+
+    def inside(b: Column) -> Column:
+        return let(F.filter(values, lambda x: (x >= b["low"]) & (x <= b["high"])), mean)
+
+    return let(let(F.array_sort(values), bounds), inside)
 
 
 def row_means(matrix: Column, percent: int | None = None) -> Column:
@@ -76,7 +81,7 @@ def reduce_matrix(matrix: Column, operation: str) -> Column:
     if operation not in REDUCTIONS:
         raise ValueError(f"unknown vector operation {operation!r}")
     percent, splits = REDUCTIONS[operation]
-    return row_means(matrix, percent) if splits == 1 else split_means(matrix, splits, percent)
+    return let(matrix, lambda m: row_means(m, percent) if splits == 1 else split_means(m, splits, percent))
 
 
 def add_summary(df: DataFrame, vector: str) -> DataFrame:
@@ -85,26 +90,30 @@ def add_summary(df: DataFrame, vector: str) -> DataFrame:
 
 
 def transpose(matrix: Column) -> Column:
-    last = F.size(F.get(matrix, F.lit(0))) - 1
-    return F.transform(F.sequence(F.lit(0), last), lambda j: F.transform(matrix, lambda r: F.get(r, j)))
+    def turned(m: Column) -> Column:
+        last = F.size(F.get(m, F.lit(0))) - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda j: F.transform(m, lambda r: F.get(r, j)))
 
+    return let(matrix, turned)
 
-def minmax_frames(matrix: Column) -> Column:
-    """Every frame (matrix column) scaled to 0..1; a constant frame becomes 0."""
+
+def _scaled_frames(matrix: Column, centre, spread) -> Column:
+    """Per frame (matrix column) (x - centre) / spread; a constant frame becomes 0."""
     def scale(column: Column) -> Column:
-        low, high = F.array_min(column), F.array_max(column)
-        return F.transform(column, lambda x: F.coalesce(F.try_divide(x - low, high - low), F.lit(0.0)))
+        moved = lambda m, s: F.transform(column, lambda x: F.coalesce(F.try_divide(x - m, s), F.lit(0.0)))
+        return let(centre(column), lambda m: let(spread(column), lambda s: moved(m, s)))
 
     return transpose(F.transform(transpose(matrix), scale))
 
 
-def standardise_frames(matrix: Column) -> Column:
-    """Every frame to mean 0 and population deviation 1; a constant frame becomes 0."""
-    def scale(column: Column) -> Column:
-        centre, spread = mean(column), std_pop(column)
-        return F.transform(column, lambda x: F.coalesce(F.try_divide(x - centre, spread), F.lit(0.0)))
+def minmax_frames(matrix: Column) -> Column:
+    """Every frame scaled to 0..1."""
+    return _scaled_frames(matrix, F.array_min, lambda c: F.array_max(c) - F.array_min(c))
 
-    return transpose(F.transform(transpose(matrix), scale))
+
+def standardise_frames(matrix: Column) -> Column:
+    """Every frame to mean 0 and population deviation 1."""
+    return _scaled_frames(matrix, mean, std_pop)
 
 
 def fit_pca(df: DataFrame, vector: str, n_components: int) -> PCAModel:

@@ -15,7 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vecflow.functions.vectors import array_sum
+from vecflow.functions.vectors import array_sum, let
+from vecflow.operators.reduction import transpose
 
 # Defaults of the feature extraction (fixed values).
 N_FFT = 2048
@@ -140,9 +141,8 @@ def amplitude_db(df: DataFrame, series: str, power: str = "power", out: str = "d
     marked = clip_maximum(df, series, power, "top_power")
     low = 1e-5
     top = F.greatest(F.sqrt("top_power"), F.lit(low))
-    level = F.transform(power, lambda p: 20 * F.log10(F.greatest(F.sqrt(p), F.lit(low)) / top))
-    floored = F.transform(level, lambda v: F.greatest(v, F.lit(-DB_FLOOR)))
-    return marked.withColumn(out, floored).drop("top_power")
+    level = lambda p, t: F.greatest(20 * F.log10(F.greatest(F.sqrt(p), F.lit(low)) / t), F.lit(-DB_FLOOR))
+    return marked.withColumn(out, let(top, lambda t: F.transform(power, lambda p: level(p, t)))).drop("top_power")
 
 
 def log_mel(df: DataFrame, series: str, mel: str = "mel", out: str = "log_mel") -> DataFrame:
@@ -168,28 +168,33 @@ def mfcc(df: DataFrame, series: str, n_mfcc: int = N_MFCC, mel: str = "mel", n_m
 def spectral_centroid(power: Column, freqs: Sequence[float]) -> Column:
     """Mean frequency weighted by magnitude; 0 for a silent frame."""
     grid = F.array(*[F.lit(float(f)) for f in freqs])
-    size = F.transform(power, lambda p: F.sqrt(p))
-    total = array_sum(size)
-    return F.coalesce(F.try_divide(array_sum(F.zip_with(size, grid, lambda m, f: m * f)), total), F.lit(0.0))
+
+    def centre(size: Column) -> Column:
+        weighted = array_sum(F.zip_with(size, grid, lambda m, f: m * f))
+        return F.coalesce(F.try_divide(weighted, array_sum(size)), F.lit(0.0))
+
+    return let(F.transform(power, lambda p: F.sqrt(p)), centre)
 
 
 def spectral_rolloff(power: Column, freqs: Sequence[float], percent: float = ROLL_PERCENT) -> Column:
     """Lowest frequency below which the given share of the magnitude lies."""
     grid = F.array(*[F.lit(float(f)) for f in freqs])
-    size = F.transform(power, lambda p: F.sqrt(p))
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("bin"), F.lit(0).alias("seen"))
-    limit = array_sum(size) * percent - 1e-12
 
-    def step(state: Column, m: Column) -> Column:
-        total = state["sum"] + m
-        hit = (state["bin"] < 0) & (total >= limit)
-        return F.struct(
-            total.alias("sum"),
-            F.when(hit, state["seen"]).otherwise(state["bin"]).alias("bin"),
-            (state["seen"] + 1).alias("seen"),
-        )
+    def first_bin(size: Column, limit: Column) -> Column:
+        def step(state: Column, m: Column) -> Column:
+            total = state["sum"] + m
+            hit = (state["bin"] < 0) & (total >= limit)
+            return F.struct(
+                total.alias("sum"),
+                F.when(hit, state["seen"]).otherwise(state["bin"]).alias("bin"),
+                (state["seen"] + 1).alias("seen"),
+            )
+
+        return F.aggregate(size, start, step, lambda s: F.get(grid, s["bin"]))
 
-    return F.aggregate(size, start, step, lambda s: F.get(grid, s["bin"]))
+    sizes = F.transform(power, lambda p: F.sqrt(p))
+    return let(sizes, lambda size: let(array_sum(size) * percent - 1e-12, lambda limit: first_bin(size, limit)))
 
 
 def chroma(power: Column, freqs: Sequence[float]) -> Column:
@@ -203,9 +208,12 @@ def chroma(power: Column, freqs: Sequence[float]) -> Column:
         bins = [i for i, found in enumerate(classes) if found == c]
         values = [F.get(power, F.lit(i)) for i in bins]
         sums.append(array_sum(F.array(*values)) if values else F.lit(0.0))
-    raw = F.array(*sums)
-    top = F.array_max(raw)
-    return F.transform(raw, lambda v: F.coalesce(F.try_divide(v, top), F.lit(0.0)))
+
+    def shares(raw: Column) -> Column:
+        part = lambda top: F.transform(raw, lambda v: F.coalesce(F.try_divide(v, top), F.lit(0.0)))
+        return let(F.array_max(raw), part)
+
+    return let(F.array(*sums), shares)
 
 
 def matrix_by_series(df: DataFrame, series: str, vector: str, out: str = "matrix") -> DataFrame:
@@ -332,6 +340,4 @@ def feature_matrix(
     gathered = matrix_by_series(frames, series, "v")
     if base in ("delta", "delta2"):
         gathered = gathered.withColumn("matrix", delta(F.col("matrix"), 1 if base == "delta" else 2))
-    last = F.size(F.get("matrix", F.lit(0))) - 1
-    turned = F.transform(F.sequence(F.lit(0), last), lambda j: F.transform("matrix", lambda r: F.get(r, j)))
-    return gathered.select(F.col(series), F.lit(feature).alias("feature"), turned.alias("matrix"))
+    return gathered.select(F.col(series), F.lit(feature).alias("feature"), transpose(F.col("matrix")).alias("matrix"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vecflow.session import shared_dir
+
 HASH_DIGITS = 3  # 4096 hash ranges per class bound the rows of one window task
 
 
@@ -46,9 +48,22 @@ def flag_members(df: DataFrame, chosen: DataFrame, keys: list[str], flag: str) -
     return df.drop(flag).join(marked, keys, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(0)))
 
 
-def holdout(df: DataFrame, label: str, group: str, seed: int = 42, flag: str = "train1") -> DataFrame:
-    """In each class a fifth of the groups (rounded up) is test, the others are train."""
+def _ranked(df: DataFrame, label: str, group: str, seed: int, keep: bool) -> DataFrame:
     ranked = ranked_groups(df, label, group, seed)
+    if not keep:
+        return ranked
+    shared_dir(df.sparkSession)
+    return ranked.checkpoint()
+
+
+def holdout(
+    df: DataFrame, label: str, group: str, seed: int = 42, flag: str = "train1", keep: bool = False
+) -> DataFrame:
+    """In each class a fifth of the groups (rounded up) is test, the others are train.
+
+    ``keep`` checkpoints the ranked groups (not the rows), for a split that several jobs read.
+    """
+    ranked = _ranked(df, label, group, seed, keep)
     chosen = ranked.where(F.col("g_rank") > F.expr("(class_groups + 4) div 5"))
     return flag_members(df, chosen, [label, group], flag)
 
@@ -61,11 +76,13 @@ def balanced_holdout(df: DataFrame, label: str, group: str, seed: int = 42, flag
     return flag_members(df, chosen, [label, group], flag)
 
 
-def assign_folds(df: DataFrame, label: str, group: str, folds: int, seed: int = 42) -> DataFrame:
+def assign_folds(
+    df: DataFrame, label: str, group: str, folds: int, seed: int = 42, keep: bool = False
+) -> DataFrame:
     """Adds ``fold``: the groups of each class dealt to folds whose sizes differ by at most one."""
     if folds < 2:
         raise ValueError("at least two folds are needed")
-    ranked = ranked_groups(df, label, group, seed).select(
+    ranked = _ranked(df, label, group, seed, keep).select(
         label,
         group,
         (F.col("g_rank") - 1).alias("position"),

@@ -11,6 +11,7 @@ from vecflow.operators import evaluation, indexes, splits, votes
 from vecflow.operators.neighbors import as_vectors, exact_topk, keyed_topk
 from vecflow.operators.ranking import first_valid_by_key
 from vecflow.operators.scaling import apply_minmax, apply_minmax_by, fit_minmax, fold_scalers
+from vecflow.session import shared_dir
 
 
 def train_and_test(
@@ -24,8 +25,12 @@ def train_and_test(
 
 
 def scaled(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides min-max scaled with the extremes of the train side."""
-    scaler = fit_minmax(train, "vector")
+    """Both sides min-max scaled with the extremes of the train side.
+
+    The one-row scaler is checkpointed: several jobs read it, the train rows are scanned once.
+    """
+    shared_dir(train.sparkSession)
+    scaler = fit_minmax(train, "vector").checkpoint()
     return apply_minmax(train, scaler), apply_minmax(test, scaler)
 
 
@@ -78,13 +83,16 @@ def run_grid(train: DataFrame, test: DataFrame, configurations: Sequence[dict])
     searches: dict[tuple, list[dict]] = {}
     for c in configurations:
         searches.setdefault((c["metric"], bool(c.get("normalize", True))), []).append(c)
+    sides = {False: (train, test)}
     for (metric, normalize), members in searches.items():
         try:
             metric_name(metric)
         except ValueError as error:
             skipped += [(c["row_key"], str(error)) for c in members]
             continue
-        left, right = scaled(train, test) if normalize else (train, test)
+        if normalize not in sides:
+            sides[normalize] = scaled(train, test)
+        left, right = sides[normalize]
         hits = exact_topk(right, left, max(c["neighbors"] for c in members), metric)
         # every hit serves the configurations whose k reaches its rank
         listed = F.array(*[
@@ -112,7 +120,8 @@ def run_folds(
     The fold is a key of the search: a row is a query in its own fold and a train row in
     each other one, scaled with the extremes of that fold's train rows.
     """
-    dealt = splits.assign_folds(df, label, group, folds, seed)
+    shared_dir(df.sparkSession)
+    dealt = splits.assign_folds(df, label, group, folds, seed, keep=True)
     rows = dealt.select(
         F.col(id).cast("bigint").alias("id"), doubles(F.col(vector)).alias("vector"),
         F.col(label).cast("int").alias("label"), "fold",
@@ -121,7 +130,7 @@ def run_folds(
     test = rows.withColumnRenamed("fold", "cell")
     train = rows.withColumn("cell", F.explode(others)).drop("fold")
     if normalize:
-        scalers = fold_scalers(rows, folds).withColumnRenamed("fold", "cell")
+        scalers = fold_scalers(rows, folds).withColumnRenamed("fold", "cell").checkpoint()
         train, test = (apply_minmax_by(side, scalers, "cell") for side in (train, test))
     hits = keyed_topk(test, train, k, metric)
     predicted = votes.predict(hits, vote)
