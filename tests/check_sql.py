@@ -37,14 +37,14 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
 
 
-def compare(name: str, df, connection, sql: str) -> str | None:
+def compare(columns: list[str], rows: list, connection, sql: str) -> str | None:
     """None when the rows agree, else what differs."""
     result = connection.execute(sql)
     expected_columns = [d[0] for d in result.description]
     expected = rows_of(expected_columns, result.fetchall())
-    if sorted(df.columns) != sorted(expected_columns):
-        return f"columns {sorted(df.columns)} != {sorted(expected_columns)}"
-    found = rows_of(df.columns, df.collect())
+    if sorted(columns) != sorted(expected_columns):
+        return f"columns {sorted(columns)} != {sorted(expected_columns)}"
+    found = rows_of(columns, rows)
     if len(found) != len(expected):
         return f"{len(found)} rows != {len(expected)}"
     wrong = [(a, b) for a, b in zip(found, expected) if a != b]
@@ -65,14 +65,17 @@ def main() -> int:
         if wanted and not any(w in name for w in wanted):
             continue
         start = time.time()
+        took = 0.0
         try:
             df = run(spark, folder)
-            problem = compare(name, df, connection, oracles[name]) if name in oracles else None
-            note = "" if name in oracles else f" rows only: {df.count()}"
+            rows = df.collect()
+            took = time.time() - start
+            problem = compare(df.columns, rows, connection, oracles[name]) if name in oracles else None
+            note = "" if name in oracles else f" rows only: {len(rows)}"
         except Exception as error:  # reported, the others still run
             problem, note = f"{type(error).__name__}: {str(error)[:600]}", ""
         bad += problem is not None
-        print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.1f}s{note} {problem or ''}", flush=True)
+        print(f"{'FAIL' if problem else 'ok  '} {name} {took:.1f}s + {time.time() - start - took:.1f}s{note} {problem or ''}", flush=True)
     print(f"{bad} failed of {len(queries)}, {len(oracles)} with SQL")
     return bad
 

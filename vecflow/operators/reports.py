@@ -102,8 +102,10 @@ def fixed_text(value: Column, digits: int) -> Column:
     steps = (size - whole) * float(unit)
     scaled = F.floor(steps) * F.lit(power).cast("bigint")
     cut = F.shiftright(scaled, 49)
-    rest = scaled.bitwiseAND(F.lit(unit - 1).cast("bigint")).cast("double") + (steps - F.floor(steps)) * float(power)
-    up = (rest > unit / 2) | ((rest == unit / 2) & (cut % 2 == 1))
+    finer = (steps - F.floor(steps)) * float(power)  # what lies below 2^-49
+    rest = scaled.bitwiseAND(F.lit(unit - 1).cast("bigint")) + F.floor(finer)
+    beyond_half = (finer > F.floor(finer)) | (cut % 2 == 1)
+    up = (rest > unit // 2) | ((rest == unit // 2) & beyond_half)
     rounded = cut + up.cast("bigint")
     carried = rounded == power
     digits_text = F.format_string(f"%0{digits}d", F.when(carried, F.lit(0)).otherwise(rounded).cast("bigint"))
