@@ -36,5 +36,6 @@ def test_entry_gives_a_report(spark):
 def test_scan_reads_only_what_is_needed(spark, folder):
     plan = QUERIES["a16_group_measures"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_quantity:double,l_extendedprice:double,l_returnflag:string>" in plan
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     filtered = QUERIES["p17_value_filters"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(p_type,ECONOMY)" in filtered

@@ -109,28 +109,33 @@ def exact_quantiles(
     return ranked.groupBy(*keys).agg(*found).select(*keys, F.array(*points).alias(out))
 
 
-def _sort_ranges(df: DataFrame, value: str, tie: str, descending: bool, rows_per_range: int) -> DataFrame:
+def _sort_ranges(df: DataFrame, value: str, tie: str, descending: bool, rows_per_range: int) -> tuple[DataFrame, bool]:
     """Adds sort_key, and range columns r1, r2, r3 whose order is the order of the rows.
 
+    Also tells whether there is more than one range; a small table gets no range columns.
     Rows that equal a cut point form a range of their own (r2 = 0); such a range can be
     hot and is cut again by the tie column (r3).
     """
     key = sort_number(df, value)
     keyed = df.withColumn("sort_key", -key if descending else key)
     bounds = range_bounds(keyed, "sort_key", rows_per_range)
-    ranged = with_range(keyed, "sort_key", bounds, "r1")
     if not bounds:
-        return ranged.withColumn("r2", F.lit(1)).withColumn("r3", F.lit(0))
+        return keyed, False
+    ranged = with_range(keyed, "sort_key", bounds, "r1")
     cuts = F.array(*[F.lit(b) for b in bounds])
     lower = F.when(F.col("r1") > 0, F.element_at(cuts, F.greatest(F.col("r1"), F.lit(1))))
     ranged = ranged.withColumn("r2", F.when(F.col("sort_key") == lower, F.lit(0)).otherwise(F.lit(1)))
     tied = with_range(ranged, tie, range_bounds(keyed, tie, rows_per_range), "r3")
-    return tied.withColumn("r3", F.when(F.col("r2") == 0, F.col("r3")).otherwise(F.lit(0)))
+    return tied.withColumn("r3", F.when(F.col("r2") == 0, F.col("r3")).otherwise(F.lit(0))), True
 
 
 RANGE = ["r1", "r2", "r3"]
 
 
+# In the functions below a window without a partition only ever sees a table of at most
+# rows_per_range rows, or one row per range.
+
+
 def with_ordinal(
     df: DataFrame,
     value: str,
@@ -140,7 +145,10 @@ def with_ordinal(
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Adds the 0-based position of each row in the order (value, tie) of the whole table."""
-    ranged = _sort_ranges(df, value, tie, descending, rows_per_range)
+    ranged, several = _sort_ranges(df, value, tie, descending, rows_per_range)
+    if not several:
+        position = F.row_number().over(Window.orderBy("sort_key", tie)) - 1
+        return ranged.withColumn(out, position.cast("bigint")).drop("sort_key")
     # at most three times MAX_RANGES rows go through this one-partition window
     sizes = ranged.groupBy(*RANGE).agg(F.count(F.lit(1)).alias("r_size"))
     before = F.sum("r_size").over(Window.orderBy(*RANGE).rowsBetween(Window.unboundedPreceding, -1))
@@ -162,7 +170,9 @@ def with_previous(
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
     """Adds the value of the row before in the order (value, tie); null for the first row."""
-    ranged = _sort_ranges(df, value, tie, descending, rows_per_range)
+    ranged, several = _sort_ranges(df, value, tie, descending, rows_per_range)
+    if not several:
+        return ranged.withColumn(out, F.lag(value).over(Window.orderBy("sort_key", tie))).drop("sort_key")
     last = ranged.groupBy(*RANGE).agg(F.max_by(F.col(value), F.struct("sort_key", tie)).alias("r_last"))
     carried = last.select(*RANGE, F.lag("r_last").over(Window.orderBy(*RANGE)).alias("r_carried"))
     inside = F.lag(value).over(Window.partitionBy(*RANGE).orderBy("sort_key", tie))
