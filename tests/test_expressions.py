@@ -149,13 +149,12 @@ def test_parameter_literals(spark):
         "{'params':'HNSW50,Flat', 'efConstruction': 300,'efSearch': 50}",
     ]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    fields = grids.literal_fields(F.col("t"))
-    rows = [tuple(r) for r in df.select(*[c.alias(n) for n, c in fields.items()]).collect()]
+    rows = [tuple(r["p"]) for r in df.select(grids.literal_fields(F.col("t")).alias("p")).collect()]
     assert rows == [("IVF1000,Flat", "20", "None", "None"), ("HNSW50,Flat", "None", "300", "50")]
     labels = df.select(grids.factory_labels(F.col("t"))["full_search"].alias("x")).collect()
     assert labels[1]["x"] == "HNSW50,Flat-300-50"
     stored = "{'index_type': 'IVF_PQ', 'params': {'m': 10, 'nlist': 1000}, 'nprobe': 20}"
-    found = {n: one(spark, c) for n, c in grids.stored_labels(F.lit(stored)).items()}
+    found = one(spark, grids.stored_labels(F.lit(stored))).asDict()
     assert found == {"index_factory": "IVF1000,PQ10", "index_full": "IVF_PQ-1000-20", "pq_m": "10"}
 
 

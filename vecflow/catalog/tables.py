@@ -420,8 +420,8 @@ WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, f AS index_factory, p AS nprobe, 'None' AS ef_construction, 'None' AS ef_search
 FROM x""")
 def parameter_literal(t: Tables) -> DataFrame:
-    fields = grids.literal_fields(F.col("index_params"))
-    return _literals(t).select(*LINE_KEY, *[c.alias(n) for n, c in fields.items()])
+    parsed = _literals(t).withColumn("p", grids.literal_fields(F.col("index_params")))
+    return parsed.select(*LINE_KEY, "p.*")
 
 
 @query("p16_index_label", LITERAL_SQL + """
@@ -439,8 +439,8 @@ def index_label(t: Tables) -> DataFrame:
         F.lit("{'index_type': '"), kind, F.lit("', 'params': {"), m, F.lit("'nlist': "), F.col("l_linenumber") * 1000,
         F.lit("}, 'nprobe': "), F.col("l_quantity").cast("int"), F.lit("}"),
     )
-    labels = grids.stored_labels(text)
-    stored = t.lineitem.select(F.concat_ws(" ", labels["index_factory"], labels["index_full"]).alias("label"))
+    labelled = t.lineitem.select(grids.stored_labels(text).alias("p"))
+    stored = labelled.select(F.concat_ws(" ", "p.index_factory", "p.index_full").alias("label"))
     count = lambda df, name: df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("source", F.lit(name))
     return count(factory, "factory").unionByName(count(stored, "stored"))
 

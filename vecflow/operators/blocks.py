@@ -84,10 +84,13 @@ class TopK:
             scores[self.ids[start:stop, None] == ids[None, :]] = np.inf
         size = np.abs(query).max(initial=0) * np.abs(train).max(initial=0) * query.shape[1]
         slack = 1e-12 * max(1.0, 4.0 * size, (query * query).sum(axis=1).max(initial=0), (train * train).sum(axis=1).max(initial=0))
-        limit = self.bound[start:stop]
-        if len(ids) > self.k:
-            limit = np.minimum(limit, np.partition(scores, self.k - 1, axis=1)[:, self.k - 1])
-        row, col = np.nonzero((scores <= limit[:, None] + slack) & np.isfinite(scores))
+        limit = self.bound[start:stop] + slack
+        near = (scores <= limit[:, None]) & np.isfinite(scores)
+        loose = np.count_nonzero(near, axis=1) > 4 * self.k
+        if loose.any():  # the bounds known so far let much pass: tighten them with this block
+            best = np.partition(scores[loose], self.k - 1, axis=1)[:, self.k - 1] + slack
+            near[loose] &= scores[loose] <= best[:, None]
+        row, col = np.nonzero(near)
         if len(row) == 0:
             return
         dist = np.empty(len(row))

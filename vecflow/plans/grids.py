@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from vecflow.functions.vectors import let
+
 # ---- parameter values of the published experiment grids (fixed values) ----
 
 PREPARATION = {
@@ -182,39 +184,49 @@ NESTED_SCHEMA = "nlist string, m string, nbits string"
 LITERAL_OPTIONS = {"allowSingleQuotes": "true"}
 
 
-def literal_fields(text: Column) -> dict[str, Column]:
-    """Fields of a parameter literal; a missing one reads ``None``, except the index name itself."""
-    parsed = F.from_json(text, PARAMS_SCHEMA, LITERAL_OPTIONS)
-    fields = {"index_factory": parsed["params"]}
-    for name, column in (("nprobe", "nprobe"), ("efConstruction", "ef_construction"), ("efSearch", "ef_search")):
-        fields[column] = F.coalesce(parsed[name], F.lit("None"))
-    return fields
+def literal_fields(text: Column) -> Column:
+    """Fields of a parameter literal as one struct; a missing one reads ``None``, except the index name.
 
+    One struct, so that the text is parsed once however many fields are read.
+    """
+    return let(F.from_json(text, PARAMS_SCHEMA, LITERAL_OPTIONS), lambda p: F.struct(
+        p["params"].alias("index_factory"),
+        F.coalesce(p["nprobe"], F.lit("None")).alias("nprobe"),
+        F.coalesce(p["efConstruction"], F.lit("None")).alias("ef_construction"),
+        F.coalesce(p["efSearch"], F.lit("None")).alias("ef_search"),
+    ))
 
-def factory_labels(text: Column) -> dict[str, Column]:
-    """Index labels that tell configurations apart at three levels of detail."""
-    f = literal_fields(text)
-    return {
-        "full_nprobe": F.concat_ws("-", f["index_factory"], f["nprobe"]),
-        "full_build": F.concat_ws("-", f["index_factory"], f["ef_construction"]),
-        "full_search": F.concat_ws("-", f["index_factory"], f["ef_construction"], f["ef_search"]),
-    }
 
+def factory_labels(text: Column) -> Column:
+    """Index labels that tell configurations apart at three levels of detail, as one struct."""
+    return let(literal_fields(text), lambda f: F.struct(
+        F.concat_ws("-", f["index_factory"], f["nprobe"]).alias("full_nprobe"),
+        F.concat_ws("-", f["index_factory"], f["ef_construction"]).alias("full_build"),
+        F.concat_ws("-", f["index_factory"], f["ef_construction"], f["ef_search"]).alias("full_search"),
+    ))
 
-def stored_labels(text: Column) -> dict[str, Column]:
-    """Index label of a vector-table configuration in the same notation: IVF<cells>,<storage>."""
-    outer = F.from_json(text, PARAMS_SCHEMA, LITERAL_OPTIONS)
-    inner = F.from_json(outer["params"], NESTED_SCHEMA, LITERAL_OPTIONS)
-    nlist, m = F.coalesce(inner["nlist"], F.lit("None")), F.coalesce(inner["m"], F.lit(""))
-    kind = outer["index_type"]
-    storage = F.when(kind == "IVF_PQ", F.concat(F.lit(",PQ"), m)).otherwise(
-        F.replace(F.replace(kind, F.lit("IVF_FLAT"), F.lit(",Flat")), F.lit("IVF_SQ8"), F.lit(",SQ8"))
-    )
-    return {
-        "index_factory": F.concat(F.lit("IVF"), nlist, storage),
-        "index_full": F.concat_ws("-", kind, nlist, F.coalesce(outer["nprobe"], F.lit("None"))),
-        "pq_m": m,
-    }
+
+def stored_labels(text: Column) -> Column:
+    """Index labels of a vector-table configuration in the same notation, IVF<cells>,<storage>, as one struct."""
+
+    def labels(p: Column) -> Column:
+        outer, inner = p["outer"], p["inner"]
+        nlist, m = F.coalesce(inner["nlist"], F.lit("None")), F.coalesce(inner["m"], F.lit(""))
+        kind = outer["index_type"]
+        storage = F.when(kind == "IVF_PQ", F.concat(F.lit(",PQ"), m)).otherwise(
+            F.replace(F.replace(kind, F.lit("IVF_FLAT"), F.lit(",Flat")), F.lit("IVF_SQ8"), F.lit(",SQ8"))
+        )
+        return F.struct(
+            F.concat(F.lit("IVF"), nlist, storage).alias("index_factory"),
+            F.concat_ws("-", kind, nlist, F.coalesce(outer["nprobe"], F.lit("None"))).alias("index_full"),
+            m.alias("pq_m"),
+        )
+
+    def both(outer: Column) -> Column:
+        inner = F.from_json(outer["params"], NESTED_SCHEMA, LITERAL_OPTIONS)
+        return F.struct(outer.alias("outer"), inner.alias("inner"))
+
+    return let(let(F.from_json(text, PARAMS_SCHEMA, LITERAL_OPTIONS), both), labels)
 
 
 def fingerprint(*columns: str) -> Column:
