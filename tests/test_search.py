@@ -100,8 +100,19 @@ def test_grid_keeps_cells_bounded():
 def test_hot_cell_is_cut(spark, copies):
     queries, train, q, t = copies
     one_cell = lambda df: df.withColumn("cell", F.lit(1))
-    found = listed(neighbors.keyed_topk(one_cell(q), one_cell(t), 7, "l2", cell_rows=17))
-    same(found, brute(queries, train, 7, "l2"))
+    expected = brute(queries, train, 7, "l2")
+    same(listed(neighbors.keyed_topk(one_cell(q), one_cell(t), 7, "l2", cell_rows=17, broadcast_bytes=0)), expected)
+    same(listed(neighbors.keyed_topk(one_cell(q), one_cell(t), 7, "l2")), expected)
+
+
+def test_cells_limit_the_search(copies):
+    _, _, q, t = copies
+    asked = q.withColumn("cell", F.explode(F.array(F.col("id") % 3, F.lit(3))))
+    held = t.withColumn("cell", F.col("id") % 4)
+    streamed = neighbors.keyed_topk(asked, held, 7, "l2")
+    met = neighbors.keyed_topk(asked, held, 7, "l2", cell_rows=11, broadcast_bytes=0)
+    assert listed(streamed) == listed(met)
+    assert streamed.where("neighbor_id % 4 <> 3 AND neighbor_id % 4 <> query_id % 3").isEmpty()
 
 
 def hits_of(spark, rows):

@@ -60,32 +60,37 @@ def pairwise(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 class TopK:
     """The k nearest train rows seen so far for each row of a query block."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, metric: str, skip_same: bool, bound=None):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, metric: str, skip_same: bool = False, bound=None):
         self.ids, self.k, self.metric, self.skip_same = ids, k, metric, skip_same
         self.vectors = prepared(vectors, metric)
         self.bound = np.full(len(ids), np.inf) if bound is None else np.asarray(bound, dtype=np.float64).copy()
-        empty = np.zeros(0, dtype=np.int64)
-        self.rows, self.near, self.label, self.dist = empty, empty, empty, np.zeros(0)
-
-    def add(self, ids: np.ndarray, vectors: np.ndarray, labels: np.ndarray) -> None:
-        if len(ids) == 0 or len(self.ids) == 0:
+        self.dist = np.full((len(ids), k), np.inf)
+        self.near = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.label = np.zeros((len(ids), k), dtype=np.int64)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, labels: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """Offers a block of train rows to all queries, or to the query rows in ``asked``."""
+        asked = np.arange(len(self.ids)) if asked is None else asked
+        if len(ids) == 0 or len(asked) == 0:
             return
         if vectors.shape[1] != self.vectors.shape[1]:
             raise ValueError("vectors of different size")
         train = prepared(vectors, self.metric)
         step = max(1, PAIRS_AT_ONCE // len(ids))
-        for start in range(0, len(self.ids), step):
-            self._add_part(start, min(start + step, len(self.ids)), ids, train, labels)
+        for at in range(0, len(asked), step):
+            self._add_part(asked[at : at + step], ids, train, labels)
 
-    def _add_part(self, start, stop, ids, train, labels):
-        query = self.vectors[start:stop]
+    def _add_part(self, rows, ids, train, labels):
+        query = self.vectors[rows]
         scores = rough(query, train, self.metric)
         if self.skip_same:
-            scores[self.ids[start:stop, None] == ids[None, :]] = np.inf
-        size = np.abs(query).max(initial=0) * np.abs(train).max(initial=0) * query.shape[1]
-        slack = 1e-12 * max(1.0, 4.0 * size, (query * query).sum(axis=1).max(initial=0), (train * train).sum(axis=1).max(initial=0))
-        limit = self.bound[start:stop] + slack
-        near = (scores <= limit[:, None]) & np.isfinite(scores)
+            scores[self.ids[rows][:, None] == ids[None, :]] = np.inf
+        largest = max((query * query).sum(axis=1).max(initial=0), (train * train).sum(axis=1).max(initial=0))
+        widest = max(np.abs(query).max(initial=0), np.abs(train).max(initial=0)) * query.shape[1]
+        slack = 1e-12 * max(1.0, 4.0 * largest, widest)
+        near = scores <= (self.bound[rows] + slack)[:, None]
+        if self.skip_same:
+            near &= np.isfinite(scores)
         loose = np.count_nonzero(near, axis=1) > 4 * self.k
         if loose.any():  # the bounds known so far let much pass: tighten them with this block
             best = np.partition(scores[loose], self.k - 1, axis=1)[:, self.k - 1] + slack
@@ -97,23 +102,27 @@ class TopK:
         for at in range(0, len(row), PAIRS_AT_ONCE // 4):
             part = slice(at, at + PAIRS_AT_ONCE // 4)
             dist[part] = pairwise(query[row[part]], train[col[part]], self.metric)
-        self._keep(row + start, ids[col], labels[col], dist)
-
-    def _keep(self, rows, near, label, dist):
-        rows, near = np.concatenate([self.rows, rows]), np.concatenate([self.near, near])
-        label, dist = np.concatenate([self.label, label]), np.concatenate([self.dist, dist])
-        order = np.lexsort((near, dist, rows))
-        rows, near, label, dist = rows[order], near[order], label[order], dist[order]
-        first = np.searchsorted(rows, rows, side="left")
-        rank = np.arange(len(rows)) - first
+        self._keep(rows, row, ids[col], labels[col], dist)
+
+    def _keep(self, rows, row, near, label, dist):
+        """Merges candidates into the lists of the queries that got any."""
+        hit, local = np.unique(row, return_inverse=True)
+        target = rows[hit]
+        owner = np.concatenate([np.repeat(np.arange(len(hit)), self.k), local])
+        dist = np.concatenate([self.dist[target].ravel(), dist])
+        near = np.concatenate([self.near[target].ravel(), near])
+        label = np.concatenate([self.label[target].ravel(), label])
+        order = np.lexsort((near, dist, owner))
+        owner = owner[order]
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner, side="left")
         kept = rank < self.k
-        self.rows, self.near, self.label, self.dist = rows[kept], near[kept], label[kept], dist[kept]
-        full = rank == self.k - 1
-        self.bound[rows[full]] = np.minimum(self.bound[rows[full]], dist[full])
+        place, order = (target[owner[kept]], rank[kept]), order[kept]
+        self.dist[place], self.near[place], self.label[place] = dist[order], near[order], label[order]
+        self.bound[target] = np.minimum(self.bound[target], self.dist[target, self.k - 1])
 
     def batch(self, schema: pa.Schema) -> pa.RecordBatch:
-        dist = np.sqrt(self.dist) if self.metric == "euclidean" else self.dist
-        columns = [self.ids[self.rows], self.near, dist, self.label]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c).cast(f.type) for c, f in zip(columns, schema)], schema=schema
-        )
+        row, rank = np.nonzero(np.isfinite(self.dist))
+        dist = self.dist[row, rank]
+        dist = np.sqrt(dist) if self.metric == "euclidean" else dist
+        columns = [self.ids[row], self.near[row, rank], dist, self.label[row, rank]]
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, schema)], schema=schema)

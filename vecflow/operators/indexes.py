@@ -181,6 +181,9 @@ def build_index(
     elif spec.storage == "pq":
         index.codebooks = fit_codebooks(rows, spec.parts, nbits, n_rows, seed)
         rows = append_column(rows, "vector", "vector", "smallint", product_coder(index.codebooks))
+    if spec.cells or spec.storage != "flat":
+        shared_dir(rows.sparkSession)
+        rows = rows.checkpoint()  # encoded once, however often it is searched
     index.rows = rows
     return index
 

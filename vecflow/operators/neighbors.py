@@ -92,6 +92,30 @@ def _stream(queries: DataFrame, train: DataFrame, k: int, metric: str, skip_same
     return train.select("id", "vector", "label").mapInArrow(search, PART_SCHEMA)
 
 
+def _stream_keyed(queries: DataFrame, train: DataFrame, k: int, metric: str, skip_same: bool, decode: Decoder) -> DataFrame:
+    """Few queries with cells: each train row is offered to the queries that name its cell."""
+    table = queries.select("id", "cell", "vector").toArrow()
+    ids, first, row = np.unique(_ids(table["id"]), return_index=True, return_inverse=True)
+    cells = _ids(table["cell"])
+    asking = {int(c): np.unique(row[cells == c]) for c in np.unique(cells)}
+    sent = queries.sparkSession.sparkContext.broadcast((ids, matrix(table["vector"])[first], asking))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, asking = sent.value
+        best = TopK(ids, vectors, k, metric, skip_same)
+        for batch in batches:
+            if batch.num_rows:
+                near, stored, labels = _ids(batch["id"]), _vectors(batch, decode), _labels(batch["label"])
+                held = _ids(batch["cell"])
+                for cell in np.unique(held):
+                    if int(cell) in asking:
+                        rows = held == cell
+                        best.add(near[rows], stored[rows], labels[rows], asking[int(cell)])
+        yield best.batch(ARROW_PART)
+
+    return train.select("id", "cell", "vector", "label").mapInArrow(search, PART_SCHEMA)
+
+
 def cell_search(
     queries: DataFrame, train: DataFrame, keys: list[str], k: int, metric: str, skip_same: bool = False, decode: Decoder = None
 ) -> DataFrame:
@@ -168,13 +192,19 @@ def keyed_topk(
     decode: Decoder = None,
     cell_rows: int = CELL_ROWS,
     skip_same: bool = False,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """k nearest train rows of every query among those that share its ``cell``.
 
-    Cells can be of any size: one with more than ``cell_rows`` rows on a side is cut into
-    shards, so a hot cell is spread over many tasks. There is one layout row per cell.
+    Few queries (measured) travel to the train partitions. Otherwise the sides meet in a
+    cogroup on the cell, which can be of any size: a cell with more than ``cell_rows``
+    rows on a side is cut into shards, so a hot cell is spread over many tasks. There is
+    one layout row per cell.
     """
     metric = metric_name(metric)
+    asked = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
+    if asked["n"] and asked["n"] * asked["dim"] * 8 <= broadcast_bytes:
+        return rank_hits(_stream_keyed(queries, train, k, metric, skip_same, decode), k)
     shards = lambda n: F.ceil(F.col(n) / F.lit(cell_rows)).cast("int")
     n_train = train.groupBy("cell").agg(F.count(F.lit(1)).alias("n_train"))
     n_query = queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n_query"))
@@ -225,7 +255,8 @@ def exact_topk(
     if query_bytes <= broadcast_bytes:
         parts = _stream(queries, train, k, metric, skip_same, decode)
     else:
-        cells = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # several cells per task even out what the hash puts together
+        cells = 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         parts = _grid(queries, train, k, metric, skip_same, grid_shape(n_queries, n_train, cells), decode)
     return rank_hits(parts, k)
 
