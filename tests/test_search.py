@@ -279,3 +279,9 @@ def test_grid_equals_single_runs(clusters):
         else:
             single = experiments.classify(train, test, c["metric"], c["neighbors"], c["vote_type"])
             assert row["accuracy"] == evaluation.accuracy(single, "y", "y_hat").first()["accuracy"]
+
+
+def test_rows_without_label_stay_without(spark, copies):
+    _, _, q, t = copies
+    bare = neighbors.as_vectors(t, "id", "vector")
+    assert neighbors.exact_topk(q, bare, 2).where("label IS NOT NULL").isEmpty()

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 PAIRS_AT_ONCE = 1_000_000
+NO_LABEL = np.iinfo(np.int64).min
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -124,5 +125,8 @@ class TopK:
         row, rank = np.nonzero(np.isfinite(self.dist))
         dist = self.dist[row, rank]
         dist = np.sqrt(dist) if self.metric == "euclidean" else dist
-        columns = [self.ids[row], self.near[row, rank], dist, self.label[row, rank]]
-        return pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+        label = self.label[row, rank]
+        columns = [
+            pa.array(self.ids[row]), pa.array(self.near[row, rank]), pa.array(dist), pa.array(label, mask=label == NO_LABEL)
+        ]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)

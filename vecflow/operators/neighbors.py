@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vecflow.functions.vectors import METRICS, doubles, metric_name
-from vecflow.operators.blocks import TopK, matrix
+from vecflow.operators.blocks import NO_LABEL, TopK, matrix
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 CELL_ROWS = 100_000
@@ -59,9 +59,7 @@ def rank_hits(parts: DataFrame, k: int) -> DataFrame:
 
 
 def _labels(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    if column.null_count:
-        column = column.fill_null(-1)
-    return column.to_numpy(zero_copy_only=False).astype(np.int64) if isinstance(column, pa.Array) else column.to_numpy().astype(np.int64)
+    return _ids(column.cast(pa.int64()).fill_null(NO_LABEL))
 
 
 def _ids(column) -> np.ndarray:
