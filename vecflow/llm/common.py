@@ -72,10 +72,10 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], make: Callable[
     return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows written below the shared folder and read again: lineage ends here, lost executors cost nothing."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

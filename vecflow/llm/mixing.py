@@ -10,6 +10,7 @@ MAX_COPIES = 2
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 CELL_ROWS = 5_000
+FILLS = 2
 NOISE = 1e-9
 
 
@@ -69,8 +70,9 @@ def plan(sizes: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WE
 
     Expected copies of a document are min(2, scale * appeal), with the scale that gives the source its target. The whole
     part is certain. For the fraction p, documents are ranked by Pareto's u/(1-u) : p/(1-p), of which z = q/(1+q) is
-    a form within (0, 1); they are taken in that order while the words still needed allow. The one further document
-    whose size is nearest to what is then missing is taken too, if that brings the source nearer to its target.
+    a form within (0, 1); they are taken in that order while the words still needed allow. Then, ``FILLS`` times, the
+    largest document that fits into what is missing is added, and at last the one of the nearest size, if that brings
+    the source nearer to its target.
     """
     goals, number = targets(sizes, share, weights)
     steps = sizes.groupBy("key", appeal(F.col("size")).alias("appeal")).agg(F.sum("size").alias("words"))
@@ -114,11 +116,22 @@ def plan(sizes: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WE
     cut = cut.join(everything, "key", "left").withColumn(
         "missing", F.col("need") - F.coalesce("running", F.when(F.col("cell").isNull(), F.coalesce("open", F.lit(0))).otherwise(F.col("before")))
     )
-    cut = kept(cut.select("key", "last_z", "last_id", "missing"))
-    left = open_.join(sized(cut, number), "key").where(~picked()).where(F.abs(F.col("missing") - F.col("size")) < F.col("missing"))
-    extra = left.groupBy("key").agg(F.min(F.struct(F.abs(F.col("missing") - F.col("size")).alias("off"), "z", "id")).alias("e"))
-    out = goals.join(cut, "key").join(extra, "key", "left")
-    return kept(out.select("key", "source_size", "target", "scale", "last_z", "last_id", F.col("e.id").alias("extra_id"))), number
+    cut = kept(cut.select("key", "last_z", "last_id", "missing", F.array().cast("array<long>").alias("extra")))
+    for nearest in (False,) * FILLS + (True,):
+        off = F.abs(F.col("missing") - F.col("size"))
+        left = open_.join(sized(cut, number), "key").where(~picked() & ~F.array_contains("extra", F.col("id")) & (F.col("size") > 0))
+        left = left.where(off < F.col("missing") if nearest else F.col("size") <= F.col("missing"))
+        chosen = left.groupBy("key").agg(F.min(F.struct(off.alias("off"), "z", "id", "size")).alias("e"))
+        cut = cut.join(chosen, "key", "left").select(
+            "key",
+            "last_z",
+            "last_id",
+            (F.col("missing") - F.coalesce("e.size", F.lit(0))).alias("missing"),
+            F.when(F.col("e.id").isNull(), F.col("extra")).otherwise(F.concat("extra", F.array("e.id"))).alias("extra"),
+        )
+        cut = kept(cut)
+    out = goals.join(cut, "key").select("key", "source_size", "target", "scale", "last_z", "last_id", "extra")
+    return kept(out), number
 
 
 def draw(id: Column, size: Column, seed: int) -> dict[str, Column]:
@@ -151,7 +164,7 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
 
 def _copies(rows: DataFrame, seed: int) -> DataFrame:
     rows = rows.withColumns(draw(F.col("id"), F.col("size"), seed))
-    more = picked() | (F.coalesce(F.col("id") == F.col("extra_id"), F.lit(False)) & (F.col("p") > 0))
+    more = picked() | (F.array_contains("extra", F.col("id")) & (F.col("p") > 0))
     copies = F.when(F.col("size") > 0, F.col("whole") + more.cast("long")).otherwise(0)
     return rows.withColumn("mixed", F.struct("size", "source_size", "target", copies.alias("copies")))
 
