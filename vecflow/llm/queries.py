@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vecflow.llm import chat, licenses, mixing, randomness, tokens
+from vecflow.llm import chat, licenses, mixing, oddsketch, randomness, tokens
 from vecflow.llm.common import table
 
 def tokenizer_path() -> str:
@@ -26,6 +26,10 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(table(spark, folder, "documents"))
 
 
+def op7_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return oddsketch.groups(table(spark, folder, "documents"))
+
+
 def op8_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.round_trip(table(spark, folder, "documents"), tokenizer_path())
 
@@ -41,5 +45,5 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.union(more)))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_licenses, op3_mixing, op8_tokens, op9_secrets, op10_chat)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_licenses, op3_mixing, op7_minhash, op8_tokens, op9_secrets, op10_chat)}
 ORACLES: dict[str, str] = {}
