@@ -132,7 +132,7 @@ def scan(df: DataFrame, id: str = "doc_id", text: str = "text", min_random: floa
                 else:
                     quiet[length_class(len(m[0]))] += 1
             runs.append(loose)
-        pairs = neighbours("\n".join(rows).encode("utf-8", "surrogatepass"))
+        pairs = sum((neighbours(x.encode("utf-8", "surrogatepass")) for x in rows), np.zeros(CLASSES * CLASSES, np.int64))
         ids = pa.concat_arrays([batch.column(0), pa.nulls(1, batch.column(0).type)])
         total = [None] * len(rows) + [list(map(int, np.concatenate([quiet, pairs])))]
         return pa.RecordBatch.from_arrays(
