@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vecflow.llm import chat, licenses, mixing, oddsketch, randomness, simhash, tokens
+from vecflow.llm import chat, decontamination, licenses, mixing, oddsketch, randomness, simhash, tokens
 from vecflow.llm.common import table
 
 def tokenizer_path() -> str:
@@ -26,6 +26,10 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(table(spark, folder, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op6_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.report(table(spark, folder, "documents"))
 
@@ -49,5 +53,5 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.union(more)))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_licenses, op3_mixing, op6_fingerprints, op7_minhash, op8_tokens, op9_secrets, op10_chat)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_licenses, op3_mixing, op5_decontamination, op6_fingerprints, op7_minhash, op8_tokens, op9_secrets, op10_chat)}
 ORACLES: dict[str, str] = {}
