@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vecflow.llm import chat, decontamination, licenses, mixing, oddsketch, randomness, simhash, tokens
-from vecflow.llm.common import table
+from vecflow.llm import chat, decontamination, language, licenses, mixing, oddsketch, randomness, simhash, tokens
+from vecflow.llm.common import stored, table
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -22,6 +22,18 @@ def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, folder, "documents")))
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document and every page; the ids of the other table are null."""
+    docs, pages = table(spark, folder, "documents"), table(spark, folder, "pages")
+    model = language.fit(docs)
+    nothing = F.lit(None).cast("long")
+    ids = lambda doc, page: F.struct(doc.alias("doc_id"), page.alias("page_id"))
+    of_docs = language.documents(docs, model, ids(F.col("doc_id"), nothing))
+    of_pages = language.pages(pages, model, ids(nothing, F.col("page_id")))
+    found = [language.identify(stored(x, "evidence"), model) for x in (of_docs, of_pages)]
+    return found[0].union(found[1]).select("row.*", "found.lang", "found.confidence", "found.text_lang", "found.declared", "found.kept")
+
+
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(table(spark, folder, "documents"))
 
@@ -53,5 +65,5 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.union(more)))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_licenses, op3_mixing, op5_decontamination, op6_fingerprints, op7_minhash, op8_tokens, op9_secrets, op10_chat)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_licenses, op2_language, op3_mixing, op5_decontamination, op6_fingerprints, op7_minhash, op8_tokens, op9_secrets, op10_chat)}
 ORACLES: dict[str, str] = {}
