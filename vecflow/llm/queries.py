@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vecflow.llm import chat, decontamination, language, licenses, mixing, oddsketch, randomness, simhash, tokens
+from vecflow.llm import backoff, chat, decontamination, language, licenses, mixing, oddsketch, randomness, simhash, tokens
 from vecflow.llm.common import stored, table
 
 def tokenizer_path() -> str:
@@ -38,6 +38,10 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.report(table(spark, folder, "documents"))
 
 
+def op4_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    return backoff.report(table(spark, folder, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -65,5 +69,5 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.union(more)))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_licenses, op2_language, op3_mixing, op5_decontamination, op6_fingerprints, op7_minhash, op8_tokens, op9_secrets, op10_chat)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_licenses, op2_language, op3_mixing, op4_backoff, op5_decontamination, op6_fingerprints, op7_minhash, op8_tokens, op9_secrets, op10_chat)}
 ORACLES: dict[str, str] = {}
