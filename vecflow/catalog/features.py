@@ -112,10 +112,10 @@ def manhattan(t: Tables) -> DataFrame:
     return _to_label_mean(t, "manhattan")
 
 
-@query("v09_combined_vectors", VEC_SQL + cells_sql("list_concat(list_slice(v, 1, 4), list_transform(list_slice(v, 61, 64), lambda x: -x))"))
+@query("v09_combined_vectors", VEC_SQL + cells_sql("list_concat(v, list_transform(v, lambda x: -x))"))
 def combined_vectors(t: Tables) -> DataFrame:
     v = F.col("v")
-    both = V.combine(F.slice(v, 1, 4), F.transform(F.slice(v, 61, 4), lambda x: -x))
+    both = V.combine(v, F.transform(v, lambda x: -x))
     return cells(_vectors(t).withColumn("w", both), "vec_id", "w")
 
 

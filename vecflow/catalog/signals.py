@@ -66,8 +66,20 @@ def pre_emphasis(t: Tables) -> DataFrame:
     return cells(_signals(t).withColumn("y", signals.pre_emphasis(F.col("samples"))), "vec_id", "y")
 
 
-@query("f02_frames", FRAMES_SQL + " SELECT vec_id, frame, n, round(x + 1e-9, 6) AS x FROM fr")
+# signals of 4 to 64 samples: shorter than a frame, or with a tail
+@query("f02_frames", """
+WITH c AS (SELECT vec_id, list_slice(embedding::DOUBLE[], 1, 4 + vec_id % 61) AS v FROM embeddings),
+f AS (SELECT vec_id, v, unnest(range(greatest(ceil((len(v) - 16) / 8.0)::INT, 0) + 1)) AS frame FROM c),
+n AS (SELECT *, unnest(range(16)) AS n FROM f)
+SELECT vec_id, frame::INT AS frame, n::INT AS n, round(coalesce(v[8 * frame + n + 1], 0) + 1e-9, 6) AS x FROM n""")
 def frames(t: Tables) -> DataFrame:
+    short = _signals(t).withColumn("samples", F.slice("samples", 1, (4 + F.col("vec_id") % 61).cast("int")))
+    framed = signals.framed(short, "samples", WIDTH, HOP)
+    return framed.select("vec_id", "frame", F.posexplode("x").alias("n", "x")).withColumn("x", r6(F.col("x")))
+
+
+@query("f02_whole_frames", FRAMES_SQL + " SELECT vec_id, frame, n, round(x + 1e-9, 6) AS x FROM fr")
+def whole_frames(t: Tables) -> DataFrame:
     return _frames(t).select("vec_id", "frame", F.posexplode("x").alias("n", "x")).withColumn("x", r6(F.col("x")))
 
 

@@ -39,11 +39,6 @@ def narrow_csv(t: Tables) -> DataFrame:
     )
 
 
-@query("s04_file_listing")
-def file_listing(t: Tables) -> DataFrame:
-    return files.list_files(t.spark, t.folder, pattern="*.parquet").select("name", "length")
-
-
 def _segment_table(t: Tables) -> DataFrame:
     base = t.supplier.select("s_suppkey", "s_name")
     parts = [
@@ -214,26 +209,26 @@ VECTOR_SCHEMA = "id bigint, vector_data array<double>, label int"
 @query("s16_vector_table", """
 SELECT 'cosine' AS metric, 'IVF64,Flat' AS index, max(len(embedding))::VARCHAR AS dim, count(*) AS n FROM embeddings""")
 def vector_table(t: Tables) -> DataFrame:
-    name = "vecflow_s16"
-    stores.create_collection(
-        t.spark, name, "COSINE", "IVF64,Flat", recreate=True, columns=VECTOR_SCHEMA, location=scratch_path(t.spark, name)
-    )
+    name, place = "vecflow_s16", scratch_path(t.spark, "vecflow_s16")
     rows = t.embeddings.select(F.col("vec_id").alias("id"), doubles(F.col("embedding")).alias("vector_data"), "label")
-    stores.insert_records(rows, name)
+    for _ in range(2):  # the second time over the files of the first
+        stores.create_collection(t.spark, name, "COSINE", "IVF64,Flat", recreate=True, columns=VECTOR_SCHEMA, location=place)
+        stores.insert_records(rows, name)
     stores.create_collection(t.spark, name, "COSINE", "IVF64,Flat", reset=True)  # found, emptied
     stores.insert_records(rows, name)
     found = stores.describe_collection(t.spark, name)
     return t.spark.table(name).agg(F.count(F.lit(1)).alias("n")).select(*[F.lit(found[c]).alias(c) for c in ("metric", "index", "dim")], "n")
 
 
-@query("s17_insert_records", "SELECT label, count(*) AS n, max(vec_id) AS last_id FROM embeddings GROUP BY label")
+@query("s17_insert_records", "SELECT label, 2 * count(*) AS n, 2 * count(*) AS ids FROM embeddings GROUP BY label")
 def insert_records(t: Tables) -> DataFrame:
     name = "vecflow_s17"
     stores.create_collection(
         t.spark, name, "L2", "Flat", recreate=True, extra="note string", columns=VECTOR_SCHEMA, location=scratch_path(t.spark, name)
     )
-    stores.insert_records(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector_data"), "label"), name)
-    return t.spark.table(name).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last_id"))
+    for _ in range(2):  # ids are given by the table
+        stores.insert_records(t.embeddings.select(F.col("embedding").alias("vector_data"), "label"), name)
+    return t.spark.table(name).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
 
 
 @query("s20_concat_csvs", """
@@ -389,11 +384,11 @@ def drop_all_null(t: Tables) -> DataFrame:
 
 
 @query("p14_comparative", """
-SELECT p_partkey, round(p_retailprice - 1000, 2) AS inside, round(p_size * 100.0::DOUBLE - 1000, 2) AS outside FROM part
-WHERE p_retailprice >= 1000 AND p_size >= 10""")
+SELECT p_partkey, round(p_retailprice + 60 - 1000, 2) AS inside, round(p_size * 100.0::DOUBLE - 1000, 2) AS outside FROM part
+WHERE p_retailprice + 60 >= 1000 AND p_size >= 10""")
 def comparative(t: Tables) -> DataFrame:
     readings = t.part.select(
-        "p_partkey", F.col("p_retailprice").alias("hive_pressure"), (F.col("p_size") * 100.0).alias("weather_pressure")
+        "p_partkey", (F.col("p_retailprice") + 60).alias("hive_pressure"), (F.col("p_size") * 100.0).alias("weather_pressure")
     )
     series = prep.comparative_series(readings, "pressure", "p_partkey")
     return series.select("p_partkey", F.round("inside", 2).alias("inside"), F.round("outside", 2).alias("outside"))
@@ -420,7 +415,7 @@ WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, f AS index_factory, p AS nprobe, 'None' AS ef_construction, 'None' AS ef_search
 FROM x""")
 def parameter_literal(t: Tables) -> DataFrame:
-    parsed = _literals(t).withColumn("p", grids.literal_fields(F.col("index_params")))
+    parsed = grids.with_literals(_literals(t), "index_params", "p")
     return parsed.select(*LINE_KEY, "p.*")
 
 
@@ -471,9 +466,9 @@ def fingerprint(t: Tables) -> DataFrame:
 
 
 @query("p21_feature_name", """
-SELECT p_partkey, lower(p_type) AS base, p_size AS option, CASE WHEN p_retailprice > 1000 THEN 'stat' ELSE '' END AS added FROM part""")
+SELECT p_partkey, lower(p_type) AS base, p_size AS option, CASE WHEN p_retailprice > 950 THEN 'stat' ELSE '' END AS added FROM part""")
 def feature_name(t: Tables) -> DataFrame:
-    name = F.concat(F.lower("p_type"), F.lit("_"), F.col("p_size"), F.when(F.col("p_retailprice") > 1000, "+stat").otherwise(""))
+    name = F.concat(F.lower("p_type"), F.lit("_"), F.col("p_size"), F.when(F.col("p_retailprice") > 950, "+stat").otherwise(""))
     return t.part.select("p_partkey", *[c.alias(n) for n, c in grids.feature_parts(name).items()])
 
 
@@ -516,92 +511,6 @@ def windows(t: Tables) -> DataFrame:
     return rows.select("s_suppkey", "sub_segment_no", "start_time", "end_time")
 
 
-def _with_workload(t: Tables, grid: DataFrame) -> DataFrame:
-    """Sub-segments each configuration has to process, taking every supplier as one recording.
-
-    The overlap ``all`` stands for the stored overlaps of that length.
-    """
-    recordings = t.supplier.agg(F.count(F.lit(1)).alias("n")).scalar()
-    stored = {}
-    for length, overlap in grids.PREPARATION["segment"]:
-        stored.setdefault(length, []).append(overlap)
-    every = F.lit(0)
-    for length, overlaps in stored.items():
-        total = sum((prep.window_count(F.col("segment_lenght"), F.lit(o)) for o in overlaps), F.lit(0))
-        every = F.when(F.col("segment_lenght") == length, total).otherwise(every)
-    one = prep.window_count(F.col("segment_lenght"), F.col("segment_overlap").try_cast("int"))
-    per_recording = F.when(F.col("segment_overlap") == "all", every).otherwise(one)
-    return grid.withColumn("sub_segments", recordings * per_recording)
-
-
-WORK_SQL = "(SELECT count(*) FROM supplier) * CASE o WHEN 'all' THEN 17 ELSE (60 - l) // (l - try_cast(o AS INT)) + 1 END AS sub_segments"
-
-
-@query("g2_preparation_grid", f"""
-SELECT l AS segment_lenght, o AS segment_overlap, feature, vector_operation, {WORK_SQL}
-FROM (VALUES (5, '0'), (5, '2'), (7, '5'), (10, '0'), (10, '5')) AS g(l, o),
-     (VALUES ('pe-mfcc_20'), ('pe-mfcc_30'), ('pe-mfcc_40'), ('pe-mfcc_50')) AS f(feature),
-     (VALUES ('mean'), ('mean_iqr15'), ('mean_iqr25')) AS v(vector_operation)""")
-def preparation_grid(t: Tables) -> DataFrame:
-    return _with_workload(t, grids.preparation_grid(t.spark))
-
-
-@query("g3_exact_grid", f"""
-SELECT l AS segment_lenght, o AS segment_overlap, feature, vector_operation, metric_type, vote_type, neighbors, {WORK_SQL}
-FROM (VALUES (7, '5'), (10, '0'), (10, '5')) AS g(l, o), (VALUES ('pe-mfcc_40'), ('pe-mfcc_50')) AS f(feature),
-     (VALUES ('mean'), ('mean_iqr15'), ('mean_iqr25')) AS v(vector_operation), (VALUES ('cosine'), ('correlation')) AS m(metric_type),
-     (VALUES ('uniform'), ('distance')) AS w(vote_type), (VALUES (10), (15), (20)) AS n(neighbors)""")
-def exact_grid(t: Tables) -> DataFrame:
-    grid = grids.exact_grid(t.spark).drop("skipped", "accuracy", "training_set_size", "testing_set_size", "row_key")
-    return _with_workload(t, grid)
-
-
-@query("g4_exact_grid_v3", f"""
-SELECT l AS segment_lenght, o AS segment_overlap, feature, vector_operation, metric_type, vote_type, neighbors,
-       concat('{{"neighbors":', neighbors, '}}') AS index_params, 0 AS skipped, NULL::DOUBLE AS accuracy, {WORK_SQL}
-FROM (VALUES (10, 'all')) AS g(l, o), (VALUES ('pe-mfcc_40')) AS f(feature), (VALUES ('mean'), ('mean_iqr25')) AS v(vector_operation),
-     (VALUES ('cosine'), ('correlation')) AS m(metric_type), (VALUES ('uniform'), ('distance')) AS w(vote_type),
-     (VALUES (15), (20)) AS n(neighbors)""")
-def exact_grid_v3(t: Tables) -> DataFrame:
-    grid = grids.exact_grid_v3(t.spark).withColumn("skipped", F.col("skipped").cast("int"))
-    columns = [
-        "segment_lenght", "segment_overlap", "feature", "vector_operation", "metric_type", "vote_type", "neighbors",
-        "index_params", "skipped", "accuracy", "sub_segments",
-    ]
-    return _with_workload(t, grid).select(*columns)
-
-
-@query("g5_index_grid", f"""
-WITH p AS (SELECT concat('{{''params'':''IVF', n, ',', s, ''', ''nprobe'': ', p, '}}') AS index_params
-           FROM (VALUES (1000, 20), (1000, 40), (1000, 100), (2000, 40), (2000, 100), (2000, 500), (4000, 100), (4000, 250),
-                        (4000, 500), (4000, 1000)) AS c(n, p), (VALUES ('Flat'), ('SQ8'), ('PQ10')) AS s(s))
-SELECT l AS segment_lenght, o AS segment_overlap, feature, vector_operation, metric_type, vote_type, neighbors, index_params, {WORK_SQL}
-FROM (VALUES (10, 'all')) AS g(l, o), (VALUES ('pe-mfcc_40')) AS f(feature), (VALUES ('mean'), ('mean_iqr25')) AS v(vector_operation),
-     (VALUES ('cosine'), ('correlation')) AS m(metric_type), (VALUES ('uniform')) AS w(vote_type),
-     (VALUES (15), (20)) AS n(neighbors), p""")
-def index_grid(t: Tables) -> DataFrame:
-    return _with_workload(t, grids.index_grid(t.spark, grids.cell_params()))
-
-
-@query("g6_stored_grid", f"""
-WITH x AS (SELECT * FROM (VALUES ('FLAT', '{{}}'), ('IVF_FLAT', '{{''nlist'': 64}}'), ('IVF_FLAT', '{{''nlist'': 128}}'),
-  ('IVF_FLAT', '{{''nlist'': 256}}'),
-  ('IVF_PQ', '{{''nlist'': 64, ''m'': 1, ''nbits'': 8}}'), ('IVF_PQ', '{{''nlist'': 64, ''m'': 10, ''nbits'': 8}}'),
-  ('IVF_PQ', '{{''nlist'': 128, ''m'': 1, ''nbits'': 16}}'), ('IVF_PQ', '{{''nlist'': 128, ''m'': 10, ''nbits'': 16}}'),
-  ('IVF_SQ8', '{{''nlist'': 64, ''m'': 1, ''nbits'': 8}}'), ('IVF_SQ8', '{{''nlist'': 64, ''m'': 10, ''nbits'': 8}}'),
-  ('IVF_SQ8', '{{''nlist'': 128, ''m'': 1, ''nbits'': 16}}'), ('IVF_SQ8', '{{''nlist'': 128, ''m'': 8, ''nbits'': 16}}'),
-  ('IVF_SQ8', '{{''nlist'': 128, ''m'': 16, ''nbits'': 16}}'),
-  ('HNSW', '{{''M'': 16, ''efConstruction'': 200}}'), ('HNSW', '{{''M'': 32, ''efConstruction'': 200}}'),
-  ('HNSW', '{{''M'': 64, ''efConstruction'': 200}}'), ('HNSW', '{{''M'': 16, ''efConstruction'': 400}}'),
-  ('HNSW', '{{''M'': 32, ''efConstruction'': 400}}'), ('HNSW', '{{''M'': 64, ''efConstruction'': 400}}')) AS x(index_type, index_params))
-SELECT l AS segment_lenght, o AS segment_overlap, balanced_type, feature, vector_operation, metric_type, index_type, index_params, {WORK_SQL}
-FROM (VALUES (2, '0'), (2, '1'), (5, '0'), (5, '2'), (10, '0'), (10, '5')) AS g(l, o), (VALUES (1), (2)) AS b(balanced_type),
-     (VALUES ('mfcc_20'), ('mfcc_30'), ('mfcc_40'), ('mfcc_50')) AS f(feature),
-     (VALUES ('mean'), ('mean_iqr15'), ('mean_iqr')) AS v(vector_operation), (VALUES ('L2'), ('COSINE')) AS m(metric_type), x""")
-def stored_grid(t: Tables) -> DataFrame:
-    return _with_workload(t, grids.stored_grid(t.spark))
-
-
 # ---------------------------------------------------------------- joins
 
 
@@ -803,35 +712,38 @@ def measure_means(t: Tables) -> DataFrame:
 
 
 @query("w2_changed_scores", """
-WITH e AS (SELECT event_id, floor(value) AS score FROM events),
-p AS (SELECT *, lag(score, 1, 0) OVER (ORDER BY score DESC, event_id) AS previous FROM e)
+WITH e AS (SELECT event_id, CASE WHEN event_id % 97 <> 0 THEN floor(value) END AS score FROM events),
+p AS (SELECT *, coalesce(lag(score) OVER (ORDER BY score DESC NULLS FIRST, event_id), 0) AS previous FROM e)
 SELECT event_id, score::BIGINT AS score FROM p WHERE score IS DISTINCT FROM previous""")
 def changed_scores(t: Tables) -> DataFrame:
-    scored = t.events.select("event_id", F.floor("value").alias("score"))
+    scored = t.events.select("event_id", F.when(F.col("event_id") % 97 != 0, F.floor("value")).alias("score"))
     return ranking.drop_unchanged(scored, "score", "event_id")
 
 
 @query("w4_every_nth", """
-SELECT event_id, strftime(ts, '%d %b %H:%M') AS tick FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events)
+SELECT event_id, strftime(ts, '%d %b %H:%M') AS tick FROM (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN ts END AS ts,
+  row_number() OVER (ORDER BY CASE WHEN event_id % 7 <> 0 THEN ts END NULLS FIRST, event_id) AS rn FROM events)
 WHERE (rn - 1) % 70 = 0""")
 def every_nth(t: Tables) -> DataFrame:
-    return ranking.every_nth(t.events, "ts", "event_id", 70).select("event_id", prep.tick_label(F.col("ts")).alias("tick"))
+    events = t.events.withColumn("ts", F.when(F.col("event_id") % 7 != 0, F.col("ts")))
+    return ranking.every_nth(events, "ts", "event_id", 70).select("event_id", prep.tick_label(F.col("ts")).alias("tick"))
 
 
-@query("t1_sorted", "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey")
+@query("t1_sorted", "SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS ordinal FROM part")
 def sorted_rows(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", "p_name").orderBy("p_name", "p_partkey")
+    return ranking.with_ordinal(t.part.select("p_partkey", "p_name"), "p_name", "p_partkey")
 
 
 @query("t2_sorted_results", """
-SELECT o_orderkey, o_totalprice AS accuracy, o_orderpriority AS feature, o_orderstatus AS vector_operation FROM orders
-ORDER BY accuracy DESC, feature, vector_operation""")
+WITH r AS (SELECT o_orderkey, round(o_totalprice / 1000) AS accuracy, o_orderpriority AS feature, o_orderstatus AS vector_operation FROM orders)
+SELECT *, row_number() OVER (ORDER BY accuracy DESC, feature, vector_operation, o_orderkey) - 1 AS ordinal FROM r""")
 def sorted_results(t: Tables) -> DataFrame:
     rows = t.orders.select(
-        "o_orderkey", F.col("o_totalprice").alias("accuracy"), F.col("o_orderpriority").alias("feature"),
+        "o_orderkey", F.round(F.col("o_totalprice") / 1000).alias("accuracy"), F.col("o_orderpriority").alias("feature"),
         F.col("o_orderstatus").alias("vector_operation"),
     )
-    return reports.sorted_results(rows)
+    rows = reports.sorted_results(rows).withColumn("ties", F.struct("feature", "vector_operation", "o_orderkey"))
+    return ranking.with_ordinal(rows, "accuracy", "ties", descending=True).drop("ties")
 
 
 @query("t3_best_rows", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
@@ -863,12 +775,12 @@ def all_overlaps(t: Tables) -> DataFrame:
 
 @query("u3_stacked_arrays", """
 SELECT vec_id, len(v) AS n, round(list_sum(v) + 1e-9, 6) AS total
-FROM (SELECT vec_id, list_concat(embedding::DOUBLE[], list_slice(embedding::DOUBLE[], 1, 8)) AS v FROM embeddings)""")
+FROM (SELECT vec_id, list_concat(embedding::DOUBLE[], list_transform(embedding::DOUBLE[], lambda x: abs(x))) AS v FROM embeddings)""")
 def stacked_arrays(t: Tables) -> DataFrame:
     from vecflow.functions.vectors import combine
 
     v = doubles(F.col("embedding"))
-    stacked = t.embeddings.select("vec_id", combine(v, F.slice(v, 1, 8)).alias("v"))
+    stacked = t.embeddings.select("vec_id", combine(v, F.transform(v, F.abs)).alias("v"))
     return stacked.select("vec_id", F.size("v").alias("n"), r6(array_sum(F.col("v"))).alias("total"))
 
 

@@ -10,7 +10,7 @@ NO_LABEL = np.iinfo(np.int64).min
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """An Arrow list column as a dense (rows, dim) matrix; ragged or null input is an error."""
+    """An Arrow list column as a dense (rows, dim) matrix; ragged, null or not finite input is an error."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
@@ -21,7 +21,10 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
         return np.zeros((0, 0))
     if len(flat) % rows or len(set(np.asarray(column.value_lengths()).tolist())) != 1:
         raise ValueError("vectors of different size")
-    return np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(rows, -1)
+    dense = np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(rows, -1)
+    if pa.types.is_floating(flat.type) and not np.isfinite(dense).all():
+        raise ValueError("vector element that is not a finite number")
+    return dense
 
 
 def prepared(x: np.ndarray, metric: str) -> np.ndarray:

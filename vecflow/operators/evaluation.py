@@ -17,7 +17,8 @@ def counted_pairs(df: DataFrame, y: str, y_hat: str, keys: Sequence[str] = ()) -
 
 
 def accuracy(df: DataFrame, y: str, y_hat: str, keys: Sequence[str] = ()) -> DataFrame:
-    hit = (F.col(y) == F.col(y_hat)).cast("double")
+    """Share of right predictions among all ``n`` rows; a missing prediction or truth is a miss."""
+    hit = F.coalesce(F.col(y) == F.col(y_hat), F.lit(False)).cast("double")
     return df.groupBy(*keys).agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 

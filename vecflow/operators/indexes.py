@@ -1,14 +1,14 @@
-"""Approximate search: compressed vectors, inverted cells and neighbour graphs.
+"""Approximate search: compressed vectors and inverted cells.
 
 An index is a DataFrame of stored rows plus a few small parameters (cell centres,
 codebooks, per-dimension ranges) whose size does not depend on the number of rows.
 Building and searching are Spark jobs; only those parameters come to the driver.
+Rows with cells are stored in one folder per cell, and a search reads the folders it asks for.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
@@ -17,24 +17,23 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vecflow.functions.vectors import dimension, distance, metric_name, prepare, sq8_encode
+from vecflow.functions.vectors import dimension, metric_name, prepare, sq8_encode
 from vecflow.operators.blocks import matrix, rough
-from vecflow.operators.neighbors import exact_topk, keyed_topk, rank_hits
+from vecflow.operators.neighbors import exact_topk, keyed_topk
 from vecflow.operators.scaling import fit_minmax
-from vecflow.session import shared_dir
+from vecflow.session import scratch_path, shared_dir
 
-ROWS_PER_CENTRE = 256  # rows looked at per centre when fitting centres, as in published practice
+DISTANCES_AT_ONCE = 4_000_000
 
 
 @dataclass(frozen=True)
 class IndexSpec:
-    """Storage and search structure read from a text like ``IVF1000,SQ8`` or ``HNSW50,PQ10``."""
+    """Storage and search structure read from a text like ``IVF1000,SQ8``."""
 
     storage: str = "flat"
     cells: int = 0
-    degree: int = 0
     parts: int = 0
 
 
@@ -42,10 +41,11 @@ def parse_spec(text: str) -> IndexSpec:
     *structure, storage = text.split(",")
     spec = IndexSpec()
     for part in structure:
-        found = re.fullmatch(r"(IVF|HNSW)(\d+)", part)
+        found = re.fullmatch(r"IVF([1-9]\d*)", part)
         if not found or len(structure) > 1:
-            raise ValueError(f"unknown index {text!r}")
-        spec = replace(spec, **{"cells" if found[1] == "IVF" else "degree": int(found[2])})
+            kind = "graph indexes are not built here" if part.startswith("HNSW") else "unknown index"
+            raise ValueError(f"{kind}: unknown index {text!r}")
+        spec = replace(spec, cells=int(found[1]))
     if storage == "Flat":
         return spec
     if storage == "SQ8":
@@ -69,7 +69,6 @@ class Index:
     low: list = field(default_factory=list)
     high: list = field(default_factory=list)
     codebooks: list = field(default_factory=list)
-    edges: DataFrame | None = None
 
     @property
     def angular(self) -> bool:
@@ -89,15 +88,10 @@ class Index:
 
 
 def fit_centres(df: DataFrame, vector: Column, count: int, n_rows: int, seed: int = 42, iterations: int = 10) -> list:
-    """k-means centres; on a large table fitted on a hash sample of ``ROWS_PER_CENTRE`` rows per centre.
-
-    The sample only places the centres; every row is then assigned to one.
-    """
+    """k-means centres of all rows."""
     if count > n_rows:
         raise ValueError(f"{count} centres need at least as many rows, got {n_rows}")
-    every = n_rows // max(1, ROWS_PER_CENTRE * count)
-    chosen = df.where(F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(every)) == 0) if every > 1 else df
-    rows = chosen.select(array_to_vector(vector).alias("features"))
+    rows = df.select(array_to_vector(vector).alias("features"))
     model = KMeans(k=count, seed=seed, maxIter=iterations).fit(rows)
     return [c.tolist() for c in model.clusterCenters()]
 
@@ -125,7 +119,13 @@ def with_centres(df: DataFrame, centres: list, count: int, out: str = "probes")
     table = np.array(centres)
 
     def probe(vectors: np.ndarray) -> np.ndarray:
-        return np.argsort(rough(vectors, table, "l2"), axis=1, kind="stable")[:, :count].astype(np.int32)
+        step = max(1, DISTANCES_AT_ONCE // len(table))
+        return np.vstack([nearest(rough(vectors[at : at + step], table, "l2")) for at in range(0, len(vectors), step)]).astype(np.int32)
+
+    def nearest(distances: np.ndarray) -> np.ndarray:
+        few = np.sort(np.argpartition(distances, count - 1, axis=1)[:, :count], axis=1)
+        order = np.argsort(np.take_along_axis(distances, few, axis=1), axis=1, kind="stable")
+        return np.take_along_axis(few, order, axis=1)
 
     return append_column(df, "vector", out, "int", probe)
 
@@ -139,6 +139,11 @@ def half_codes(vectors: np.ndarray) -> np.ndarray:
     return vectors.astype(np.float16).view(np.int16)
 
 
+def code_type(entries: int) -> tuple[str, type]:
+    """The smallest signed column and array type for codes below ``entries``."""
+    return ("smallint", np.int16) if entries <= 1 << 15 else ("int", np.int32)
+
+
 def product_coder(codebooks: list) -> Callable[[np.ndarray], np.ndarray]:
     """Per sub-space the number of the nearest codebook entry."""
     books = [np.array(b) for b in codebooks]
@@ -147,7 +152,7 @@ def product_coder(codebooks: list) -> Callable[[np.ndarray], np.ndarray]:
     def encode(vectors: np.ndarray) -> np.ndarray:
         parts = [vectors[:, j * width : (j + 1) * width] for j in range(len(books))]
         codes = [rough(p, b, "l2").argmin(axis=1) for p, b in zip(parts, books)]
-        return np.stack(codes, axis=1).astype(np.int16)
+        return np.stack(codes, axis=1).astype(code_type(max(map(len, books)))[1])
 
     return encode
 
@@ -157,20 +162,23 @@ def build_index(
     spec: IndexSpec | str,
     metric: str = "cosine",
     nbits: int = 8,
-    ef_construction: int = 300,
     seed: int = 42,
 ) -> Index:
-    """Trains and fills an index from train rows ``(id, vector, label)``."""
+    """Trains and fills an index from train rows ``(id, vector, label)``.
+
+    Centres and codebooks are fitted on all rows, which are prepared and stored once for all fits.
+    """
     spec = parse_spec(spec) if isinstance(spec, str) else spec
     metric = metric_name(metric)
     rows = train.select("id", prepare(F.col("vector"), metric).alias("vector"), "label")
     index = Index(metric, spec, rows)
-    n_rows = train.count()
+    if spec.cells or spec.storage == "pq":
+        shared_dir(rows.sparkSession)
+        rows = rows.checkpoint()
+    n_rows = rows.count()
     if spec.cells:
         index.centres = fit_centres(rows, F.col("vector"), spec.cells, n_rows, seed)
         rows = with_cell(rows, index.centres)
-    if spec.degree:
-        index.edges, index.centres = build_graph(rows, spec.degree, metric, ef_construction, n_rows, seed)
     if spec.storage == "sq8":
         ends = fit_minmax(rows, "vector").first()
         index.low, index.high = list(ends["low"]), list(ends["high"])
@@ -180,18 +188,28 @@ def build_index(
         rows = append_column(rows, "vector", "vector", "smallint", half_codes)
     elif spec.storage == "pq":
         index.codebooks = fit_codebooks(rows, spec.parts, nbits, n_rows, seed)
-        rows = append_column(rows, "vector", "vector", "smallint", product_coder(index.codebooks))
-    if spec.cells or spec.storage != "flat":
+        rows = append_column(rows, "vector", "vector", code_type(2**nbits)[0], product_coder(index.codebooks))
+    if spec.cells:
+        rows = _by_cell(rows, scratch_path(rows.sparkSession, "cells"))
+    elif spec.storage != "flat":
         shared_dir(rows.sparkSession)
         rows = rows.checkpoint()  # encoded once, however often it is searched
     index.rows = rows
     return index
 
 
+def _by_cell(rows: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
+    """Rows stored in one folder per cell; a large cell is written by several tasks."""
+    rows.hint("rebalance", "cell").write.mode(mode).partitionBy("cell").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def fit_codebooks(rows: DataFrame, parts: int, nbits: int, n_rows: int, seed: int) -> list:
     dim = dimension(rows, "vector")
     if parts < 1 or dim % parts:
         raise ValueError(f"{parts} parts do not divide dimension {dim}")
+    if not 1 <= nbits <= 24:
+        raise ValueError(f"codes have 1 to 24 bits, got {nbits}")
     width, entries = dim // parts, 2**nbits
     if entries > n_rows:
         raise ValueError(f"a codebook of {entries} entries needs as many rows, got {n_rows}")
@@ -201,109 +219,33 @@ def fit_codebooks(rows: DataFrame, parts: int, nbits: int, n_rows: int, seed: in
     ]
 
 
-def search_index(index: Index, queries: DataFrame, k: int, nprobe: int = 1, ef_search: int = 50) -> DataFrame:
-    """Top k of every query: ``(query_id, rank, neighbor_id, distance, label)``."""
+def search_index(index: Index, queries: DataFrame, k: int, nprobe: int = 1) -> DataFrame:
+    """Top k of every query: ``(query_id, rank, neighbor_id, distance, label)``.
+
+    An inverted search reads the cells that some query asks for; their numbers, at most one per centre, are what comes
+    to the driver.
+    """
     asked = queries.select("id", prepare(F.col("vector"), index.metric).alias("vector"))
     # angular metrics search prepared vectors by inner product, so codes are not rescaled
     metric = "inner_product" if index.angular else index.metric
     decode = index.decoder()
-    if index.edges is not None:
-        hits = beam_search(index, asked, k, max(ef_search, k), metric)
-    elif index.centres:
+    if index.centres:
+        if nprobe < 1:
+            raise ValueError("nprobe must be at least 1")
         probed = min(nprobe, len(index.centres))
         aimed = with_centres(asked, index.centres, probed).withColumn("cell", F.explode("probes")).drop("probes")
-        hits = keyed_topk(aimed, index.rows, k, metric, decode)
+        hits = keyed_topk(aimed, _cells(index, aimed, probed), k, metric, decode)
     else:
         hits = exact_topk(asked, index.rows, k, metric, decode=decode)
     return hits.withColumn("distance", F.col("distance") + 1.0) if index.angular else hits
 
 
-# ---------------------------------------------------------------- neighbour graph
-
-
-def build_graph(rows: DataFrame, degree: int, metric: str, ef_construction: int, n_rows: int, seed: int):
-    """Edges ``(node, neighbors)`` of an approximate neighbour graph, and its entry centres.
-
-    Each row is linked to its nearest rows among the cells that hold about
-    ``ef_construction`` rows around it; links count in both directions and a node keeps its
-    2 * degree nearest. No step writes out the pairs of a cell, and a node that many
-    others point to is cut by the top-k before its links are gathered.
-    """
-    cells = max(1, min(int(math.sqrt(n_rows)), n_rows))
-    centres = fit_centres(rows, F.col("vector"), cells, n_rows, seed)
-    placed = with_centres(rows, centres, _probes(ef_construction, cells, n_rows))
-    members = placed.withColumn("cell", F.get("probes", F.lit(0)))
-    asked = placed.withColumn("cell", F.explode("probes"))
-    links = keyed_topk(asked, members, degree, metric, skip_same=True)
-    out = links.select(F.col("query_id").alias("node"), F.col("neighbor_id").alias("near"), "distance")
-    both = out.unionAll(out.select(F.col("near").alias("node"), F.col("node").alias("near"), "distance"))
-    unique = both.groupBy("node", "near").agg(F.min("distance").alias("distance"))
-    order = Window.partitionBy("node").orderBy("distance", "near")
-    kept = unique.withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2 * degree)
-    edges = kept.groupBy("node").agg(F.sort_array(F.collect_list("near")).alias("neighbors"))
-    return edges, centres
-
-
-def _probes(ef_construction: int, cells: int, n_rows: int) -> int:
-    return min(cells, 1 + math.ceil(ef_construction * cells / n_rows))
-
-
-def _entries(index: Index, nodes: DataFrame) -> DataFrame:
-    """For each entry centre the row nearest to it."""
-    spark = nodes.sparkSession
-    centres = spark.createDataFrame([(i, c) for i, c in enumerate(index.centres)], "cell int, centre array<double>")
-    near = with_cell(nodes, index.centres).join(F.broadcast(centres), "cell").withColumn("d", distance(F.col("vector"), F.col("centre"), "l2"))
-    return near.groupBy("cell").agg(F.min_by("id", F.struct("d", "id")).alias("node"))
-
-
-def beam_search(index: Index, queries: DataFrame, k: int, ef: int, metric: str, entries: int = 4) -> DataFrame:
-    """Search along the graph with a pool of the ``ef`` best rows per query.
-
-    Each round expands every pool row not expanded yet, measures the rows it links to and
-    keeps the best ``ef``; it ends when a round leaves nothing to expand. The pool
-    is checkpointed each round, which cuts the lineage and survives a lost executor.
-    """
-    spark = queries.sparkSession
-    shared_dir(spark)
-    decode = index.decoder()
-    nodes = _decoded(index.rows, decode).checkpoint()
-    edges = index.edges.checkpoint()
-    aimed = with_centres(queries.select("id", "vector"), index.centres, min(entries, len(index.centres))).checkpoint()
-    asked = aimed.select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
-    probes = aimed.select(F.col("id").alias("query_id"), F.explode("probes").alias("cell"))
-    start = probes.join(F.broadcast(_entries(index, nodes)), "cell").select("query_id", "node")
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        target = nodes.select(F.col("id").alias("node"), "vector", "label")
-        score = distance(F.col("query"), F.col("vector"), metric)
-        return pairs.join(target, "node").join(asked, "query_id").select(
-            "query_id", "node", score.alias("distance"), "label", F.lit(False).alias("expanded")
-        )
-
-    order = Window.partitionBy("query_id").orderBy("distance", "node")
-
-    def best(pool: DataFrame) -> DataFrame:
-        return pool.withColumn("n", F.row_number().over(order)).where(F.col("n") <= ef).drop("n").checkpoint()
-
-    pool = best(measured(start))
-    while True:
-        frontier = pool.where(~F.col("expanded"))
-        if frontier.isEmpty():
-            break
-        reached = (
-            frontier.join(edges, "node")
-            .select("query_id", F.explode("neighbors").alias("node"))
-            .distinct()
-            .join(pool, ["query_id", "node"], "left_anti")
-        )
-        pool = best(pool.withColumn("expanded", F.lit(True)).unionByName(measured(reached)))
-    return rank_hits(pool.select("query_id", F.col("node").alias("neighbor_id"), "distance", "label"), k)
-
-
-def _decoded(rows: DataFrame, decode) -> DataFrame:
-    if decode is None:
-        return rows.select("id", "vector", "label")
-    return append_column(rows.select("id", "vector", "label"), "vector", "vector", "double", decode)
+def _cells(index: Index, aimed: DataFrame, probed: int) -> DataFrame:
+    """The stored rows of the cells asked for."""
+    if probed == len(index.centres):
+        return index.rows
+    wanted = sorted(r["cell"] for r in aimed.select("cell").distinct().collect())
+    return index.rows.where(F.col("cell").isin(wanted))
 
 
 # ---------------------------------------------------------------- saved indexes
@@ -312,24 +254,23 @@ def _decoded(rows: DataFrame, decode) -> DataFrame:
 def save_index(index: Index, path: str) -> None:
     """Writes the rows and then, last, the parameters; a folder without parameters is not an index."""
     spark = index.rows.sparkSession
-    index.rows.write.mode("overwrite").parquet(f"{path}/rows")
-    if index.edges is not None:
-        index.edges.write.mode("overwrite").parquet(f"{path}/edges")
+    if index.centres:
+        _by_cell(index.rows, f"{path}/rows", "overwrite")
+    else:
+        index.rows.write.mode("overwrite").parquet(f"{path}/rows")
     spec = index.spec
     parameters = {
-        "metric": index.metric, "storage": spec.storage, "cells": spec.cells, "degree": spec.degree,
-        "parts": spec.parts, "centres": index.centres, "low": index.low, "high": index.high,
-        "codebooks": index.codebooks,
+        "metric": index.metric, "storage": spec.storage, "cells": spec.cells, "parts": spec.parts,
+        "centres": index.centres, "low": index.low, "high": index.high, "codebooks": index.codebooks,
     }
     spark.createDataFrame([(json.dumps(parameters),)], "value string").write.mode("overwrite").text(f"{path}/parameters")
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
     p = json.loads(spark.read.text(f"{path}/parameters").first()[0])
-    spec = IndexSpec(p["storage"], p["cells"], p["degree"], p["parts"])
-    edges = spark.read.parquet(f"{path}/edges") if spec.degree else None
+    spec = IndexSpec(p["storage"], p["cells"], p["parts"])
     rows = spark.read.parquet(f"{path}/rows")
-    return Index(p["metric"], spec, rows, p["centres"], p["low"], p["high"], p["codebooks"], edges)
+    return Index(p["metric"], spec, rows, p["centres"], p["low"], p["high"], p["codebooks"])
 
 
 def cached_index(train: DataFrame, spec: str, metric: str, root: str, key: str, **options) -> Index:

@@ -207,6 +207,7 @@ def keyed_topk(
     n_train = train.groupBy("cell").agg(F.count(F.lit(1)).alias("n_train"))
     n_query = queries.groupBy("cell").agg(F.count(F.lit(1)).alias("n_query"))
     layout = n_train.join(n_query, "cell").select("cell", shards("n_query").alias("q_shards"), shards("n_train").alias("t_shards"))
+    layout = F.broadcast(layout)  # one row per cell
     left, right = _meet(queries.join(layout, "cell"), train.join(layout, "cell"))
     return rank_hits(cell_search(left, right, CELL, k, metric, skip_same, decode), k)
 

@@ -138,7 +138,9 @@ def files_by_prefix(metadata: DataFrame, files: DataFrame, prefix_column: str, n
     An equi-join: a file offers its prefix of every length in use (there are few
     lengths), instead of testing every pair.
     """
-    lengths = [r[0] for r in metadata.select(F.length(prefix_column)).distinct().collect() if r[0]]
+    lengths = [r[0] for r in metadata.select(F.length(prefix_column)).distinct().collect() if r[0] is not None]
+    if 0 in lengths:
+        raise ValueError("an empty prefix matches every file")
     offered = files.select(
         "*", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)]).cast("array<int>")).alias("prefix_length")
     ).withColumn("offered_prefix", F.expr(f"substring({name}, 1, prefix_length)"))

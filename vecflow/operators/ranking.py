@@ -13,33 +13,25 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import TimestampNTZType
-
-ROWS_PER_RANGE = 500_000
-MAX_RANGES = 1024
 
+from vecflow.session import shared_dir
 
-def sort_number(df: DataFrame, column: str) -> Column:
-    """A number or time as a double that sorts the same way."""
-    if df.schema[column].dataType == TimestampNTZType():
-        day = F.unix_date(F.to_date(column)).cast("double")
-        return day * 86400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.date_part(F.lit("SECOND"), F.col(column)).cast("double")
-    return F.col(column).cast("double")
+ROWS_PER_RANGE = 500_000
 
 
 def range_bounds(df: DataFrame, value: str, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
     """Cut points for ranges of about ``rows_per_range`` rows; none for a small table.
 
     The cut points only steer the partitioning, so an approximate percentile will do;
-    at most ``MAX_RANGES`` numbers reach the driver.
+    one number per range reaches the driver.
     """
     number = F.col(value).cast("double")
     total = df.select(F.count(number)).first()[0]
-    ranges = min(MAX_RANGES, math.ceil(total / rows_per_range))
+    ranges = math.ceil(total / rows_per_range)
     if ranges <= 1:
         return []
     points = [i / ranges for i in range(1, ranges)]
-    found = df.select(F.percentile_approx(number, points, 10_000)).first()[0] or []
+    found = df.select(F.percentile_approx(number, points, max(10_000, 10 * ranges))).first()[0] or []
     return sorted(set(found))
 
 
@@ -109,31 +101,29 @@ def exact_quantiles(
     return ranked.groupBy(*keys).agg(*found).select(*keys, F.array(*points).alias(out))
 
 
-def _sort_ranges(df: DataFrame, value: str, tie: str, descending: bool, rows_per_range: int) -> tuple[DataFrame, bool]:
-    """Adds sort_key, and range columns r1, r2, r3 whose order is the order of the rows.
+def _in_order(df: DataFrame, value: str, tie: str, descending: bool) -> DataFrame:
+    """The stored rows in the order (value, tie), nulls first, with ``r_part`` (a range of the order) and ``r_at`` (a place in it).
 
-    Also tells whether there is more than one range; a small table gets no range columns.
-    Rows that equal a cut point form a range of their own (r2 = 0); such a range can be
-    hot and is cut again by the tie column (r3).
+    Spark's own range partitioning cuts the typed columns, so nulls, texts and numbers of any size keep their order; the
+    table is stored because a range must not change between the jobs that read it.
     """
-    key = sort_number(df, value)
-    keyed = df.withColumn("sort_key", -key if descending else key)
-    bounds = range_bounds(keyed, "sort_key", rows_per_range)
-    if not bounds:
-        return keyed, False
-    ranged = with_range(keyed, "sort_key", bounds, "r1")
-    cuts = F.array(*[F.lit(b) for b in bounds])
-    lower = F.when(F.col("r1") > 0, F.element_at(cuts, F.greatest(F.col("r1"), F.lit(1))))
-    ranged = ranged.withColumn("r2", F.when(F.col("sort_key") == lower, F.lit(0)).otherwise(F.lit(1)))
-    tied = with_range(ranged, tie, range_bounds(keyed, tie, rows_per_range), "r3")
-    return tied.withColumn("r3", F.when(F.col("r2") == 0, F.col("r3")).otherwise(F.lit(0))), True
+    shared_dir(df.sparkSession)
+    first = F.col(value).desc_nulls_first() if descending else F.col(value).asc_nulls_first()
+    placed = df.orderBy(first, F.col(tie).asc_nulls_first()).withColumn("r_at", F.monotonically_increasing_id()).checkpoint()
+    return placed.withColumns({"r_part": F.shiftright("r_at", 33), "r_at": F.col("r_at").bitwiseAND(F.lit((1 << 33) - 1))})
+
 
+def _small(df: DataFrame, rows_per_range: int) -> bool:
+    return df.limit(rows_per_range + 1).count() <= rows_per_range
 
-RANGE = ["r1", "r2", "r3"]
+
+def _window(value: str, tie: str, descending: bool) -> Window:
+    first = F.col(value).desc_nulls_first() if descending else F.col(value).asc_nulls_first()
+    return Window.orderBy(first, F.col(tie).asc_nulls_first())
 
 
 # In the functions below a window without a partition only ever sees a table of at most
-# rows_per_range rows, or one row per range.
+# rows_per_range rows, or one row per partition of the sorted table.
 
 
 def with_ordinal(
@@ -144,21 +134,15 @@ def with_ordinal(
     out: str = "ordinal",
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Adds the 0-based position of each row in the order (value, tie) of the whole table."""
-    ranged, several = _sort_ranges(df, value, tie, descending, rows_per_range)
-    if not several:
-        position = F.row_number().over(Window.orderBy("sort_key", tie)) - 1
-        return ranged.withColumn(out, position.cast("bigint")).drop("sort_key")
-    # at most three times MAX_RANGES rows go through this one-partition window
-    sizes = ranged.groupBy(*RANGE).agg(F.count(F.lit(1)).alias("r_size"))
-    before = F.sum("r_size").over(Window.orderBy(*RANGE).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(*RANGE, F.coalesce(before, F.lit(0)).alias("r_before"))
-    position = F.row_number().over(Window.partitionBy(*RANGE).orderBy("sort_key", tie))
-    return (
-        ranged.join(F.broadcast(offsets), RANGE)
-        .withColumn(out, (F.col("r_before") + position - 1).cast("bigint"))
-        .drop("sort_key", "r_before", *RANGE)
-    )
+    """Adds the 0-based position of each row in the order (value, tie) of the whole table, nulls first."""
+    if _small(df, rows_per_range):
+        position = F.row_number().over(_window(value, tie, descending)) - 1
+        return df.withColumn(out, position.cast("bigint"))
+    ordered = _in_order(df, value, tie, descending)
+    sizes = ordered.groupBy("r_part").agg(F.count(F.lit(1)).alias("size"))
+    before = F.sum("size").over(Window.orderBy("r_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("r_part", F.coalesce(before, F.lit(0)).alias("before"))
+    return ordered.join(F.broadcast(offsets), "r_part").withColumn(out, F.col("before") + F.col("r_at")).select(*df.columns, out)
 
 
 def with_previous(
@@ -169,18 +153,15 @@ def with_previous(
     out: str = "previous",
     rows_per_range: int = ROWS_PER_RANGE,
 ) -> DataFrame:
-    """Adds the value of the row before in the order (value, tie); null for the first row."""
-    ranged, several = _sort_ranges(df, value, tie, descending, rows_per_range)
-    if not several:
-        return ranged.withColumn(out, F.lag(value).over(Window.orderBy("sort_key", tie))).drop("sort_key")
-    last = ranged.groupBy(*RANGE).agg(F.max_by(F.col(value), F.struct("sort_key", tie)).alias("r_last"))
-    carried = last.select(*RANGE, F.lag("r_last").over(Window.orderBy(*RANGE)).alias("r_carried"))
-    inside = F.lag(value).over(Window.partitionBy(*RANGE).orderBy("sort_key", tie))
-    return (
-        ranged.join(F.broadcast(carried), RANGE)
-        .withColumn(out, F.coalesce(inside, F.col("r_carried")))
-        .drop("sort_key", "r_carried", *RANGE)
-    )
+    """Adds the value of the row before in the order (value, tie), nulls first; null for the first row."""
+    if _small(df, rows_per_range):
+        return df.withColumn(out, F.lag(value).over(_window(value, tie, descending)))
+    ordered = _in_order(df, value, tie, descending)
+    last = ordered.groupBy("r_part").agg(F.max_by(F.struct(F.col(value).alias("v")), "r_at").alias("last"))
+    carried = last.select("r_part", F.lag("last").over(Window.orderBy("r_part"))["v"].alias("carried"))
+    inside = F.lag(value).over(Window.partitionBy("r_part").orderBy("r_at"))
+    found = ordered.join(F.broadcast(carried), "r_part").withColumn(out, F.when(F.col("r_at") == 0, F.col("carried")).otherwise(inside))
+    return found.select(*df.columns, out)
 
 
 def drop_unchanged(
@@ -188,10 +169,11 @@ def drop_unchanged(
 ) -> DataFrame:
     """Keeps a row of a sorted report only where its score differs from the row before.
 
-    The first row is compared with 0, so a leading score of 0 is dropped too.
+    The first row is compared with 0, so a leading score of 0 is dropped too. Rows without a score come first, differ
+    from any other and are all kept.
     """
     marked = with_previous(df, value, tie, descending, "previous_score", rows_per_range)
-    changed = ~F.col(value).eqNullSafe(F.coalesce(F.col("previous_score"), F.lit(0)))
+    changed = F.col(value).isNull() | (F.col(value) != F.coalesce(F.col("previous_score"), F.lit(0)))
     return marked.where(changed).drop("previous_score")
 
 

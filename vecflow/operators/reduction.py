@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vecflow.functions.vectors import let, mean, std_pop
+from vecflow.functions.joins import null_safe_join
 from vecflow.operators.ranking import ROWS_PER_RANGE, exact_quantiles
 
 # Reductions by name: (percent of the outlier filter or None, number of splits). Fixed values.
@@ -140,7 +141,7 @@ def grouped_iqr_mean(
     found = exact_quantiles(df, keys, value, [percent / 100, 1 - percent / 100], "q", rows_per_range)
     low, high = iqr_bounds(F.get("q", F.lit(0)), F.get("q", F.lit(1)))
     bounds = found.select(*keys, low.alias("low"), high.alias("high"))
-    kept = df.join(bounds, list(keys)).where(F.col(value).between(F.col("low"), F.col("high")))
+    kept = null_safe_join(df, bounds, list(keys)).where(F.col(value).between(F.col("low"), F.col("high")))
     return kept.groupBy(*keys).agg(F.avg(value).alias("iqr_mean"), F.count(F.lit(1)).alias("kept"))
 
 

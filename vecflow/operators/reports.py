@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vecflow.operators.ranking import ROWS_PER_RANGE, drop_unchanged, top_n
+from vecflow.operators.ranking import top_n
 
 # Order of a result report when the caller gives none (fixed values).
 REPORT_ORDER = [("accuracy", False), ("feature", True), ("vector_operation", True)]
@@ -25,14 +25,14 @@ def best_configurations(df: DataFrame, n: int, measure: str, tie: str) -> DataFr
 
 
 def value_shares(df: DataFrame, field: str, measure: str, tie: str, n_top1: int, n_top2: int) -> DataFrame:
-    """Counts and shares of a field's values among all rows and the two best subsets."""
+    """Counts and shares of a field's values, null left out, among all rows and the two best subsets."""
     valid = df.dropna(subset=[measure])
     chosen = valid.select(field, measure, tie)
     best2 = top_n(chosen, n_top2, F.col(measure).desc(), F.col(tie))
     best1 = top_n(chosen, n_top1, F.col(measure).desc(), F.col(tie))
 
     def counted(rows: DataFrame, subset: str) -> DataFrame:
-        return rows.groupBy(F.col(field).alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("subset", F.lit(subset))
+        return rows.where(F.col(field).isNotNull()).groupBy(F.col(field).alias("value")).agg(F.count(F.lit(1)).alias("n")).withColumn("subset", F.lit(subset))
 
     counts = counted(chosen, "all").unionByName(counted(best2, "top2")).unionByName(counted(best1, "top1"))
     # one row per value and subset is left here
@@ -44,8 +44,8 @@ def value_shares(df: DataFrame, field: str, measure: str, tie: str, n_top1: int,
 
 
 def two_level_counts(df: DataFrame, outer: str, inner: str) -> DataFrame:
-    """Counts per (outer, inner) and totals per outer; a total has a null inner value."""
-    rolled = df.rollup(outer, inner).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
+    """Counts per (outer, inner), nulls left out, and totals per outer; a total has a null inner value."""
+    rolled = df.dropna(subset=[outer, inner]).rollup(outer, inner).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
     return rolled.where(F.col("level") < 3).select(outer, inner, "n", (F.col("level") > 0).cast("int").alias("is_total"))
 
 
@@ -79,12 +79,15 @@ def measure_means(df: DataFrame, group: str, measures: Sequence[str], values: Se
     return df.where(F.col(group).isin(*values)).groupBy(group).agg(*[F.avg(m).alias(f"{m}_mean") for m in measures])
 
 
-def distinct_scores_report(
-    df: DataFrame, n: int, measure: str, tie: str, drop: Sequence[str] = (), rows_per_range: int = ROWS_PER_RANGE
-) -> DataFrame:
-    """The n best rows without the rows whose score repeats the one before."""
-    valid = df.dropna(subset=[measure]).drop(*drop)
-    return top_n(drop_unchanged(valid, measure, tie, True, rows_per_range), n, F.col(measure).desc(), F.col(tie))
+def distinct_scores_report(df: DataFrame, n: int, measure: str, ties: Sequence[str], drop: Sequence[str] = ()) -> DataFrame:
+    """Of the n best rows, ties in order of ``ties``, those whose score differs from the row before.
+
+    The first row is compared with 0. Only the n best rows meet in one task.
+    """
+    best = top_n(df.dropna(subset=[measure]).drop(*drop), n, F.col(measure).desc(), *map(F.col, ties))
+    before = F.lag(measure).over(Window.orderBy(F.col(measure).desc(), *map(F.col, ties)))
+    changed = ~F.col(measure).eqNullSafe(F.coalesce(before, F.lit(0)))
+    return best.withColumn("changed", changed).where("changed").drop("changed")
 
 
 def fixed_text(value: Column, digits: int) -> Column:

@@ -42,8 +42,8 @@ def apply_minmax(df: DataFrame, scaler: DataFrame, vector: str = "vector") -> Da
 
 
 def apply_minmax_by(df: DataFrame, scalers: DataFrame, key: str, vector: str = "vector") -> DataFrame:
-    """Scales every row with the scaler of its key; there is one scaler row per key."""
-    joined = df.join(scalers, key)
+    """Scales every row with the scaler of its key; scalers are one row per key (fold), so the rows are not shuffled."""
+    joined = df.join(F.broadcast(scalers), key)
     return joined.withColumn(vector, scale_minmax(F.col(vector), F.col("low"), F.col("high"))).drop("low", "high")
 
 

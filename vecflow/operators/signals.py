@@ -46,11 +46,17 @@ def pre_emphasis(samples: Column, coefficient: float = PRE_EMPHASIS) -> Column:
 
 
 def framed(df: DataFrame, samples: str, width: int = N_FFT, hop: int = HOP) -> DataFrame:
-    """One row per full frame: ``frame`` number and its ``x`` samples."""
-    count = F.floor((F.size(samples) - width) / hop).cast("int")
-    usable = df.where(F.size(samples) >= width)
-    numbered = usable.withColumn("frame", F.explode(F.sequence(F.lit(0), count)))
-    return numbered.withColumn("x", F.slice(F.col(samples), F.col("frame") * hop + 1, width)).drop(samples)
+    """One row per frame: ``frame`` number and its ``x`` samples.
+
+    The last frame is filled up with zeros, so every sample is in a frame and a short signal is one frame; null and empty
+    signals have one frame of zeros.
+    """
+    held = F.coalesce(F.col(samples), F.array().cast(df.schema[samples].dataType))
+    count = F.greatest(F.ceil((F.size(held) - width) / hop), F.lit(0)).cast("int")
+    numbered = df.withColumn("frame", F.explode(F.sequence(F.lit(0), count)))
+    x = F.slice(held, F.col("frame") * hop + 1, width)
+    zero = F.lit(0).cast(df.schema[samples].dataType.elementType)
+    return numbered.withColumn("x", F.concat(x, F.array_repeat(zero, F.lit(width) - F.size(x)))).drop(samples)
 
 
 def rms(x: Column) -> Column:

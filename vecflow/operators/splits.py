@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vecflow.functions.joins import null_safe_join
 from vecflow.session import shared_dir
 
 HASH_DIGITS = 3  # 4096 hash ranges per class bound the rows of one window task
 
 
 def group_hash(group: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}_"), group.cast("string")).cast("binary"))
+    """Null groups are one group, with a hash of its own."""
+    return F.md5(F.coalesce(F.concat(F.lit(f"{seed}_"), group.cast("string")), F.lit(f"{seed}")).cast("binary"))
 
 
 def ranked_groups(df: DataFrame, label: str, group: str, seed: int) -> DataFrame:
@@ -36,16 +38,15 @@ def ranked_groups(df: DataFrame, label: str, group: str, seed: int) -> DataFrame
     )
     inside = F.row_number().over(Window.partitionBy(label, "g_range").orderBy("g_hash", group))
     return (
-        groups.withColumn("g_inside", inside)
-        .join(offsets, [label, "g_range"])
+        null_safe_join(groups.withColumn("g_inside", inside), offsets, [label, "g_range"])
         .select(label, group, (F.col("g_before") + F.col("g_inside")).alias("g_rank"), "class_groups")
     )
 
 
 def flag_members(df: DataFrame, chosen: DataFrame, keys: list[str], flag: str) -> DataFrame:
-    """Adds ``flag`` = 1 where the key columns occur in ``chosen``, else 0."""
+    """Adds ``flag`` = 1 where the key columns, nulls included, occur in ``chosen``, else 0."""
     marked = chosen.select(*keys, F.lit(1).alias(flag))
-    return df.drop(flag).join(marked, keys, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(0)))
+    return null_safe_join(df.drop(flag), marked, keys, "left").withColumn(flag, F.coalesce(F.col(flag), F.lit(0)))
 
 
 def _ranked(df: DataFrame, label: str, group: str, seed: int, keep: bool) -> DataFrame:
@@ -59,7 +60,7 @@ def _ranked(df: DataFrame, label: str, group: str, seed: int, keep: bool) -> Dat
 def holdout(
     df: DataFrame, label: str, group: str, seed: int = 42, flag: str = "train1", keep: bool = False
 ) -> DataFrame:
-    """In each class a fifth of the groups (rounded up) is test, the others are train.
+    """In each class a fifth of the groups (rounded up) is test, the others are train; null is a class or group like any.
 
     ``keep`` checkpoints the ranked groups (not the rows), for a split that several jobs read.
     """
@@ -93,7 +94,7 @@ def assign_folds(
     fold = F.when(
         F.col("position") < wide, F.expr("position div (base + 1)")
     ).otherwise(F.col("larger") + F.expr("(position - larger * (base + 1)) div greatest(base, 1)"))
-    return df.join(ranked.select(label, group, fold.cast("int").alias("fold")), [label, group])
+    return null_safe_join(df, ranked.select(label, group, fold.cast("int").alias("fold")), [label, group])
 
 
 def kfold_flags(df: DataFrame, label: str, group: str, folds: int, seed: int = 42) -> DataFrame:

@@ -6,9 +6,9 @@ label keeps that partitioning, so a vote adds no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vecflow.operators.neighbors import exact_topk
 
@@ -81,9 +81,17 @@ def reciprocal_rank(hits: DataFrame) -> DataFrame:
     return _best(tally, -F.col("score"), F.col("first_rank"), keep=[F.max("score").alias("score")])
 
 
-def validity(train: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
-    """For each train row the share of its k nearest other rows that carry its label."""
-    hits = exact_topk(train, train, k, metric, skip_same=True)
+def validity(train: DataFrame, k: int, metric: str = "cosine", search: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """For each train row the share of its k nearest other rows that carry its label.
+
+    ``search`` gives the hits of queries in an index over the same rows; without it the search is exact.
+    """
+    if search is None:
+        hits = exact_topk(train, train, k, metric, skip_same=True)
+    else:  # one more hit, as a row finds itself
+        hits = search(train, k + 1).where(F.col("query_id") != F.col("neighbor_id"))
+        order = Window.partitionBy("query_id").orderBy("rank")
+        hits = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     own = train.select(F.col("id").alias("query_id"), F.col("label").alias("own_label"))
     same = F.count_if(F.col("label") == F.col("own_label")) / F.lit(k)
     return hits.join(own, "query_id").groupBy("query_id").agg(same.alias("validity")).withColumnRenamed("query_id", "id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -35,8 +36,10 @@ def scaled(train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def with_truth(predictions: DataFrame, test: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Predictions with the true label; a query without hits keeps its row if the predictions are of one configuration."""
     truth = test.select(F.col("id").alias("query_id"), F.col("label").alias("y"))
-    return predictions.join(truth, "query_id").select(*keys, "query_id", "y", F.col("prediction").alias("y_hat"))
+    how = "inner" if keys else "right"
+    return predictions.join(truth, "query_id", how).select(*keys, "query_id", "y", F.col("prediction").alias("y_hat"))
 
 
 def classify(
@@ -52,15 +55,17 @@ def classify(
     """Predictions ``(query_id, y, y_hat)`` of one configuration.
 
     ``index`` names the search (``Flat`` is exact); options are split between building
-    (``nbits, ef_construction, seed``) and searching (``nprobe, ef_search``).
+    (``nbits, seed``) and searching (``nprobe``).
     """
     if normalize:
         train, test = scaled(train, test)
     if index == "Flat":
         hits = exact_topk(test, train, k, metric)
     else:
-        build = {n: v for n, v in options.items() if n in ("nbits", "ef_construction", "seed")}
-        search = {n: v for n, v in options.items() if n in ("nprobe", "ef_search")}
+        build = {n: v for n, v in options.items() if n in ("nbits", "seed")}
+        search = {n: v for n, v in options.items() if n == "nprobe"}
+        if unknown := set(options) - set(build) - set(search):
+            raise ValueError(f"unknown options {sorted(unknown)}")
         hits = indexes.search_index(indexes.build_index(train, index, metric, **build), test, k, **search)
     return with_truth(votes.predict(hits, vote), test)
 
@@ -71,44 +76,88 @@ def run_configuration(train: DataFrame, test: DataFrame, classes: Sequence[int],
     return result.withColumns({"training_set_size": F.lit(train.count()), "row_key": F.lit(row_key)})
 
 
+GRID_KEYS = {"row_key", "metric", "neighbors", "vote_type", "normalize", "index", "nprobe", "nbits", "seed"}
+RESULT_SCHEMA = (
+    "row_key string, accuracy double, n bigint, training_set_size bigint, train_seconds double, predict_seconds double, message string"
+)
+
+
+def configuration_of(row: dict) -> dict:
+    """A grid row with defaults; raises ``ValueError`` for what can't be run."""
+    c = {"normalize": True, "index": "Flat", "nprobe": 1, "nbits": 8, "seed": 42, **row}
+    c["metric"] = metric_name(c["metric"])
+    if c["vote_type"] not in votes.VOTES:
+        raise ValueError(f"unknown vote {c['vote_type']!r}, expected one of {votes.VOTES}")
+    if c["neighbors"] < 1 or c["nprobe"] < 1:
+        raise ValueError("neighbors and nprobe must be at least 1")
+    indexes.parse_spec(c["index"])
+    return c
+
+
 def run_grid(train: DataFrame, test: DataFrame, configurations: Sequence[dict]) -> DataFrame:
-    """Accuracy of every configuration ``(row_key, metric, neighbors, vote_type, normalize)``.
+    """A result row per configuration: accuracy, sizes, seconds; ``skipped`` with a message where it can't be run.
 
-    Configurations that share metric and scaling share one search with the largest k; a
-    rank filter and one vote pass serve them all. The loop is over the few distinct
-    searches, not over the configurations. An unknown metric gives skipped rows.
+    A configuration has ``row_key, metric, neighbors, vote_type`` and perhaps ``normalize, index, nbits, seed, nprobe``; an
+    unknown key is an error. Each distinct index is built once (``train_seconds``); the configurations that share it
+    and the number of probes share one search with their largest k, whose hits a rank filter and one vote
+    pass turn into all their predictions (``predict_seconds``, of the whole search). The loops are over the few
+    builds and searches, not over the configurations; only result rows are stored.
     """
     spark = train.sparkSession
-    results, skipped = [], []
-    searches: dict[tuple, list[dict]] = {}
-    for c in configurations:
-        searches.setdefault((c["metric"], bool(c.get("normalize", True))), []).append(c)
-    sides = {False: (train, test)}
-    for (metric, normalize), members in searches.items():
+    shared_dir(spark)
+    for row in configurations:
+        if unknown := set(row) - GRID_KEYS:
+            raise ValueError(f"unknown keys {sorted(unknown)}, expected {sorted(GRID_KEYS)}")
+    skipped: list[tuple[str, str]] = []
+    builds: dict[tuple, dict[int, list[dict]]] = {}
+    for row in configurations:
         try:
-            metric_name(metric)
+            c = configuration_of(row)
         except ValueError as error:
-            skipped += [(c["row_key"], str(error)) for c in members]
+            skipped.append((row["row_key"], str(error)))
             continue
+        searches = builds.setdefault((c["metric"], c["normalize"], c["index"], c["nbits"], c["seed"]), {})
+        searches.setdefault(c["nprobe"] if "IVF" in c["index"] else 1, []).append(c)
+    sides, sizes, results = {False: (train, test)}, {}, []
+    for (metric, normalize, index, nbits, seed), searches in builds.items():
         if normalize not in sides:
             sides[normalize] = scaled(train, test)
         left, right = sides[normalize]
-        hits = exact_topk(right, left, max(c["neighbors"] for c in members), metric)
-        # every hit serves the configurations whose k reaches its rank
-        listed = F.array(*[
-            F.struct(F.lit(c["row_key"]).alias("row_key"), F.lit(int(c["neighbors"])).alias("k"), F.lit(c["vote_type"]).alias("vote_type"))
-            for c in members
-        ])
-        served = hits.withColumn("c", F.explode(F.filter(listed, lambda c: c["k"] >= F.col("rank"))))
-        served = served.select("query_id", "label", "distance", F.col("c.row_key").alias("row_key"), F.col("c.vote_type").alias("vote_type"))
-        predicted = votes.configured(served, ["row_key", "query_id"], F.col("vote_type"))
-        results.append(evaluation.accuracy(with_truth(predicted, test, ["row_key"]), "y", "y_hat", ["row_key"]))
-    empty = spark.createDataFrame([(k, None, None, m) for k, m in skipped], "row_key string, accuracy double, n bigint, message string")
-    done = [r.withColumn("message", F.lit(None).cast("string")) for r in results] + [empty]
-    table = done[0]
-    for other in done[1:]:
+        start, built = time.perf_counter(), None
+        try:
+            if index != "Flat":
+                built = indexes.build_index(left, index, metric, nbits=nbits, seed=seed)
+        except ValueError as error:
+            skipped += [(c["row_key"], str(error)) for members in searches.values() for c in members]
+            continue
+        train_seconds = time.perf_counter() - start
+        sizes.setdefault("train", left.count())
+        for nprobe, members in searches.items():
+            start, most = time.perf_counter(), max(c["neighbors"] for c in members)
+            hits = exact_topk(right, left, most, metric) if built is None else indexes.search_index(built, right, most, nprobe)
+            found = _served(hits, members, test).checkpoint()
+            seconds = time.perf_counter() - start
+            numbers = {"training_set_size": sizes["train"], "train_seconds": train_seconds, "predict_seconds": seconds}
+            results.append(found.withColumns({k: F.lit(v) for k, v in numbers.items()}).withColumn("message", F.lit(None).cast("string")))
+    table = spark.createDataFrame([(k, None, None, None, None, None, m) for k, m in skipped], RESULT_SCHEMA)
+    for other in results:
         table = table.unionByName(other)
-    return table.withColumn("skipped", F.col("accuracy").isNull())
+    return table.withColumn("skipped", F.col("message").isNotNull())
+
+
+def _served(hits: DataFrame, members: Sequence[dict], test: DataFrame) -> DataFrame:
+    """Accuracy of the configurations that one search serves; a query without hits is a miss."""
+    listed = F.array(*[
+        F.struct(F.lit(c["row_key"]).alias("row_key"), F.lit(int(c["neighbors"])).alias("k"), F.lit(c["vote_type"]).alias("vote_type"))
+        for c in members
+    ])
+    # every hit serves the configurations whose k reaches its rank
+    served = hits.withColumn("c", F.explode(F.filter(listed, lambda c: c["k"] >= F.col("rank"))))
+    served = served.select("query_id", "label", "distance", F.col("c.row_key").alias("row_key"), F.col("c.vote_type").alias("vote_type"))
+    predicted = votes.configured(served, ["row_key", "query_id"], F.col("vote_type"))
+    asked = test.select(F.col("id").alias("query_id"), F.col("label").alias("y"), F.explode(F.array(*[F.lit(c["row_key"]) for c in members])).alias("row_key"))
+    both = asked.join(predicted, ["row_key", "query_id"], "left")
+    return evaluation.accuracy(both, "y", "prediction", ["row_key"])
 
 
 def run_folds(

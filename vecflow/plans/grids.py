@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from vecflow.functions.joins import null_safe_join
 from vecflow.functions.vectors import let
 
 # ---- parameter values of the published experiment grids (fixed values) ----
@@ -197,6 +198,12 @@ def literal_fields(text: Column) -> Column:
     ))
 
 
+def with_literals(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the fields of a column of parameter literals; each distinct text is parsed once."""
+    parsed = df.select(text).distinct().withColumn(out, literal_fields(F.col(text)))
+    return null_safe_join(df, parsed, [text], "left")
+
+
 def factory_labels(text: Column) -> Column:
     """Index labels that tell configurations apart at three levels of detail, as one struct."""
     return let(literal_fields(text), lambda f: F.struct(

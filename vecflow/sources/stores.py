@@ -57,7 +57,7 @@ def merge_parts(parts: Sequence[DataFrame], key: str) -> DataFrame:
 def write_version(df: DataFrame, root: str) -> str:
     """Writes a new version next to the old ones; it counts once it is complete."""
     versions = _versions(df.sparkSession, root)
-    number = 1 + max([int(v.split("=")[1].split("-")[0]) for v in versions], default=0)
+    number = 1 + max([_version_number(v)[0] for v in versions], default=0)
     path = f"{root.rstrip('/')}/version={number:06d}-{uuid.uuid4().hex[:8]}"
     df.write.mode("errorifexists").parquet(path)
     return path
@@ -65,7 +65,12 @@ def write_version(df: DataFrame, root: str) -> str:
 
 def read_newest(spark: SparkSession, root: str) -> DataFrame | None:
     versions = _versions(spark, root)
-    return spark.read.parquet(f"{root.rstrip('/')}/{max(versions)}") if versions else None
+    return spark.read.parquet(f"{root.rstrip('/')}/{max(versions, key=_version_number)}") if versions else None
+
+
+def _version_number(name: str) -> tuple[int, str]:
+    number, suffix = name.split("=")[1].split("-")
+    return int(number), suffix
 
 
 def _versions(spark: SparkSession, root: str) -> list[str]:
@@ -97,7 +102,7 @@ def create_collection(
 ) -> str:
     """Gets a vector table or creates it; ``recreate`` drops it first, ``reset`` empties it.
 
-    A table with a location keeps its files there, also after it was dropped.
+    Either leaves no old rows behind, also where the table has a location, whose files outlive a drop.
     """
     metric = metric_name(metric)
     if recreate:
@@ -109,6 +114,8 @@ def create_collection(
             + (f"LOCATION '{location}' " if location else "")
             + f"TBLPROPERTIES ('vector.metric' = '{metric}', 'vector.index' = '{index}')"
         )
+        if recreate and location:
+            clear_collection(spark, name)
     elif reset:
         clear_collection(spark, name)
     return name
@@ -124,10 +131,14 @@ def clear_collection(spark: SparkSession, name: str) -> None:
 
 
 def insert_records(df: DataFrame, name: str) -> None:
-    """Appends records by column name; columns the records lack become null, ids are given when missing."""
+    """Appends records by column name; columns the records lack become null.
+
+    Missing ids are given above all stored ones; inserts into one table must not run at the same time.
+    """
     spark = df.sparkSession
     if "id" not in df.columns:
-        df = df.withColumn("id", F.monotonically_increasing_id())
+        last = spark.table(name).agg(F.max("id")).first()[0]
+        df = df.withColumn("id", F.monotonically_increasing_id() + F.lit(-1 if last is None else last).cast("bigint") + 1)
     schema = spark.table(name).schema
     unknown = [c for c in df.columns if c not in schema.names]
     if unknown:
