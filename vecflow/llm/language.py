@@ -13,6 +13,7 @@ from vecflow.llm.common import kept, map_batches, map_groups, sized, stored, tex
 
 CELLS = 1 << 16  # hashed byte trigrams
 CHUNK = 1 << 22  # bytes scored at once
+FULL_WEIGHT = 2_000  # a longer text counts for so many trigrams in a fit, spread over all of it
 SATURATION = 200.0  # a text counts for at most so many independent trigrams
 UNKNOWN = "und"
 UNKNOWN_ODDS = -10.4  # per trigram: a text that no model explains better is of no known language
@@ -83,20 +84,25 @@ class Model:
 
 
 def fit(df: DataFrame, id: str = "doc_id", text: str = "text", label: str = "lang", rows: int = 2_000, seed: int = 3) -> Model:
-    """A model of about ``rows`` labelled rows, chosen by a hash of their id; only per-language counts leave the tasks."""
+    """A model of about ``rows`` labelled rows, chosen by a hash of their id; only per-language counts leave the tasks.
+
+    Without labelled rows the model knows no language, and every row is rejected.
+    """
     labelled = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"), F.col(id).alias("id"))
     count = labelled.count()
     sample = labelled.where(uniform(seed, F.col("id")) < rows / max(count, 1)) if count > rows else labelled
 
     def work(table: pa.Table) -> pa.RecordBatch:
-        counts = np.zeros(CELLS, np.int64)
+        counts = np.zeros(CELLS)
         found = [x or "" for x in table["text"].to_pylist()]
         for a, b in chunks(found):
-            counts += np.bincount(trigrams(found[a:b])[0], minlength=CELLS)
-        return pa.RecordBatch.from_arrays([table["label"].combine_chunks().slice(0, 1), pa.array([counts.astype("<i8").tobytes()], pa.binary())], ["label", "counts"])
+            cell, owner = trigrams(found[a:b])
+            weight = 1 / np.maximum(1, np.bincount(owner, minlength=b - a) / FULL_WEIGHT)
+            counts += np.bincount(cell, weight[owner], CELLS)
+        return pa.RecordBatch.from_arrays([table["label"].combine_chunks().slice(0, 1), pa.array([counts.astype("<f8").tobytes()], pa.binary())], ["label", "counts"])
 
     found = map_groups(sample, ["label"], ["id"], lambda: work, "label string, counts binary").orderBy("label").collect()
-    counts = np.array([np.frombuffer(r["counts"], "<i8") for r in found], float).reshape(len(found), CELLS)
+    counts = np.array([np.frombuffer(r["counts"], "<f8") for r in found]).reshape(len(found), CELLS)
     return Model.of([r["label"] for r in found], counts)
 
 
