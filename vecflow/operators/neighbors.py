@@ -29,8 +29,10 @@ from vecflow.operators.blocks import NO_LABEL, TopK, matrix
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 CELL_ROWS = 100_000
+CELL_BYTES = 512 * 1024 * 1024
 CELL_PAIRS = 4_000_000_000
 SEED_ROWS = 20_000
+SEED_SHARE = 1_000  # a larger table gives one seed in so many rows, so the bound does not weaken as it grows
 SEED_FROM = 2_000_000
 
 CELL = ["cell", "q_shard", "t_shard"]
@@ -144,6 +146,11 @@ def cell_search(
     )
 
 
+def streamed_bytes(n_queries: int, dim: int, k: int) -> int:
+    """What a task holds when the queries travel: their vectors and k hits (distance, id, label) of each."""
+    return n_queries * (dim + 3 * k) * 8
+
+
 def grid_shape(n_queries: int, n_train: int, cells: int, rows: int = CELL_ROWS) -> tuple[int, int]:
     """(query shards, train shards): cells bounded in rows and pairs, copies kept few.
 
@@ -201,7 +208,7 @@ def keyed_topk(
     """
     metric = metric_name(metric)
     asked = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vector")).alias("dim")).first()
-    if asked["n"] and asked["n"] * asked["dim"] * 8 <= broadcast_bytes:
+    if asked["n"] and streamed_bytes(asked["n"], asked["dim"], k) <= broadcast_bytes:
         return rank_hits(_stream_keyed(queries, train, k, metric, skip_same, decode), k)
     shards = lambda n: F.ceil(F.col(n) / F.lit(cell_rows)).cast("int")
     n_train = train.groupBy("cell").agg(F.count(F.lit(1)).alias("n_train"))
@@ -248,20 +255,20 @@ def exact_topk(
         return queries.sparkSession.createDataFrame(
             [], "query_id bigint, rank int, neighbor_id bigint, distance double, label int"
         )
-    query_bytes = n_queries * dim * 8
     if n_train >= seed_from:
         queries = _bounded(queries, train, n_train, k, metric, skip_same, broadcast_bytes, decode)
-    if query_bytes <= broadcast_bytes:
+    if streamed_bytes(n_queries, dim, k) <= broadcast_bytes:
         parts = _stream(queries, train, k, metric, skip_same, decode)
     else:
         # several cells per task even out what the hash puts together
         cells = 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        parts = _grid(queries, train, k, metric, skip_same, grid_shape(n_queries, n_train, cells), decode)
+        rows = max(1, min(CELL_ROWS, CELL_BYTES // (8 * max(dim, 1))))
+        parts = _grid(queries, train, k, metric, skip_same, grid_shape(n_queries, n_train, cells, rows), decode)
     return rank_hits(parts, k)
 
 
 def _bounded(queries, train, n_train, k, metric, skip_same, broadcast_bytes, decode):
-    every = max(1, n_train // SEED_ROWS)
+    every = max(1, min(n_train // SEED_ROWS, SEED_SHARE))
     seeds = train.where(F.pmod(F.xxhash64(F.lit(7), F.col("id")), F.lit(every)) == 0)
     found = exact_topk(queries, seeds, k, metric, skip_same, broadcast_bytes, n_train + 1, decode)
     kth = F.col("distance") * F.col("distance") if metric == "euclidean" else F.col("distance")
