@@ -94,7 +94,7 @@ def test_collection(spark, tmp_path):
     stores.insert_records(records, name)
     stores.insert_records(records.drop("station"), name)
     assert stores.count_rows(spark, make()) == 2
-    assert stores.describe_collection(spark, name) == {"metric": "cosine", "index": "IVF8,Flat", "dim": "2"}
+    assert stores.describe_collection(spark, name) == {"metric": "cosine", "index": "IVF8,Flat", "built": "false", "dim": "2"}
     assert spark.table(name).where("station IS NULL").count() == 1
     with pytest.raises(ValueError, match="not in"):
         stores.insert_records(records.withColumn("other", F.lit(1)), name)
@@ -122,3 +122,30 @@ def test_correlation_of_constant_is_null(spark):
     df = spark.createDataFrame([(1.0, 2.0, 1.0), (2.0, 4.0, 1.0), (3.0, None, 1.0)], "a double, b double, c double")
     found = {(r["a"], r["b"]): r["corr"] for r in prep.correlations(df, ["a", "b", "c"]).collect()}
     assert found[("a", "b")] == pytest.approx(1) and found[("a", "c")] is None and found[("c", "c")] is None
+
+
+def test_collection_is_searched_by_its_index(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i)], i % 3) for i in range(40)], "id long, vector_data array<double>, label int")
+    asked = rows.select("id", F.col("vector_data").alias("vector")).where("id < 5")
+    columns = "id bigint, vector_data array<double>, label int"
+    hits = {}
+    for text in ("Flat", stores.index_text("IVF_FLAT", {"nlist": 4})):
+        stores.create_collection(spark, "searched", "L2", text, recreate=True, columns=columns, location=str(tmp_path / text))
+        stores.insert_records(rows, "searched")
+        if text != "Flat":
+            with pytest.raises(ValueError, match="not built"):
+                stores.search_collection(asked, "searched", 3)
+        stores.build_collection_index(spark, "searched")
+        assert stores.describe_collection(spark, "searched")["built"] == "true"
+        hits[text] = sorted(map(tuple, stores.search_collection(asked, "searched", 3, nprobe=4, fields=["label"]).select("query_id", "rank", "neighbor_id").collect()))
+    assert len(set(map(tuple, hits.values()))) == 1 and len(hits["Flat"]) == 15
+    stores.insert_records(rows, "searched")
+    assert stores.describe_collection(spark, "searched")["built"] == "false"
+    stores.drop_collection(spark, "searched")
+
+
+def test_index_texts():
+    assert stores.index_text("IVF_PQ", {"m": 10, "nlist": 1000}) == "IVF1000,PQ10" and stores.index_text("FLAT") == "Flat"
+    for kind, params in (("HNSW", {"M": 16}), ("IVF_PQ", {"nlist": 5}), ("IVF_FLAT", {})):
+        with pytest.raises(ValueError):
+            stores.index_text(kind, params)

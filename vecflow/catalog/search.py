@@ -189,7 +189,7 @@ SELECT query_id, rank::INT AS rank, neighbor_id, h.label, concat('vec_', h.hit_g
 def table_search(t: Tables) -> DataFrame:
     name = "vecflow_k09"
     stores.create_collection(
-        t.spark, name, "COSINE", "Flat", recreate=True, location=scratch_path(t.spark, name),
+        t.spark, name, "COSINE", stores.index_text("IVF_FLAT", {"nlist": 8}), recreate=True, location=scratch_path(t.spark, name),
         columns="id bigint, vector_data array<double>, label int, sub_segment_name string",
     )
     rows = embedded(t)
@@ -198,10 +198,9 @@ def table_search(t: Tables) -> DataFrame:
         F.concat_ws("_", F.lit("vec"), "grp", "vec_id").alias("sub_segment_name"),
     )
     stores.insert_records(stored, name)
-    table = t.spark.table(name)
+    stores.build_collection_index(t.spark, name)
     asked = neighbors.as_vectors(rows.where("train1 = 0"), "vec_id", "v", "label")
-    hits = neighbors.exact_topk(asked, neighbors.as_vectors(table, "id", "vector_data", "label"), 15)
-    found = neighbors.with_fields(hits, table, "id", ["sub_segment_name"])
+    found = stores.search_collection(asked, name, 15, nprobe=8, fields=["sub_segment_name"])  # all cells: equals exact
     return found.select("query_id", "rank", "neighbor_id", "label", "sub_segment_name")
 
 
@@ -505,18 +504,24 @@ def shared_grid(t: Tables) -> DataFrame:
 
 @query("e09_table_experiment", HITS_SQL + MAJORITY_SQL + """
 , x AS (SELECT y, prediction AS y_hat FROM p JOIN (SELECT DISTINCT query_id, y FROM h) USING (query_id) WHERE rn = 1)
-SELECT 'vecflow_e09' AS collection, round(avg((y = y_hat)::INT) + 1e-9, 6) AS accuracy, count(*) AS n FROM x""")
+SELECT 'vecflow_e09_' || kind AS collection, round(avg((y = y_hat)::INT) + 1e-9, 6) AS accuracy, count(*) AS n
+FROM x, (VALUES ('flat'), ('ivf_flat')) AS k(kind) GROUP BY kind""")
 def table_experiment(t: Tables) -> DataFrame:
-    name = "vecflow_e09"
+    """One vector table per configuration, filled, indexed and searched by its own index; all cells are probed."""
     train, test = _sides(t)
-    stores.create_collection(
-        t.spark, name, "cosine", "Flat", recreate=True, location=scratch_path(t.spark, name),
-        columns="id bigint, vector_data array<double>, label int",
-    )
-    stores.insert_records(train.withColumnRenamed("vector", "vector_data"), name)
-    stored = neighbors.as_vectors(t.spark.table(name), "id", "vector_data", "label")
-    predicted = experiments.classify(stored, test, "cosine", 15, "uniform", normalize=False)
-    result = evaluation.accuracy(predicted, "y", "y_hat").withColumn("collection", F.lit(name))
+    results = []
+    for kind, params in (("FLAT", {}), ("IVF_FLAT", {"nlist": 8})):
+        name = f"vecflow_e09_{kind.lower()}"
+        stores.create_collection(
+            t.spark, name, "cosine", stores.index_text(kind, params), recreate=True, location=scratch_path(t.spark, name),
+            columns="id bigint, vector_data array<double>, label int",
+        )
+        stores.insert_records(train.withColumnRenamed("vector", "vector_data"), name)
+        stores.build_collection_index(t.spark, name)
+        hits = stores.search_collection(test, name, 15, nprobe=8)
+        predicted = experiments.with_truth(votes.predict(hits, "uniform"), test)
+        results.append(evaluation.accuracy(predicted, "y", "y_hat").withColumn("collection", F.lit(name)))
+    result = results[0].unionByName(results[1])
     return result.select("collection", r6(F.col("accuracy")).alias("accuracy"), "n")
 
 

@@ -207,7 +207,7 @@ VECTOR_SCHEMA = "id bigint, vector_data array<double>, label int"
 
 
 @query("s16_vector_table", """
-SELECT 'cosine' AS metric, 'IVF64,Flat' AS index, max(len(embedding))::VARCHAR AS dim, count(*) AS n FROM embeddings""")
+SELECT 'cosine' AS metric, 'IVF64,Flat' AS index, 'false' AS built, max(len(embedding))::VARCHAR AS dim, count(*) AS n FROM embeddings""")
 def vector_table(t: Tables) -> DataFrame:
     name, place = "vecflow_s16", scratch_path(t.spark, "vecflow_s16")
     rows = t.embeddings.select(F.col("vec_id").alias("id"), doubles(F.col("embedding")).alias("vector_data"), "label")
@@ -217,7 +217,7 @@ def vector_table(t: Tables) -> DataFrame:
     stores.create_collection(t.spark, name, "COSINE", "IVF64,Flat", reset=True)  # found, emptied
     stores.insert_records(rows, name)
     found = stores.describe_collection(t.spark, name)
-    return t.spark.table(name).agg(F.count(F.lit(1)).alias("n")).select(*[F.lit(found[c]).alias(c) for c in ("metric", "index", "dim")], "n")
+    return t.spark.table(name).agg(F.count(F.lit(1)).alias("n")).select(*[F.lit(found[c]).alias(c) for c in ("metric", "index", "built", "dim")], "n")
 
 
 @query("s17_insert_records", "SELECT label, 2 * count(*) AS n, 2 * count(*) AS ids FROM embeddings GROUP BY label")

@@ -13,8 +13,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vecflow.functions.vectors import dimension, metric_name
-from vecflow.operators.indexes import path_exists
+from vecflow.operators.indexes import build_index, load_index, parse_spec, path_exists, save_index, search_index
+from vecflow.operators.neighbors import as_vectors, exact_topk, with_fields
 from vecflow.operators.ranking import latest_by_key
+from vecflow.session import scratch_path
 
 
 def materialised(spark: SparkSession, path: str, build: Callable[[], DataFrame], partition_by: Sequence[str] = ()) -> DataFrame:
@@ -126,6 +128,7 @@ def drop_collection(spark: SparkSession, name: str) -> None:
 
 
 def clear_collection(spark: SparkSession, name: str) -> None:
+    _forget_index(spark, name)
     table = spark.table(name)
     spark.createDataFrame([], table.schema).write.insertInto(name, overwrite=True)
 
@@ -133,7 +136,8 @@ def clear_collection(spark: SparkSession, name: str) -> None:
 def insert_records(df: DataFrame, name: str) -> None:
     """Appends records by column name; columns the records lack become null.
 
-    Missing ids are given above all stored ones; inserts into one table must not run at the same time.
+    Missing ids are given above all stored ones; inserts into one table must not run at the same time. The table's index
+    no longer holds all rows and has to be built again.
     """
     spark = df.sparkSession
     if "id" not in df.columns:
@@ -143,6 +147,7 @@ def insert_records(df: DataFrame, name: str) -> None:
     unknown = [c for c in df.columns if c not in schema.names]
     if unknown:
         raise ValueError(f"columns not in {name}: {unknown}")
+    _forget_index(spark, name)
     present = [F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
     df.select(*[c.alias(f.name) for c, f in zip(present, schema)]).write.insertInto(name)
 
@@ -151,10 +156,58 @@ def count_rows(spark: SparkSession, name: str) -> int:
     return spark.table(name).count()
 
 
-def describe_collection(spark: SparkSession, name: str) -> dict[str, str]:
-    """Metric and index of a vector table, and its vector length when it has rows."""
+def index_text(kind: str, params: dict | None = None) -> str:
+    """The index of a vector table, ``IVF_PQ`` with ``{'m': 10, 'nlist': 1000}``, in the notation ``IVF1000,PQ10``."""
+    params = params or {}
+    storages = {"FLAT": "Flat", "IVF_FLAT": "Flat", "IVF_SQ8": "SQ8", "IVF_PQ": f"PQ{params.get('m')}"}
+    if kind not in storages:
+        raise ValueError(f"unknown index type {kind!r}, expected one of {sorted(storages)}")
+    text = storages[kind] if kind == "FLAT" else f"IVF{params.get('nlist')},{storages[kind]}"
+    parse_spec(text)
+    return text
+
+
+def _properties(spark: SparkSession, name: str) -> dict[str, str]:
     rows = spark.sql(f"SHOW TBLPROPERTIES {name}").where("key LIKE 'vector.%'").collect()
-    found = {r["key"].removeprefix("vector."): r["value"] for r in rows}
+    return {r["key"].removeprefix("vector."): r["value"] for r in rows}
+
+
+def _forget_index(spark: SparkSession, name: str) -> None:
+    spark.sql(f"ALTER TABLE {name} UNSET TBLPROPERTIES IF EXISTS ('vector.built')")
+
+
+def build_collection_index(spark: SparkSession, name: str, label: str | None = "label", **options) -> None:
+    """Builds and keeps the index that the table was created with; a flat table needs none."""
+    found = _properties(spark, name)
+    if found["index"] == "Flat":
+        return
+    path = scratch_path(spark, "index")
+    save_index(build_index(as_vectors(spark.table(name), "id", "vector_data", label), found["index"], found["metric"], **options), path)
+    spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('vector.built' = '{path}')")
+
+
+def search_collection(
+    queries: DataFrame, name: str, k: int, nprobe: int = 1, fields: Sequence[str] = (), label: str | None = "label"
+) -> DataFrame:
+    """Hits of the queries ``(id, vector)`` in a vector table, by its index and metric, with fields of the records.
+
+    A flat table is searched exactly; a table with an index must have it built since its last insert.
+    """
+    spark = queries.sparkSession
+    found, table = _properties(spark, name), spark.table(name)
+    if found["index"] == "Flat":
+        hits = exact_topk(queries, as_vectors(table, "id", "vector_data", label), k, found["metric"])
+    elif "built" in found:
+        hits = search_index(load_index(spark, found["built"]), queries, k, nprobe)
+    else:
+        raise ValueError(f"the index of {name} is not built")
+    return with_fields(hits, table, "id", list(fields)) if fields else hits
+
+
+def describe_collection(spark: SparkSession, name: str) -> dict[str, str]:
+    """Metric and index of a vector table, whether it is built, and the vector length when there are rows."""
+    found = _properties(spark, name)
+    found["built"] = str(found["index"] == "Flat" or "built" in found).lower()
     table = spark.table(name)
     if not table.isEmpty():
         found["dim"] = str(dimension(table, "vector_data"))
