@@ -8,32 +8,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from vecflow.llm.common import column, map_groups, stored, texts
+from vecflow.llm.common import WordHashes, column, map_groups, stored, texts
 
 ORDER = 3
 ALPHA = 0.4
 CHUNK = 1 << 23  # characters of the documents that are scored together
 BUCKET_GRAMS = 2_000_000  # entries that meet in one task
 SPARE_BITS = 16  # two n-grams share a hash with probability 2^-16 per n-gram
-WORDS_KEPT = 400_000
 ROW = "chunk long, ord int, bucket int, data binary, extra binary"
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD]
 
 
-class WordHashes(dict):
-    """Hashes of the words met so far; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
 def squeezed(values: np.ndarray) -> bytes:
     """Sorted numbers as compressed planes of the bytes of their differences."""
     steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")

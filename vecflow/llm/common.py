@@ -5,11 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vecflow.session import scratch_path, shared_dir
 
 BROADCAST_ROWS = 200_000
+WORDS_KEPT = 400_000
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # what stands between words of digits, letters and non-ASCII
+
+
+class WordHashes(dict):
+    """Hashes of the words met so far; bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > WORDS_KEPT:
+            self.clear()
+        self[word] = found = xxhash.xxh64_intdigest(word)
+        return found
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
@@ -72,6 +85,11 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], make: Callable[
     return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def lowered_words(text: Column) -> Column:
+    """Lower-cased words of a text; none for null."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """The rows written below the shared folder and read again: lineage ends here, lost executors cost nothing."""
     path = scratch_path(df.sparkSession, name)

@@ -4,21 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vecflow.llm.common import kept, sized
+from vecflow.llm.common import kept, lowered_words, sized
 
-SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 MASKS = ("1101011", "1110011", "1011101")  # 1: the word counts, 0: any word may stand there
 MIN_RUN = 10
 SIMILARITY = 0.8
 
 
-def words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
-
-
 def hashed(df: DataFrame, id: str, text: str, name: str) -> DataFrame:
     """(name, h): the hashes of the words in order."""
-    split = df.select(F.col(id).alias(name), words(F.col(text)).alias("w"))
+    split = df.select(F.col(id).alias(name), lowered_words(F.col(text)).alias("w"))
     return split.select(name, F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
 
 

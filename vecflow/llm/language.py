@@ -128,12 +128,12 @@ def evidence(df: DataFrame, model: Model, row: Column, text: Column, declared: C
         return work
 
     if markup:
-        declared = F.regexp_extract(text, r"(?is)^.{0,2000}?<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1)
+        declared = F.regexp_extract(text, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", 1)
     code = lambda c: F.when(F.lower(c).isin(model.languages), F.lower(c))
     host = F.lower(F.regexp_extract(F.coalesce(address, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/:?#]*)", 1))
     rows = df.select(
         row.alias("row"),
-        code(F.substring(declared, 1, 2)).alias("declared"),
+        code(F.regexp_extract(declared, r"^\s*([A-Za-z]+)", 1)).alias("declared"),
         code(F.regexp_extract(F.coalesce(address, F.lit("")), r"^[A-Za-z0-9+.-]+://[^/?#]*/([A-Za-z]{2})(?:[/?#-]|$)", 1)).alias("path"),
         host.alias("host"),
         text.alias("text"),

@@ -7,7 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vecflow.llm.common import column, kept, map_batches, map_groups, sized, stored, texts
+from vecflow.llm.common import WordHashes, column, kept, map_batches, map_groups, sized, stored, texts
 from vecflow.llm.links import components, roots
 
 SAMPLES = 256
@@ -16,7 +16,6 @@ SKETCH_BITS = 1024
 SLACK = 5.0  # standard errors by which an estimate may fall short
 SHARD = 512  # members of a group that meet another SHARD in one task
 COLUMNS = 4096
-WORDS_KEPT = 400_000
 
 _random = np.random.default_rng(20)
 _FACTORS = _random.integers(0, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -31,16 +30,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """Hashes of the words met so far; bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        self[word] = found = xxhash.xxh64_intdigest(word)
-        return found
-
-
 def shingles(text: str, size: int, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct hashes of the runs of ``size`` words; of the whole sequence if there are fewer words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()

@@ -6,14 +6,13 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vecflow.llm.common import sized, stored
+from vecflow.llm.common import lowered_words, sized, stored
 
 BITS = 64
 BUCKET_ROWS = 2_000
 MAX_BUCKETS = 100_000
 RADIUS = 3
 BLOCKS = 6
-SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 LOW = 0xFFFFFFFF
 
 
@@ -24,8 +23,7 @@ def votes(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     time it occurs. Bits k and k + 32 of a term's hash vote in the two halves of one sum, so 32 sums hold all 64 votes;
     a half overflows at 268 million terms. A text without words has fingerprint 0.
     """
-    words = F.array_remove(F.split(F.lower(F.col(text)), SEPARATORS), "")
-    split = texts.select(*keys, words.alias("w"))
+    split = texts.select(*keys, lowered_words(F.col(text)).alias("w"))
     pairs = split.select(*keys, F.inline_outer(F.arrays_zip(F.col("w").alias("x"), F.expr("slice(w, 2, greatest(size(w), 1))").alias("y"))).alias("x", "y"))
     weight = F.least(F.char_length("x") + F.coalesce(F.char_length("y"), F.lit(0)), F.lit(16)).cast("long")
     terms = pairs.select(*keys, F.xxhash64("x", "y").alias("h"), F.coalesce(weight, F.lit(0).cast("long")).alias("weight"))
