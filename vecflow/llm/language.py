@@ -36,11 +36,11 @@ def visible(page: str) -> str:
 
 def trigrams(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Cells of all byte trigrams of the texts' letters, and the text that each is from; other characters are one blank."""
-    data = [x.encode("utf-8", "surrogatepass") for x in rows]
-    code = _FOLD[np.frombuffer(b" ".join(data), np.uint8)]
-    owner = np.repeat(np.arange(len(rows)), [len(x) + (i + 1 < len(rows)) for i, x in enumerate(data)])
+    data = [b" %b " % x.encode("utf-8", "surrogatepass") for x in rows]
+    code = _FOLD[np.frombuffer(b"".join(data), np.uint8)]
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in data])
     keep = np.ones(len(code), bool)
-    keep[1:] = (code[1:] != 32) | (code[:-1] != 32)
+    keep[1:] = (code[1:] != 32) | (code[:-1] != 32) | (owner[1:] != owner[:-1])
     code, owner = code[keep].astype(np.uint32), owner[keep]
     if len(code) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
