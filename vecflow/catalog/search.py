@@ -479,29 +479,38 @@ def _index_configurations() -> list[dict]:
     ]
 
 
-GRID_SQL = "WITH " + SCALED_SQL + f"""
+GRID_CTES = "WITH " + SCALED_SQL + f"""
 , d AS (SELECT m.m, q.vec_id AS query_id, q.label AS y, t.vec_id AS nid, t.label,
         CASE m.m WHEN 'cosine' THEN {METRIC_SQL['cosine']} ELSE {METRIC_SQL['correlation']} END AS distance
         FROM z q, z t, (VALUES ('cosine'), ('correlation')) AS m(m) WHERE q.train1 = 0 AND t.train1 = 1),
 h AS (SELECT *, row_number() OVER (PARTITION BY m, query_id ORDER BY distance, nid) AS rank FROM d),
 c AS (SELECT m, query_id, y, vote, k, label, round(sum(CASE vote WHEN 'uniform' THEN 1 ELSE 1 / (distance + 1e-6) END), 6) AS w
       FROM h, (VALUES ('uniform'), ('distance')) AS v(vote), (VALUES (15), (20)) AS n(k) WHERE rank <= k GROUP BY ALL),
-p AS (SELECT *, row_number() OVER (PARTITION BY m, query_id, vote, k ORDER BY w DESC, label) AS rn FROM c)
+p AS (SELECT *, row_number() OVER (PARTITION BY m, query_id, vote, k ORDER BY w DESC, label) AS rn FROM c)"""
+GRID_SQL = GRID_CTES + """
 SELECT concat(m, '-', vote, '-', k) AS row_key, round(avg((y = label)::INT) + 1e-9, 6) AS accuracy, count(*) AS n, 0 AS skipped
 FROM p WHERE rn = 1 GROUP BY m, vote, k"""
-GRID_INDEX_SQL = GRID_SQL + """
-UNION ALL SELECT concat('ivf-', k), round(avg((y = label)::INT) + 1e-9, 6), count(*), 0
+GRID_INDEX_SQL = GRID_CTES + """
+SELECT concat('ivf-', k) AS row_key, round(avg((y = label)::INT) + 1e-9, 6) AS accuracy, count(*) AS n, 0 AS skipped
 FROM p WHERE rn = 1 AND m = 'cosine' AND vote = 'uniform' GROUP BY k
 UNION ALL SELECT 'bad-' || b, NULL, NULL, 1 FROM (VALUES ('cells'), ('index'), ('vote'), ('k')) AS b(b)"""
 
 
-@query("e08_shared_grid", GRID_INDEX_SQL)
-def shared_grid(t: Tables) -> DataFrame:
-    train, test = _sides(t)
-    found = experiments.run_grid(train, test, _grid_configurations() + _index_configurations())
+def _grid_rows(t: Tables, configurations: list[dict]) -> DataFrame:
+    found = experiments.run_grid(*_sides(t), configurations)
     return found.select("row_key", r6(F.col("accuracy")).alias("accuracy"), "n", F.col("skipped").cast("int").alias("skipped"))
 
 
+@query("e08_shared_grid", GRID_SQL)
+def shared_grid(t: Tables) -> DataFrame:
+    return _grid_rows(t, _grid_configurations())
+
+
+@query("e08_index_grid", GRID_INDEX_SQL)
+def index_grid_rows(t: Tables) -> DataFrame:
+    return _grid_rows(t, _index_configurations())
+
+
 @query("e09_table_experiment", HITS_SQL + MAJORITY_SQL + """
 , x AS (SELECT y, prediction AS y_hat FROM p JOIN (SELECT DISTINCT query_id, y FROM h) USING (query_id) WHERE rn = 1)
 SELECT 'vecflow_e09_' || kind AS collection, round(avg((y = y_hat)::INT) + 1e-9, 6) AS accuracy, count(*) AS n
