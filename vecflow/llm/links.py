@@ -5,15 +5,16 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from vecflow.llm.common import kept
+from vecflow.llm.common import kept, sized
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of undirected edges (a, b): the smallest node that each can reach; nodes without an edge are missing.
 
     Each round first ties all larger neighbours of a node to its smallest one, then all smaller ones; the edges end as
-    stars around the smallest node. Every round is stored in the shared folder; its aggregates and joins are keyed by
-    node and no node's neighbours are gathered. Nulls are left out.
+    stars around the smallest node. Every round is stored in the shared folder. The smallest neighbours are aggregates,
+    and the edges join them from a stored table, by broadcast up to a counted size and else by a shuffle that can split a
+    node with many edges; no node's neighbours are gathered. Nulls are left out.
     """
     stars = kept(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
@@ -23,10 +24,11 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = state
         both = stars.union(stars.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lower, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = kept(both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")))
+        nodes = least.count()
+        large = kept(both.join(sized(least, nodes), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        lower = kept(large.groupBy("a").agg(F.min("b").alias("m")))
+        small = large.join(sized(lower, nodes), "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         stars = kept(small.union(lower).distinct())
     roots = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
