@@ -475,7 +475,7 @@ def test_coder_round_trip_and_checkpoints():
 
 
 def test_coder_is_near_the_entropy():
-    ids = np.minimum(np.random.default_rng(11).zipf(1.4, 500_000), 50_256).astype(np.int64)
+    ids = np.minimum(np.random.default_rng(11).zipf(1.4, tokens.BLOCK), 50_256).astype(np.int64)
     counts = np.bincount(ids, minlength=50_257)
     p = counts[counts > 0] / len(ids)
     data, _ = tokens.Coder(tokens.shares(counts)).encode(ids)
