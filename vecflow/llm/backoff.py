@@ -11,7 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from vecflow.llm.common import WordHashes, column, map_groups, stored, texts
+from vecflow.llm.common import WordHashes, column, map_groups, slices, stored, texts
 
 ORDER = 3
 ALPHA = 0.4
@@ -61,7 +61,7 @@ def chunked(df: DataFrame, id: str, text: str) -> DataFrame:
             words = sum(len(x.split()) for x in held)
             return batch_of([(number, 0, 0, zstandard.compress(b"".join(held), 3), struct.pack("<qq", len(ids), words) + index.tobytes())])
 
-        for batch in batches:
+        for batch in slices(batches):
             for i, x in zip(column(batch, "id").to_pylist(), texts(batch, "text")):
                 ids.append(i)
                 held.append(x.encode("utf-8", "surrogatepass").lower())

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from vecflow.session import scratch_path, shared_dir
 
 BROADCAST_ROWS = 200_000
+SLICE = 512
 WORDS_KEPT = 400_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # what stands between words of digits, letters and non-ASCII
 
@@ -25,17 +26,23 @@ class WordHashes(dict):
         return found
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of SLICE rows, so that a task turns only a few texts at a time into Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
-    """Arrow batches through a function that ``make`` prepares once per task."""
+    """Slices of Arrow batches through a function that ``make`` prepares once per task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
-        for batch in batches:
-            if batch.num_rows:
-                work = work or make()
-                out = work(batch)
-                if out is not None:
-                    yield out
+        for batch in slices(batches):
+            work = work or make()
+            out = work(batch)
+            if out is not None:
+                yield out
 
     return df.mapInArrow(run, schema)
 

@@ -4,24 +4,27 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+import types
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from vecflow.llm.common import column, kept, sized, stored, texts
+from vecflow.llm.common import column, kept, sized, slices, stored, texts
 from vecflow.session import scratch_path
 
 BITS = 20  # frequencies of the shared table add up to 2^BITS
-LANES = 1024
-BLOCK = 1 << 19  # ids after which a block is closed at the end of a document
+LANES = 4096
+BLOCK = 1 << 21  # ids after which a block is closed at the end of a document
 STRIDE = 256  # rounds between checkpoints: a decoder can start at each
 LOW = np.uint64(1 << 31)  # states stay in [2^31, 2^63)
 MAGIC = b"RANS1\0\0\0"
 HEADER = "<8sIIQQIIII"  # magic, lanes, stride, ids, documents, words, crc of ids, crc of words, checkpoints
-CACHE = 400_000
+CACHE = 800_000
 
 
 def shares(counts: np.ndarray) -> np.ndarray:
@@ -118,13 +121,16 @@ class Encoder:
     """The tokenizers library behind a table of whole pieces.
 
     A blank between two visible characters always begins a new piece in byte-level pre-tokenisation, so a text may be
-    cut there and each piece be looked up. Pieces not yet seen are encoded together, as " a b c": an id that begins with
-    a blank begins a piece.
+    cut there and each piece be looked up. A new piece of letters, digits, ASCII marks and single line ends is put together
+    from its runs of these, the units that the library's model merges alone; any other is encoded by the whole library.
     """
 
-    SAFE = "[!-~¡-ɏ]"
-    ODD = re.compile(rf"(?<!{SAFE}) | (?!{SAFE})")
-    CUT = re.compile(rf"(?<={SAFE}) (?={SAFE})")
+    SAFE = "!-~¡-ɏ"
+    STRANGE = re.compile(rf"[^ \n{SAFE}]")
+    CUT = re.compile(rf"(?<=[{SAFE}]) (?=[{SAFE}])")
+    LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"  # marks without the apostrophe, which begins units of its own
+    PLAIN = re.compile(rf"[{LETTERS}0-9{MARKS}\n]+")
+    RUN = re.compile(rf"[{LETTERS}]+|[0-9]+|[{MARKS}]+|\n")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -132,52 +138,70 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.type = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.blank = np.zeros(self.size, bool)
-        for token, id in self.tokenizer.get_vocab().items():
-            self.blank[id] = token.startswith("Ġ")  # the byte alphabet's blank
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(256 + n) for n, b in enumerate(hidden)}
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+        self.code = "H" if self.type.itemsize == 2 else "I"
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
-    def learn(self, fresh: list[str]) -> None:
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        for at in range(0, len(fresh), 2000):
-            part = fresh[at : at + 2000]
-            ids = np.array(self.tokenizer.encode("".join(" " + x for x in part), add_special_tokens=False).ids, self.type)
-            starts = np.flatnonzero(self.blank[ids])
-            if len(starts) != len(part):
-                raise ValueError("pieces can't be told apart")
-            data, step = ids.tobytes(), self.type.itemsize
-            ends = [*(starts[1:] * step).tolist(), len(data)]
-            for piece, a, b in zip(part, (starts * step).tolist(), ends):
-                self.pieces[piece] = data[a:b]
-
-    def encode(self, rows: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes of ``type``."""
-        known, out = self.pieces, []
-        cut = [[x] if " " not in x else self.CUT.split(x) if self.ODD.search(x) else x.split(" ") for x in rows]
-        for head, *rest in cut:
-            plain = [x for x in rest if " " not in x] if any(" " in x for x in rest) else rest
-            try:
-                middle = b"".join([known[x] for x in rest])
-            except KeyError:
-                fresh = list(dict.fromkeys(x for x in plain if x not in known))
-                self.learn(fresh)
-                middle = b"".join([known.get(x) or self.ids(" " + x) for x in rest])
-            out.append(self.ids(head) + middle)
-        return out
-
-
-_ENCODERS: dict[str, Encoder] = {}
+    def merged(self, text: str) -> bytes:
+        """The ids of one unit, by the library's model; a text of one unit needs no splitting."""
+        shown = "Ġ" + text[1:] if text[:1] == " " and text.isascii() else text.encode().decode("latin-1").translate(self.alphabet)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def run(self, text: str) -> bytes:
+        found = self.runs.get(text)
+        if found is None:
+            if len(self.runs) >= CACHE:
+                self.runs.clear()
+            found = self.runs[text] = self.merged(text)
+        return found
+
+    def piece(self, text: str) -> bytes:
+        """The ids of a piece that is not in the table, which is then; a full table becomes the older one."""
+        found = self.older.get(text)
+        if found is None:
+            if text.isascii() and text.isalpha():
+                found = self.merged(" " + text)
+            elif not self.PLAIN.fullmatch(text) or "\n\n" in text or text[0] == "\n" or any(s in text for s in self.special):
+                found = self.ids(" " + text)
+            else:
+                first, *rest = self.RUN.findall(text)
+                found = (self.pieces.get(first) or self.merged(" " + first)) + b"".join([self.run(r) for r in rest])
+        if len(self.pieces) >= CACHE:
+            self.older, self.pieces = self.pieces, {}
+        self.pieces[text] = found
+        return found
+
+    def cut(self, text: str) -> list[str]:
+        """The text's pieces; each but the first has lost the blank before it."""
+        if self.STRANGE.search(text) or "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " ":
+            return self.CUT.split(text)
+        return text.split(" ")
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, as bytes of ``type``."""
+        head, *rest = self.cut(text)
+        found = list(map(self.pieces.get, rest))
+        if None in found:
+            found = [self.piece(x) if f is None else f for x, f in zip(rest, found)]
+        return (self.ids(head) if head else b"") + b"".join(found)
 
 
 def encoder(path: str) -> Encoder:
-    """One per worker process; its table of pieces is bounded."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One per worker process, for all its tasks. Functions travel by value, so it is kept in a module of the worker's own."""
+    own = sys.modules.setdefault("_vecflow_worker", types.ModuleType("_vecflow_worker"))
+    found = vars(own).setdefault("encoders", {})
+    if path not in found:
+        found[path] = Encoder(path)
+    return found[path]
 
 
 def encode(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", end_id: int | None = 2) -> tuple[DataFrame, np.ndarray]:
@@ -186,15 +210,16 @@ def encode(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = counts = None
-        for batch in batches:
+        for batch in slices(batches):
             if work is None:
                 work = encoder(path)
                 counts = np.zeros(work.size, np.int64)
                 end = b"" if end_id is None else np.array([end_id], work.type).tobytes()
-            coded = [x + end for x in work.encode(texts(batch, "text"))]
+            coded = [work.encode(x) + end for x in texts(batch, "text")]
             counts += np.bincount(np.frombuffer(b"".join(coded), work.type), minlength=work.size)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary()), pa.nulls(len(coded), pa.list_(pa.int64()))], ["id", "ids", "total"])
         if work is not None:
+            work.older = {}  # between tasks a worker keeps one table only
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], pa.list_(pa.int64()))], ["id", "ids", "total"])
 
     seen = stored(rows.mapInArrow(run, "id long, ids binary, total array<long>"), "ids", compression="zstd")
