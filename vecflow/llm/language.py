@@ -240,9 +240,16 @@ def pages(df: DataFrame, model: Model, row: Column, page: str = "html", address:
 
 
 def accepted(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", least: float = 0.5) -> DataFrame:
-    """The rows whose language is found, in their own columns, with that language in ``lang``; texts are not shuffled."""
+    """The rows whose language is found, in their own columns, with that language in ``lang``.
+
+    Rows are told apart by two hashes of id, text, language and source. Only those that are rejected or get another
+    language are joined back, by broadcast up to a counted size, so that texts usually are not shuffled.
+    """
     model = fit(df, id, text, lang)
-    statistics = stored(documents(df, model, F.col(id), text, lang, source), "evidence")
-    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
-    out = Priors(statistics, model.languages).decide(documents(df, model, row, text, lang, source), least).where("found.kept")
-    return out.select(*(F.col("found.lang").alias(c) if c == lang else F.col(f"row.`{c}`") for c in df.columns))
+    keys = {f"k{seed}__": F.xxhash64(F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in (id, text, lang, source))) for seed in (1, 2)}
+    row = F.struct(*(c.alias(k) for k, c in keys.items()), F.col(lang).alias("lang"))
+    found = identify(stored(documents(df, model, row, text, lang, source), "evidence"), model, least)
+    other = found.where(~F.col("found.kept") | ~F.col("found.lang").eqNullSafe(F.col("row.lang")))
+    other = kept(other.select(*(f"row.{k}" for k in keys), F.struct("found.kept", "found.lang").alias("found__")).distinct())
+    out = df.withColumns(keys).join(sized(other, other.count()), list(keys), "left").where(F.col("found__").isNull() | F.col("found__.kept"))
+    return out.select(*(F.coalesce("found__.lang", F.col(lang)).alias(c) if c == lang else F.col(f"`{c}`") for c in df.columns))
