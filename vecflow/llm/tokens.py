@@ -24,7 +24,7 @@ STRIDE = 256  # rounds between checkpoints: a decoder can start at each
 LOW = np.uint64(1 << 31)  # states stay in [2^31, 2^63)
 MAGIC = b"RANS1\0\0\0"
 HEADER = "<8sIIQQIIII"  # magic, lanes, stride, ids, documents, words, crc of ids, crc of words, checkpoints
-CACHE = 800_000
+CACHE = 300_000
 
 
 def shares(counts: np.ndarray) -> np.ndarray:
