@@ -7,14 +7,18 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vecflow.llm import backoff, decontamination, language, links, mixing, oddsketch, queries, simhash, tokens
+from vecflow.llm import backoff, decontamination, language, links, mixing, oddsketch, queries, simhash, sql, tokens
+from vecflow.llm.common import WordHashes
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -188,6 +192,27 @@ def test_backoff_edges(messy, nothing):
     assert backoff.report(nothing).count() == 0
 
 
+def test_backoff_merges_no_n_grams(spark):
+    """10,000 documents: as many hashes as n-grams, all scores finite and as in SQL."""
+    folder = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = {r[0]: r for r in con.execute(sql.BACKOFF).fetchall()}
+    rows = {r["doc_id"]: tuple(r) for r in queries.op4_backoff(spark, folder).collect()}
+    assert rows.keys() == want.keys()
+    for i, (_, n, score, mean, *seen) in rows.items():
+        assert (n, seen) == (want[i][1], list(want[i][4:]))
+        assert score == pytest.approx(want[i][2], abs=1e-3) and (mean is None if want[i][3] is None else mean == pytest.approx(want[i][3], abs=1e-5))
+
+
+def test_backoff_without_a_context_backs_off():
+    grams = backoff.Grams(zstandard.compress(b"a b"), struct.pack("<qq", 1, 2) + np.array([7, 1, 3], "<i8").tobytes(), 2, WordHashes())
+    totals = [np.where(np.arange(2) == grams.number[0][0], 1, 5), np.array([6])]
+    (row,) = backoff.scored(grams, totals, 12, 2, 0.4, True).to_pylist()
+    assert row["seen"] == [1, 1, 0]
+    assert row["log_score"] == pytest.approx(math.log(0.4 / 10) + math.log(4 / 10) + math.log(0.4))
+
+
 # ---- decontamination
 
 

@@ -17,7 +17,6 @@ ORDER = 3
 ALPHA = 0.4
 CHUNK = 1 << 23  # characters of the documents that are scored together
 BUCKET_GRAMS = 2_000_000  # entries that meet in one task
-SPARE_BITS = 16  # two n-grams share a hash with probability 2^-16 per n-gram
 ROW = "chunk long, ord int, bucket int, data binary, extra binary"
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD]
 
@@ -79,7 +78,7 @@ def chunked(df: DataFrame, id: str, text: str) -> DataFrame:
 class Grams:
     """The n-grams of a chunk: per order the hash at each place where one ends, as a number in the sorted distinct list."""
 
-    def __init__(self, data: bytes, extra: bytes, order: int, bits: int, hashes: WordHashes):
+    def __init__(self, data: bytes, extra: bytes, order: int, hashes: WordHashes):
         n, _ = struct.unpack_from("<qq", extra)
         index = np.frombuffer(extra, "<i8", offset=16)
         self.ids = [int(i) if k else None for i, k in zip(index[:n], index[n : 2 * n])]
@@ -98,27 +97,26 @@ class Grams:
             for back in range(k):
                 mixed = (mixed ^ words[ends - back]) * np.uint64(_ODD[back % len(_ODD)])
                 mixed ^= mixed >> np.uint64(29)
-            mixed = mixed * np.uint64(_ODD[-1]) >> np.uint64(64 - bits)
-            distinct, number, counts = np.unique(mixed, return_inverse=True, return_counts=True)
+            distinct, number, counts = np.unique(mixed * np.uint64(_ODD[-1]), return_inverse=True, return_counts=True)
             self.ends.append(ends)
             self.number.append(number)
             self.distinct.append(distinct)
             self.counts.append(counts)
 
 
-def asked(grams: Grams, chunk: int, buckets: int, bits: int) -> pa.RecordBatch | None:
+def asked(grams: Grams, chunk: int, buckets: int) -> pa.RecordBatch | None:
     """A row per order and bucket: the chunk's distinct n-grams there and how often it has them."""
     rows = []
     for k, (distinct, counts) in enumerate(zip(grams.distinct, grams.counts), 1):
-        cuts = np.searchsorted(distinct, bounds(buckets, bits))
+        cuts = np.searchsorted(distinct, bounds(buckets))
         for b, (low, high) in enumerate(zip(cuts, [*cuts[1:], len(distinct)])):
             if high > low:
                 rows.append((chunk, k, b, squeezed(distinct[low:high]), numbers(counts[low:high])))
     return batch_of(rows) if rows else None
 
 
-def bounds(buckets: int, bits: int) -> np.ndarray:
-    return np.array([(b << bits) // buckets for b in range(buckets)], np.uint64)
+def bounds(buckets: int) -> np.ndarray:
+    return np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
 
 
 def answered(table: pa.Table) -> pa.RecordBatch:
@@ -153,7 +151,10 @@ def scored(grams: Grams, totals: list[np.ndarray], everything: int, order: int,
     rest = everything - (grams.sizes[grams.owner] if leave_out else 0)
     level = np.zeros(length, np.int64)
     for k in range(order):
-        level[counts[k] > 0] = k + 1  # an n-gram that was seen has seen all its parts
+        good = counts[k] > 0
+        if k:  # an n-gram that was seen has seen its context; if equal hashes say otherwise, the word backs off
+            good[1:] &= counts[k - 1][:-1] > 0
+        level[good] = k + 1
     odds = np.log(alpha / np.maximum(rest, 1))
     longest = np.zeros(length, np.int64)
     for k in range(order):
@@ -187,8 +188,8 @@ def scores(df: DataFrame, id: str = "doc_id", text: str = "text", order: int = O
 
     A null or empty text has no words: score 0, mean null. Repeated rows are documents of their own; rows without an id are
     scored; no rows give no rows; other columns are not read. Documents are scored in chunks: a chunk sends each distinct
-    n-gram once to the bucket of its hash and gets the corpus count back, so no word or n-gram is hot. The number of buckets
-    and the width of the hashes follow the number of words.
+    n-gram once to the bucket of its hash of 64 bits and gets the corpus count back, so no word or n-gram is hot. The number
+    of buckets follows the number of words.
     """
     chunks = chunked(df, id, text)
 
@@ -199,14 +200,13 @@ def scores(df: DataFrame, id: str = "doc_id", text: str = "text", order: int = O
     sizes = chunks.select("extra").mapInArrow(lambda batches: (counted(b) for b in batches if b.num_rows), "words long")
     everything, number = sizes.agg(F.sum("words"), F.count("*")).first()
     everything = int(everything or 0)
-    bits = min(64, max(24, everything.bit_length() + SPARE_BITS))
     buckets = max(1, everything // BUCKET_GRAMS)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for chunk, data, extra in zip(*(column(batch, c).to_pylist() for c in ("chunk", "data", "extra"))):
-                out = asked(Grams(data, extra, order, bits, hashes), chunk, buckets, bits)
+                out = asked(Grams(data, extra, order, hashes), chunk, buckets)
                 if out is not None:
                     yield out
 
@@ -215,7 +215,7 @@ def scores(df: DataFrame, id: str = "doc_id", text: str = "text", order: int = O
 
         def work(table: pa.Table) -> pa.RecordBatch:
             data, extra = table["data"].to_pylist(), table["extra"].to_pylist()
-            grams = Grams(data[0], extra[0], order, bits, hashes)
+            grams = Grams(data[0], extra[0], order, hashes)
             level = table["ord"].to_pylist()
             totals = [np.concatenate([unnumbers(d) for d, o in zip(data, level) if o == k] or [np.zeros(0, np.int64)]) for k in range(1, order + 1)]
             return scored(grams, totals, everything, order, alpha, leave_out)
