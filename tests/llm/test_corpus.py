@@ -70,6 +70,21 @@ def test_language_edges(messy, nothing):
     assert language.accepted(nothing).count() == 0
 
 
+def test_language_fit_knows_rare_labels(spark):
+    words = {"en": "the house of and with from that", "de": "der die das und nicht auf ist", "cy": "mae yn ddigon llawer gwynt cymru"}
+    rng = random.Random(6)
+    said = lambda x: " ".join(rng.choice(words[x].split()) for _ in range(30))
+    rows = [(i, said("en"), "en", "a", 1) for i in range(3_000)] + [(None, said("de"), "de", "a", 1) for _ in range(3_000)] + [(1, said("en"), "en", "a", 1)] * 500
+    rows += [(9_000 + i, said("cy"), "cy", "a", 1) for i in range(3)]
+    df = frame(spark, rows)
+    labels, sample = language.sampled(df, "doc_id", "text", "lang", 100, 3)
+    counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    assert labels == ["cy", "de", "en"] and counts["cy"] == 3 and all(20 <= counts[x] <= 90 for x in ("de", "en"))
+    model = language.fit(df, rows=100)
+    found = language.identify(language.documents(df.where("lang = 'cy'"), model, F.col("doc_id")), model).select("found.*").collect()
+    assert [(r["lang"], r["declared"], r["kept"]) for r in found] == [("cy", "cy", True)] * 3
+
+
 # ---- mixing
 
 

@@ -13,6 +13,7 @@ from vecflow.llm.common import kept, map_batches, map_groups, sized, stored, tex
 
 CELLS = 1 << 16  # hashed byte trigrams
 CHUNK = 1 << 22  # bytes scored at once
+LEAST_ROWS = 20  # a label's share of the sample is at least this
 FULL_WEIGHT = 2_000  # a longer text counts for so many trigrams in a fit, spread over all of it
 SATURATION = 200.0  # a text counts for at most so many independent trigrams
 UNKNOWN = "und"
@@ -83,14 +84,32 @@ class Model:
         return n, scores / (1 + n[:, None] / SATURATION)
 
 
+def sampled(df: DataFrame, id: str, text: str, label: str, rows: int, seed: int) -> tuple[list[str], DataFrame]:
+    """All labels, and about ``rows`` different labelled rows (label, text, draw): an even share of each label or all it has.
+
+    A row is drawn by a hash of its id and text, so rows without an id and rows of a repeated id are drawn one by one;
+    copies count once.
+    """
+    labelled = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"), uniform(seed, F.col(id), F.col(text)).alias("draw"))
+    found = labelled.select("label", "draw").distinct().groupBy("label").count().orderBy("label").collect()
+    left, open_, share = rows, len(found), 0.0
+    for n in sorted(r["count"] for r in found):
+        share = max(left / open_, LEAST_ROWS)
+        if n > share:
+            break
+        left, open_ = left - n, open_ - 1
+    cut = [F.lit(x) for r in found if r["count"] > share for x in (r["label"], share / r["count"])]
+    if cut:
+        labelled = labelled.where(F.col("draw") < F.coalesce(F.try_element_at(F.create_map(*cut), F.col("label")), F.lit(1.0)))
+    return [r["label"] for r in found], labelled.dropDuplicates(["label", "draw"])
+
+
 def fit(df: DataFrame, id: str = "doc_id", text: str = "text", label: str = "lang", rows: int = 2_000, seed: int = 3) -> Model:
-    """A model of about ``rows`` labelled rows, chosen by a hash of their id; only per-language counts leave the tasks.
+    """A model of every label, fitted on about ``rows`` labelled rows; only per-language counts leave the tasks.
 
     Without labelled rows the model knows no language, and every row is rejected.
     """
-    labelled = df.where(F.col(label).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"), F.col(id).alias("id"))
-    count = labelled.count()
-    sample = labelled.where(uniform(seed, F.col("id")) < rows / max(count, 1)) if count > rows else labelled
+    languages, sample = sampled(df, id, text, label, rows, seed)
 
     def work(table: pa.Table) -> pa.RecordBatch:
         counts = np.zeros(CELLS)
@@ -101,9 +120,9 @@ def fit(df: DataFrame, id: str = "doc_id", text: str = "text", label: str = "lan
             counts += np.bincount(cell, weight[owner], CELLS)
         return pa.RecordBatch.from_arrays([table["label"].combine_chunks().slice(0, 1), pa.array([counts.astype("<f8").tobytes()], pa.binary())], ["label", "counts"])
 
-    found = map_groups(sample, ["label"], ["id"], lambda: work, "label string, counts binary").orderBy("label").collect()
-    counts = np.array([np.frombuffer(r["counts"], "<f8") for r in found]).reshape(len(found), CELLS)
-    return Model.of([r["label"] for r in found], counts)
+    found = {r["label"]: r["counts"] for r in map_groups(sample, ["label"], ["draw"], lambda: work, "label string, counts binary").collect()}
+    counts = np.array([np.frombuffer(found[x], "<f8") if x in found else np.zeros(CELLS) for x in languages]).reshape(len(languages), CELLS)
+    return Model.of(languages, counts)
 
 
 def evidence(df: DataFrame, model: Model, row: Column, text: Column, declared: Column, address: Column, markup: bool = False) -> DataFrame:
