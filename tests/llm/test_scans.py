@@ -142,6 +142,20 @@ def test_random_runs_are_found_among_ordinary_text(spark, texts):
     assert not any(s["kind"] == 3 for i in range(30, 60) for s in found[i])
 
 
+def test_short_and_letter_only_keys_are_found_among_ordinary_text(spark, texts):
+    rng = random.Random(8)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    forms = [(lower + upper, 16), (lower + upper + "0123456789", 16), (lower, 32), (upper, 32)]
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a, n in forms for _ in range(30)]
+    plain = ["incomprehensibilities", "internationalization", "counterrevolutionary", "uncharacteristically", "INTERNATIONALIZATION", "getElementsByClassName"] * 5
+    rows = [(i, f"{t} {x} {t[:50]}") for i, (t, x) in enumerate(zip([*texts.values()] * 2, keys + plain))]
+    found = {r["doc_id"]: r["spans"] for r in randomness.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = [any(s["kind"] == 3 and rows[i][1][s["start"] : s["end"]] == x for s in found[i]) for i, x in enumerate(keys)]
+    assert all(sum(hit[a : a + 30]) >= 25 for a in range(0, 120, 30)), [sum(hit[a : a + 30]) for a in range(0, 120, 30)]
+    wrong = [rows[i][1][s["start"] : s["end"]] for i in range(120, len(rows)) for s in found[i] if s["kind"] == 3]
+    assert not set(wrong) & set(plain), wrong
+
+
 def test_step_up_control():
     quiet = np.zeros(len(randomness.LENGTHS))
     quiet[1] = 96

@@ -23,11 +23,15 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 
 # alphabets from the narrowest; a run is read in the first that holds it
 ALPHABETS = {
+    "digits": "0123456789",
     "hex": "0123456789abcdef",
     "HEX": "0123456789ABCDEF",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/",
     "base64url": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz-_",
@@ -57,12 +61,10 @@ def normal_tail(z: float) -> float:
 def battery(token: str) -> float:
     """How well a run agrees with uniform draws from its encoding's alphabet: the smallest p of three tests, times three.
 
-    Chi-squared over equal parts of the alphabet, runs above and below its middle, correlation of neighbours. 0 if the
-    run has no letters or no digits, or no encoding holds it.
+    Chi-squared over equal parts of the alphabet, runs above and below its middle, correlation of neighbours. 0 if
+    no encoding holds the run.
     """
     body = token.rstrip("=")
-    if not re.search("[0-9]", body) or not re.search("[A-Za-z]", body):
-        return 0.0
     alphabet = next((a for a in ALPHABETS.values() if set(body) <= set(a)), None)
     if alphabet is None:
         return 0.0
