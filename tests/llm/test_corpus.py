@@ -437,6 +437,18 @@ def test_near_duplicate_edges(messy, nothing):
     assert left.where("doc_id IN (2, 7)").count() == 0
 
 
+def test_one_row_of_each_group_stays(spark, messy):
+    left = [r["doc_id"] for r in oddsketch.deduplicated(messy).collect()]
+    assert sorted(left, key=lambda i: (i is None, i or 0)) == [1, 3, 4, 5, 6, 8, 9, 10, None]
+    words = [" ".join(f"{x}{i}" for i in range(40)) for x in "abcd"]
+    rows = [(None, words[0], "en", str(i % 3), 1) for i in range(9)]  # copies without an id
+    rows += [(None, words[1] + " more", None, None, None), (None, words[1], None, "a", None), (7, words[1], "a", None, None)]  # near copies
+    rows += [(5, words[2], "en", "a", 1), (5, words[3], "en", "a", 1), (5, words[3], "en", "a", 1)]  # two texts of one id
+    rows += [(8, None, "en", "a", 1)] * 2 + [(None, None, None, None, None)] * 2
+    left = collections.Counter((r["doc_id"], r["text"]) for r in oddsketch.deduplicated(frame(spark, rows)).collect())
+    assert left == {(None, words[0]): 1, (7, words[1]): 1, (5, words[2]): 1, (5, words[3]): 1, (8, None): 1, (None, None): 2}
+
+
 def test_components(spark):
     rng = random.Random(9)
     chain = [(i, i + 1) for i in range(40)]

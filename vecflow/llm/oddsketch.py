@@ -213,7 +213,24 @@ def groups(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = 4,
 
 
 def deduplicated(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of one document of each group, in their own columns; repeated rows of a kept id are one row."""
-    gone = kept(groups(df, id, text, size, similarity).where("NOT kept").select(id).distinct())
-    rows = df.join(sized(gone, gone.count()), id, "left_anti").select(*df.columns)
-    return rows
+    """Exactly one row of each group of similar texts, in its own columns: smallest id (null last), then smallest row hash.
+
+    Rows are told apart by a hash of all columns, so rows without an id and rows of a repeated id are judged like all
+    others. Of rows without words, those of one id are one row; those without an id all stay.
+    """
+    whole = F.xxhash64(*(f(F.col(f"`{c}`")) for c in df.columns for f in (lambda x: x, F.isnull)))
+    keyed = df.withColumn("row__", whole)
+    same = groups(keyed, "row__", text, size, similarity).groupBy("row__").agg(F.first("n_shingles").alias("n__"), F.first("component_id").alias("component__"))
+    rows = keyed.groupBy("row__").agg(F.first(F.col(id)).alias("id__"), F.count("*").alias("copies__")).join(same, "row__")
+    worded = F.col("n__") > 0
+    rows = rows.where(worded | F.col("id__").isNotNull())
+    rows = rows.select("row__", "id__", "copies__", F.when(worded, F.col("component__")).alias("set__"), F.when(~worded, F.col("id__")).alias("empty__"))
+    rows = kept(rows.withColumn("group__", F.struct("set__", "empty__")))
+    order = F.struct(F.col("id__").isNull(), F.col("id__"), F.col("row__").alias("row__"))
+    best = rows.groupBy("group__").agg(F.min(order)["row__"].alias("best__"), F.sum("copies__").alias("all__")).where("all__ > 1").select("group__", "best__")
+    judged = rows.join(best, "group__").select("row__", "copies__", (F.col("row__") == F.col("best__")).alias("stays__"))
+    judged = kept(judged.where("NOT stays__ OR copies__ > 1"))
+    repeated = judged.where("stays__").select("row__")
+    once = keyed.join(sized(repeated, repeated.count()), "row__", "left_semi").dropDuplicates(["row__"])
+    alone = keyed.join(sized(judged.select("row__"), judged.count()), "row__", "left_anti")
+    return alone.select(*df.columns).union(once.select(*df.columns))
