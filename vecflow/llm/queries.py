@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vecflow.llm import backoff, chat, decontamination, language, licenses, mixing, oddsketch, randomness, simhash, sql, tokens
+from vecflow.llm import backoff, chat, decontamination, language, licenses, merkle, mixing, oddsketch, randomness, simhash, sql, tokens
 from vecflow.llm.common import stored, table
 
 def tokenizer_path() -> str:
@@ -69,11 +69,16 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(rows.union(more)))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_licenses, op2_language, op3_mixing, op4_backoff, op5_decontamination, op6_fingerprints, op7_minhash, op8_tokens, op9_secrets, op10_chat)}
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.report(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_licenses, op2_language, op3_mixing, op4_backoff, op5_decontamination, op6_fingerprints, op7_minhash, op8_tokens, op9_secrets, op10_chat, op11_manifest)}
 # the others hash in ways SQL does not offer, fit a model, draw at random or run a tokenizer; tests/llm checks them by brute force
 ORACLES: dict[str, str] = {
     "op4_backoff": sql.BACKOFF,
     "op5_decontamination": sql.DECONTAMINATION,
     "op7_minhash": sql.NEAR_DUPLICATES,
     "op10_chat": sql.CHAT,
+    "op11_manifest": sql.MANIFEST,
 }

@@ -84,3 +84,34 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
              sum(length(escaped) + CASE role {_MARKED} END) + count(*) - 1 AS formatted_chars, count(*) FILTER (escaped <> text) AS n_escaped
       FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(said) AS loss_chars, sha256(said) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars, n_escaped FROM g"""
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+
+# CRC-32 of a decimal id, bit by bit; 3988292384 is the reversed polynomial
+_CRC = """xor(4294967295, list_reduce(list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT),
+  lambda c, b: list_reduce(range(8), lambda x, s: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295::BIGINT))"""
+
+MANIFEST = f"""
+WITH RECURSIVE d AS (SELECT *, row_number() OVER () AS row, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n
+  FROM (SELECT doc_id, coalesce('1' || source, '0') AS source, {_leaf("text")} AS leaf, CASE WHEN {_CRC} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS changed FROM documents)),
+t AS (SELECT source, 0 AS level, i AS j, n, leaf AS h FROM d
+  UNION ALL SELECT source, level + 1, j // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY j)) FROM t WHERE n > 1 GROUP BY source, level, j // 3),
+s AS (SELECT source, h, row_number() OVER (ORDER BY source) - 1 AS place, count(*) OVER () AS n FROM t WHERE n = 1),
+r AS (SELECT 0 AS level, place AS j, n, h FROM s
+  UNION ALL SELECT level + 1, j // 3, (any_value(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY j)) FROM r WHERE n > 1 GROUP BY level, j // 3),
+p AS (SELECT d.row, 0 AS stage, t.level, t.j, t.h, d.i // (3 ** t.level)::BIGINT AS own FROM d JOIN t ON t.source = d.source AND t.n > 1 AND t.j // 3 = d.i // (3 ** (t.level + 1))::BIGINT
+  UNION ALL SELECT d.row, 1, r.level, r.j, r.h, s.place // (3 ** r.level)::BIGINT FROM d JOIN s ON s.source = d.source JOIN r ON r.n > 1 AND r.j // 3 = s.place // (3 ** (r.level + 1))::BIGINT),
+steps AS (SELECT row, row_number() OVER (PARTITION BY row ORDER BY stage, level) AS step, coalesce(string_agg(h, '' ORDER BY j) FILTER (j < own), '') AS l, coalesce(string_agg(h, '' ORDER BY j) FILTER (j > own), '') AS g FROM p GROUP BY row, stage, level),
+f AS (SELECT row, 0 AS step, changed AS h FROM d UNION ALL SELECT f.row, f.step + 1, sha256(l || f.h || g) FROM f JOIN steps ON steps.row = f.row AND steps.step = f.step + 1),
+e AS (SELECT row, arg_max(h, step) AS folded_root FROM f GROUP BY row),
+q AS (SELECT row, string_agg(l || g, '' ORDER BY step) AS said FROM steps GROUP BY row),
+root AS (SELECT h FROM r WHERE n = 1)
+SELECT doc_id, leaf, s.h AS subroot, root.h AS root, sha256(coalesce(said, '')) AS proof_sha256, folded_root, folded_root = root.h AS verified
+FROM d JOIN s ON s.source = d.source JOIN e ON e.row = d.row LEFT JOIN q ON q.row = d.row, root"""
