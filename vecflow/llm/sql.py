@@ -115,3 +115,25 @@ q AS (SELECT row, string_agg(l || g, '' ORDER BY step) AS said FROM steps GROUP
 root AS (SELECT h FROM r WHERE n = 1)
 SELECT doc_id, leaf, s.h AS subroot, root.h AS root, sha256(coalesce(said, '')) AS proof_sha256, folded_root, folded_root = root.h AS verified
 FROM d JOIN s ON s.source = d.source JOIN e ON e.row = d.row LEFT JOIN q ON q.row = d.row, root"""
+
+PHRASES = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+q AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS v FROM p),
+t AS (SELECT lang, id, unnest(v) AS w, generate_subscripts(v, 1) AS i FROM q),
+g AS (SELECT lang, w, w || ' ' || lead(w) OVER o AS w2, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS w3,
+             w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS w4 FROM t WINDOW o AS (PARTITION BY id ORDER BY i)),
+totals AS (SELECT lang, count(*) AS n FROM t GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, 1 AS m, w AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, 2, w2, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, 3, w3, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30
+  UNION ALL SELECT lang, 4, w4, count(*) FROM g WHERE w4 IS NOT NULL GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS v FROM f WHERE m > 1),
+k AS (SELECT lang, m, phrase, a, k, array_to_string(v[1:k], ' ') AS one, array_to_string(v[k + 1:], ' ') AS two FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT k.lang, k.m, k.phrase, a, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = k.one JOIN f y ON y.lang = k.lang AND y.phrase = k.two
+  QUALIFY row_number() OVER (PARTITION BY k.lang, k.phrase ORDER BY score, k) = 1),
+z AS (SELECT lang, a, v, m, unnest(range(2, m)) AS z FROM c WHERE m > 2),
+i AS (SELECT lang, array_to_string(v[x:x + z - 1], ' ') AS phrase, max(a) AS inside FROM (SELECT *, unnest(range(1, m - z + 2)) AS x FROM z) GROUP BY ALL),
+o AS (SELECT s.* FROM s LEFT JOIN i ON i.lang = s.lang AND i.phrase = s.phrase WHERE inside IS NULL OR 100 * inside < 80 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM o JOIN totals USING (lang) QUALIFY rank <= 2000"""
