@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vecflow.llm import backoff, chat, decontamination, language, licenses, merkle, mixing, oddsketch, phrases, randomness, simhash, sql, tokens
+from vecflow.llm import backoff, chat, decontamination, language, lattice, licenses, merkle, mixing, oddsketch, phrases, randomness, simhash, sql, tokens
 from vecflow.llm.common import stored, table
 
 def tokenizer_path() -> str:
@@ -73,11 +73,15 @@ def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.report(table(spark, folder, "documents"))
 
 
+def op12_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.linked(table(spark, folder, "embeddings"))
+
+
 def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_licenses, op2_language, op3_mixing, op4_backoff, op5_decontamination, op6_fingerprints, op7_minhash, op8_tokens, op9_secrets, op10_chat, op11_manifest, op13_phrases)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_licenses, op2_language, op3_mixing, op4_backoff, op5_decontamination, op6_fingerprints, op7_minhash, op8_tokens, op9_secrets, op10_chat, op11_manifest, op12_embeddings, op13_phrases)}
 # the others hash in ways SQL does not offer, fit a model, draw at random or run a tokenizer; tests/llm checks them by brute force
 ORACLES: dict[str, str] = {
     "op4_backoff": sql.BACKOFF,
@@ -85,5 +89,6 @@ ORACLES: dict[str, str] = {
     "op7_minhash": sql.NEAR_DUPLICATES,
     "op10_chat": sql.CHAT,
     "op11_manifest": sql.MANIFEST,
+    "op12_embeddings": sql.NEAR_VECTORS,
     "op13_phrases": sql.PHRASES,
 }

@@ -137,3 +137,11 @@ i AS (SELECT lang, array_to_string(v[x:x + z - 1], ' ') AS phrase, max(a) AS ins
 o AS (SELECT s.* FROM s LEFT JOIN i ON i.lang = s.lang AND i.phrase = s.phrase WHERE inside IS NULL OR 100 * inside < 80 * a)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
 FROM o JOIN totals USING (lang) QUALIFY rank <= 2000"""
+
+NEAR_VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, e FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+  WHERE len(e) > 0 AND list_bool_and(list_transform(e, lambda x: coalesce(isfinite(x), false))) AND list_bool_or(list_transform(e, lambda x: x <> 0))),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+c AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT p.b, c.c FROM c JOIN p ON p.a = c.vec_id),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a), m AS (SELECT vec_id, min(c) AS component_id FROM c GROUP BY vec_id)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM m LEFT JOIN n ON n.a = m.vec_id"""
