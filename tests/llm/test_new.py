@@ -242,3 +242,47 @@ def test_phrases_edges(spark, messy, nothing):
     assert sorted(map(tuple, phrases.collocations(messy, least=2).collect())) == collocation_rows(rows, least=2)
 
 
+
+
+# ---- columns of any name and type, rows without ids
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+    from vecflow.llm import decontamination, language, oddsketch
+
+    plain = "the quick brown fox jumps over the lazy dog and runs away into the dark green forest again"
+    other = "some quite different words stand in this text so that nothing of it is like the first one at all"
+    rows = [(1, plain, "en", "a", 1, 77, 5, {"x": 1, "y": 2}, 8), (2, plain, "en", "a", 1, 78, 6, {"y": 2}, 9), (None, other, "en", "a", 1, 79, 7, None, 10), (None, other, "en", "a", 1, 79, 7, None, 10)]
+    schema = f"{DOCUMENT}, row__ long, `a.b` int, m map<string,int>, new_0 int"
+    df = spark.createDataFrame(rows, schema)
+    found = oddsketch.deduplicated(df)
+    assert found.columns == df.columns and found.schema["m"].dataType == df.schema["m"].dataType
+    assert sorted((r["doc_id"] or 0, r["row__"], r["a.b"], r["new_0"]) for r in found.collect()) == [(0, 79, 7, 10), (1, 77, 5, 8)]
+    items = spark.createDataFrame([(1, " ".join(other.split()[:12]))], "item_id long, text string")
+    assert decontamination.clean(df.drop("m"), items).columns == df.drop("m").columns
+    kept = language.accepted(df.drop("m").withColumn("new_1", F.lit(3)))
+    assert [r["new_1"] for r in kept.collect()] == [3] * kept.count() and kept.columns == [*df.drop("m").columns, "new_1"]
+    assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_equal_hashes_of_different_rows_are_told_apart(spark, monkeypatch):
+    from vecflow.llm import oddsketch
+
+    real, seeds = oddsketch.F.xxhash64, []
+
+    def poor(first, *rest):  # with the first seed all rows share a hash
+        seeds.append(first)
+        return F.lit(5).cast("long") if len(seeds) == 1 else real(first, *rest)
+
+    monkeypatch.setattr(oddsketch.F, "xxhash64", poor)
+    keyed = oddsketch.told_apart(spark.createDataFrame([(1, "x"), (2, "y")], "id long, t string"), "k")
+    assert len({r["k"] for r in keyed.collect()}) == 2
+
+
+def test_rows_without_ids_draw_on_their_own(spark):
+    from vecflow.llm import mixing
+
+    rows = spark.range(2_000).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat_ws(" ", F.col("id").cast("string"), F.repeat(F.lit("w "), (F.col("id") * 7919 % 90).cast("int"))).alias("text"), F.when(F.col("id") % 3 > 0, "hot").otherwise("b").alias("source"))
+    out = mixing.report(rows.withColumn("source", F.col("source"))).groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 2 for r in out)

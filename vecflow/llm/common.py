@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -33,6 +35,21 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work; at its end the worker, which goes on to other tasks and stages, gives its free memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            return
+
+    return run
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
     """Slices of Arrow batches through a function that ``make`` prepares once per task."""
 
@@ -44,7 +61,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             if out is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def texts(batch: pa.RecordBatch, name: str) -> list[str]:
@@ -89,7 +106,7 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], make: Callable[
             if out is not None and out.num_rows:
                 yield out
 
-    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(trimmed(run), schema)
 
 
 def lowered_words(text: Column) -> Column:
@@ -115,6 +132,12 @@ def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def free_names(df: DataFrame, number: int) -> list[str]:
+    """Column names that the table does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return [name for name in (f"new_{k}" for k in range(number + len(taken))) if name not in taken][:number]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

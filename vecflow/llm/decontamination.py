@@ -99,4 +99,4 @@ def report(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", item: str =
 def clean(df: DataFrame, benchmark: DataFrame, id: str = "doc_id", **options) -> DataFrame:
     """The rows, in their own columns, of documents without an overlap."""
     gone = kept(overlaps(df, benchmark, id=id, **options).select(id).distinct())
-    return df.join(sized(gone, gone.count()), id, "left_anti").select(*df.columns)
+    return df.join(sized(gone, gone.count()), id, "left_anti").select(*(f"`{c}`" for c in df.columns))

@@ -9,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vecflow.llm.common import kept, map_batches, map_groups, sized, stored, texts, uniform
+from vecflow.llm.common import free_names, kept, map_batches, map_groups, sized, stored, texts, uniform
 
 CELLS = 1 << 16  # hashed byte trigrams
-CHUNK = 1 << 22  # bytes scored at once
+CHUNK = 1 << 19  # bytes scored at once
 LEAST_ROWS = 20  # a label's share of the sample is at least this
 FULL_WEIGHT = 2_000  # a longer text counts for so many trigrams in a fit, spread over all of it
 SATURATION = 200.0  # a text counts for at most so many independent trigrams
@@ -265,10 +265,12 @@ def accepted(df: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     language are joined back, by broadcast up to a counted size, so that texts usually are not shuffled.
     """
     model = fit(df, id, text, lang)
-    keys = {f"k{seed}__": F.xxhash64(F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in (id, text, lang, source))) for seed in (1, 2)}
+    free = free_names(df, 3)
+    keys = {free[seed]: F.xxhash64(F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in (id, text, lang, source))) for seed in (1, 2)}
+    judged = free[0]
     row = F.struct(*(c.alias(k) for k, c in keys.items()), F.col(lang).alias("lang"))
     found = identify(stored(documents(df, model, row, text, lang, source), "evidence"), model, least)
     other = found.where(~F.col("found.kept") | ~F.col("found.lang").eqNullSafe(F.col("row.lang")))
-    other = kept(other.select(*(f"row.{k}" for k in keys), F.struct("found.kept", "found.lang").alias("found__")).distinct())
-    out = df.withColumns(keys).join(sized(other, other.count()), list(keys), "left").where(F.col("found__").isNull() | F.col("found__.kept"))
-    return out.select(*(F.coalesce("found__.lang", F.col(lang)).alias(c) if c == lang else F.col(f"`{c}`") for c in df.columns))
+    other = kept(other.select(*(f"row.{k}" for k in keys), F.struct("found.kept", "found.lang").alias(judged)).distinct())
+    out = df.withColumns(keys).join(sized(other, other.count()), list(keys), "left").where(F.col(judged).isNull() | F.col(f"{judged}.kept"))
+    return out.select(*(F.coalesce(f"{judged}.lang", F.col(lang)).alias(c) if c == lang else F.col(f"`{c}`") for c in df.columns))

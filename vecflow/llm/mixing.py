@@ -152,10 +152,11 @@ def mix(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "so
     """All rows with size, source_size, target and copies (0, 1 or 2) as the struct column ``mixed``.
 
     The decision on a row needs only the row and its source's line of the plan, so texts are never shuffled. A null text
-    has size 0 and no copies; null sources are one source, the last; rows without an id share one random number; repeated
-    rows are taken or left together; no rows give no rows. Reruns agree: the random number is a hash of seed and id.
+    has size 0 and no copies; null sources are one source, the last; repeated rows (id and text)
+    are taken or left together; rows without an id draw by their text; no rows give no rows. Reruns agree: the random number
+    is a hash of seed, id and text.
     """
-    number = F.coalesce(F.col(id).cast("long"), F.lit(-(2**63)))
+    number = F.xxhash64(F.col(id), F.col(text))
     sizes = stored(df.select(number.alias("id"), key(F.col(source)).alias("key"), words(F.col(text)).alias("size")), "sizes")
     decided, sources = plan(sizes, share, weights, seed)
     row = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), number.alias("id"), key(F.col(source)).alias("key"), words(F.col(text)).alias("size"))
@@ -171,7 +172,7 @@ def _copies(rows: DataFrame, seed: int) -> DataFrame:
 
 def report(df: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
     """Per document its size, its source's size and target, and the words that the mix takes of it."""
-    number = F.coalesce(F.col(id).cast("long"), F.lit(-(2**63)))
+    number = F.xxhash64(F.col(id), F.col(text))
     sizes = stored(df.select(F.col(id).alias("own"), number.alias("id"), key(F.col(source)).alias("key"), words(F.col(text)).alias("size")), "sizes")
     decided, sources = plan(sizes.drop("own"), share, weights, seed)
     rows = _copies(sizes.join(sized(decided, sources), "key"), seed)

@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import MapType
 
-from vecflow.llm.common import WordHashes, column, kept, map_batches, map_groups, sized, stored, texts
+from vecflow.llm.common import WordHashes, column, free_names, kept, map_batches, map_groups, sized, stored, texts
 from vecflow.llm.links import components, roots
 
 SAMPLES = 256
@@ -138,7 +139,8 @@ def candidates(reps: DataFrame, similarity: float) -> DataFrame:
         return stars(near, nodes)
 
     banded = reps.select("rep", F.explode("bands").alias("band"))
-    shared = banded.withColumn("members", F.count("*").over(Window.partitionBy("band"))).where("members > 1")
+    sizes = stored(banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "bands")
+    shared = banded.join(sizes, "band")
     rows = shared.join(reps.select("rep", "n_shingles", "sketch"), "rep")
     return map_groups(sharded(rows, "band", "rep", "members"), ["band", "i", "j"], [], lambda: work, "a long, b long")
 
@@ -212,25 +214,51 @@ def groups(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = 4,
     return rows.select(F.col("id").alias(id), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
+def hashable(df: DataFrame, name: str) -> Column:
+    """A column in a form that can be hashed: one with maps as its JSON text, with entries in the order of their keys."""
+    column, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    if isinstance(kind, MapType):
+        column, kind = F.array_sort(F.map_entries(column)), kind.valueType
+    return F.to_json(F.struct(column.alias("v"))) if "map<" in kind.simpleString() else column
+
+
+def told_apart(df: DataFrame, key: str) -> DataFrame:
+    """Adds a 64-bit hash of the whole row that no two different rows share, checked by a second hash and seeded anew if need be."""
+    (check,) = free_names(df.withColumn(key, F.lit(0)), 1)
+    columns = [f(hashable(df, c)) for c in df.columns for f in (lambda x: x, F.isnull)]
+    seed = 0
+    while True:
+        keyed = df.withColumn(key, F.xxhash64(F.lit(seed), *columns))
+        both = keyed.select(key, F.xxhash64(F.lit(-1 - seed), *columns).alias(check))
+        if both.groupBy(key).agg(F.min(check).alias("a"), F.max(check).alias("b")).where("a != b").isEmpty():
+            return keyed
+        seed += 1
+
+
 def deduplicated(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """Exactly one row of each group of similar texts, in its own columns: smallest id (null last), then smallest row hash.
 
     Rows are told apart by a hash of all columns, so rows without an id and rows of a repeated id are judged like all
-    others. Of rows without words, those of one id are one row; those without an id all stay.
+    others. Of rows without words, those of one id are one row; those without an id all stay. Columns may have any names and
+    types; no rows give no rows.
     """
-    whole = F.xxhash64(*(f(F.col(f"`{c}`")) for c in df.columns for f in (lambda x: x, F.isnull)))
-    keyed = df.withColumn("row__", whole)
-    same = groups(keyed, "row__", text, size, similarity).groupBy("row__").agg(F.first("n_shingles").alias("n__"), F.first("component_id").alias("component__"))
-    rows = keyed.groupBy("row__").agg(F.first(F.col(id)).alias("id__"), F.count("*").alias("copies__")).join(same, "row__")
-    worded = F.col("n__") > 0
-    rows = rows.where(worded | F.col("id__").isNotNull())
-    rows = rows.select("row__", "id__", "copies__", F.when(worded, F.col("component__")).alias("set__"), F.when(~worded, F.col("id__")).alias("empty__"))
-    rows = kept(rows.withColumn("group__", F.struct("set__", "empty__")))
-    order = F.struct(F.col("id__").isNull(), F.col("id__"), F.col("row__").alias("row__"))
-    best = rows.groupBy("group__").agg(F.min(order)["row__"].alias("best__"), F.sum("copies__").alias("all__")).where("all__ > 1").select("group__", "best__")
-    judged = rows.join(best, "group__").select("row__", "copies__", (F.col("row__") == F.col("best__")).alias("stays__"))
-    judged = kept(judged.where("NOT stays__ OR copies__ > 1"))
-    repeated = judged.where("stays__").select("row__")
-    once = keyed.join(sized(repeated, repeated.count()), "row__", "left_semi").dropDuplicates(["row__"])
-    alone = keyed.join(sized(judged.select("row__"), judged.count()), "row__", "left_anti")
-    return alone.select(*df.columns).union(once.select(*df.columns))
+    (key,) = free_names(df, 1)
+    keyed = told_apart(df, key)
+    own = keyed.select(F.col(key).alias("row"), F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    same = groups(own, "row", "text", size, similarity).groupBy("row").agg(F.first("n_shingles").alias("n"), F.first("component_id").alias("component"))
+    rows = own.groupBy("row").agg(F.first("id").alias("id"), F.count("*").alias("copies")).join(same, "row")
+    worded = F.col("n") > 0
+    rows = rows.where(worded | F.col("id").isNotNull())
+    rows = rows.select("row", "id", "copies", F.when(worded, F.col("component")).alias("set"), F.when(~worded, F.col("id")).alias("empty"))
+    rows = kept(rows.withColumn("group", F.struct("set", "empty")))
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row").alias("row"))
+    best = rows.groupBy("group").agg(F.min(order)["row"].alias("best"), F.sum("copies").alias("all")).where("all > 1").select("group", "best")
+    judged = rows.join(best, "group").select(F.col("row").alias(key), "copies", (F.col("row") == F.col("best")).alias("stays"))
+    judged = kept(judged.where("NOT stays OR copies > 1"))
+    repeated = judged.where("stays").select(key)
+    once = keyed.join(sized(repeated, repeated.count()), key, "left_semi")
+    if not repeated.isEmpty():  # equal rows: one of them, by an aggregate, as a column may hold maps
+        once = once.groupBy(key).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("row")).select("row.*")
+    alone = keyed.join(sized(judged.select(key), judged.count()), key, "left_anti")
+    names = [f"`{c}`" for c in df.columns]
+    return alone.select(*names).union(once.select(*names))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from vecflow.llm.common import column, kept, sized, slices, stored, texts
+from vecflow.llm.common import column, kept, sized, slices, stored, texts, trimmed
 from vecflow.session import scratch_path
 
 BITS = 20  # frequencies of the shared table add up to 2^BITS
@@ -24,7 +24,7 @@ STRIDE = 256  # rounds between checkpoints: a decoder can start at each
 LOW = np.uint64(1 << 31)  # states stay in [2^31, 2^63)
 MAGIC = b"RANS1\0\0\0"
 HEADER = "<8sIIQQIIII"  # magic, lanes, stride, ids, documents, words, crc of ids, crc of words, checkpoints
-CACHE = 300_000
+CACHE = 400_000
 
 
 def shares(counts: np.ndarray) -> np.ndarray:
@@ -219,10 +219,9 @@ def encode(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", end
             counts += np.bincount(np.frombuffer(b"".join(coded), work.type), minlength=work.size)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary()), pa.nulls(len(coded), pa.list_(pa.int64()))], ["id", "ids", "total"])
         if work is not None:
-            work.older = {}  # between tasks a worker keeps one table only
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], pa.list_(pa.int64()))], ["id", "ids", "total"])
 
-    seen = stored(rows.mapInArrow(run, "id long, ids binary, total array<long>"), "ids", compression="zstd")
+    seen = stored(rows.mapInArrow(trimmed(run), "id long, ids binary, total array<long>"), "ids", compression="zstd")
     size = encoder(path).size
     counts = np.zeros(size, np.int64)  # as large as the vocabulary
     for r in seen.where("total IS NOT NULL").select(F.posexplode("total")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
@@ -271,8 +270,9 @@ def write(df: DataFrame, target: str, path: str, id: str = "doc_id", text: str =
             yield closed()
 
     parts = max(1, int(counts.sum()) // ids_per_file)
-    ordered = coded.repartitionByRange(parts, "id", "ids").sortWithinPartitions("id", "ids")
-    blocks = ordered.mapInArrow(run, "part int, block int, n_ids long, data binary")
+    # Spark samples the keys of the ranges to the driver: a few ids of a text stand for all of them
+    ordered = coded.repartitionByRange(parts, F.col("id"), F.substring("ids", 1, 64)).sortWithinPartitions("id", "ids")
+    blocks = ordered.mapInArrow(trimmed(run), "part int, block int, n_ids long, data binary")
     blocks.write.option("compression", "none").parquet(f"{target}/blocks")
 
 
