@@ -176,8 +176,8 @@ def test_short_signals_are_framed(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0] * 16), (3, [1.0] * 17), (4, None)], "id int, s array<double>")
     frames = signals.framed(df, "s", 16, 8).collect()
     count = {i: [r["x"] for r in frames if r["id"] == i] for i in (1, 2, 3, 4)}
-    assert [len(count[i]) for i in (1, 2, 3, 4)] == [1, 1, 2, 1] and all(len(x) == 16 for f in count.values() for x in f)
-    assert count[1][0][:3] == [1.0, 2.0, 0.0] and sum(count[3][1]) == 9.0
+    assert [len(count[i]) for i in (1, 2, 3, 4)] == [1, 3, 3, 1] and all(len(x) == 16 for f in count.values() for x in f)
+    assert count[1][0][7:11] == [0.0, 1.0, 2.0, 0.0] and [sum(x) for x in count[3]] == [8.0, 16.0, 9.0]
 
 
 def test_missing_predictions_are_misses(spark):

@@ -18,7 +18,8 @@ def clip(spark):
     return x, spark.createDataFrame([(1, [float(v) for v in x])], "id long, samples array<double>")
 
 
-def frames_of(x, width=2048, hop=512):
+def frames_of(x, width=2048, hop=512, mode="constant"):
+    x = np.pad(x, width // 2, mode=mode)
     return np.stack([x[s : s + width] for s in range(0, len(x) - width + 1, hop)])
 
 
@@ -28,6 +29,7 @@ def matrix(clip, feature):
 
 def test_shapes(clip):
     frames = len(frames_of(clip[0]))
+    assert frames == 32
     for feature, size in [("rms", 1), ("zcr", 1), ("stft", 1025), ("mel", 128), ("mel_40", 40), ("mfcc", 20), ("pe-mfcc_13", 13), ("mfcc2", 20), ("delta_13", 13), ("delta2", 20), ("speccen", 1), ("specrol", 1), ("chroma", 12)]:
         assert matrix(clip, feature).shape == (size, frames), feature
 
@@ -35,6 +37,7 @@ def test_shapes(clip):
 def test_time_features(clip):
     frames = frames_of(clip[0])
     assert matrix(clip, "rms")[0] == pytest.approx(np.sqrt((frames**2).mean(axis=1)))
+    frames = frames_of(clip[0], mode="edge")
     flips = (np.signbit(frames[:, 1:]) != np.signbit(frames[:, :-1])).sum(axis=1) / 2048
     assert matrix(clip, "zcr")[0] == pytest.approx(flips)
 
@@ -81,3 +84,13 @@ def test_slice(spark, clip):
     assert clip[1].select(part.alias("x")).first()["x"] == pytest.approx(list(clip[0][4000:6000]))
     whole = signals.slice_seconds(F.col("samples"), F.lit(8000), F.lit(0.5), F.lit(0))
     assert len(clip[1].select(whole.alias("x")).first()["x"]) == 16000
+
+
+def test_centred_frames_by_hand(spark):
+    df = spark.createDataFrame([(1, [1.0, -2.0, 3.0, 4.0, -5.0]), (2, []), (3, None), (4, [7.0])], "id long, s array<double>")
+    rows = lambda edge: {(r["id"], r["frame"]): r["x"] for r in signals.framed(df, "s", 4, 2, edge).collect()}
+    zeros, edges = rows(False), rows(True)
+    assert [zeros[1, f] for f in range(3)] == [[0, 0, 1, -2], [1, -2, 3, 4], [3, 4, -5, 0]]
+    assert [edges[1, f] for f in range(3)] == [[1, 1, 1, -2], [1, -2, 3, 4], [3, 4, -5, -5]]
+    assert zeros[2, 0] == zeros[3, 0] == edges[2, 0] == [0, 0, 0, 0] and zeros[4, 0] == [0, 0, 7, 0] and edges[4, 0] == [7, 7, 7, 7]
+    assert len(zeros) == len(edges) == 6

@@ -34,7 +34,9 @@ FREQS = signals.frequencies(WIDTH, RATE)
 SAMPLES_SQL = """
 WITH x AS (SELECT vec_id, i - 1 AS pos, v AS x FROM (SELECT vec_id, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings))"""
 FRAMES_SQL = SAMPLES_SQL + """,
-fr AS (SELECT vec_id, f.f AS frame, pos - 8 * f.f AS n, x FROM x, range(7) AS f(f) WHERE pos >= 8 * f.f AND pos < 8 * f.f + 16)"""
+slot AS (SELECT vec_id, f.f AS frame, n.n AS n, 8 * f.f + n.n - 8 AS pos FROM (SELECT vec_id FROM embeddings), range(9) AS f(f), range(16) AS n(n)),
+fr AS (SELECT slot.vec_id, frame, n, coalesce(x, 0) AS x FROM slot LEFT JOIN x ON x.vec_id = slot.vec_id AND x.pos = slot.pos),
+ed AS (SELECT slot.vec_id, frame, n, x FROM slot JOIN x ON x.vec_id = slot.vec_id AND x.pos = least(greatest(slot.pos, 0), 63))"""
 POWER_SQL = FRAMES_SQL + """,
 ri AS (SELECT vec_id, frame, b.b AS bin, sum(x * (0.5 - 0.5 * cos(2 * pi() * n / 16)) * cos(2 * pi() * b.b * n / 16)) AS re,
               sum(x * (0.5 - 0.5 * cos(2 * pi() * n / 16)) * sin(2 * pi() * b.b * n / 16)) AS im FROM fr, range(9) AS b(b) GROUP BY ALL),
@@ -43,9 +45,9 @@ pw AS (SELECT vec_id, frame, bin, re * re + im * im AS p FROM ri)"""
 # triangular filters, written out as the formula of the mel scale
 MEL_SQL = POWER_SQL + f""",
 top AS (SELECT 800.0::DOUBLE / (200.0::DOUBLE / 3) AS m),
-ed AS (SELECT i.i AS i, top.m * i.i / {MELS + 1} * (200.0::DOUBLE / 3) AS hz FROM range({MELS + 2}) AS i(i), top),
+edges AS (SELECT i.i AS i, top.m * i.i / {MELS + 1} * (200.0::DOUBLE / 3) AS hz FROM range({MELS + 2}) AS i(i), top),
 fl AS (SELECT a.i AS mel, b.b AS bin, greatest(0, least((100.0 * b.b - a.hz) / (c.hz - a.hz), (d.hz - 100.0 * b.b) / (d.hz - c.hz))) * 2 / (d.hz - a.hz) AS w
-       FROM ed a JOIN ed c ON c.i = a.i + 1 JOIN ed d ON d.i = a.i + 2, range(9) AS b(b)),
+       FROM edges a JOIN edges c ON c.i = a.i + 1 JOIN edges d ON d.i = a.i + 2, range(9) AS b(b)),
 ml AS (SELECT vec_id, frame, mel, sum(w * p) AS m FROM pw JOIN fl USING (bin) GROUP BY ALL)"""
 MFCC_SQL = MEL_SQL + f""",
 db AS (SELECT vec_id, frame, mel, 10 * log10(greatest(m, 1e-10)) AS d FROM ml),
@@ -69,9 +71,9 @@ def pre_emphasis(t: Tables) -> DataFrame:
 # signals of 4 to 64 samples: shorter than a frame, or with a tail
 @query("f02_frames", """
 WITH c AS (SELECT vec_id, list_slice(embedding::DOUBLE[], 1, 4 + vec_id % 61) AS v FROM embeddings),
-f AS (SELECT vec_id, v, unnest(range(greatest(ceil((len(v) - 16) / 8.0)::INT, 0) + 1)) AS frame FROM c),
+f AS (SELECT vec_id, v, unnest(range(len(v) // 8 + 1)) AS frame FROM c),
 n AS (SELECT *, unnest(range(16)) AS n FROM f)
-SELECT vec_id, frame::INT AS frame, n::INT AS n, round(coalesce(v[8 * frame + n + 1], 0) + 1e-9, 6) AS x FROM n""")
+SELECT vec_id, frame::INT AS frame, n::INT AS n, round(CASE WHEN 8 * frame + n >= 8 THEN coalesce(v[8 * frame + n - 7], 0) ELSE 0 END + 1e-9, 6) AS x FROM n""")
 def frames(t: Tables) -> DataFrame:
     short = _signals(t).withColumn("samples", F.slice("samples", 1, (4 + F.col("vec_id") % 61).cast("int")))
     framed = signals.framed(short, "samples", WIDTH, HOP)
@@ -89,10 +91,11 @@ def rms(t: Tables) -> DataFrame:
 
 
 @query("f04_zero_crossings", FRAMES_SQL + """
-, l AS (SELECT *, lag(x) OVER (PARTITION BY vec_id, frame ORDER BY n) AS p FROM fr)
+, l AS (SELECT *, lag(x) OVER (PARTITION BY vec_id, frame ORDER BY n) AS p FROM ed)
 SELECT vec_id, frame, round(sum(CASE WHEN p IS NOT NULL AND (x < 0) <> (p < 0) THEN 1 ELSE 0 END) / 16 + 1e-9, 6) AS zcr FROM l GROUP BY ALL""")
 def zero_crossings(t: Tables) -> DataFrame:
-    return _frames(t).select("vec_id", "frame", r6(signals.zero_crossing_rate(F.col("x"))).alias("zcr"))
+    edges = signals.framed(_signals(t), "samples", WIDTH, HOP, edge=True)
+    return edges.select("vec_id", "frame", r6(signals.zero_crossing_rate(F.col("x"))).alias("zcr"))
 
 
 @query("f05_power_spectrum", POWER_SQL + " SELECT vec_id, frame, bin, round(p + 1e-9, 6) AS power FROM pw")
@@ -177,16 +180,29 @@ def chroma(t: Tables) -> DataFrame:
     return rows.select("vec_id", "frame", F.posexplode("chroma").alias("pitch", "share")).withColumn("share", r6(F.col("share")))
 
 
-@query("f12_combined", MFCC_SQL + """
+CHROMA_SQL = """
+ch AS (SELECT vec_id, frame, ((floor(12 * log2(100.0 * bin / 440) + 0.5)::INT + 9) % 12 + 12) % 12 AS pitch, sum(p) AS p FROM pw WHERE bin > 0 GROUP BY ALL),
+cs AS (SELECT vec_id, frame, pitch, p / max(p) OVER (PARTITION BY vec_id, frame) AS share FROM ch)"""
+
+
+# every column of the summary of a clip
+@query("f12_combined", MFCC_SQL + "," + CHROMA_SQL + """
 , a AS (SELECT vec_id, avg(v) AS rms FROM (SELECT vec_id, frame, sqrt(avg(x * x)) AS v FROM fr GROUP BY ALL) GROUP BY vec_id),
+zl AS (SELECT *, lag(x) OVER (PARTITION BY vec_id, frame ORDER BY n) AS p FROM ed),
+z AS (SELECT vec_id, avg(v) AS zcr FROM (SELECT vec_id, frame, sum(CASE WHEN p IS NOT NULL AND (x < 0) <> (p < 0) THEN 1 ELSE 0 END) / 16 AS v FROM zl GROUP BY ALL) GROUP BY vec_id),
 b AS (SELECT vec_id, avg(v) AS cen FROM (SELECT vec_id, frame, sum(100.0 * bin * sqrt(p)) / sum(sqrt(p)) AS v FROM pw GROUP BY ALL) GROUP BY vec_id),
-c AS (SELECT vec_id, avg(c) FILTER (k = 0) AS m1, avg(c) FILTER (k = 1) AS m2 FROM mf GROUP BY vec_id)
-SELECT vec_id, round(rms + 1e-9, 6) AS rms, round(cen + 1e-9, 6) AS spectral_centroid, round(m1 + 1e-9, 5) AS mfcc_1, round(m2 + 1e-9, 5) AS mfcc_2
-FROM a JOIN b USING (vec_id) JOIN c USING (vec_id)""")
+rr AS (SELECT *, sum(sqrt(p)) OVER (PARTITION BY vec_id, frame ORDER BY bin) AS run, sum(sqrt(p)) OVER (PARTITION BY vec_id, frame) AS total FROM pw),
+r AS (SELECT vec_id, avg(v) AS roll FROM (SELECT vec_id, frame, 100.0::DOUBLE * min(bin) AS v FROM rr WHERE run >= 0.85::DOUBLE * total - 1e-12 GROUP BY ALL) GROUP BY vec_id),
+""" + "c AS (SELECT vec_id, " + ", ".join(f"avg(c) FILTER (k = {k}) AS m{k}" for k in range(N_MFCC)) + " FROM mf GROUP BY vec_id),\n"
++ "h AS (SELECT vec_id, " + ", ".join(f"coalesce(sum(share) FILTER (pitch = {k}), 0) / 9 AS h{k}" for k in range(12)) + " FROM cs GROUP BY vec_id)\n"
++ "SELECT vec_id, round(rms + 1e-9, 6) AS rms, round(zcr + 1e-9, 6) AS zcr, round(cen + 1e-9, 6) AS spectral_centroid, round(roll + 1e-9, 6) AS spectral_rolloff, "
++ ", ".join(f"round(m{k} + 1e-9, 5) AS mfcc_{k + 1}" for k in range(N_MFCC)) + ", "
++ ", ".join(f'round(h{k} + 1e-9, 6) AS "chroma_{c}"' for k, c in enumerate(signals.PITCH_CLASSES))
++ " FROM a JOIN z USING (vec_id) JOIN b USING (vec_id) JOIN r USING (vec_id) JOIN c USING (vec_id) JOIN h USING (vec_id)")
 def combined(t: Tables) -> DataFrame:
     rows = signals.combined(_signals(t), "vec_id", "samples", RATE, WIDTH, HOP, n_mfcc=N_MFCC, n_mels=MELS)
-    rounded = {"rms": 6, "spectral_centroid": 6, "mfcc_1": 5, "mfcc_2": 5}
-    return rows.select("vec_id", *[F.round(F.col(c) + 1e-9, d).alias(c) for c, d in rounded.items()])
+    digits = lambda c: 5 if c.startswith("mfcc") else 6
+    return rows.select("vec_id", *[F.round(F.col(f"`{c}`") + 1e-9, digits(c)).alias(c) for c in rows.columns if c != "vec_id"])
 
 
 @query("f13_feature_job", MFCC_SQL + """

@@ -14,7 +14,9 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType
 
+from vecflow.functions.joins import null_safe_join
 from vecflow.functions.vectors import array_sum, let
 from vecflow.operators.reduction import transpose
 
@@ -45,18 +47,26 @@ def pre_emphasis(samples: Column, coefficient: float = PRE_EMPHASIS) -> Column:
     )
 
 
-def framed(df: DataFrame, samples: str, width: int = N_FFT, hop: int = HOP) -> DataFrame:
+def padded(samples: Column, kind: ArrayType, width: int, edge: bool = False) -> Column:
+    """The samples with half a frame before and after them: zeros, or with ``edge`` copies of the first and last sample."""
+    zero = F.lit(0).cast(kind.elementType)
+    held = F.coalesce(samples, F.array().cast(kind))
+    first, last = (F.coalesce(F.get(held, i), zero) if edge else zero for i in (F.lit(0), F.size(held) - 1))
+    return F.concat(F.array_repeat(first, width // 2), held, F.array_repeat(last, width - width // 2))
+
+
+def framed(df: DataFrame, samples: str, width: int = N_FFT, hop: int = HOP, edge: bool = False) -> DataFrame:
     """One row per frame: ``frame`` number and its ``x`` samples.
 
-    The last frame is filled up with zeros, so every sample is in a frame and a short signal is one frame; null and empty
-    signals have one frame of zeros.
+    Frames are centred: frame f has sample f * hop in its middle, and the signal is padded on both ends by half a frame, with
+    zeros (spectra, energy) or its edge values (sign changes). A signal of n samples has 1 + n // hop frames; a null or empty
+    one has one frame of zeros.
     """
-    held = F.coalesce(F.col(samples), F.array().cast(df.schema[samples].dataType))
-    count = F.greatest(F.ceil((F.size(held) - width) / hop), F.lit(0)).cast("int")
-    numbered = df.withColumn("frame", F.explode(F.sequence(F.lit(0), count)))
-    x = F.slice(held, F.col("frame") * hop + 1, width)
-    zero = F.lit(0).cast(df.schema[samples].dataType.elementType)
-    return numbered.withColumn("x", F.concat(x, F.array_repeat(zero, F.lit(width) - F.size(x)))).drop(samples)
+    kind = df.schema[samples].dataType
+    numbers = F.sequence(F.lit(0), F.floor(F.coalesce(F.size(samples), F.lit(0)) / hop).cast("int"))
+    whole = df.withColumns({"frame_numbers": numbers, samples: padded(F.col(samples), kind, width, edge)})
+    numbered = whole.withColumn("frame", F.explode("frame_numbers"))
+    return numbered.withColumn("x", F.slice(samples, F.col("frame") * hop + 1, width)).drop(samples, "frame_numbers")
 
 
 def rms(x: Column) -> Column:
@@ -289,17 +299,23 @@ def combined(
     means = []
     if use_rms:
         means.append(F.avg(rms(F.col("x"))).alias("rms"))
-    if use_zcr:
-        means.append(F.avg(zero_crossing_rate(F.col("x"))).alias("zcr"))
     if use_centroid:
         means.append(F.avg(spectral_centroid(F.col("power"), freqs)).alias("spectral_centroid"))
     if use_rolloff:
         means.append(F.avg(spectral_rolloff(F.col("power"), freqs)).alias("spectral_rolloff"))
     means += [F.avg(F.get("mfcc", F.lit(i))).alias(f"mfcc_{i + 1}") for i in range(n_mfcc)]
     means += [F.avg(F.get("chroma", F.lit(i))).alias(f"chroma_{c}") for i, c in enumerate(pitch_classes or [])]
-    if not means:
+    if not means and not use_zcr:
         raise ValueError("no feature chosen")
-    return frames.groupBy(series).agg(*means)
+    found = frames.groupBy(series).agg(*means) if means else None
+    if not use_zcr:
+        return found
+    edges = framed(df.select(series, samples), samples, width, hop, edge=True)
+    signs = edges.groupBy(series).agg(F.avg(zero_crossing_rate(F.col("x"))).alias("zcr"))
+    if found is None:
+        return signs
+    order = [series, *(["rms"] if use_rms else []), "zcr", *[c for c in found.columns if c not in (series, "rms")]]
+    return null_safe_join(found, signs, [series]).select(*order)
 
 
 FEATURES = ("stft", "mel", "mfcc", "pe-mfcc", "mfcc2", "delta", "delta2", "zcr", "rms", "speccen", "specrol", "chroma")
@@ -324,7 +340,7 @@ def feature_matrix(
         signal = signal.withColumn("samples", pre_emphasis(F.col("samples")))
     freqs = frequencies(width, rate)
     if base in ("rms", "zcr"):
-        frames = framed(signal, "samples", width, hop)
+        frames = framed(signal, "samples", width, hop, edge=base == "zcr")
         value = rms(F.col("x")) if base == "rms" else zero_crossing_rate(F.col("x"))
         frames = frames.withColumn("v", F.array(value))
     else:
