@@ -4,15 +4,17 @@ Queries and train rows are DataFrames ``(id bigint, vector array<double>[, label
 The result is the long form ``(query_id, rank, neighbor_id, distance, label)``;
 equal distances are ordered by the smaller neighbour id.
 
-Two plans, chosen by size:
+Three plans, chosen by measured size:
 
 * few queries: they are sent to every executor and each train partition keeps its own
   best k per query - the train table is neither shuffled nor copied;
-* many queries: both tables are cut into shards and laid out on a grid of cells. A query
+* many queries, large train table: the train rows stand in cells around pivots, and a query
+  only goes to the cells that can hold one of its hits (``pivots``), where that ships fewer rows;
+* many queries otherwise: both tables are cut into shards and laid out on a grid of cells. A query
   shard meets every train shard in exactly one cell, every cell holds a bounded number of
   rows, and a cell only emits its best k per query.
 
-Both end with one top-k per query over (cells * k) rows.
+All end with one top-k per query over (cells * k) rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vecflow.functions.vectors import METRICS, doubles, metric_name
+from vecflow.operators import pivots
 from vecflow.operators.blocks import NO_LABEL, TopK, matrix
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -34,6 +37,7 @@ CELL_PAIRS = 4_000_000_000
 SEED_ROWS = 20_000
 SEED_SHARE = 1_000  # a larger table gives one seed in so many rows, so the bound does not weaken as it grows
 SEED_FROM = 2_000_000
+PIVOT_FROM = 100_000  # train rows from which cells around pivots are tried before the grid
 
 CELL = ["cell", "q_shard", "t_shard"]
 Decoder = Callable[[np.ndarray], np.ndarray] | None
@@ -189,6 +193,18 @@ def _grid(queries, train, k, metric, skip_same, shape: tuple[int, int], decode:
     return cell_search(left, right, CELL, k, metric, skip_same, decode)
 
 
+def _by_pivots(queries, train, k, metric, skip_same, number: int, most_copies: int, rows: int) -> DataFrame | None:
+    """Partial hits from the cells around pivots that can hold them; None where the grid ships fewer rows."""
+    laid = pivots.lay_out(queries, train, k, metric, skip_same, number, most_copies)
+    if laid is None:
+        return None
+    left, right, counts = laid
+    shards = lambda n: F.ceil(F.col(n) / F.lit(rows)).cast("int")
+    layout = F.broadcast(counts.select("cell", shards("n_query").alias("q_shards"), shards("n_train").alias("t_shards")))  # a row per pivot
+    left, right = _meet(left.join(layout, "cell"), right.join(layout, "cell"))
+    return cell_search(left, right, CELL, k, metric, skip_same)
+
+
 def keyed_topk(
     queries: DataFrame,
     train: DataFrame,
@@ -238,6 +254,7 @@ def exact_topk(
     broadcast_bytes: int = BROADCAST_BYTES,
     seed_from: int = SEED_FROM,
     decode: Decoder = None,
+    pivot_from: int = PIVOT_FROM,
 ) -> DataFrame:
     """Exact k nearest train rows of every query; ``skip_same`` leaves out the row itself.
 
@@ -255,15 +272,22 @@ def exact_topk(
         return queries.sparkSession.createDataFrame(
             [], "query_id bigint, rank int, neighbor_id bigint, distance double, label int"
         )
+    streams = streamed_bytes(n_queries, dim, k) <= broadcast_bytes
+    # several cells per task even out what the hash puts together
+    cells = 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = max(1, min(CELL_ROWS, CELL_BYTES // (8 * max(dim, 1))))
+    shape = grid_shape(n_queries, n_train, cells, rows)
+    if not streams and decode is None and n_train >= pivot_from and pivots.usable(metric):
+        number = pivots.number_of(n_train, dim, broadcast_bytes or BROADCAST_BYTES)
+        parts = _by_pivots(queries, train, k, metric, skip_same, number, n_queries * shape[1] + n_train * shape[0], rows)
+        if parts is not None:
+            return rank_hits(parts, k)
     if n_train >= seed_from:
         queries = _bounded(queries, train, n_train, k, metric, skip_same, broadcast_bytes, decode)
-    if streamed_bytes(n_queries, dim, k) <= broadcast_bytes:
+    if streams:
         parts = _stream(queries, train, k, metric, skip_same, decode)
     else:
-        # several cells per task even out what the hash puts together
-        cells = 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        rows = max(1, min(CELL_ROWS, CELL_BYTES // (8 * max(dim, 1))))
-        parts = _grid(queries, train, k, metric, skip_same, grid_shape(n_queries, n_train, cells, rows), decode)
+        parts = _grid(queries, train, k, metric, skip_same, shape, decode)
     return rank_hits(parts, k)
 
 
