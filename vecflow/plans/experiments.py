@@ -5,13 +5,15 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
 
 from vecflow.functions.vectors import doubles, metric_name
 from vecflow.operators import evaluation, indexes, splits, votes
-from vecflow.operators.neighbors import as_vectors, exact_topk, keyed_topk
+from vecflow.operators.folds import masked_topk
+from vecflow.operators.neighbors import as_vectors, exact_topk
 from vecflow.operators.ranking import first_valid_by_key
-from vecflow.operators.scaling import apply_minmax, apply_minmax_by, fit_minmax, fold_scalers
+from vecflow.operators.scaling import apply_minmax, fit_minmax, fold_scalers
 from vecflow.session import shared_dir
 
 
@@ -134,8 +136,13 @@ def run_grid(train: DataFrame, test: DataFrame, configurations: Sequence[dict])
         sizes.setdefault("train", left.count())
         for nprobe, members in searches.items():
             start, most = time.perf_counter(), max(c["neighbors"] for c in members)
-            hits = exact_topk(right, left, most, metric) if built is None else indexes.search_index(built, right, most, nprobe)
-            found = _served(hits, members, test).checkpoint()
+            try:
+                hits = exact_topk(right, left, most, metric) if built is None else indexes.search_index(built, right, most, nprobe)
+                found = _served(hits, members, test).checkpoint()
+            except (ValueError, PySparkException) as error:  # of these rows only: the other searches go on
+                said = next((x.strip() for x in str(error).splitlines() if x.strip()), type(error).__name__)
+                skipped += [(c["row_key"], said) for c in members]
+                continue
             seconds = time.perf_counter() - start
             numbers = {"training_set_size": sizes["train"], "train_seconds": train_seconds, "predict_seconds": seconds}
             results.append(found.withColumns({k: F.lit(v) for k, v in numbers.items()}).withColumn("message", F.lit(None).cast("string")))
@@ -162,12 +169,13 @@ def _served(hits: DataFrame, members: Sequence[dict], test: DataFrame) -> DataFr
 
 def run_folds(
     df: DataFrame, id: str, vector: str, label: str, group: str, folds: int, k: int = 15, metric: str = "cosine",
-    vote: str = "uniform", seed: int = 42, normalize: bool = True,
+    vote: str = "uniform", seed: int = 42, normalize: bool = True, index: str = "Flat", nprobe: int = 1, nbits: int = 8,
 ) -> DataFrame:
-    """Per fold accuracy and sizes, all folds in one job.
+    """Per fold accuracy and sizes; a query without hits is a miss.
 
-    The fold is a key of the search: a row is a query in its own fold and a train row in
-    each other one, scaled with the extremes of that fold's train rows.
+    A row is a query in its own fold and a train row in each other one, scaled with the extremes of that fold's train rows.
+    The exact search handles all folds at once, with the fold as a mask inside the block, so a vector is stored once.
+    With an index each fold builds and searches its own; the loop over the folds only starts jobs.
     """
     shared_dir(df.sparkSession)
     dealt = splits.assign_folds(df, label, group, folds, seed, keep=True)
@@ -175,23 +183,32 @@ def run_folds(
         F.col(id).cast("bigint").alias("id"), doubles(F.col(vector)).alias("vector"),
         F.col(label).cast("int").alias("label"), "fold",
     )
-    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col("fold"))
-    test = rows.withColumnRenamed("fold", "cell")
-    train = rows.withColumn("cell", F.explode(others)).drop("fold")
-    if normalize:
-        scalers = fold_scalers(rows, folds).withColumnRenamed("fold", "cell").checkpoint()
-        train, test = (apply_minmax_by(side, scalers, "cell") for side in (train, test))
-    hits = keyed_topk(test, train, k, metric)
-    predicted = votes.predict(hits, vote)
+    if index == "Flat":
+        rows = rows.checkpoint()
+        hits = masked_topk(rows, k, metric, fold_scalers(rows, folds) if normalize else None)
+    else:
+        hits = _indexed_folds(rows, folds, k, metric, normalize, index, nprobe, nbits, seed)
     truth = rows.select(F.col("id").alias("query_id"), F.col("label").alias("y"), "fold")
-    scored = predicted.join(truth, "query_id")
-    total = rows.count()
+    scored = truth.join(votes.predict(hits, vote), "query_id", "left")
     per_fold = evaluation.accuracy(scored, "y", "prediction", ["fold"])
+    total = rows.count()
     return per_fold.withColumnRenamed("n", "testing_set_size").withColumn(
         "training_set_size", F.lit(total) - F.col("testing_set_size")
     )
 
 
+def _indexed_folds(rows, folds, k, metric, normalize, index, nprobe, nbits, seed) -> DataFrame:
+    hits = None
+    for fold in range(folds):
+        train, test = rows.where(F.col("fold") != fold).drop("fold"), rows.where(F.col("fold") == fold).drop("fold")
+        if normalize:
+            train, test = scaled(train, test)
+        built = indexes.build_index(train, index, metric, nbits=nbits, seed=seed)
+        found = indexes.search_index(built, test, k, nprobe)
+        hits = found if hits is None else hits.unionByName(found)
+    return hits
+
+
 def distinct_builds(configurations: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """One configuration per index build: the first non-null value of each other column."""
     return first_valid_by_key(configurations, keys, order)
