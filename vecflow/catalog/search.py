@@ -8,7 +8,7 @@ from vecflow.catalog.registry import SCALED_SQL, SPLIT_SQL, Tables, embedded, hi
 from vecflow.catalog.tables import REPORT_SQL
 from vecflow.functions.vectors import doubles
 from vecflow.operators import evaluation, indexes, neighbors, prep, reports, votes
-from vecflow.plans import experiments, grids
+from vecflow.plans import datagrid, experiments, grids
 from vecflow.session import scratch_path
 from vecflow.sources import files, stores
 
@@ -511,6 +511,56 @@ def index_grid_rows(t: Tables) -> DataFrame:
     return _grid_rows(t, _index_configurations())
 
 
+DATA_GRID_SQL = """
+WITH g AS (SELECT DISTINCT label, vec_id // 10 AS grp FROM embeddings),
+rk AS (SELECT label, grp, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42_', grp)), grp) AS rn, count(*) OVER (PARTITION BY label) AS n FROM g),
+m AS (SELECT 'holdout' AS split, -1 AS fold, label, grp, rn > (n + 4) // 5 AS train FROM rk
+  UNION ALL SELECT 'balanced', -1, label, grp, rn <= (SELECT min(n) FROM rk) * 4 // 5 FROM rk
+  UNION ALL SELECT 'folds', f, label, grp, (CASE WHEN rn - 1 < (n % 4) * (n // 4 + 1) THEN (rn - 1) // (n // 4 + 1)
+              ELSE n % 4 + (rn - 1 - (n % 4) * (n // 4 + 1)) // greatest(n // 4, 1) END) <> f FROM rk, range(4) AS f(f)),
+o AS (SELECT vec_id, label, vec_id // 10 AS grp, embedding::DOUBLE[] AS v FROM embeddings),
+e AS (SELECT vec_id, label, grp, 'mean' AS op, list_transform(range(16), lambda i: (v[4 * i + 1] + v[4 * i + 2] + v[4 * i + 3] + v[4 * i + 4]) / 4) AS v FROM o
+  UNION ALL SELECT vec_id, label, grp, 'mean_split_2', list_transform(range(32), lambda j: (v[4 * (j % 16) + 2 * (j // 16) + 1] + v[4 * (j % 16) + 2 * (j // 16) + 2]) / 2) FROM o),
+r AS (SELECT e.*, split, fold, train FROM e JOIN m ON m.label = e.label AND m.grp = e.grp),
+x AS (SELECT op, split, fold, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM r WHERE train),
+mm AS (SELECT op, split, fold, i, min(x) AS lo, max(x) AS hi FROM x GROUP BY ALL),
+ml AS (SELECT op, split, fold, list(lo ORDER BY i) AS lo, list(hi ORDER BY i) AS hi FROM mm GROUP BY ALL),
+z AS (SELECT r.* EXCLUDE (v), list_transform(v, lambda x, i: (x - lo[i]) / CASE WHEN hi[i] = lo[i] THEN 1 ELSE hi[i] - lo[i] END) AS v FROM r JOIN ml USING (op, split, fold)),
+d AS (SELECT q.op, q.split, q.fold, q.vec_id AS query_id, q.label AS y, t.vec_id AS nid, t.label, 1 - list_cosine_similarity(q.v, t.v) AS distance
+      FROM z q JOIN z t ON q.op = t.op AND q.split = t.split AND q.fold = t.fold WHERE NOT q.train AND t.train),
+h AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY op, split, fold, query_id ORDER BY distance, nid) <= 7),
+c AS (SELECT op, split, fold, query_id, y, label, count(*) AS n FROM h GROUP BY ALL),
+p AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY op, split, fold, query_id ORDER BY n DESC, label) = 1),
+a AS (SELECT op, split, fold, avg((y = label)::INT) AS accuracy, count(*) AS n FROM p GROUP BY ALL)
+SELECT op || '/' || split AS row_key, nullif(fold, -1)::INT AS fold, round(accuracy + 1e-9, 6) AS accuracy, n AS testing_set_size, (SELECT count(*) FROM embeddings) - n AS training_set_size, false AS skipped FROM a
+UNION ALL SELECT k, NULL, NULL, NULL, NULL, true FROM (VALUES ('no feature'), ('no reduction'), ('no index'), ('no literal')) AS t(k)"""
+
+
+# two reductions, two splits and four folds; every stage that fails skips its own rows
+@query("e08_data_grid", DATA_GRID_SQL)
+def data_grid(t: Tables) -> DataFrame:
+    def load(axes: dict) -> DataFrame:
+        if axes["feature"] != "window":
+            raise ValueError(f"unknown feature {axes['feature']!r}")
+        values = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice(doubles(F.col("embedding")), i * 4 + 1, 4))
+        return t.embeddings.select(F.col("vec_id").alias("id"), values.alias("matrix"), "label", F.expr("vec_id div 10").alias("grp"))
+
+    base = {"feature": "window", "metric": "cosine", "neighbors": 7, "vote_type": "uniform"}
+    grid = [
+        {**base, "row_key": f"{operation}/{name}", "operation": operation, "index_params": "{'params': 'Flat', 'neighbors': 7}", **split}
+        for operation in ("mean", "mean_split_2")
+        for name, split in (("holdout", {}), ("balanced", {"balanced": True}), ("folds", {"folds": 4}))
+    ]
+    grid += [
+        {**base, "row_key": "no feature", "feature": "tempo"},
+        {**base, "row_key": "no reduction", "operation": "median"},
+        {**base, "row_key": "no index", "index_params": "{'params': 'HNSW32,Flat', 'nprobe': 1}"},
+        {**base, "row_key": "no literal", "index_params": "IVF("},
+    ]
+    found = datagrid.run_data_grid(load, grid)
+    return found.select("row_key", "fold", r6(F.col("accuracy")).alias("accuracy"), "testing_set_size", "training_set_size", "skipped")
+
+
 @query("e09_table_experiment", HITS_SQL + MAJORITY_SQL + """
 , x AS (SELECT y, prediction AS y_hat FROM p JOIN (SELECT DISTINCT query_id, y FROM h) USING (query_id) WHERE rn = 1)
 SELECT 'vecflow_e09_' || kind AS collection, round(avg((y = y_hat)::INT) + 1e-9, 6) AS accuracy, count(*) AS n
