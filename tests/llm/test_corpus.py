@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -235,18 +236,15 @@ WORDS = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def leaks(text, items):
-    """Items with a diagonal that any mask hits and whose overlap is close enough."""
+    """Items with a diagonal whose overlap is close enough; all diagonals are looked at, whatever the masks."""
     w, found = WORDS.findall((text or "").lower()), set()
     for number, item in items:
         t = WORDS.findall((item or "").lower())
-        if len(t) < 7:
+        if not t:
             continue
         for d in range(-len(t) + 1, len(w)):
             span = range(max(0, -d), min(len(t), len(w) - d))
             equal = [w[d + j] == t[j] for j in span]
-            hit = any(all(equal[p + k] for k in range(7) if m[k] == "1") for m in decontamination.MASKS for p in range(len(equal) - 6))
-            if not hit:
-                continue
             now = best = 0
             for e in equal:
                 now = max(0, now + (1 if e else -4))
@@ -278,6 +276,42 @@ def test_decontamination_with_substitutions(spark, texts):
         assert {int(x) for x in r["items"].split(",") if x} == want and r["leaked"] == bool(want) and r["n_items"] == len(want)
 
 
+@pytest.mark.parametrize("words", range(1, 20))
+def test_no_substitution_hides_an_item(words):
+    """Every way to substitute a fifth of the words leaves some mask a hit."""
+    most = max(n for n in range(words) if 10 * (words - n) >= 8 * words)
+    masks = decontamination.masks_of(words)
+    places = [{p + k for k, bit in enumerate(m) if bit == "1"} for m in masks for p in range(words - len(m) + 1)]
+    assert all(any(p.isdisjoint(gone) for p in places) for gone in itertools.combinations(range(words), most))
+
+
+def test_short_items(spark):
+    """Items of 1 to 15 words, whole, with substitutions and cut, against the search of all diagonals, and in SQL."""
+    rng = random.Random(8)
+    items = [(n, " ".join(f"s{n}w{rng.randrange(40)}" for _ in range(n))) for n in range(16)]
+    rows = []
+    for n, item in items:
+        for gone in range(4):
+            words = item.split()
+            for at in rng.sample(range(n), min(gone, n)):
+                words[at] = "other"
+            rows.append((len(rows), " ".join(["before", "it", *words, "after", "s3w1"]), None, None, None))
+            rows.append((len(rows), " ".join(words[gone:]), None, None, None))
+    rows += [(len(rows), "Well, what is THE capital of France?", None, None, None), (len(rows) + 1, "the capital of france", None, None, None)]
+    items.append((16, "What is the capital of France"))
+    docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    found = {r["doc_id"]: r for r in decontamination.report(docs, bench).collect()}
+    want = {r[0]: leaks(r[1], items) for r in rows}
+    assert {i: {int(x) for x in r["items"].split(",") if x} for i, r in found.items()} == want
+    assert found[len(rows) - 2]["items"] == "16" and not found[len(rows) - 1]["leaked"]
+    connection = duckdb.connect()
+    connection.register("documents", docs.toPandas())
+    connection.register("benchmark", bench.toPandas())
+    told = connection.sql(sql.DECONTAMINATION).fetchall()
+    columns = ("doc_id", "leaked", "n_items", "items", "matched", "share")
+    assert sorted(told) == sorted(tuple(r[c] for c in columns) for r in found.values())
+
+
 def test_decontamination_drops_only_leaks(spark, folder, documents, texts):
     bench = spark.read.parquet(f"{folder}/benchmark.parquet")
     items = [(r["item_id"], r["text"]) for r in bench.collect()]

@@ -35,19 +35,24 @@ FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id, d.v"""
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 
-def _seeds(table: str, id: str) -> str:
-    """A row per mask and place: the words that the mask counts."""
-    span = len(decontamination.MASKS[0])
-    return " UNION ALL ".join(
-        f"SELECT {id}, {m} AS mask, p, concat_ws(' ', {', '.join(f'v[p + {k + 1}]' for k, bit in enumerate(mask) if bit == '1')}) AS key "
-        f"FROM (SELECT {id}, v, unnest(range(len(v) - {span - 1})) AS p FROM {table} WHERE len(v) >= {span})"
-        for m, mask in enumerate(decontamination.MASKS)
-    )
+def _seeds(table: str, id: str, items: bool) -> str:
+    """A row per mask and place: the words that the mask counts; of items only the masks for their number of words."""
+    short = decontamination.SHORT_MASKS
+    every = list(dict.fromkeys([*decontamination.MASKS, *(m for masks in short.values() for m in masks)]))
+    parts = []
+    for number, mask in enumerate(every):
+        least = len(mask)
+        fits = f"len(v) >= {least}"
+        if items and mask not in decontamination.MASKS:
+            fits = f"len(v) IN ({', '.join(str(n) for n, masks in short.items() if mask in masks)})"
+        counted = ", ".join(f"v[p + {k + 1}]" for k, bit in enumerate(mask) if bit == "1")
+        parts.append(f"SELECT {id}, {number} AS mask, p, concat_ws(' ', {counted}) AS key FROM (SELECT {id}, v, unnest(range(len(v) - {least - 1})) AS p FROM {table} WHERE {fits})")
+    return " UNION ALL ".join(parts)
 
 
 DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS v FROM documents), b AS (SELECT item_id, {_WORDS} AS v FROM benchmark),
-sd AS ({_seeds("d", "doc_id")}), sb AS ({_seeds("b", "item_id")}),
+sd AS ({_seeds("d", "doc_id", False)}), sb AS ({_seeds("b", "item_id", True)}),
 l AS (SELECT DISTINCT doc_id, item_id, sd.p - sb.p AS g FROM sd JOIN sb USING (mask, key)),
 o AS (SELECT doc_id, item_id, g, len(b.v) AS words, d.v AS dv, b.v AS bv, unnest(range(greatest(0, -g), least(len(b.v), len(d.v) - g))) AS j
       FROM l JOIN d USING (doc_id) JOIN b USING (item_id)),
