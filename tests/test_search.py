@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import re
 
 import numpy as np
@@ -206,6 +207,46 @@ def test_product_quantisation(sides):
         indexes.build_index(train, "PQ8", nbits=12)
 
 
+@pytest.mark.parametrize("spec, metric", [("PQ8x4", "cosine"), ("IVF6,PQ4x5", "cosine"), ("IVF6,PQ8x4", "l2"), ("PQ4x4", "manhattan"), ("IVF4,PQ4x4", "inner_product")])
+@pytest.mark.parametrize("streamed", [True, False])
+def test_distances_of_codes_are_looked_up(sides, spec, metric, streamed, monkeypatch):
+    """Hits equal a search over the vectors that codes, codebooks and centres stand for."""
+    train, test, _ = sides
+    index = indexes.build_index(train, spec, metric)
+    rows = index.rows.collect()
+    near, ids = [], np.array([r["id"] for r in rows])
+    for r in rows:
+        vector = np.hstack([index.codebooks[j][c] for j, c in enumerate(r["vector"])])
+        near.append(vector + np.array(index.centres[r["cell"]]) if index.centres else vector)
+    near = np.array(near)
+    if not streamed:
+        monkeypatch.setattr(neighbors.keyed_topk, "__defaults__", (None, 50, False, 0))
+        monkeypatch.setattr(neighbors.exact_topk, "__defaults__", ("cosine", False, 0, neighbors.SEED_FROM, None, neighbors.PIVOT_FROM))
+    hits = collections.defaultdict(list)
+    for r in sorted(indexes.search_index(index, test, 7, nprobe=6).collect(), key=lambda r: r["rank"]):
+        hits[r["query_id"]].append((r["neighbor_id"], r["distance"]))
+    for q in test.select("id", prepare(F.col("vector"), metric).alias("v")).collect():
+        v = np.array(q["v"])
+        far = {"cosine": 1 - near @ v, "inner_product": -(near @ v), "manhattan": np.abs(near - v).sum(axis=1), "l2": ((near - v) ** 2).sum(axis=1)}[metric]
+        of = dict(zip(ids.tolist(), far))
+        assert [d for _, d in hits[q["id"]]] == pytest.approx(sorted(far)[:7])
+        assert all(of[n] == pytest.approx(d) for n, d in hits[q["id"]])
+
+
+def test_codebooks_get_closer_by_rounds(sides, monkeypatch):
+    """The error of the codes after eight rounds is below that after one."""
+    train, _, _ = sides
+    error = {}
+    for rounds in (1, 8):
+        monkeypatch.setattr(indexes, "ROUNDS", rounds)
+        rows = train.select("id", "vector")
+        books = [np.array(b) for b in indexes.fit_codebooks(rows, 8, 4, rows.count(), 42)]
+        vectors = np.array([r["vector"] for r in rows.collect()])
+        width = vectors.shape[1] // 8
+        error[rounds] = sum(((vectors[:, None, j * width : (j + 1) * width] - books[j][None]) ** 2).sum(axis=2).min(axis=1).sum() for j in range(8))
+    assert error[8] < error[1]
+
+
 def test_probed_cells_are_pruned(sides):
     train, test, exact = sides
     index = indexes.build_index(train, "IVF8,Flat")

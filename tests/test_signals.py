@@ -94,3 +94,28 @@ def test_centred_frames_by_hand(spark):
     assert [edges[1, f] for f in range(3)] == [[1, 1, 1, -2], [1, -2, 3, 4], [3, 4, -5, -5]]
     assert zeros[2, 0] == zeros[3, 0] == edges[2, 0] == [0, 0, 0, 0] and zeros[4, 0] == [0, 0, 7, 0] and edges[4, 0] == [7, 7, 7, 7]
     assert len(zeros) == len(edges) == 6
+
+
+def test_chroma_filters_by_hand():
+    width, rate, tuning = 64, 4000.0, 0.2
+    filters = signals.chroma_filters(width, rate, tuning)
+    place = [12 * np.log2(rate * max(b, 1) / width / (27.5 * 2 ** (tuning / 12))) - (18 if b == 0 else 0) for b in range(width)]
+    for b in range(width // 2 + 1):
+        spread = max(place[b + 1] - place[b], 1)
+        raw = [np.exp(-2 * (((place[b] - c + 6) % 12 - 6) / spread) ** 2) for c in range(12)]
+        scale = np.exp(-0.5 * ((place[b] / 12 - 5) / 2) ** 2) / np.sqrt(sum(g * g for g in raw))
+        assert filters[:, b] == pytest.approx([raw[(c + 3) % 12] * scale for c in range(12)])
+
+
+@pytest.mark.parametrize("beside", [-0.3, 0.0, 0.25])
+def test_tuning_of_a_clip(spark, beside):
+    t = np.arange(16000) / RATE
+    x = sum(np.sin(2 * np.pi * 440 * 2 ** ((n + beside) / 12) * t) for n in (0, 4, 7))
+    df = spark.createDataFrame([(1, [float(v) for v in x]), (2, [0.0] * 4096), (None, [0.0])], "id long, samples array<double>")
+    frames = signals.spectral_frames(df, "id", "samples", 2048, 512)
+    found = {r["id"]: r["tuning"] for r in signals.tunings(frames, "id", 2048, RATE).collect()}
+    assert found[1] == pytest.approx(beside, abs=0.06) and found[2] == found[None] == 0
+    shares = signals.with_chroma(frames, "id", 2048, RATE).where("id = 1 AND frame = 16").first()["chroma"]
+    assert sorted(np.argsort(shares)[-3:]) == sorted(signals.PITCH_CLASSES.index(c) for c in ("A", "C#", "E"))
+    silent = signals.with_chroma(frames, "id", 2048, RATE).where("id = 2 OR id IS NULL").collect()
+    assert len(silent) == 10 and all(r["chroma"] == [0.0] * 12 for r in silent)

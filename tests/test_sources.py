@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,10 +113,27 @@ def test_prefix_join_needs_no_pairs(spark):
 
 
 def test_partition_functions(spark):
-    double = lambda batch, number: batch.assign(x=batch["x"] * 2, part=number)
-    records = [{"x": i} for i in range(100)]
-    found = partitions.map_records(spark, records, "x long", double, "x long, part int", partitions=4).collect()
+    def doubled(batches, number):
+        for batch in batches:
+            yield batch.assign(x=batch["x"] * 2, part=number)
+
+    lines = spark.range(100).select(F.to_json(F.struct(F.col("id").alias("x"))).alias("value"))
+    found = partitions.map_records(lines, "x long", doubled, "x long, part int", partitions=4).collect()
     assert sorted(r["x"] for r in found) == [2 * i for i in range(100)] and len({r["part"] for r in found}) == 4
+    odd = spark.createDataFrame([("{}",), (None,), ("no json",), ('{"x": 3}',)], "value string")
+    kept = partitions.map_records(odd, "x long", lambda batches, number: batches, "x long", partitions=1).collect()
+    assert sorted((r["x"] is not None, r["x"] or 0) for r in kept) == [(False, 0)] * 3 + [(True, 3)]
+
+
+def test_a_partition_is_one_call_whatever_its_batches(spark):
+    def sizes(batches, number):
+        found = [len(batch) for batch in batches]
+        yield pd.DataFrame({"batches": [len(found)], "n": [sum(found)], "part": [number]})
+
+    found = partitions.map_partitions(spark.range(25_000).coalesce(1), sizes, "batches long, n long, part int").collect()
+    assert [(r["n"], r["part"]) for r in found] == [(25_000, 0)] and found[0]["batches"] > 1
+    empty = partitions.map_partitions(spark.range(0).repartition(1), sizes, "batches long, n long, part int").collect()
+    assert all(r["n"] == 0 for r in empty)
 
 
 def test_correlation_of_constant_is_null(spark):
@@ -146,6 +164,7 @@ def test_collection_is_searched_by_its_index(spark, tmp_path):
 
 def test_index_texts():
     assert stores.index_text("IVF_PQ", {"m": 10, "nlist": 1000}) == "IVF1000,PQ10" and stores.index_text("FLAT") == "Flat"
-    for kind, params in (("HNSW", {"M": 16}), ("IVF_PQ", {"nlist": 5}), ("IVF_FLAT", {})):
+    assert stores.index_text("IVF_PQ", {"nlist": 64, "m": 1, "nbits": 16}) == "IVF64,PQ1x16" and stores.index_text("IVF_PQ", {"nlist": 64, "m": 1, "nbits": 8}) == "IVF64,PQ1"
+    for kind, params in (("IVF_FLAT", {"nlist": 8, "radius": 1}), ("FLAT", {"nlist": 8}), ("IVF_PQ", {"nlist": 64, "m": 1, "nbits": 32}), ("HNSW", {"M": 16}), ("IVF_PQ", {"nlist": 5}), ("IVF_FLAT", {})):
         with pytest.raises(ValueError):
             stores.index_text(kind, params)

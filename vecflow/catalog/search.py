@@ -154,6 +154,15 @@ def validity(t: Tables) -> DataFrame:
     return votes.validity(train, 15).withColumn("validity", r6(F.col("validity")))
 
 
+@query("k06_validity_in_index", "WITH " + SPLIT_SQL + VALIDITY_SQL + " SELECT vec_id AS id, round(validity + 1e-9, 6) AS validity FROM val")
+def validity_in_index(t: Tables) -> DataFrame:
+    """The same by an inverted index, with as many probes as cells."""
+    train, _ = _sides(t)
+    index = indexes.build_index(train, "IVF8,Flat")
+    scores = votes.validity(train, 15, search=lambda rows, k: indexes.search_index(index, rows, k, nprobe=8))
+    return scores.withColumn("validity", r6(F.col("validity")))
+
+
 @query("k07_validity_vote", HITS_SQL + VALIDITY_SQL + """
 , m AS (SELECT h.query_id, h.label, h.rank, validity >= 0.2 AS ok FROM h JOIN val ON val.vec_id = h.neighbor_id),
 o AS (SELECT *, bool_or(ok) OVER (PARTITION BY query_id) AS has_valid FROM m),

@@ -5,7 +5,10 @@ Frames have 16 samples and a hop of 8, the sampling rate is 1600 Hz.
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from vecflow.catalog.registry import Tables, cells, query, r6
@@ -37,23 +40,35 @@ FRAMES_SQL = SAMPLES_SQL + """,
 slot AS (SELECT vec_id, f.f AS frame, n.n AS n, 8 * f.f + n.n - 8 AS pos FROM (SELECT vec_id FROM embeddings), range(9) AS f(f), range(16) AS n(n)),
 fr AS (SELECT slot.vec_id, frame, n, coalesce(x, 0) AS x FROM slot LEFT JOIN x ON x.vec_id = slot.vec_id AND x.pos = slot.pos),
 ed AS (SELECT slot.vec_id, frame, n, x FROM slot JOIN x ON x.vec_id = slot.vec_id AND x.pos = least(greatest(slot.pos, 0), 63))"""
-POWER_SQL = FRAMES_SQL + """,
-ri AS (SELECT vec_id, frame, b.b AS bin, sum(x * (0.5 - 0.5 * cos(2 * pi() * n / 16)) * cos(2 * pi() * b.b * n / 16)) AS re,
-              sum(x * (0.5 - 0.5 * cos(2 * pi() * n / 16)) * sin(2 * pi() * b.b * n / 16)) AS im FROM fr, range(9) AS b(b) GROUP BY ALL),
-pw AS (SELECT vec_id, frame, bin, re * re + im * im AS p FROM ri)"""
-
-# triangular filters, written out as the formula of the mel scale
-MEL_SQL = POWER_SQL + f""",
-top AS (SELECT 800.0::DOUBLE / (200.0::DOUBLE / 3) AS m),
-edges AS (SELECT i.i AS i, top.m * i.i / {MELS + 1} * (200.0::DOUBLE / 3) AS hz FROM range({MELS + 2}) AS i(i), top),
-fl AS (SELECT a.i AS mel, b.b AS bin, greatest(0, least((100.0 * b.b - a.hz) / (c.hz - a.hz), (d.hz - 100.0 * b.b) / (d.hz - c.hz))) * 2 / (d.hz - a.hz) AS w
-       FROM edges a JOIN edges c ON c.i = a.i + 1 JOIN edges d ON d.i = a.i + 2, range(9) AS b(b)),
-ml AS (SELECT vec_id, frame, mel, sum(w * p) AS m FROM pw JOIN fl USING (bin) GROUP BY ALL)"""
-MFCC_SQL = MEL_SQL + f""",
-db AS (SELECT vec_id, frame, mel, 10 * log10(greatest(m, 1e-10)) AS d FROM ml),
-cl AS (SELECT vec_id, frame, mel, greatest(d, max(d) OVER (PARTITION BY vec_id) - 80) AS d FROM db),
-mf AS (SELECT vec_id, frame, k.k AS k, sum(d * sqrt(2.0::DOUBLE / {MELS}) * cos(pi() * k.k * (2 * mel + 1) / (2 * {MELS})) * CASE WHEN k.k = 0 THEN 1 / sqrt(2.0::DOUBLE) ELSE 1 END) AS c
-       FROM cl, range({N_MFCC}) AS k(k) GROUP BY ALL)"""
+
+
+def power_sql(frames: str, out: str) -> str:
+    return f"""
+ri_{out} AS (SELECT vec_id, frame, b.b AS bin, sum(x * (0.5 - 0.5 * cos(2 * pi() * n / 16)) * cos(2 * pi() * b.b * n / 16)) AS re,
+              sum(x * (0.5 - 0.5 * cos(2 * pi() * n / 16)) * sin(2 * pi() * b.b * n / 16)) AS im FROM {frames}, range(9) AS b(b) GROUP BY ALL),
+{out} AS (SELECT vec_id, frame, bin, re * re + im * im AS p FROM ri_{out})"""
+
+
+def mel_sql(power: str, out: str, mels: int) -> str:
+    """Triangular filters, written out as the formula of the mel scale."""
+    return f"""
+ed_{out} AS (SELECT i.i AS i, 12.0::DOUBLE * i.i / {mels + 1} * (200.0::DOUBLE / 3) AS hz FROM range({mels + 2}) AS i(i)),
+fl_{out} AS (SELECT a.i AS mel, b.b AS bin, greatest(0, least((100.0 * b.b - a.hz) / (c.hz - a.hz), (d.hz - 100.0 * b.b) / (d.hz - c.hz))) * 2 / (d.hz - a.hz) AS w
+       FROM ed_{out} a JOIN ed_{out} c ON c.i = a.i + 1 JOIN ed_{out} d ON d.i = a.i + 2, range(9) AS b(b)),
+{out} AS (SELECT vec_id, frame, mel, sum(w * p) AS m FROM {power} JOIN fl_{out} USING (bin) GROUP BY ALL)"""
+
+
+def mfcc_sql(mel: str, out: str, mels: int, count: int) -> str:
+    return f"""
+db_{out} AS (SELECT vec_id, frame, mel, 10 * log10(greatest(m, 1e-10)) AS d FROM {mel}),
+cl_{out} AS (SELECT vec_id, frame, mel, greatest(d, max(d) OVER (PARTITION BY vec_id) - 80) AS d FROM db_{out}),
+{out} AS (SELECT vec_id, frame, k.k AS k, sum(d * sqrt(2.0::DOUBLE / {mels}) * cos(pi() * k.k * (2 * mel + 1) / (2 * {mels})) * CASE WHEN k.k = 0 THEN 1 / sqrt(2.0::DOUBLE) ELSE 1 END) AS c
+       FROM cl_{out}, range({count}) AS k(k) GROUP BY ALL)"""
+
+
+POWER_SQL = FRAMES_SQL + "," + power_sql("fr", "pw")
+MEL_SQL = POWER_SQL + "," + mel_sql("pw", "ml", MELS)
+MFCC_SQL = MEL_SQL + "," + mfcc_sql("ml", "mf", MELS, N_MFCC)
 
 
 @query("s21_signal_slice", SAMPLES_SQL + " SELECT vec_id, pos - 16 AS pos, round(x + 1e-9, 6) AS x FROM x WHERE pos >= 16 AND pos < 48")
@@ -170,19 +185,35 @@ def spectral_rolloff(t: Tables) -> DataFrame:
     return _spectra(t).select("vec_id", "frame", value.alias("rolloff"))
 
 
-@query("f11_chroma", POWER_SQL + """
-, c AS (SELECT vec_id, frame, ((floor(12 * log2(100.0 * bin / 440) + 0.5)::INT + 9) % 12 + 12) % 12 AS pitch, sum(p) AS p FROM pw WHERE bin > 0 GROUP BY ALL),
-k AS (SELECT vec_id, frame, g.g AS pitch FROM (SELECT DISTINCT vec_id, frame FROM pw), range(12) AS g(g))
-SELECT vec_id, frame, pitch::INT AS pitch, round(coalesce(p, 0) / max(p) OVER (PARTITION BY vec_id, frame) + 1e-9, 6) AS share
-FROM k LEFT JOIN c USING (vec_id, frame, pitch)""")
+# peaks by parabolas, the tuning of a clip, and Gaussian weights of each bin for each pitch class
+CHROMA_SQL = """
+pk AS (SELECT vec_id, frame, bin, p, lag(p) OVER w AS l, lead(p) OVER w AS r, max(p) OVER (PARTITION BY vec_id, frame) AS top
+       FROM pw WINDOW w AS (PARTITION BY vec_id, frame ORDER BY bin)),
+pe AS (SELECT vec_id, 100.0::DOUBLE * (bin + s) AS pitch, p + 0.5::DOUBLE * ((r - l) / 2) * s AS size
+       FROM (SELECT *, -((r - l) / 2) / (r + l - 2 * p) AS s FROM pk WHERE bin BETWEEN 2 AND 7 AND p > 0.1::DOUBLE * top AND p > l AND p >= r)),
+md AS (SELECT vec_id, median(size) AS m FROM pe GROUP BY vec_id),
+sm AS (SELECT vec_id, 12 * log2(pitch / 27.5::DOUBLE) AS s FROM pe JOIN md USING (vec_id) WHERE size >= m),
+ce AS (SELECT vec_id, floor((CASE WHEN s - floor(s) >= 0.5::DOUBLE THEN s - floor(s) - 1 ELSE s - floor(s) END + 0.5::DOUBLE) * 100) AS cell FROM sm),
+cn AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, cell) AS rn FROM ce GROUP BY vec_id, cell),
+tu AS (SELECT e.vec_id, coalesce((cell - 50) / 100, 0)::DOUBLE AS tuning FROM embeddings e LEFT JOIN cn ON cn.vec_id = e.vec_id AND rn = 1),
+pl AS (SELECT vec_id, b.b AS bin, 12 * log2(100.0::DOUBLE * greatest(b.b, 1) / (27.5::DOUBLE * power(2, tuning / 12))) - CASE b.b WHEN 0 THEN 18 ELSE 0 END AS place FROM tu, range(16) AS b(b)),
+sp AS (SELECT *, greatest(1, coalesce(lead(place) OVER (PARTITION BY vec_id ORDER BY bin) - place, 1)) AS spread FROM pl),
+ga AS (SELECT vec_id, bin, place, c.c AS c, exp(-2 * power((place - c.c + 6 - 12 * floor((place - c.c + 6) / 12) - 6) / spread, 2)) AS g FROM sp, range(12) AS c(c)),
+cw AS (SELECT vec_id, bin, (c + 9) % 12 AS pitch, g / sqrt(sum(g * g) OVER (PARTITION BY vec_id, bin)) * exp(-0.5::DOUBLE * power((place / 12 - 5) / 2, 2)) AS w FROM ga),
+ch AS (SELECT vec_id, frame, pitch, sum(w * p) AS p FROM pw JOIN cw USING (vec_id, bin) GROUP BY ALL),
+cs AS (SELECT vec_id, frame, pitch, coalesce(p / nullif(max(p) OVER (PARTITION BY vec_id, frame), 0), 0) AS share FROM ch)"""
+
+
+@query("f11_chroma", POWER_SQL + "," + CHROMA_SQL + """
+SELECT vec_id, frame, pitch::INT AS pitch, round(share + 1e-9, 6) AS share FROM cs""")
 def chroma(t: Tables) -> DataFrame:
-    rows = _spectra(t).withColumn("chroma", signals.chroma(F.col("power"), FREQS))
+    rows = signals.with_chroma(_spectra(t).select("vec_id", "frame", "power"), "vec_id", WIDTH, RATE)
     return rows.select("vec_id", "frame", F.posexplode("chroma").alias("pitch", "share")).withColumn("share", r6(F.col("share")))
 
 
-CHROMA_SQL = """
-ch AS (SELECT vec_id, frame, ((floor(12 * log2(100.0 * bin / 440) + 0.5)::INT + 9) % 12 + 12) % 12 AS pitch, sum(p) AS p FROM pw WHERE bin > 0 GROUP BY ALL),
-cs AS (SELECT vec_id, frame, pitch, p / max(p) OVER (PARTITION BY vec_id, frame) AS share FROM ch)"""
+@query("f11_tuning", POWER_SQL + "," + CHROMA_SQL + " SELECT vec_id, tuning FROM tu")
+def tuning(t: Tables) -> DataFrame:
+    return signals.tunings(_spectra(t), "vec_id", WIDTH, RATE)
 
 
 # every column of the summary of a clip
@@ -205,19 +236,48 @@ def combined(t: Tables) -> DataFrame:
     return rows.select("vec_id", *[F.round(F.col(f"`{c}`") + 1e-9, digits(c)).alias(c) for c in rows.columns if c != "vec_id"])
 
 
-@query("f13_feature_job", MFCC_SQL + """
-SELECT 'rms' AS feature, count(*) AS series, sum(n)::BIGINT AS frames FROM (SELECT vec_id, count(DISTINCT frame) AS n FROM fr GROUP BY vec_id)
-UNION ALL SELECT 'mfcc_4', count(*), sum(n)::BIGINT FROM (SELECT vec_id, count(DISTINCT frame) AS n FROM mf GROUP BY vec_id)
-UNION ALL SELECT 'chroma', count(*), sum(n)::BIGINT FROM (SELECT vec_id, count(DISTINCT frame) AS n FROM pw GROUP BY vec_id)""")
+JOB_FEATURES = {f: MELS for f in ("stft", "mel", "mfcc_4", "pe-mfcc_4", "delta_4", "delta2_4", "zcr", "rms", "speccen", "specrol", "chroma")} | {"mfcc2": 24}
+
+FEATURE_JOB_SQL = MFCC_SQL + "," + ",".join([
+    mel_sql("pw", "ml24", 24), mfcc_sql("ml24", "mf24", 24, signals.N_MFCC),
+    f"""
+xp AS (SELECT vec_id, pos, x - {signals.PRE_EMPHASIS}::DOUBLE * coalesce(lag(x) OVER (PARTITION BY vec_id ORDER BY pos), 0) AS x FROM x),
+frp AS (SELECT slot.vec_id, frame, n, coalesce(x, 0) AS x FROM slot LEFT JOIN xp ON xp.vec_id = slot.vec_id AND xp.pos = slot.pos)""",
+    power_sql("frp", "pwp"), mel_sql("pwp", "mlp", MELS), mfcc_sql("mlp", "mfp", MELS, N_MFCC), CHROMA_SQL,
+    """
+tp AS (SELECT vec_id, greatest(sqrt(max(p)), 1e-5) AS top FROM pw GROUP BY vec_id),
+zl AS (SELECT *, lag(x) OVER (PARTITION BY vec_id, frame ORDER BY n) AS q FROM ed),
+rr AS (SELECT *, sum(sqrt(p)) OVER (PARTITION BY vec_id, frame ORDER BY bin) AS run, sum(sqrt(p)) OVER (PARTITION BY vec_id, frame) AS total FROM pw),
+de AS (SELECT vec_id, k, sum(c * (frame - 4) / 60) AS d1, sum(c * [28, 7, -8, -17, -20, -17, -8, 7, 28][frame + 1] / 462) AS d2 FROM mf GROUP BY ALL),
+vals AS (SELECT 'stft' AS feature, vec_id, bin AS r, frame AS f, greatest(20 * log10(greatest(sqrt(p), 1e-5) / top), -80) AS v FROM pw JOIN tp USING (vec_id)
+UNION ALL SELECT 'mel', vec_id, mel, frame, m FROM ml
+UNION ALL SELECT 'mfcc_4', vec_id, k, frame, c FROM mf
+UNION ALL SELECT 'mfcc2', vec_id, k, frame, c FROM mf24
+UNION ALL SELECT 'pe-mfcc_4', vec_id, k, frame, c FROM mfp
+UNION ALL SELECT 'delta_4', vec_id, k, g.g, d1 FROM de, range(9) AS g(g)
+UNION ALL SELECT 'delta2_4', vec_id, k, g.g, d2 FROM de, range(9) AS g(g)
+UNION ALL SELECT 'zcr', vec_id, 0, frame, sum(CASE WHEN q IS NOT NULL AND (x < 0) <> (q < 0) THEN 1 ELSE 0 END) / 16 FROM zl GROUP BY ALL
+UNION ALL SELECT 'rms', vec_id, 0, frame, sqrt(avg(x * x)) FROM fr GROUP BY ALL
+UNION ALL SELECT 'speccen', vec_id, 0, frame, sum(100.0 * bin * sqrt(p)) / sum(sqrt(p)) FROM pw GROUP BY ALL
+UNION ALL SELECT 'specrol', vec_id, 0, frame, 100.0::DOUBLE * min(bin) FROM rr WHERE run >= 0.85::DOUBLE * total - 1e-12 GROUP BY ALL
+UNION ALL SELECT 'chroma', vec_id, pitch, frame, share FROM cs)
+SELECT feature, vec_id, max(r)::INT + 1 AS n_values, max(f)::INT + 1 AS frames, round(avg(v) + 1e-9, 4) AS average,
+       round(avg(v * (1 + (7 * r + 3 * f) % 5)) + 1e-9, 4) AS placed FROM vals GROUP BY ALL""",
+])
+
+
+@query("f13_feature_job", FEATURE_JOB_SQL)
 def feature_job(t: Tables) -> DataFrame:
+    """Every feature of every clip, stored by feature; of each stored matrix its shape, mean and a mean weighted by place."""
     path = scratch_path(t.spark, "features")
-    made = [
-        signals.feature_matrix(_signals(t), "vec_id", "samples", f, RATE, WIDTH, HOP, MELS) for f in ("rms", "mfcc_4", "chroma")
-    ]
-    stores.write_features(made[0].unionByName(made[1]).unionByName(made[2]), path)
-    stored = t.spark.read.parquet(path)
-    return stored.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("series"), F.sum(F.size(F.get("matrix", F.lit(0)))).cast("bigint").alias("frames")
+    made = [signals.feature_matrix(_signals(t), "vec_id", "samples", f, RATE, WIDTH, HOP, mels) for f, mels in JOB_FEATURES.items()]
+    stores.write_features(reduce(DataFrame.unionByName, made), path)
+    rows = t.spark.read.parquet(path).select("feature", "vec_id", F.posexplode("matrix").alias("r", "values"))
+    cells = rows.select("feature", "vec_id", "r", F.posexplode("values").alias("f", "v"))
+    digits = lambda value: F.round(F.avg(value) + 1e-9, 4)
+    return cells.groupBy("feature", "vec_id").agg(
+        (F.max("r") + 1).alias("n_values"), (F.max("f") + 1).alias("frames"), digits(F.col("v")).alias("average"),
+        digits(F.col("v") * (1 + (7 * F.col("r") + 3 * F.col("f")) % 5)).alias("placed"),
     )
 
 
@@ -232,17 +292,38 @@ def row_function(t: Tables) -> DataFrame:
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "charged")
 
 
+def _label_counts(batches, number):
+    """One frame per partition, however many batches it has."""
+    counts = Counter()
+    for batch in batches:
+        counts.update(batch["label"])
+    yield pd.DataFrame({"label": list(counts), "size": list(counts.values()), "part": number})
+
+
 @query("x2_partition_function", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def partition_function(t: Tables) -> DataFrame:
-    count = lambda batch, number: batch.groupby("label", as_index=False).size().assign(part=number)
-    parts = partitions.map_partitions(t.embeddings.select("label"), count, "label int, size bigint, part int")
+    parts = partitions.map_partitions(t.embeddings.select("label"), _label_counts, "label int, size bigint, part int")
     return parts.groupBy("label").agg(F.sum("size").alias("n"))
 
 
+def _totals(batches, number):
+    found = [(len(batch), batch["o_totalprice"].sum()) for batch in batches]
+    yield pd.DataFrame({"n": [sum(n for n, _ in found)], "total": [float(sum(x for _, x in found))]})
+
+
 @query("x3_table_function", "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders")
 def table_function(t: Tables) -> DataFrame:
-    total = lambda batch, number: batch.agg({"o_totalprice": ["count", "sum"]}).T.set_axis(["n", "total"], axis=1)
-    parts = partitions.map_table(t.orders.select("o_totalprice"), total, "n bigint, total double")
+    parts = partitions.map_table(t.orders.select("o_totalprice"), _totals, "n bigint, total double")
     return parts.agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
 
 
+def _large_orders(batches, number):
+    for batch in batches:
+        yield batch[batch["total"] > 100_000].assign(kind=batch["tags"].str[0])[["key", "total", "kind"]]
+
+
+@query("x4_record_function", """
+SELECT o_orderkey AS key, o_totalprice AS total, o_orderstatus AS kind FROM orders WHERE o_totalprice > 100000""")
+def record_function(t: Tables) -> DataFrame:
+    lines = t.orders.select(F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("total"), F.array("o_orderstatus").alias("tags"))).alias("value"))
+    return partitions.map_records(lines, "key bigint, total double, tags array<string>", _large_orders, "key bigint, total double, kind string")

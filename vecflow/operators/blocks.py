@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 
@@ -72,8 +74,8 @@ class TopK:
         self.near = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.label = np.zeros((len(ids), k), dtype=np.int64)
 
-    def add(self, ids: np.ndarray, vectors: np.ndarray, labels: np.ndarray, asked: np.ndarray | None = None) -> None:
-        """Offers a block of train rows to all queries, or to the query rows in ``asked``."""
+    def add(self, ids: np.ndarray, vectors: np.ndarray, labels: np.ndarray, asked: np.ndarray | None = None, cell: int | None = None) -> None:
+        """Offers a block of train rows to all queries, or to the query rows in ``asked``; ``cell`` is the rows' inverted cell."""
         asked = np.arange(len(self.ids)) if asked is None else asked
         if len(ids) == 0 or len(asked) == 0:
             return
@@ -133,3 +135,68 @@ class TopK:
             pa.array(self.ids[row]), pa.array(self.near[row, rank]), pa.array(dist), pa.array(label, mask=label == NO_LABEL)
         ]
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+@dataclass(frozen=True)
+class ProductCodes:
+    """What product codes stand for: per part a codebook, and the cell centres where codes are of the rest beside a centre."""
+
+    books: list[np.ndarray]
+    centres: np.ndarray | None = None
+
+
+class CodeTopK(TopK):
+    """The k nearest coded rows: distances of a query's parts to the codebook entries are looked up by code and summed.
+
+    Codes are not turned into vectors. A query's table holds only entries that occur in the block, so it never is larger than
+    the decoded block. Terms are summed in the order of the parts, so equal codes are equally far in every block.
+    """
+
+    def __init__(self, ids, vectors, k, metric, codes: ProductCodes, skip_same: bool = False, bound=None):
+        super().__init__(ids, vectors, k, metric, skip_same, bound)
+        self.codes = codes
+        self.width = codes.books[0].shape[1]
+        if len(ids) and self.vectors.shape[1] != self.width * len(codes.books):
+            raise ValueError("vectors of different size")
+
+    def add(self, ids, vectors, labels, asked=None, cell=None):
+        asked = np.arange(len(self.ids)) if asked is None else asked
+        if len(ids) == 0 or len(asked) == 0:
+            return
+        if vectors.shape[1] != len(self.codes.books):
+            raise ValueError("codes of different size")
+        used = [np.unique(part.astype(np.int64), return_inverse=True) for part in vectors.T]
+        largest = max(len(ids), self.width * max(len(entries) for entries, _ in used))
+        step = max(1, PAIRS_AT_ONCE // largest)
+        for at in range(0, len(asked), step):
+            rows = asked[at : at + step]
+            scores = self._scores(self.vectors[rows], used, None if self.codes.centres is None else self.codes.centres[cell])
+            if self.skip_same:
+                scores[self.ids[rows][:, None] == ids[None, :]] = np.inf
+            near = np.isfinite(scores) & (scores <= self.bound[rows][:, None])
+            loose = np.count_nonzero(near, axis=1) > 4 * self.k
+            if loose.any():
+                near[loose] &= scores[loose] <= np.partition(scores[loose], self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            row, col = np.nonzero(near)
+            if len(row):
+                self._keep(rows, row, ids[col], labels[col], scores[row, col])
+
+    def _scores(self, query: np.ndarray, used: list, centre: np.ndarray | None) -> np.ndarray:
+        product = self.metric == "inner_product"
+        total = np.zeros((len(query), 1))
+        if centre is not None and product:
+            total = -(query * centre).sum(axis=1)[:, None]
+        elif centre is not None:
+            query = query - centre
+        for j, (entries, place) in enumerate(used):
+            part, book = query[:, None, j * self.width : (j + 1) * self.width], self.codes.books[j][entries][None]
+            table = -(part * book) if product else np.abs(part - book) if self.metric == "manhattan" else (part - book) ** 2
+            total = total + table.sum(axis=2)[:, place]
+        return total
+
+
+def top_k(ids, vectors, k, metric, skip_same=False, bound=None, decode=None) -> TopK:
+    """The list of best hits that fits how the train rows are stored."""
+    if isinstance(decode, ProductCodes):
+        return CodeTopK(ids, vectors, k, metric, decode, skip_same, bound)
+    return TopK(ids, vectors, k, metric, skip_same, bound)

@@ -20,12 +20,13 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vecflow.functions.vectors import dimension, metric_name, prepare, sq8_encode
-from vecflow.operators.blocks import matrix, rough
+from vecflow.operators.blocks import ProductCodes, matrix, rough
 from vecflow.operators.neighbors import exact_topk, keyed_topk
 from vecflow.operators.scaling import fit_minmax
 from vecflow.session import scratch_path, shared_dir
 
 DISTANCES_AT_ONCE = 4_000_000
+ROUNDS = 8  # of the k-means of codebooks
 
 
 @dataclass(frozen=True)
@@ -35,6 +36,7 @@ class IndexSpec:
     storage: str = "flat"
     cells: int = 0
     parts: int = 0
+    bits: int = 8
 
 
 def parse_spec(text: str) -> IndexSpec:
@@ -52,10 +54,13 @@ def parse_spec(text: str) -> IndexSpec:
         return replace(spec, storage="sq8")
     if storage == "SQfp16":
         return replace(spec, storage="fp16")
-    found = re.fullmatch(r"PQ(\d+)", storage)
+    found = re.fullmatch(r"PQ(\d+)(?:x(\d+))?", storage)
     if not found:
         raise ValueError(f"unknown index {text!r}")
-    return replace(spec, storage="pq", parts=int(found[1]))
+    bits = int(found[2] or 8)
+    if not 1 <= bits <= 24:
+        raise ValueError(f"codes have 1 to 24 bits, got {bits}")
+    return replace(spec, storage="pq", parts=int(found[1]), bits=bits)
 
 
 @dataclass
@@ -75,7 +80,7 @@ class Index:
         return self.metric in ("cosine", "correlation")
 
     def decoder(self):
-        """Numpy function that turns a block of codes into vectors; None for plain vectors."""
+        """Numpy function that turns a block of codes into vectors, or the codebooks of product codes; None for plain vectors."""
         if self.spec.storage == "flat":
             return None
         if self.spec.storage == "fp16":
@@ -83,8 +88,7 @@ class Index:
         if self.spec.storage == "sq8":
             low, span = np.array(self.low), np.array(self.high) - np.array(self.low)
             return lambda codes: low + np.where(span == 0, 0.0, (codes + 0.5) / 255 * span)
-        books = [np.array(b) for b in self.codebooks]
-        return lambda codes: np.hstack([b[codes[:, j].astype(int)] for j, b in enumerate(books)])
+        return ProductCodes([np.array(b) for b in self.codebooks], np.array(self.centres) if self.centres else None)
 
 
 def fit_centres(df: DataFrame, vector: Column, count: int, n_rows: int, seed: int = 42, iterations: int = 10) -> list:
@@ -96,8 +100,8 @@ def fit_centres(df: DataFrame, vector: Column, count: int, n_rows: int, seed: in
     return [c.tolist() for c in model.clusterCenters()]
 
 
-def append_column(df: DataFrame, vector: str, name: str, kind: str, function: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Adds (or replaces) an array column computed from blocks of the vector column."""
+def append_column(df: DataFrame, vector: str, name: str, kind: str, function: Callable[..., np.ndarray], *also: str) -> DataFrame:
+    """Adds (or replaces) an array column computed from blocks of the vector column and of the number columns ``also``."""
     names = [c for c in df.columns if c != name]
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*names).schema] + [f"`{name}` array<{kind}>"])
     items = {"int": pa.int32(), "smallint": pa.int16(), "double": pa.float64()}[kind]
@@ -105,7 +109,7 @@ def append_column(df: DataFrame, vector: str, name: str, kind: str, function: Ca
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                found = np.ascontiguousarray(function(matrix(batch[vector])))
+                found = np.ascontiguousarray(function(matrix(batch[vector]), *(batch[c].to_numpy(zero_copy_only=False) for c in also)))
                 flat = pa.array(found.ravel(), type=items)
                 offsets = pa.array(np.arange(0, found.size + 1, found.shape[1]), type=pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, flat)
@@ -161,12 +165,13 @@ def build_index(
     train: DataFrame,
     spec: IndexSpec | str,
     metric: str = "cosine",
-    nbits: int = 8,
+    nbits: int | None = None,
     seed: int = 42,
 ) -> Index:
     """Trains and fills an index from train rows ``(id, vector, label)``.
 
-    Centres and codebooks are fitted on all rows, which are prepared and stored once for all fits.
+    Centres and codebooks are fitted on all rows, which are prepared and stored once for all fits. Product codes in cells are
+    of the rest beside the cell's centre. ``nbits`` (default: the text's, else 8) is the size of a code.
     """
     spec = parse_spec(spec) if isinstance(spec, str) else spec
     metric = metric_name(metric)
@@ -187,6 +192,9 @@ def build_index(
     elif spec.storage == "fp16":
         rows = append_column(rows, "vector", "vector", "smallint", half_codes)
     elif spec.storage == "pq":
+        nbits = spec.bits if nbits is None else nbits
+        if spec.cells:
+            rows = append_column(rows, "vector", "vector", "double", beside(index.centres), "cell").checkpoint()
         index.codebooks = fit_codebooks(rows, spec.parts, nbits, n_rows, seed)
         rows = append_column(rows, "vector", "vector", code_type(2**nbits)[0], product_coder(index.codebooks))
     if spec.cells:
@@ -205,6 +213,11 @@ def _by_cell(rows: DataFrame, path: str, mode: str = "errorifexists") -> DataFra
 
 
 def fit_codebooks(rows: DataFrame, parts: int, nbits: int, n_rows: int, seed: int) -> list:
+    """Codebooks of all parts by one k-means loop over all rows: a round reads them once, whatever the number of parts.
+
+    It starts from rows in the order of a hash of their id; an entry that no row is nearest to stays. What comes to the driver
+    is one sum per entry.
+    """
     dim = dimension(rows, "vector")
     if parts < 1 or dim % parts:
         raise ValueError(f"{parts} parts do not divide dimension {dim}")
@@ -213,10 +226,43 @@ def fit_codebooks(rows: DataFrame, parts: int, nbits: int, n_rows: int, seed: in
     width, entries = dim // parts, 2**nbits
     if entries > n_rows:
         raise ValueError(f"a codebook of {entries} entries needs as many rows, got {n_rows}")
-    return [
-        fit_centres(rows, F.slice("vector", j * width + 1, width), entries, n_rows, seed, iterations=5)
-        for j in range(parts)
-    ]
+    order = F.xxhash64(F.lit(seed), F.col("id"))
+    first = matrix(rows.select("vector", order.alias("o"), "id").orderBy("o", "id").limit(entries).select("vector").toArrow()["vector"])
+    books = [first[:, j * width : (j + 1) * width].copy() for j in range(parts)]
+    sums = [f"s{d}" for d in range(width)]
+    for _ in range(ROUNDS):
+        moved = rows.select("vector").mapInArrow(_nearest_sums(books), ", ".join(["part int", "code int", "n bigint", *(f"{c} double" for c in sums)]))
+        found = moved.groupBy("part", "code").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in sums)).toPandas()
+        for j, rows_of in found.groupby("part"):
+            books[j][rows_of["code"].to_numpy()] = rows_of[sums].to_numpy() / rows_of[["n"]].to_numpy()
+    return [b.tolist() for b in books]
+
+
+def _nearest_sums(books: list[np.ndarray]) -> Callable:
+    """Per task, part and code the number and the sum of the parts of vectors that are nearest to the code's entry."""
+    width, entries = books[0].shape[1], len(books[0])
+    encode = product_coder(books)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, totals = np.zeros((len(books), entries), dtype=np.int64), np.zeros((len(books), entries, width))
+        for batch in batches:
+            if batch.num_rows:
+                vectors = matrix(batch["vector"])
+                for j, code in enumerate(encode(vectors).T):
+                    np.add.at(totals[j], code, vectors[:, j * width : (j + 1) * width])
+                    counts[j] += np.bincount(code, minlength=entries)
+        part, code = np.nonzero(counts)
+        columns = [pa.array(part, pa.int32()), pa.array(code, pa.int32()), pa.array(counts[part, code])]
+        names = ["part", "code", "n", *(f"s{d}" for d in range(width))]
+        yield pa.RecordBatch.from_arrays(columns + [pa.array(totals[part, code, d]) for d in range(width)], names=names)
+
+    return run
+
+
+def beside(centres: list) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """What is left of vectors once the centre of their cell is taken off."""
+    table = np.array(centres)
+    return lambda vectors, cells: vectors - table[cells.astype(int)]
 
 
 def search_index(index: Index, queries: DataFrame, k: int, nprobe: int = 1) -> DataFrame:
@@ -260,7 +306,7 @@ def save_index(index: Index, path: str) -> None:
         index.rows.write.mode("overwrite").parquet(f"{path}/rows")
     spec = index.spec
     parameters = {
-        "metric": index.metric, "storage": spec.storage, "cells": spec.cells, "parts": spec.parts,
+        "metric": index.metric, "storage": spec.storage, "cells": spec.cells, "parts": spec.parts, "bits": spec.bits,
         "centres": index.centres, "low": index.low, "high": index.high, "codebooks": index.codebooks,
     }
     spark.createDataFrame([(json.dumps(parameters),)], "value string").write.mode("overwrite").text(f"{path}/parameters")
@@ -268,7 +314,7 @@ def save_index(index: Index, path: str) -> None:
 
 def load_index(spark: SparkSession, path: str) -> Index:
     p = json.loads(spark.read.text(f"{path}/parameters").first()[0])
-    spec = IndexSpec(p["storage"], p["cells"], p["parts"])
+    spec = IndexSpec(p["storage"], p["cells"], p["parts"], p["bits"])
     rows = spark.read.parquet(f"{path}/rows")
     return Index(p["metric"], spec, rows, p["centres"], p["low"], p["high"], p["codebooks"])
 

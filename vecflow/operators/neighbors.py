@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vecflow.functions.vectors import METRICS, doubles, metric_name
 from vecflow.operators import pivots
-from vecflow.operators.blocks import NO_LABEL, TopK, matrix
+from vecflow.operators.blocks import NO_LABEL, ProductCodes, matrix, top_k
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 CELL_ROWS = 100_000
@@ -40,7 +40,7 @@ SEED_FROM = 2_000_000
 PIVOT_FROM = 100_000  # train rows from which cells around pivots are tried before the grid
 
 CELL = ["cell", "q_shard", "t_shard"]
-Decoder = Callable[[np.ndarray], np.ndarray] | None
+Decoder = Callable[[np.ndarray], np.ndarray] | ProductCodes | None
 
 PART_SCHEMA = "query_id bigint, neighbor_id bigint, distance double, label int"
 ARROW_PART = pa.schema(
@@ -76,7 +76,7 @@ def _ids(column) -> np.ndarray:
 
 def _vectors(batch: pa.RecordBatch, decode: Decoder) -> np.ndarray:
     stored = matrix(batch["vector"])
-    return decode(stored) if decode and len(stored) else stored
+    return decode(stored) if callable(decode) and len(stored) else stored
 
 
 def _stream(queries: DataFrame, train: DataFrame, k: int, metric: str, skip_same: bool, decode: Decoder) -> DataFrame:
@@ -87,7 +87,7 @@ def _stream(queries: DataFrame, train: DataFrame, k: int, metric: str, skip_same
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors, limits = sent.value
-        best = TopK(ids, vectors, k, metric, skip_same, limits)
+        best = top_k(ids, vectors, k, metric, skip_same, limits, decode)
         for batch in batches:
             if batch.num_rows:
                 best.add(_ids(batch["id"]), _vectors(batch, decode), _labels(batch["label"]))
@@ -106,7 +106,7 @@ def _stream_keyed(queries: DataFrame, train: DataFrame, k: int, metric: str, ski
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors, asking = sent.value
-        best = TopK(ids, vectors, k, metric, skip_same)
+        best = top_k(ids, vectors, k, metric, skip_same, None, decode)
         for batch in batches:
             if batch.num_rows:
                 near, stored, labels = _ids(batch["id"]), _vectors(batch, decode), _labels(batch["label"])
@@ -114,7 +114,7 @@ def _stream_keyed(queries: DataFrame, train: DataFrame, k: int, metric: str, ski
                 for cell in np.unique(held):
                     if int(cell) in asking:
                         rows = held == cell
-                        best.add(near[rows], stored[rows], labels[rows], asking[int(cell)])
+                        best.add(near[rows], stored[rows], labels[rows], asking[int(cell)], int(cell))
         yield best.batch(ARROW_PART)
 
     return train.select("id", "cell", "vector", "label").mapInArrow(search, PART_SCHEMA)
@@ -133,9 +133,10 @@ def cell_search(
         if left.num_rows == 0 or right.num_rows == 0:
             return pa.Table.from_batches([], schema=ARROW_PART)
         bound = np.asarray(left["bound"].to_numpy(), dtype=np.float64) if has_bound else None
-        best = TopK(_ids(left["id"]), matrix(left["vector"]), k, metric, skip_same, bound)
+        best = top_k(_ids(left["id"]), matrix(left["vector"]), k, metric, skip_same, bound, decode)
+        cell = right["cell"][0].as_py() if "cell" in keys else None
         for batch in right.to_batches(max_chunksize=4096):
-            best.add(_ids(batch["id"]), _vectors(batch, decode), _labels(batch["label"]))
+            best.add(_ids(batch["id"]), _vectors(batch, decode), _labels(batch["label"]), cell=cell)
         return pa.Table.from_batches([best.batch(ARROW_PART)])
 
     columns = [*keys, "id", "vector"] + (["bound"] if has_bound else [])
@@ -262,7 +263,8 @@ def exact_topk(
     search runs first on a small sample: the k-th distance found there bounds the true
     one from above, so the full pass only emits rows within it - a filter that cannot
     lose a hit, and cuts the rows shuffled into the final top-k. ``decode`` turns stored codes into
-    vectors inside the task, so that codes and not vectors are read and shuffled.
+    vectors inside the task, or holds the codebooks by which distances of codes are looked up, so that codes and not
+    vectors are read and shuffled.
     """
     if k < 1:
         raise ValueError("k must be at least 1")

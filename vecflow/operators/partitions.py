@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 PARTITIONS = 10
+PartitionFunction = Callable[[Iterator[pd.DataFrame], int], Iterator[pd.DataFrame]]
 
 
 def map_rows(df: DataFrame, **columns: Column) -> DataFrame:
@@ -16,34 +18,29 @@ def map_rows(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumns(columns)
 
 
-def map_partitions(
-    df: DataFrame, function: Callable[[pd.DataFrame, int], pd.DataFrame], schema: str | StructType
-) -> DataFrame:
-    """Applies a function to the batches of each partition; it also gets the partition number."""
-    numbered = df.withColumn("partition_number", F.spark_partition_id())
+def map_partitions(df: DataFrame, function: PartitionFunction, schema: str | StructType) -> DataFrame:
+    """Calls a function once per partition with an iterator over its batches and the partition's number.
+
+    It yields frames as it goes, so a partition is never held whole; what it keeps between batches holds for the whole
+    partition, however many batches that has. A partition without rows gives it an empty iterator.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                number = int(batch["partition_number"].iloc[0])
-                yield function(batch.drop(columns="partition_number"), number)
+        yield from function((batch for batch in batches if len(batch)), TaskContext.get().partitionId())
 
-    return numbered.mapInPandas(run, schema)
+    return df.mapInPandas(run, schema)
 
 
-def map_table(
-    df: DataFrame, function: Callable, schema: str | StructType, partitions: int = PARTITIONS
-) -> DataFrame:
+def map_table(df: DataFrame, function: PartitionFunction, schema: str | StructType, partitions: int = PARTITIONS) -> DataFrame:
     """Like :func:`map_partitions` after spreading the rows over a number of partitions."""
     return map_partitions(df.repartition(partitions), function, schema)
 
 
 def map_records(
-    spark: SparkSession, records: Iterable[dict], record_schema: str, function: Callable, schema: str,
-    partitions: int = PARTITIONS,
+    lines: DataFrame, record_schema: str, function: PartitionFunction, schema: str | StructType, partitions: int = PARTITIONS, value: str = "value"
 ) -> DataFrame:
-    """A partition function over a list of records."""
-    return map_table(spark.createDataFrame(list(records), record_schema), function, schema, partitions)
+    """A partition function over records kept as JSON lines; a line that is no JSON object becomes a record of nulls."""
+    return map_table(lines.select(F.from_json(value, record_schema).alias("record")).select("record.*"), function, schema, partitions)
 
 
 MAJORITY_SQL = "vecflow_majority"

@@ -31,6 +31,11 @@ PITCH_CLASSES = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"
 DELTA_WEIGHTS = [n / 60 for n in (-4, -3, -2, -1, 0, 1, 2, 3, 4)]
 DELTA2_WEIGHTS = [n / 462 for n in (28, 7, -8, -17, -20, -17, -8, 7, 28)]
 DB_FLOOR = 80.0
+LOWEST_A = 27.5
+PEAK_HERTZ = (150.0, 4000.0)
+PEAK_SHARE = 0.1
+
+TUNING_STEPS = 100  # tunings told apart in a semitone
 
 
 def slice_seconds(samples: Column, rate: Column, start: Column, duration: Column) -> Column:
@@ -213,23 +218,79 @@ def spectral_rolloff(power: Column, freqs: Sequence[float], percent: float = ROL
     return let(sizes, lambda size: let(array_sum(size) * percent - 1e-12, lambda limit: first_bin(size, limit)))
 
 
-def chroma(power: Column, freqs: Sequence[float]) -> Column:
-    """Power per pitch class, divided by the largest class of the frame.
+def chroma_filters(width: int, rate: float, tuning: float = 0.0) -> np.ndarray:
+    """Weight of each bin for each pitch class, C first: Gaussians as wide as the step to the next bin, at least a semitone.
+
+    A bin's weights have length 1, times a Gaussian over the octaves around the sixth (A0 starts the first). ``tuning`` moves
+    the scale by a share of a semitone.
+    """
+    semitones = 12 * np.log2(rate * np.arange(1, width) / width / (LOWEST_A * 2 ** (tuning / 12)))
+    place = np.concatenate([[semitones[0] - 18], semitones])  # the bin at 0 Hz: an octave and a half below the next
+    spread = np.concatenate([np.maximum(np.diff(place), 1.0), [1.0]])
+    apart = (place - np.arange(12)[:, None] + 6) % 12 - 6
+    weights = np.exp(-2 * (apart / spread) ** 2)
+    weights /= np.sqrt((weights**2).sum(axis=0))
+    weights *= np.exp(-0.5 * ((place / 12 - 5) / 2) ** 2)
+    return np.roll(weights, -3, axis=0)[:, : width // 2 + 1]
+
+
+def spectral_peaks(power: Column, width: int, rate: float) -> Column:
+    """(pitch, size) of the local maxima between 150 and 4000 Hz above a tenth of the frame's largest power, by parabolas."""
+    top = min(PEAK_HERTZ[1], rate / 2)
+    bins = [b for b, f in enumerate(frequencies(width, rate)) if 0 < b < width // 2 and PEAK_HERTZ[0] <= f < top]
+    if not bins:
+        return F.expr("array()").cast("array<struct<pitch:double,size:double>>")
+
+    def at(b: Column, least: Column) -> Column:
+        left, here, right = (F.get(power, b + d) for d in (-1, 0, 1))
+        slope, bend = (right - left) / 2, right + left - 2 * here
+        moved = -slope / bend
+        found = F.struct(((b + moved) * (rate / width)).alias("pitch"), (here + 0.5 * slope * moved).alias("size"))
+        return F.when((here > least) & (here > left) & (here >= right), found)
+
+    numbers = F.sequence(F.lit(bins[0]), F.lit(bins[-1]))
+    return let(PEAK_SHARE * F.array_max(power), lambda least: F.array_compact(F.transform(numbers, lambda b: at(b, least))))
+
 
-    Every bin above 0 Hz counts fully for its nearest pitch class (a simplified filter).
+def tuning_of(pitches: np.ndarray, sizes: np.ndarray) -> float:
+    """The share of a semitone, from -0.5 in steps of 0.01, by which most of the larger half of the peaks lies beside the scale."""
+    if len(pitches) == 0:
+        return 0.0
+    semitones = 12 * np.log2(pitches[sizes >= np.median(sizes)] / LOWEST_A)
+    beside = semitones - np.floor(semitones)
+    beside = np.where(beside >= 0.5, beside - 1, beside)
+    cells = np.floor((beside + 0.5) * TUNING_STEPS).astype(int)
+    return (int(np.bincount(cells, minlength=TUNING_STEPS).argmax()) - TUNING_STEPS // 2) / TUNING_STEPS
+
+
+def tunings(frames: DataFrame, series: str, width: int, rate: float, power: str = "power") -> DataFrame:
+    """(series, tuning): how far each clip is out of tune; 0 without peaks. A clip is bounded, so its peaks are one row."""
+
+    @F.pandas_udf("double")
+    def estimate(peaks: pd.Series) -> pd.Series:
+        return pd.Series([tuning_of(*np.array([(e["pitch"], e["size"]) for e in found], dtype=float).reshape(-1, 2).T) for found in peaks], dtype=float)
+
+    gathered = frames.groupBy(series).agg(F.flatten(F.collect_list(spectral_peaks(F.col(power), width, rate))).alias("peaks"))
+    return gathered.select(series, estimate("peaks").alias("tuning"))
+
+
+def with_chroma(frames: DataFrame, series: str, width: int, rate: float, power: str = "power", out: str = "chroma") -> DataFrame:
+    """Adds the power per pitch class, C first, divided by the largest class of the frame (0 for a silent one).
+
+    The filter bank is that of the clip's tuning, one of ``TUNING_STEPS``.
     """
-    classes = [-1 if f <= 0 else (math.floor(12 * math.log2(f / 440.0) + 0.5) + 9) % 12 for f in freqs]
-    sums = []
-    for c in range(12):
-        bins = [i for i, found in enumerate(classes) if found == c]
-        values = [F.get(power, F.lit(i)) for i in bins]
-        sums.append(array_sum(F.array(*values)) if values else F.lit(0.0))
 
-    def shares(raw: Column) -> Column:
-        part = lambda top: F.transform(raw, lambda v: F.coalesce(F.try_divide(v, top), F.lit(0.0)))
-        return let(F.array_max(raw), part)
+    @F.pandas_udf("array<double>")
+    def shares(powers: pd.Series, tuning: pd.Series) -> pd.Series:
+        made = np.zeros((len(powers), 12))
+        for t in tuning.unique():
+            rows = (tuning == t).to_numpy()
+            made[rows] = np.stack(powers[rows].to_numpy()) @ chroma_filters(width, rate, t).T
+        top = made.max(axis=1, initial=0, keepdims=True)
+        return pd.Series(list(made / np.where(top > 0, top, 1)))
 
-    return let(F.array(*sums), shares)
+    tuned = null_safe_join(frames, tunings(frames, series, width, rate, power), [series])
+    return tuned.withColumn(out, shares(power, "tuning")).drop("tuning")
 
 
 def matrix_by_series(df: DataFrame, series: str, vector: str, out: str = "matrix") -> DataFrame:
@@ -295,7 +356,7 @@ def combined(
     if n_mfcc:
         frames = mfcc(mel_spectrogram(frames, width, rate, n_mels), series, n_mfcc, n_mels=n_mels)
     if pitch_classes:
-        frames = frames.withColumn("chroma", chroma(F.col("power"), freqs))
+        frames = with_chroma(frames, series, width, rate)
     means = []
     if use_rms:
         means.append(F.avg(rms(F.col("x"))).alias("rms"))
@@ -352,7 +413,7 @@ def feature_matrix(
         elif base == "specrol":
             frames = frames.withColumn("v", F.array(spectral_rolloff(F.col("power"), freqs)))
         elif base == "chroma":
-            frames = frames.withColumn("v", chroma(F.col("power"), freqs))
+            frames = with_chroma(frames, series, width, rate, out="v")
         elif base == "mel":
             frames = mel_spectrogram(frames, width, rate, option or n_mels).withColumnRenamed("mel", "v")
         else:

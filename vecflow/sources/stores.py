@@ -156,13 +156,30 @@ def count_rows(spark: SparkSession, name: str) -> int:
     return spark.table(name).count()
 
 
+# The parameters of each kind of index (fixed values).
+INDEX_PARAMETERS = {
+    "FLAT": (),
+    "IVF_FLAT": ("nlist",),
+    "IVF_SQ8": ("nlist",),
+    "IVF_PQ": ("nlist", "m", "nbits"),
+}
+
+
 def index_text(kind: str, params: dict | None = None) -> str:
-    """The index of a vector table, ``IVF_PQ`` with ``{'m': 10, 'nlist': 1000}``, in the notation ``IVF1000,PQ10``."""
+    """The index of a vector table, ``IVF_PQ`` with ``{'m': 10, 'nlist': 1000}``, in the notation ``IVF1000,PQ10``.
+
+    Codes of another size than 8 bits are written ``PQ10x12``; a parameter that the kind does not have is an error.
+    """
     params = params or {}
-    storages = {"FLAT": "Flat", "IVF_FLAT": "Flat", "IVF_SQ8": "SQ8", "IVF_PQ": f"PQ{params.get('m')}"}
-    if kind not in storages:
-        raise ValueError(f"unknown index type {kind!r}, expected one of {sorted(storages)}")
-    text = storages[kind] if kind == "FLAT" else f"IVF{params.get('nlist')},{storages[kind]}"
+    if kind not in INDEX_PARAMETERS:
+        raise ValueError(f"unknown index type {kind!r}, expected one of {sorted(INDEX_PARAMETERS)}")
+    unknown = sorted(set(params) - set(INDEX_PARAMETERS[kind]))
+    if unknown:
+        raise ValueError(f"unknown index parameters of {kind}: {unknown}")
+    bits = params.get("nbits", 8)
+    coded = f"PQ{params.get('m')}" + (f"x{bits}" if bits != 8 else "")
+    storage = {"IVF_SQ8": "SQ8", "IVF_PQ": coded}.get(kind, "Flat")
+    text = storage if kind == "FLAT" else f"IVF{params.get('nlist')},{storage}"
     parse_spec(text)
     return text
 
