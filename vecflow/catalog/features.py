@@ -172,6 +172,25 @@ def principal_components(t: Tables) -> DataFrame:
     return cells(reduced, "vec_id", "reduced")
 
 
+# a full set of components turns the table: traces, squared covariances and lengths stay, so variances are eigenvalues
+@query("v14_variances", """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+x AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v),
+c AS (SELECT a.i, b.i AS j, covar_samp(a.x, b.x) AS c FROM x a JOIN x b USING (vec_id) GROUP BY ALL)
+SELECT count(DISTINCT i) AS components, round(sum(c) FILTER (i = j), 6) AS total, round(sum(c * c), 6) AS squares,
+       (SELECT round(sum(x * x), 6) FROM x) AS lengths, 0 AS rises FROM c""")
+def component_variances(t: Tables) -> DataFrame:
+    rows = _vectors(t)
+    reduced = reduction.apply_pca(rows, reduction.fit_pca(rows, "v", V.dimension(rows, "v")), "v")
+    spread = reduced.select(F.posexplode("reduced").alias("pos", "x")).groupBy("pos").agg(F.var_samp("x").alias("var"), F.sum(F.col("x") * F.col("x")).alias("length"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "var"))), lambda c: c["var"])  # one per dimension
+    rises = F.size(F.filter(F.sequence(F.lit(1), F.size("variances") - 1), lambda i: F.get("variances", i) > F.get("variances", i - 1) + 1e-9))
+    return spread.agg(
+        F.count("*").alias("components"), F.round(F.sum("var"), 6).alias("total"), F.round(F.sum(F.col("var") * F.col("var")), 6).alias("squares"),
+        F.round(F.sum("length"), 6).alias("lengths"), listed.alias("variances"),
+    ).select("components", "total", "squares", "lengths", rises.alias("rises"))
+
+
 # ---------------------------------------------------------------- scalers
 
 

@@ -8,7 +8,7 @@ from vecflow.catalog.registry import SCALED_SQL, SPLIT_SQL, Tables, embedded, hi
 from vecflow.catalog.tables import REPORT_SQL
 from vecflow.functions.vectors import doubles
 from vecflow.operators import evaluation, indexes, neighbors, prep, reports, votes
-from vecflow.plans import datagrid, experiments, grids
+from vecflow.plans import datagrid, experiments, grids, records
 from vecflow.session import scratch_path
 from vecflow.sources import files, stores
 
@@ -290,7 +290,14 @@ def ivf_scalar_quantised(t: Tables) -> DataFrame:
     return _indexed(t, "IVF8,SQ8", {}, {"nprobe": 8})
 
 
-@query("k14_half_precision")
+# a half has 11 significant bits, and below 2^-14 steps of 2^-24; halves of a step go to the even neighbour
+HALF_SQL = "WITH " + SPLIT_SQL + """,
+un AS (SELECT vec_id, label, grp, train1, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM s),
+cq AS (SELECT vec_id, label, grp, train1, CASE WHEN train1 = 0 THEN v ELSE list_transform(v, lambda x: CASE WHEN x = 0 THEN x ELSE
+       round_even(x / pow(2, greatest(floor(log2(abs(x))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(x))), -14) - 10) END) END AS v FROM un),"""
+
+
+@query("k14_half_precision", HALF_SQL + hits_sql("cq", 15, "1 - list_dot_product(q.v, t.v)") + ROWS_SQL)
 def half_precision(t: Tables) -> DataFrame:
     return _indexed(t, "SQfp16", {}, {})
 
@@ -305,6 +312,36 @@ def ivf_product_quantised(t: Tables) -> DataFrame:
     return _indexed(t, "IVF8,PQ4", {"nbits": 4}, {"nprobe": 8})
 
 
+def _quality(t: Tables, spec: str, build: dict, nprobe: int, floor: float) -> DataFrame:
+    """One row on an index whose centres or codebooks are fitted: its hits against the exact ones.
+
+    ``bad_lists`` counts queries whose hits are not 15 different rows in order of distance; ``close`` says whether the share of
+    exact hits found reaches the floor.
+    """
+    train, test = _sides(t)
+    hits = indexes.search_index(indexes.build_index(train, spec, **build), test, 15, nprobe)
+    order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "distance"))), lambda h: h["distance"])
+    lists = hits.groupBy("query_id").agg(F.count_distinct("neighbor_id").alias("n"), order.alias("distances"))
+    bad = (F.col("n") != 15) | ~F.forall(
+        F.sequence(F.lit(1), F.size("distances") - 1), lambda i: F.get("distances", i) >= F.get("distances", i - 1)
+    )
+    exact = neighbors.exact_topk(test, train, 15)
+    share = exact.select("query_id", "neighbor_id").join(hits.select("query_id", "neighbor_id", F.lit(1).alias("f")), ["query_id", "neighbor_id"], "left")
+    found = share.agg((F.count("f") / F.count("*")).alias("recall"))
+    rows = lists.agg(F.count("*").alias("queries"), F.count_if(bad).alias("bad_lists"))
+    both = rows.unionByName(found, allowMissingColumns=True).agg(*(F.max(c).alias(c) for c in ("queries", "bad_lists", "recall")))
+    return both.select(F.lit(spec).alias("spec"), "queries", "bad_lists", (F.col("recall") >= floor).cast("int").alias("close"))
+
+
+QUALITY = [("IVF16,Flat", {}, 4, 0.45), ("PQ8", {"nbits": 4}, 1, 0.3), ("IVF8,PQ4", {"nbits": 4}, 8, 0.15)]
+
+
+@query("k15_index_quality", "WITH " + SPLIT_SQL + " SELECT spec, count(*) AS queries, 0 AS bad_lists, 1 AS close FROM s, (VALUES "
+       + ", ".join(f"('{spec}')" for spec, *_ in QUALITY) + ") AS t(spec) WHERE train1 = 0 GROUP BY spec")
+def index_quality(t: Tables) -> DataFrame:
+    return files.union_all([_quality(t, *one) for one in QUALITY])
+
+
 def _build_configurations(t: Tables) -> DataFrame:
     """Line items read as index configurations: cells by line number, storage by flag, probes by quantity."""
     storage = F.when(F.col("l_returnflag") == "A", "Flat").when(F.col("l_returnflag") == "N", "SQ8").otherwise("PQ10")
@@ -390,6 +427,38 @@ def result_row(t: Tables) -> DataFrame:
     return row.withColumns(rounded).withColumn("skipped", F.col("skipped").cast("int"))
 
 
+# precision_0 ... precision_3
+PRECISIONS_SQL = ", ".join(
+    f"round(coalesce(count(*) FILTER (y = label AND label = {c}) / nullif(count(*) FILTER (label = {c}), 0), "
+    f"CASE WHEN count(*) FILTER (y = {c}) > 0 THEN 0 END) + 1e-9, 6) AS precision_{c}" for c in range(4)
+)
+
+
+def _recorded(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Rows of a grid with all their fields, and the predictions behind them: exact, by an index, and three that can't be run."""
+    base = {"segment_lenght": 3, "segment_overlap": 0, "feature": "embedding", "vector_operation": "none", "metric_type": "cosine", "vote_type": "uniform"}
+    rows = [
+        {**base, "row_key": f"{m}-{v}-{k}", "metric_type": m, "vote_type": v, "neighbors": k}
+        for m in ("cosine", "correlation") for v in ("uniform", "distance") for k in (15, 20)
+    ]
+    rows += [{**base, "row_key": "ivf-15", "index_params": "{'params': 'IVF8,Flat', 'nprobe': 8, 'neighbors': 15}"}]
+    rows += [{**base, "row_key": "bad-index", "neighbors": 15, "index_params": "{'params': 'HNSW32,Flat'}"}]
+    rows += [{**base, "row_key": "bad-text", "neighbors": 15, "index_params": "IVF("}, {**base, "row_key": "bad-k", "neighbors": 0}]
+    return records.run_recorded(*_sides(t), rows)
+
+
+def _recorded_sql() -> str:
+    return GRID_CTES + f"""
+, r AS (SELECT concat(m, '-', vote, '-', k) AS row_key, m, vote, k, y, label FROM p WHERE rn = 1
+  UNION ALL SELECT 'ivf-15', m, vote, k, y, label FROM p WHERE rn = 1 AND m = 'cosine' AND vote = 'uniform' AND k = 15)
+SELECT row_key, 3 AS segment_lenght, 0 AS segment_overlap, 'embedding' AS feature, 'none' AS vector_operation, m AS metric_type, vote AS vote_type, k AS neighbors,
+       CASE WHEN row_key = 'ivf-15' THEN '{{''params'': ''IVF8,Flat'', ''nprobe'': 8, ''neighbors'': 15}}' END AS index_params, 0 AS skipped,
+       round(avg((y = label)::INT) + 1e-9, 6) AS accuracy, {PRECISIONS_SQL}, (SELECT count(*) FROM s WHERE train1 = 1) AS training_set_size,
+       count(*) AS testing_set_size, 4 AS measured FROM r GROUP BY row_key, m, vote, k
+UNION ALL SELECT 'bad-' || b, 3, 0, 'embedding', 'none', 'cosine', 'uniform', n, i, 1, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0
+FROM (VALUES ('index', 15, '{{''params'': ''HNSW32,Flat''}}'), ('text', 15, 'IVF('), ('k', 0, NULL)) AS b(b, n, i)"""
+
+
 PROVENANCE_SQL = HITS_SQL + RECIPROCAL_SQL + """
 , b AS (SELECT query_id, label AS prediction FROM p WHERE rn = 1),
 f AS (SELECT query_id, y, grp, max(label) FILTER (rank = 1) AS first_label, max(hit_grp) FILTER (rank = 5) AS hit_grp,
@@ -603,3 +672,39 @@ def top_report(t: Tables) -> DataFrame:
     return reports.distinct_scores_report(rows, 200, "score", ["o_orderpriority", "o_orderkey"], drop=["o_orderdate", "skipped"])
 
 
+# times and memory differ from run to run: how many of the four are there is compared
+@query("e04_grid_rows", _recorded_sql())
+def grid_rows(t: Tables) -> DataFrame:
+    rows, _ = _recorded(t)
+    costs = ("train_elapsed_time", "predict_elapsed_time", "train_used_memory", "predict_used_memory")
+    known = sum(((F.col(c) >= 0) & F.col(c).isNotNull()).cast("int") for c in costs)
+    numbers = {c: r6(F.col(c)) for c in ("accuracy", *(f"precision_{k}" for k in range(4)))}
+    return rows.withColumns({**numbers, "skipped": F.col("skipped").cast("int"), "measured": known}).drop(*costs, "message")
+
+
+@query("e11_detailed_report", GRID_CTES + """
+, r AS (SELECT concat(m, '-', vote, '-', k) AS row_key, y, label FROM p WHERE rn = 1),
+a AS (SELECT row_key, avg((y = label)::INT) AS accuracy FROM r GROUP BY row_key),
+b AS (SELECT * FROM a ORDER BY accuracy DESC, row_key LIMIT 5),
+w AS (SELECT *, lag(accuracy, 1, 0) OVER (ORDER BY accuracy DESC, row_key) AS previous FROM b),
+e AS (SELECT row_key, accuracy FROM w WHERE accuracy <> previous),
+l AS (SELECT DISTINCT row_key, unnest([y, label]) AS c FROM r SEMI JOIN e USING (row_key)),
+x AS (SELECT i.row_key, i.c AS y, j.c AS h, (SELECT count(*) FROM r WHERE r.row_key = i.row_key AND r.y = i.c AND r.label = j.c) AS n
+      FROM l i JOIN l j USING (row_key)),
+t AS (SELECT row_key, y AS label, string_agg(n::VARCHAR, ',' ORDER BY h) AS counts, max(n) FILTER (y = h) AS hits, sum(n) AS support FROM x GROUP BY ALL),
+q AS (SELECT row_key, h AS label, sum(n) AS predicted FROM x GROUP BY ALL),
+f AS (SELECT *, coalesce(hits / nullif(predicted, 0), 0) AS pr, coalesce(hits / nullif(support, 0), 0) AS re FROM t JOIN q USING (row_key, label))
+SELECT row_key, round(accuracy + 1e-9, 6) AS accuracy, label, counts, round(pr + 1e-9, 6) AS precision, round(re + 1e-9, 6) AS recall,
+       round(coalesce(2 * pr * re / nullif(pr + re, 0), 0) + 1e-9, 6) AS f1, support::BIGINT AS support, 0 AS n_missing FROM f JOIN e USING (row_key)""")
+def detailed_report(t: Tables) -> DataFrame:
+    """The best rows of the grid with matrix and class report, from predictions kept by row key; a line per class."""
+    searches, _ = experiments.run_searches(*_sides(t), _grid_configurations())
+    folder = scratch_path(t.spark, "predictions")
+    for search in searches:  # as runs come in
+        records.keep_predictions(search.pairs, folder)
+    pairs = records.kept_predictions(t.spark, folder)
+    report = reports.detailed_report(evaluation.pair_results(pairs, ["row_key"], ()), pairs, 5)
+    lines = report.select("row_key", "accuracy", "n_missing", F.explode(F.arrays_zip("matrix", "report")).alias("line"))
+    numbers = [r6(F.col(f"line.report.{c}")).alias(c) for c in ("precision", "recall", "f1")]
+    counts = F.array_join(F.transform("line.matrix.counts", lambda n: n.cast("string")), ",").alias("counts")
+    return lines.select("row_key", r6(F.col("accuracy")).alias("accuracy"), F.col("line.report.label").alias("label"), counts, *numbers, F.col("line.report.support").alias("support"), "n_missing")

@@ -36,7 +36,11 @@ def confusion(df: DataFrame, y: str, y_hat: str) -> DataFrame:
 
 def class_report(df: DataFrame, y: str, y_hat: str, keys: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, F1 and support per class; a zero denominator gives 0."""
-    pairs = counted_pairs(df, y, y_hat, keys)
+    return pair_report(counted_pairs(df, y, y_hat, keys), keys)
+
+
+def pair_report(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The class report from counted pairs ``(*keys, y, y_hat, n)``."""
     side = F.explode(
         F.array(
             F.struct(F.col("y").alias("label"), F.col("n").alias("support"), F.lit(0).alias("predicted"),
@@ -55,6 +59,42 @@ def class_report(df: DataFrame, y: str, y_hat: str, keys: Sequence[str] = ()) ->
     return scored.select(*keys, "label", "precision", "recall", f1.alias("f1"), "support")
 
 
+def nested_matrix(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key ``matrix``: an array of (y, counts), counts being those of every predicted label in ascending order.
+
+    The labels are those met on either side of the key's pairs; queries without a prediction are counted in ``n_missing``. What
+    meets in a group is the matrix itself.
+    """
+    known = pairs.where(F.col("y").isNotNull() & F.col("y_hat").isNotNull())
+    met = pairs.select(*keys, F.explode(F.array("y", "y_hat")).alias("label")).where(F.col("label").isNotNull())
+    labels = met.groupBy(*keys).agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    cells = labels.select(*keys, "labels", F.explode("labels").alias("y")).select(*keys, "y", F.explode("labels").alias("y_hat"))
+    filled = cells.join(known, [*keys, "y", "y_hat"], "left").select(*keys, "y", "y_hat", F.coalesce("n", F.lit(0)).alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct("y_hat", "n")))
+    lines = filled.groupBy(*keys, "y").agg(F.transform(ordered, lambda c: c["n"]).alias("counts"))
+    matrices = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("y", "counts"))).alias("matrix"))
+    missing = pairs.groupBy(*keys).agg(F.sum(F.when(F.col("y_hat").isNull(), F.col("n")).otherwise(0)).alias("n_missing"))
+    return missing.join(matrices, list(keys), "left")
+
+
+def nested_report(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key ``report``: an array of (label, precision, recall, f1, support) in ascending order of the label."""
+    rows = pair_report(pairs, keys).where(F.col("label").isNotNull())
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("label", "precision", "recall", "f1", "support"))).alias("report"))
+
+
+def pair_results(pairs: DataFrame, keys: Sequence[str], classes: Sequence[int]) -> DataFrame:
+    """Per key accuracy, test size and the precision of each listed class (null when never met); a missing prediction is a miss."""
+    hit = F.coalesce(F.col("y") == F.col("y_hat"), F.lit(False))
+    sizes = pairs.groupBy(*keys).agg(
+        (F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"), F.sum("n").alias("testing_set_size")
+    )
+    cells = [F.max(F.when(F.col("label") == c, F.col("precision"))).alias(f"precision_{c}") for c in classes]
+    if not cells:
+        return sizes
+    return sizes.join(pair_report(pairs, keys).groupBy(*keys).agg(*cells), list(keys))
+
+
 def report_with_averages(df: DataFrame, y: str, y_hat: str) -> DataFrame:
     """The class report with accuracy, macro and weighted averages as further rows."""
     report = class_report(df, y, y_hat)

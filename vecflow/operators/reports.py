@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vecflow.operators.evaluation import nested_matrix, nested_report
 from vecflow.operators.ranking import top_n
 
 # Order of a result report when the caller gives none (fixed values).
@@ -90,6 +91,19 @@ def distinct_scores_report(df: DataFrame, n: int, measure: str, ties: Sequence[s
     return best.withColumn("changed", changed).where("changed").drop("changed")
 
 
+def detailed_report(
+    df: DataFrame, pairs: DataFrame, n: int, measure: str = "accuracy", ties: Sequence[str] = ("row_key",), key: str = "row_key"
+) -> DataFrame:
+    """The rows of :func:`distinct_scores_report`, each with its confusion matrix and class report as nested arrays.
+
+    ``pairs`` holds the counted predictions ``(key, y, y_hat, n)`` of all runs; only those of the rows reported (at most ``n``
+    keys) are read further. A run without predictions has null arrays.
+    """
+    best = distinct_scores_report(df, n, measure, ties)
+    chosen = pairs.join(F.broadcast(best.select(key)), key, "left_semi")
+    return best.join(nested_matrix(chosen, [key]), key, "left").join(nested_report(chosen, [key]), key, "left")
+
+
 def fixed_text(value: Column, digits: int) -> Column:
     """The number with a fixed count of decimals (at most 4), correctly rounded.
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, functions as F
@@ -14,6 +14,7 @@ from vecflow.operators.folds import masked_topk
 from vecflow.operators.neighbors import as_vectors, exact_topk
 from vecflow.operators.ranking import first_valid_by_key
 from vecflow.operators.scaling import apply_minmax, fit_minmax, fold_scalers
+from vecflow.plans.measure import measured
 from vecflow.session import shared_dir
 
 
@@ -96,14 +97,21 @@ def configuration_of(row: dict) -> dict:
     return c
 
 
-def run_grid(train: DataFrame, test: DataFrame, configurations: Sequence[dict]) -> DataFrame:
-    """A result row per configuration: accuracy, sizes, seconds; ``skipped`` with a message where it can't be run.
+@dataclass
+class Search:
+    """What one search gave: the counted predictions ``(row_key, y, y_hat, n)`` of the configurations it serves, and its numbers."""
 
-    A configuration has ``row_key, metric, neighbors, vote_type`` and perhaps ``normalize, index, nbits, seed, nprobe``; an
-    unknown key is an error. Each distinct index is built once (``train_seconds``); the configurations that share it
-    and the number of probes share one search with their largest k, whose hits a rank filter and one vote
-    pass turn into all their predictions (``predict_seconds``, of the whole search). The loops are over the few
-    builds and searches, not over the configurations; only result rows are stored.
+    members: list[dict]
+    pairs: DataFrame
+    numbers: dict
+
+
+def run_searches(train: DataFrame, test: DataFrame, configurations: Sequence[dict]) -> tuple[list[Search], list[tuple[str, str]]]:
+    """All searches of a grid, and (row key, message) of the rows that can't be run; an unknown key is an error.
+
+    Each distinct index is built once; the configurations that share it and the number of probes share one search with their
+    largest k, whose hits a rank filter and one vote pass turn into all their predictions. The loops are over the few
+    builds and searches, not over the configurations; only counted predictions are stored.
     """
     spark = train.sparkSession
     shared_dir(spark)
@@ -125,35 +133,52 @@ def run_grid(train: DataFrame, test: DataFrame, configurations: Sequence[dict])
         if normalize not in sides:
             sides[normalize] = scaled(train, test)
         left, right = sides[normalize]
-        start, built = time.perf_counter(), None
         try:
-            if index != "Flat":
-                built = indexes.build_index(left, index, metric, nbits=nbits, seed=seed)
+            build = lambda: None if index == "Flat" else indexes.build_index(left, index, metric, nbits=nbits, seed=seed)  # noqa: B023, E731
+            built, train_seconds, train_memory = measured(spark, build)
         except ValueError as error:
             skipped += [(c["row_key"], str(error)) for members in searches.values() for c in members]
             continue
-        train_seconds = time.perf_counter() - start
         sizes.setdefault("train", left.count())
         for nprobe, members in searches.items():
-            start, most = time.perf_counter(), max(c["neighbors"] for c in members)
+            most = max(c["neighbors"] for c in members)
+
+            def search():
+                hits = exact_topk(right, left, most, metric) if built is None else indexes.search_index(built, right, most, nprobe)  # noqa: B023
+                return _served(hits, members, test).checkpoint()  # noqa: B023
+
             try:
-                hits = exact_topk(right, left, most, metric) if built is None else indexes.search_index(built, right, most, nprobe)
-                found = _served(hits, members, test).checkpoint()
+                pairs, seconds, memory = measured(spark, search)
             except (ValueError, PySparkException) as error:  # of these rows only: the other searches go on
                 said = next((x.strip() for x in str(error).splitlines() if x.strip()), type(error).__name__)
                 skipped += [(c["row_key"], said) for c in members]
                 continue
-            seconds = time.perf_counter() - start
-            numbers = {"training_set_size": sizes["train"], "train_seconds": train_seconds, "predict_seconds": seconds}
-            results.append(found.withColumns({k: F.lit(v) for k, v in numbers.items()}).withColumn("message", F.lit(None).cast("string")))
-    table = spark.createDataFrame([(k, None, None, None, None, None, m) for k, m in skipped], RESULT_SCHEMA)
-    for other in results:
-        table = table.unionByName(other)
+            numbers = {
+                "training_set_size": sizes["train"], "train_seconds": train_seconds, "predict_seconds": seconds,
+                "train_memory": train_memory, "predict_memory": memory,
+            }
+            results.append(Search(members, pairs, numbers))
+    return results, skipped
+
+
+def run_grid(train: DataFrame, test: DataFrame, configurations: Sequence[dict]) -> DataFrame:
+    """A result row per configuration: accuracy, sizes, seconds; ``skipped`` with a message where it can't be run.
+
+    A configuration has ``row_key, metric, neighbors, vote_type`` and perhaps ``normalize, index, nbits, seed, nprobe``; an
+    unknown key is an error. ``train_seconds`` are those of the shared build, ``predict_seconds`` of the whole shared search
+    (see :func:`run_searches`).
+    """
+    searches, skipped = run_searches(train, test, configurations)
+    table = train.sparkSession.createDataFrame([(k, None, None, None, None, None, m) for k, m in skipped], RESULT_SCHEMA)
+    for search in searches:
+        found = evaluation.pair_results(search.pairs, ["row_key"], ()).withColumnRenamed("testing_set_size", "n")
+        numbers = {k: F.lit(search.numbers[k]) for k in ("training_set_size", "train_seconds", "predict_seconds")}
+        table = table.unionByName(found.withColumns(numbers).withColumn("message", F.lit(None).cast("string")))
     return table.withColumn("skipped", F.col("message").isNotNull())
 
 
 def _served(hits: DataFrame, members: Sequence[dict], test: DataFrame) -> DataFrame:
-    """Accuracy of the configurations that one search serves; a query without hits is a miss."""
+    """Counted predictions of the configurations that one search serves; a query without hits has a null prediction."""
     listed = F.array(*[
         F.struct(F.lit(c["row_key"]).alias("row_key"), F.lit(int(c["neighbors"])).alias("k"), F.lit(c["vote_type"]).alias("vote_type"))
         for c in members
@@ -164,7 +189,7 @@ def _served(hits: DataFrame, members: Sequence[dict], test: DataFrame) -> DataFr
     predicted = votes.configured(served, ["row_key", "query_id"], F.col("vote_type"))
     asked = test.select(F.col("id").alias("query_id"), F.col("label").alias("y"), F.explode(F.array(*[F.lit(c["row_key"]) for c in members])).alias("row_key"))
     both = asked.join(predicted, ["row_key", "query_id"], "left")
-    return evaluation.accuracy(both, "y", "prediction", ["row_key"])
+    return evaluation.counted_pairs(both, "y", "prediction", ["row_key"])
 
 
 def run_folds(
