@@ -11,7 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from vecflow.llm.common import WordHashes, column, map_groups, slices, stored, texts
+from vecflow.llm.common import WordHashes, column, give_back, map_groups, slices, stored_by, texts
 
 ORDER = 3
 ALPHA = 0.4
@@ -47,7 +47,7 @@ def batch_of(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def chunked(df: DataFrame, id: str, text: str) -> DataFrame:
-    """Stored chunks of neighbouring documents: compressed lower-cased texts; ids, lengths and the number of words."""
+    """Chunks of neighbouring documents, stored by their number: compressed lower-cased texts; ids, lengths, number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -58,7 +58,7 @@ def chunked(df: DataFrame, id: str, text: str) -> DataFrame:
             known = np.array([i is not None for i in ids], "<i8")
             index = np.concatenate([np.array([i or 0 for i in ids], "<i8"), known, np.array([len(x) for x in held], "<i8")])
             words = sum(len(x.split()) for x in held)
-            return batch_of([(number, 0, 0, zstandard.compress(b"".join(held), 3), struct.pack("<qq", len(ids), words) + index.tobytes())])
+            return batch_of([(number, 0, 0, zstandard.compress(b"".join(held), 9), struct.pack("<qq", len(ids), words) + index.tobytes())])
 
         for batch in slices(batches):
             for i, x in zip(column(batch, "id").to_pylist(), texts(batch, "text")):
@@ -72,7 +72,7 @@ def chunked(df: DataFrame, id: str, text: str) -> DataFrame:
             yield closed()
 
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    return stored(rows.mapInArrow(run, ROW), "chunks", compression="none")
+    return stored_by(rows.mapInArrow(run, ROW), "chunks", "chunk", compression="none")
 
 
 class Grams:
@@ -189,7 +189,7 @@ def scores(df: DataFrame, id: str = "doc_id", text: str = "text", order: int = O
     A null or empty text has no words: score 0, mean null. Repeated rows are documents of their own; rows without an id are
     scored; no rows give no rows; other columns are not read. Documents are scored in chunks: a chunk sends each distinct
     n-gram once to the bucket of its hash of 64 bits and gets the corpus count back, so no word or n-gram is hot. The number
-    of buckets follows the number of words.
+    of buckets follows the number of words. Only n-grams and counts are shuffled: the counts come to where the chunk is stored.
     """
     chunks = chunked(df, id, text)
 
@@ -198,8 +198,7 @@ def scores(df: DataFrame, id: str = "doc_id", text: str = "text", order: int = O
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64())], ["words"])
 
     sizes = chunks.select("extra").mapInArrow(lambda batches: (counted(b) for b in batches if b.num_rows), "words long")
-    everything, number = sizes.agg(F.sum("words"), F.count("*")).first()
-    everything = int(everything or 0)
+    everything = int(sizes.agg(F.sum("words")).first()[0] or 0)
     buckets = max(1, everything // BUCKET_GRAMS)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,21 +209,24 @@ def scores(df: DataFrame, id: str = "doc_id", text: str = "text", order: int = O
                 if out is not None:
                     yield out
 
-    def score():
-        hashes = WordHashes()
-
-        def work(table: pa.Table) -> pa.RecordBatch:
-            data, extra = table["data"].to_pylist(), table["extra"].to_pylist()
-            grams = Grams(data[0], extra[0], order, hashes)
-            level = table["ord"].to_pylist()
-            totals = [np.concatenate([unnumbers(d) for d, o in zip(data, level) if o == k] or [np.zeros(0, np.int64)]) for k in range(1, order + 1)]
-            return scored(grams, totals, everything, order, alpha, leave_out)
-
-        return work
+    hashes = WordHashes()  # one per task
+
+    def score(held: pa.Table, found: pa.Table) -> pa.Table:
+        rows = []
+        for data, extra in zip(held["data"].to_pylist(), held["extra"].to_pylist()):  # one
+            grams = Grams(data, extra, order, hashes)
+            totals = [np.zeros(0, np.int64)] * order
+            if found.num_rows:
+                found = found.sort_by([("ord", "ascending"), ("bucket", "ascending")])
+                level = found["ord"].to_pylist()
+                totals = [np.concatenate([unnumbers(d.as_py()) for d, o in zip(found["data"], level) if o == k] or totals[:1]) for k in range(1, order + 1)]
+            rows.append(scored(grams, totals, everything, order, alpha, leave_out))
+        give_back()
+        return pa.Table.from_batches(rows)
 
     answers = map_groups(chunks.mapInArrow(ask, ROW), ["ord", "bucket"], [], lambda: answered, ROW, order * buckets)
-    back = chunks.union(answers)
-    found = map_groups(back, ["chunk"], ["ord", "bucket"], score, "id long, n_words long, log_score double, mean_log_score double, seen array<long>", max(1, int(number)))
+    both = chunks.select("chunk", "data", "extra").groupBy("chunk").cogroup(answers.select("chunk", "ord", "bucket", "data").groupBy("chunk"))
+    found = both.applyInArrow(score, "id long, n_words long, log_score double, mean_log_score double, seen array<long>")
     return found.withColumnRenamed("id", id)
 
 

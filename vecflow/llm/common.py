@@ -35,17 +35,22 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE)
 
 
+def give_back() -> None:
+    """Returns the worker's free memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The same work; at its end the worker, which goes on to other tasks and stages, gives its free memory back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            return
+        give_back()
 
     return run
 
@@ -121,6 +126,20 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str, **options: str) -> DataFrame:
+    """The rows written below the shared folder in buckets of ``key``: a later grouping by it leaves them where they are.
+
+    A task writes a file per bucket that it has rows of, so this is for few large rows. There are as many buckets as a shuffle
+    has partitions; the table gets a name of its own in the session's catalogue.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = path.rsplit("/", 1)[-1].replace("-", "_")
+    buckets = min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.write.format("parquet").options(path=path, **options).bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """A small table, checkpointed in the shared folder."""
     shared_dir(df.sparkSession)
