@@ -284,18 +284,29 @@ def iqr_split_mean(t: Tables) -> DataFrame:
     return _reduced(t, "mean_iqr15_split_2")
 
 
-@query("a12_reductions", MATRIX_SQL + """
-, m AS (SELECT vec_id, coeff, avg(x) AS x FROM x GROUP BY ALL)
-SELECT 'mean' AS operation, count(*) AS n, round(avg(x) + 1e-9, 6) AS average FROM m
-UNION ALL SELECT 'mean_split_2', count(*), round(avg(x) + 1e-9, 6) FROM (SELECT avg(x) AS x FROM x GROUP BY vec_id, coeff, frame // 4)
-UNION ALL SELECT 'mean_split_4', count(*), round(avg(x) + 1e-9, 6) FROM (SELECT avg(x) AS x FROM x GROUP BY vec_id, coeff, frame // 2)""")
+def reductions_sql() -> str:
+    """All named reductions at once: blocks of the 8 frames, and the outlier bounds of those that filter."""
+    ops = ", ".join(f"('{name}', {percent or 'NULL'}, {splits})" for name, (percent, splits) in reduction.REDUCTIONS.items())
+    filters = sorted({percent for percent, _ in reduction.REDUCTIONS.values() if percent})
+    low, high = (" ".join(f"WHEN {p} THEN quantile_cont(x, {side(p / 100)})" for p in filters) for side in (lambda q: q, lambda q: 1 - q))
+    return MATRIX_SQL + f""",
+b AS (SELECT operation, percent, vec_id, least(frame // (8 // splits), splits - 1) AS block, coeff, x FROM x, (VALUES {ops}) AS o(operation, percent, splits)),
+q AS (SELECT operation, vec_id, block, coeff, CASE percent {low} END AS q1, CASE percent {high} END AS q3 FROM b GROUP BY operation, percent, vec_id, block, coeff),
+l AS (SELECT operation, vec_id, block, coeff, round(q1 - 1.5 * (q3 - q1), 9) AS lo, round(q3 + 1.5 * (q3 - q1), 9) AS hi FROM q),
+m AS (SELECT operation, vec_id, block, coeff, avg(x) AS x FROM b JOIN l USING (operation, vec_id, block, coeff)
+      WHERE lo IS NULL OR x BETWEEN lo AND hi GROUP BY ALL)
+SELECT operation, count(*) AS n, round(avg(x) + 1e-9, 6) AS average, round(sum(x * x) + 1e-9, 5) AS squares FROM m GROUP BY operation"""
+
+
+@query("a12_reductions", reductions_sql())
 def reductions(t: Tables) -> DataFrame:
-    names = ["mean", "mean_split_2", "mean_split_4"]
     made = F.array(*[
-        F.struct(F.lit(n).alias("operation"), reduction.reduce_matrix(F.col("m"), n).alias("w")) for n in names
+        F.struct(F.lit(n).alias("operation"), reduction.reduce_matrix(F.col("m"), n).alias("w")) for n in reduction.REDUCTIONS
     ])
     long = _matrices(t).select(F.inline(made)).select("operation", F.explode("w").alias("x"))
-    return long.groupBy("operation").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("x")).alias("average"))
+    return long.groupBy("operation").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.avg("x")).alias("average"), F.round(F.sum(F.col("x") * F.col("x")) + F.lit(1e-9), 5).alias("squares")
+    )
 
 
 @query("e10_joint_scaling", """
