@@ -170,6 +170,26 @@ def delta2(t: Tables) -> DataFrame:
     return _delta(t, 2, "delta2")
 
 
+def _mfcc_delta_sql() -> str:
+    """Both derivatives of every coefficient over windows of 9 frames; edge frames take the nearest full window."""
+    weights = ", ".join(f"({j}, {j}.0::DOUBLE / 60, {n}.0::DOUBLE / 462)" for j, n in zip(range(-4, 5), (28, 7, -8, -17, -20, -17, -8, 7, 28)))
+    return MFCC_SQL + f""",
+last AS (SELECT vec_id, max(frame) AS last FROM mf GROUP BY vec_id),
+d AS (SELECT m.vec_id, m.frame, m.k, sum(w.a * y.c) AS d1, sum(w.b * y.c) AS d2 FROM mf m JOIN last USING (vec_id), (VALUES {weights}) AS w(j, a, b)
+      JOIN mf y ON y.vec_id = m.vec_id AND y.k = m.k AND y.frame = least(greatest(m.frame, 4), last - 4) + w.j GROUP BY ALL)
+SELECT vec_id, frame, k::INT AS k, round(d1 + 1e-9, 5) AS delta, round(d2 + 1e-9, 5) AS delta2 FROM d"""
+
+
+@query("f08_mfcc_deltas", _mfcc_delta_sql())
+def mfcc_deltas(t: Tables) -> DataFrame:
+    # the frames of a clip, which has a fixed length
+    clips = _mfcc(t).groupBy("vec_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "mfcc"))), lambda f: f["mfcc"]).alias("m"))
+    both = clips.select("vec_id", signals.delta(F.col("m"), 1).alias("one"), signals.delta(F.col("m"), 2).alias("two"))
+    frames = both.select("vec_id", F.posexplode(F.arrays_zip("one", "two")).alias("frame", "d")).select("vec_id", "frame", F.col("d.one").alias("a"), F.col("d.two").alias("b"))
+    long = frames.select("vec_id", "frame", F.posexplode(F.arrays_zip("a", "b")).alias("k", "v"))
+    return long.select("vec_id", "frame", "k", F.round(F.col("v.a") + 1e-9, 5).alias("delta"), F.round(F.col("v.b") + 1e-9, 5).alias("delta2"))
+
+
 @query("f09_spectral_centroid", POWER_SQL + """
 SELECT vec_id, frame, round(sum(100.0 * bin * sqrt(p)) / sum(sqrt(p)) + 1e-9, 6) AS centroid FROM pw GROUP BY ALL""")
 def spectral_centroid(t: Tables) -> DataFrame:
