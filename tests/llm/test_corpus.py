@@ -13,6 +13,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -548,6 +549,43 @@ def test_pieces_give_the_ids_of_whole_texts(texts, tokenizer, monkeypatch):
         assert coder.encode(text) == coder.ids(text), repr(text[:40])
 
 
+def test_a_word_is_merged_once_whatever_marks_follow(monkeypatch):
+    merge, merged = tokens.Encoder.merged, []
+    monkeypatch.setattr(tokens.Encoder, "merged", lambda self, text: (merged.append(text), merge(self, text))[1])
+    text = "x " + " ".join(f"ontiwhle{mark}" for mark in (".", ",", "!!", "", "%%%", "."))
+    coder = tokens.Encoder(queries.tokenizer_path())
+    assert coder.encode(text) == coder.ids(text)
+    assert sorted(merged) == sorted([" ontiwhle", ".", ",", "!!", "%%%"])
+    merged.clear()
+    coder, text = tokens.Encoder(queries.tokenizer_path()), text + "\nontiwhle\nontiwhle, ontiwhle."
+    assert coder.encode_all(pa.array([text, text])).to_pylist() == [coder.ids(text)] * 2
+    assert sorted(merged) == sorted([" ontiwhle", ".", ",", "!!", "%%%", "\n", "ontiwhle"])
+
+
+def test_ids_of_many_texts_at_once(texts, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 50)
+    coder = tokens.Encoder(queries.tokenizer_path())
+    rng = np.random.default_rng(12)
+    parts = ["a", "Was", "é", "ǅ", "ƻ", "ª", "×", "中", "12", "½", ".", "!!", "'s", "'", "-", " ", "  ", "\n", "\n\n", "\n\n\n", "\t", "\r", "\u00a0", "\u00ad", "\u3000", "<|endoftext|>", "|>", "\0", "🙂"]
+    common = [p for p in parts if p[0] in "aW1.!-\n " and len(p.strip(" ")) < 4]
+    odd = ["", "\n", "\n\n", "a\n\n", "a\n\nb", "a\n\n\nb", "\na", "a\n", " a", "a ", "a\n b", "a \nb", "\n<|endoftext|>.", "a <|endoftext|> b"]
+    odd += ["".join(rng.choice(p, rng.integers(1, 12))) for p in [parts, common] for _ in range(3_000)]
+    odd += [None, *list(texts.values())[:80]]
+    end = np.array([2], coder.type).tobytes()
+    whole = pa.array(["cut off", *odd])
+    found = [x for at in range(1, len(whole), 700) for x in coder.encode_all(whole.slice(at, 700), end).to_pylist()]
+    for text, ids in zip(odd, found, strict=True):
+        assert ids == coder.ids(text or "") + end, repr(text[:60])
+
+
+def test_texts_are_taken_in_portions_of_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "PORTION", 10)
+    batch = pa.RecordBatch.from_pydict({"id": range(7), "text": [None, "é" * 4, "", "abc", "x" * 100, "", "y"]})
+    found = [b.column(1).to_pylist() for b in tokens.portions(iter([batch.slice(7), batch.slice(1), batch]), "text")]
+    assert [x for b in found for x in b] == batch.column(1).to_pylist()[1:] + batch.column(1).to_pylist()
+    assert all(sum(len((x or "").encode()) for x in b[1:]) < 10 for b in found)
+
+
 def test_coder_round_trip_and_checkpoints():
     rng = np.random.default_rng(10)
     for n in (0, 1, 1023, 1024, 1025, 700_001):

@@ -12,9 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from vecflow.llm.common import column, kept, sized, slices, stored, texts, trimmed
+from vecflow.llm.common import column, kept, sized, stored, trimmed
 from vecflow.session import scratch_path
 
 BITS = 20  # frequencies of the shared table add up to 2^BITS
@@ -25,6 +26,7 @@ LOW = np.uint64(1 << 31)  # states stay in [2^31, 2^63)
 MAGIC = b"RANS1\0\0\0"
 HEADER = "<8sIIQQIIII"  # magic, lanes, stride, ids, documents, words, crc of ids, crc of words, checkpoints
 CACHE = 400_000
+PORTION = 1 << 23  # bytes of text whose different pieces are looked up together
 
 
 def shares(counts: np.ndarray) -> np.ndarray:
@@ -117,18 +119,28 @@ def unpack(coder: Coder, block: bytes) -> tuple[list[int | None], np.ndarray, np
     return [int(d) if k else None for d, k in zip(numbers, known)], lengths, ids
 
 
+def every(kind: str) -> str:
+    """The characters of a class of a regular expression, up to the last Latin letter that the encoder knows."""
+    return "".join(re.findall(f"[{kind}]", "".join(map(chr, range(0x250)))))
+
+
 class Encoder:
-    """The tokenizers library behind a table of whole pieces.
+    """The tokenizers library behind a table of whole words.
 
-    A blank between two visible characters always begins a new piece in byte-level pre-tokenisation, so a text may be
-    cut there and each piece be looked up. A new piece of letters, digits, ASCII marks and single line ends is put together
-    from its runs of these, the units that the library's model merges alone; any other is encoded by the whole library.
+    A blank between two visible characters always begins a new piece in byte-level pre-tokenisation, and so does a line end that
+    neither ends a run of white space nor is followed by a blank, so a text may be cut there and each piece be looked up. A new
+    piece of letters, digits, ASCII marks and single line ends is put together from its runs of these, the units that the
+    library's model merges alone; any other is encoded by the whole library.
     """
 
     SAFE = "!-~¡-ɏ"
-    STRANGE = re.compile(rf"[^ \n{SAFE}]")
+    # texts that are not cut at every blank and line end; \z is the very end in Arrow's expressions
+    ODD = rf"[^ \n{SAFE}]|[ \n] | \n|\A | \z|\n\n\n|\n\n\z"
     CUT = re.compile(rf"(?<=[{SAFE}]) (?=[{SAFE}])")
     LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:-@\[-`{-~"  # marks without the apostrophe, which begins units of its own
+    WORD = re.compile(rf"([{LETTERS}]+)([{MARKS}]*)")
+    MARKED = rf"\A\n?[{LETTERS}]+[{MARKS}]+\z"
+    FRONTS, ENDS = "\n" + every(LETTERS), every(MARKS)
     PLAIN = re.compile(rf"[{LETTERS}0-9{MARKS}\n]+")
     RUN = re.compile(rf"[{LETTERS}]+|[0-9]+|[{MARKS}]+|\n")
 
@@ -143,6 +155,7 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(256 + n) for n, b in enumerate(hidden)}
+        self.odd = "|".join([self.ODD, *map(re.escape, self.special)])
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
@@ -165,34 +178,86 @@ class Encoder:
         return found
 
     def piece(self, text: str) -> bytes:
-        """The ids of a piece that is not in the table, which is then; a full table becomes the older one."""
+        """The ids of a piece; a blank stands before it unless it begins with a line end."""
+        return self.pieces.get(text) or self.new(text)
+
+    def new(self, text: str) -> bytes:
+        """The ids of a piece that is not in the table, which is then; a full table becomes the older one.
+
+        A word with marks behind it is put together from both and not kept.
+        """
         found = self.older.get(text)
         if found is None:
             if text.isascii() and text.isalpha():
                 found = self.merged(" " + text)
-            elif not self.PLAIN.fullmatch(text) or "\n\n" in text or text[0] == "\n" or any(s in text for s in self.special):
-                found = self.ids(" " + text)
+            elif (word := self.WORD.fullmatch(text)) and word[2]:
+                return self.piece(word[1]) + self.run(word[2])
+            elif word:
+                found = self.merged(" " + text)
+            elif not self.PLAIN.fullmatch(text) or "\n\n" in text:
+                found = self.ids(text if text[0] == "\n" else " " + text)
             else:
                 first, *rest = self.RUN.findall(text)
-                found = (self.pieces.get(first) or self.merged(" " + first)) + b"".join([self.run(r) for r in rest])
+                found = (self.run(first) if first == "\n" else self.merged(" " + first)) + b"".join([self.run(r) for r in rest])
         if len(self.pieces) >= CACHE:
             self.older, self.pieces = self.pieces, {}
         self.pieces[text] = found
         return found
 
-    def cut(self, text: str) -> list[str]:
-        """The text's pieces; each but the first has lost the blank before it."""
-        if self.STRANGE.search(text) or "  " in text or "\n " in text or " \n" in text or text[:1] == " " or text[-1:] == " ":
-            return self.CUT.split(text)
-        return text.split(" ")
-
     def encode(self, text: str) -> bytes:
         """The ids of a text, as bytes of ``type``."""
-        head, *rest = self.cut(text)
-        found = list(map(self.pieces.get, rest))
-        if None in found:
-            found = [self.piece(x) if f is None else f for x, f in zip(rest, found)]
-        return (self.ids(head) if head else b"") + b"".join(found)
+        if any(s in text for s in self.special):
+            return self.ids(text)
+        head, *rest = self.CUT.split(text)
+        return (self.ids(head) if head else b"") + b"".join(map(self.piece, rest))
+
+    def encode_all(self, column: pa.Array, end: bytes = b"") -> pa.Array:
+        """The ids of each text, null as empty, and ``end`` after them.
+
+        Texts are cut into pieces, words are parted from the marks behind them, and each different one is looked up once.
+        """
+        column = pc.fill_null(column, "")
+        odd = pc.match_substring_regex(column, self.odd)
+        whole = {row: self.encode(column[row].as_py()) for row in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
+        cut = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", column), "\n", " \n"), " ")
+        values, bounds, rows = cut.flatten(), cut.offsets.to_numpy(), len(cut)
+        inner = np.ones(len(values), bool)
+        inner[bounds[:-1]] = False  # a text's first piece has no blank before it
+        pieces = values.filter(pa.array(inner)).dictionary_encode()
+        heads = values.filter(pa.array(~inner)).to_pylist()
+
+        marked = pc.match_substring_regex(pieces.dictionary, self.MARKED)
+        words = pc.if_else(marked, pc.utf8_rtrim(pieces.dictionary, self.ENDS), pieces.dictionary).dictionary_encode()
+        marks = pc.if_else(marked, pc.utf8_ltrim(pieces.dictionary, self.FRONTS), "").dictionary_encode()
+        texts, n = words.dictionary.to_pylist(), len(words)
+        units = [self.pieces.get(x) or self.new(x) for x in texts]
+        units += [self.run(x) if x else b"" for x in marks.dictionary.to_pylist()]
+        two = np.stack([words.indices.to_numpy(), marks.indices.to_numpy() + len(texts)], 1).ravel()
+        parts, ends = chosen(*self.flat(units), two)
+
+        first, starts = self.flat([whole[row] if row in whole else self.ids(x) if x else b"" for row, x in enumerate(heads)] + [end])
+        entry = np.empty(len(values), np.int64)
+        entry[inner] = pieces.indices.to_numpy()
+        entry[~inner] = np.arange(n, n + rows)
+        entry = np.insert(entry, bounds[1:], n + rows)
+        ids, ends = chosen(np.concatenate([parts, first]), np.concatenate([ends[::2][:n], starts + len(parts)]), entry)
+        edges = ends[np.concatenate([[0], bounds[1:] + np.arange(1, rows + 1)])] * self.type.itemsize
+        return pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(edges), pa.py_buffer(ids)]).cast(pa.binary())
+
+    def flat(self, table: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all entries in one array, and where each begins; the end comes last."""
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // self.type.itemsize
+        return np.frombuffer(b"".join(table), self.type), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def chosen(ids: np.ndarray, starts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the entries one after another, and where each begins; the end comes last."""
+    begin = starts[entries]
+    n = starts[1:][entries] - begin
+    ends = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat(begin - ends[:-1], n)
+    at += np.arange(len(at))
+    return ids[at], ends
 
 
 def encoder(path: str) -> Encoder:
@@ -204,20 +269,30 @@ def encoder(path: str) -> Encoder:
     return found[path]
 
 
+def portions(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about PORTION bytes of a text column, whole rows each."""
+    for batch in batches:
+        done = np.cumsum(pc.fill_null(pc.binary_length(column(batch, name)), 0).to_numpy().astype(np.int64)) // PORTION
+        edges = [0, *(np.flatnonzero(np.diff(done)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def encode(df: DataFrame, path: str, id: str = "doc_id", text: str = "text", end_id: int | None = 2) -> tuple[DataFrame, np.ndarray]:
     """Stored (id, ids) of all rows, the end id included, and the corpus counts of every id."""
     rows = df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = counts = None
-        for batch in slices(batches):
+        for batch in portions(batches, "text"):
             if work is None:
                 work = encoder(path)
                 counts = np.zeros(work.size, np.int64)
                 end = b"" if end_id is None else np.array([end_id], work.type).tobytes()
-            coded = [work.encode(x) + end for x in texts(batch, "text")]
-            counts += np.bincount(np.frombuffer(b"".join(coded), work.type), minlength=work.size)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(coded, pa.binary()), pa.nulls(len(coded), pa.list_(pa.int64()))], ["id", "ids", "total"])
+            coded = work.encode_all(column(batch, "text"), end)
+            counts += np.bincount(np.frombuffer(coded.buffers()[2], work.type), minlength=work.size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), coded, pa.nulls(len(coded), pa.list_(pa.int64()))], ["id", "ids", "total"])
         if work is not None:
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts], pa.list_(pa.int64()))], ["id", "ids", "total"])
 
