@@ -564,6 +564,8 @@ def test_a_word_is_merged_once_whatever_marks_follow(monkeypatch):
 
 def test_ids_of_many_texts_at_once(texts, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 50)
+    monkeypatch.setattr(tokens, "WORDS", 200)
+    monkeypatch.setattr(tokens, "WORD_BYTES", 8)
     coder = tokens.Encoder(queries.tokenizer_path())
     rng = np.random.default_rng(12)
     parts = ["a", "Was", "é", "ǅ", "ƻ", "ª", "×", "中", "12", "½", ".", "!!", "'s", "'", "-", " ", "  ", "\n", "\n\n", "\n\n\n", "\t", "\r", "\u00a0", "\u00ad", "\u3000", "<|endoftext|>", "|>", "\0", "🙂"]

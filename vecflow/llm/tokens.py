@@ -26,6 +26,8 @@ LOW = np.uint64(1 << 31)  # states stay in [2^31, 2^63)
 MAGIC = b"RANS1\0\0\0"
 HEADER = "<8sIIQQIIII"  # magic, lanes, stride, ids, documents, words, crc of ids, crc of words, checkpoints
 CACHE = 400_000
+WORDS = 400_000  # of the table for many texts; the half that was used last outlives a full one
+WORD_BYTES = 64  # longer ones do not outlive it
 PORTION = 1 << 23  # bytes of text whose different pieces are looked up together
 
 
@@ -160,6 +162,8 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
         self.code = "H" if self.type.itemsize == 2 else "I"
+        self.words, self.used, self.turn = pa.array([], pa.string()), np.zeros(0, np.int64), 0  # of many texts, and when last met
+        self.coded, self.starts = np.zeros(0, self.type), np.zeros(1, np.int64)  # their ids and where each begins; the end comes last
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
@@ -178,32 +182,26 @@ class Encoder:
         return found
 
     def piece(self, text: str) -> bytes:
-        """The ids of a piece; a blank stands before it unless it begins with a line end."""
-        return self.pieces.get(text) or self.new(text)
-
-    def new(self, text: str) -> bytes:
-        """The ids of a piece that is not in the table, which is then; a full table becomes the older one.
-
-        A word with marks behind it is put together from both and not kept.
-        """
-        found = self.older.get(text)
+        """The ids of a piece, kept; a full table becomes the older one."""
+        found = self.pieces.get(text)
         if found is None:
-            if text.isascii() and text.isalpha():
-                found = self.merged(" " + text)
-            elif (word := self.WORD.fullmatch(text)) and word[2]:
-                return self.piece(word[1]) + self.run(word[2])
-            elif word:
-                found = self.merged(" " + text)
-            elif not self.PLAIN.fullmatch(text) or "\n\n" in text:
-                found = self.ids(text if text[0] == "\n" else " " + text)
-            else:
-                first, *rest = self.RUN.findall(text)
-                found = (self.run(first) if first == "\n" else self.merged(" " + first)) + b"".join([self.run(r) for r in rest])
-        if len(self.pieces) >= CACHE:
-            self.older, self.pieces = self.pieces, {}
-        self.pieces[text] = found
+            found = self.older.get(text) or self.made(text)
+            if len(self.pieces) >= CACHE:
+                self.older, self.pieces = self.pieces, {}
+            self.pieces[text] = found
         return found
 
+    def made(self, text: str) -> bytes:
+        """The ids of a piece; a blank stands before it unless it begins with a line end."""
+        if text.isascii() and text.isalpha():
+            return self.merged(" " + text)
+        if word := self.WORD.fullmatch(text):
+            return self.piece(word[1]) + self.run(word[2]) if word[2] else self.merged(" " + text)
+        if not self.PLAIN.fullmatch(text) or "\n\n" in text:
+            return self.ids(text if text[0] == "\n" else " " + text)
+        first, *rest = self.RUN.findall(text)
+        return (self.run(first) if first == "\n" else self.merged(" " + first)) + b"".join([self.run(r) for r in rest])
+
     def encode(self, text: str) -> bytes:
         """The ids of a text, as bytes of ``type``."""
         if any(s in text for s in self.special):
@@ -216,34 +214,56 @@ class Encoder:
 
         Texts are cut into pieces, words are parted from the marks behind them, and each different one is looked up once.
         """
-        column = pc.fill_null(column, "")
+        column = pc.fill_null(column.cast(pa.string()), "")
         odd = pc.match_substring_regex(column, self.odd)
         whole = {row: self.encode(column[row].as_py()) for row in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()}
         cut = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", column), "\n", " \n"), " ")
         values, bounds, rows = cut.flatten(), cut.offsets.to_numpy(), len(cut)
         inner = np.ones(len(values), bool)
         inner[bounds[:-1]] = False  # a text's first piece has no blank before it
+        heads = values.take(pa.array(bounds[:-1])).to_pylist()
         pieces = values.filter(pa.array(inner)).dictionary_encode()
-        heads = values.filter(pa.array(~inner)).to_pylist()
+        del column, cut, values
 
         marked = pc.match_substring_regex(pieces.dictionary, self.MARKED)
         words = pc.if_else(marked, pc.utf8_rtrim(pieces.dictionary, self.ENDS), pieces.dictionary).dictionary_encode()
         marks = pc.if_else(marked, pc.utf8_ltrim(pieces.dictionary, self.FRONTS), "").dictionary_encode()
-        texts, n = words.dictionary.to_pylist(), len(words)
-        units = [self.pieces.get(x) or self.new(x) for x in texts]
-        units += [self.run(x) if x else b"" for x in marks.dictionary.to_pylist()]
-        two = np.stack([words.indices.to_numpy(), marks.indices.to_numpy() + len(texts)], 1).ravel()
-        parts, ends = chosen(*self.flat(units), two)
-
-        first, starts = self.flat([whole[row] if row in whole else self.ids(x) if x else b"" for row, x in enumerate(heads)] + [end])
-        entry = np.empty(len(values), np.int64)
+        known = self.looked_up(words.dictionary)
+        ends, begin = self.flat([self.run(x) if x else b"" for x in marks.dictionary.to_pylist()])
+        two = np.stack([known[words.indices.to_numpy()], marks.indices.to_numpy() + len(self.words)], 1).ravel()
+        parts, starts = chosen(np.concatenate([self.coded, ends]), np.concatenate([self.starts[:-1], begin + len(self.coded)]), two)
+
+        first, others = self.flat([whole[row] if row in whole else self.ids(x) if x else b"" for row, x in enumerate(heads)] + [end])
+        n = len(pieces.dictionary)
+        entry = np.empty(len(inner), np.int32)
         entry[inner] = pieces.indices.to_numpy()
         entry[~inner] = np.arange(n, n + rows)
         entry = np.insert(entry, bounds[1:], n + rows)
-        ids, ends = chosen(np.concatenate([parts, first]), np.concatenate([ends[::2][:n], starts + len(parts)]), entry)
+        ids, ends = chosen(np.concatenate([parts, first]), np.concatenate([starts[: 2 * n : 2], others + len(parts)]), entry)
         edges = ends[np.concatenate([[0], bounds[1:] + np.arange(1, rows + 1)])] * self.type.itemsize
         return pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(edges), pa.py_buffer(ids)]).cast(pa.binary())
 
+    def looked_up(self, words: pa.Array) -> np.ndarray:
+        """Where different words stand in the table; those not in it are added, after those used longest ago have left a full one."""
+        if len(self.words) > WORDS or self.words.nbytes > WORDS * WORD_BYTES:
+            keep = np.sort(np.argsort(-self.used, kind="stable")[: WORDS // 2])
+            keep = keep[pc.binary_length(self.words).to_numpy()[keep] <= WORD_BYTES]
+            self.words, self.used = self.words.take(pa.array(keep)), self.used[keep]
+            self.coded, self.starts = chosen(self.coded, self.starts, keep)
+        found = pc.index_in(words, value_set=self.words)
+        missing = found.is_null()
+        fresh = words.filter(missing)
+        ids, starts = self.flat([self.made(x) for x in fresh.to_pylist()])
+        at = pc.fill_null(found, 0).to_numpy().copy()
+        at[missing.to_numpy(zero_copy_only=False)] = np.arange(len(self.words), len(self.words) + len(fresh))
+        self.words = pa.concat_arrays([self.words, fresh])
+        self.starts = np.concatenate([self.starts[:-1], starts + len(self.coded)])
+        self.coded = np.concatenate([self.coded, ids])
+        self.used = np.concatenate([self.used, np.zeros(len(fresh), np.int64)])
+        self.turn += 1
+        self.used[at] = self.turn
+        return at
+
     def flat(self, table: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all entries in one array, and where each begins; the end comes last."""
         sizes = np.fromiter(map(len, table), np.int64, len(table)) // self.type.itemsize
@@ -252,12 +272,15 @@ class Encoder:
 
 def chosen(ids: np.ndarray, starts: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of the entries one after another, and where each begins; the end comes last."""
-    begin = starts[entries]
-    n = starts[1:][entries] - begin
-    ends = np.concatenate([[0], np.cumsum(n)])
-    at = np.repeat(begin - ends[:-1], n)
-    at += np.arange(len(at))
-    return ids[at], ends
+    n = np.diff(starts).astype(np.int32)[entries]
+    ends = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+    out = np.empty(ends[-1], ids.dtype)
+    for a in range(0, len(entries), 1 << 16):  # places are 8 bytes an id
+        b = min(a + (1 << 16), len(entries))
+        at = np.repeat(starts[entries[a:b]] - ends[a:b], n[a:b])
+        at += np.arange(ends[a], ends[b])
+        np.take(ids, at, out=out[ends[a] : ends[b]], mode="clip")
+    return out, ends
 
 
 def encoder(path: str) -> Encoder:
