@@ -26,9 +26,9 @@ LOW = np.uint64(1 << 31)  # states stay in [2^31, 2^63)
 MAGIC = b"RANS1\0\0\0"
 HEADER = "<8sIIQQIIII"  # magic, lanes, stride, ids, documents, words, crc of ids, crc of words, checkpoints
 CACHE = 400_000
-WORDS = 400_000  # of the table for many texts; the half that was used last outlives a full one
+WORDS = 300_000  # of the table for many texts; the half that was used last outlives a full one
 WORD_BYTES = 64  # longer ones do not outlive it
-PORTION = 1 << 23  # bytes of text whose different pieces are looked up together
+PORTION = 1 << 21  # bytes of text whose different pieces are looked up together
 
 
 def shares(counts: np.ndarray) -> np.ndarray:
