@@ -4,8 +4,10 @@ Queries and train rows are DataFrames ``(id bigint, vector array<double>[, label
 The result is the long form ``(query_id, rank, neighbor_id, distance, label)``;
 equal distances are ordered by the smaller neighbour id.
 
-Three plans, chosen by measured size:
+Four plans, chosen by measured size:
 
+* few dimensions, more pairs than can be compared: the space is cut into boxes, and a query only goes
+  to the boxes that can hold one of its hits (``boxes``), where that leaves few pairs;
 * few queries: they are sent to every executor and each train partition keeps its own
   best k per query - the train table is neither shuffled nor copied;
 * many queries, large train table: the train rows stand in cells around pivots, and a query
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vecflow.functions.vectors import METRICS, doubles, metric_name
-from vecflow.operators import pivots
+from vecflow.operators import boxes, pivots
 from vecflow.operators.blocks import NO_LABEL, ProductCodes, matrix, top_k
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -38,6 +40,8 @@ SEED_ROWS = 20_000
 SEED_SHARE = 1_000  # a larger table gives one seed in so many rows, so the bound does not weaken as it grows
 SEED_FROM = 2_000_000
 PIVOT_FROM = 100_000  # train rows from which cells around pivots are tried before the grid
+BOX_FROM = 20_000_000_000  # pairs from which boxes are tried in few dimensions
+BOX_PAIRS = 200_000_000  # pairs of a task's share of a box
 
 CELL = ["cell", "q_shard", "t_shard"]
 Decoder = Callable[[np.ndarray], np.ndarray] | ProductCodes | None
@@ -206,6 +210,20 @@ def _by_pivots(queries, train, k, metric, skip_same, number: int, most_copies: i
     return cell_search(left, right, CELL, k, metric, skip_same)
 
 
+def _by_boxes(queries, train, n_queries: int, n_train: int, k, metric, skip_same, rows: int) -> DataFrame | None:
+    """Partial hits from the boxes that can hold them; None where most pairs would have to be compared."""
+    laid = boxes.lay_out(queries, train, n_queries, n_train, k + 1 if skip_same else k, metric)
+    if laid is None:
+        return None
+    left, right, counts = laid
+    t_shards = F.ceil(F.col("n_train") / F.lit(rows))
+    own = F.least(F.col("n_train"), F.lit(rows))
+    q_shards = F.ceil(F.greatest(F.col("n_query") / F.lit(rows), F.col("n_query") * own / F.lit(BOX_PAIRS)))
+    layout = F.broadcast(counts.select("cell", *(F.greatest(n, F.lit(1)).cast("int").alias(c) for c, n in (("q_shards", q_shards), ("t_shards", t_shards)))))
+    left, right = _meet(left.join(layout, "cell"), right.join(layout, "cell"))
+    return cell_search(left, right, CELL, k, metric, skip_same)
+
+
 def keyed_topk(
     queries: DataFrame,
     train: DataFrame,
@@ -256,6 +274,7 @@ def exact_topk(
     seed_from: int = SEED_FROM,
     decode: Decoder = None,
     pivot_from: int = PIVOT_FROM,
+    box_from: int = BOX_FROM,
 ) -> DataFrame:
     """Exact k nearest train rows of every query; ``skip_same`` leaves out the row itself.
 
@@ -279,6 +298,10 @@ def exact_topk(
     cells = 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = max(1, min(CELL_ROWS, CELL_BYTES // (8 * max(dim, 1))))
     shape = grid_shape(n_queries, n_train, cells, rows)
+    if decode is None and dim <= boxes.MOST_DIM and metric in boxes.METRICS and n_queries * n_train >= box_from:
+        parts = _by_boxes(queries, train, n_queries, n_train, k, metric, skip_same, rows)
+        if parts is not None:
+            return rank_hits(parts, k)
     if not streams and decode is None and n_train >= pivot_from and pivots.usable(metric):
         number = pivots.number_of(n_train, dim, broadcast_bytes or BROADCAST_BYTES)
         parts = _by_pivots(queries, train, k, metric, skip_same, number, n_queries * shape[1] + n_train * shape[0], rows)
