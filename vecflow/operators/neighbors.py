@@ -274,6 +274,7 @@ def exact_topk(
     seed_from: int = SEED_FROM,
     decode: Decoder = None,
     pivot_from: int = PIVOT_FROM,
+    *,
     box_from: int = BOX_FROM,
 ) -> DataFrame:
     """Exact k nearest train rows of every query; ``skip_same`` leaves out the row itself.
