@@ -8,6 +8,13 @@ import numpy as np
 import pyarrow as pa
 
 PAIRS_AT_ONCE = 1_000_000
+STRIP = 16  # query rows whose sums over the dimensions stay in the cache
+MOST_STEPS = np.iinfo(np.int16).max
+LEAST_STEPS = 64  # with fewer steps per dimension whole numbers tell too little
+MOST_PRODUCT = 1e30  # of two lengths, in single precision
+MOST_ENTRIES = 64  # of a part's table, on average, for which all pairs are looked up by one product
+MOST_MISSES = 8  # blocks after which small numbers are given up
+ANGULAR = ("cosine", "correlation")
 NO_LABEL = np.iinfo(np.int64).min
 
 
@@ -45,13 +52,80 @@ def rough(q: np.ndarray, t: np.ndarray, metric: str) -> np.ndarray:
     if metric == "inner_product":
         return -(q @ t.T)
     if metric == "manhattan":
-        total = np.zeros((len(q), len(t)))
-        for d in range(q.shape[1]):
-            total += np.abs(q[:, d, None] - t[None, :, d])
-        return total
+        return _sums(q, np.ascontiguousarray(t.T), np.float64)
     return (q * q).sum(axis=1)[:, None] + (t * t).sum(axis=1)[None, :] - 2.0 * (q @ t.T)
 
 
+def _sums(q: np.ndarray, columns: np.ndarray, kind: type) -> np.ndarray:
+    """Sums of absolute differences of all rows of ``q`` and all columns, a few rows at a time, which stay in the cache."""
+    total = np.zeros((len(q), columns.shape[1]), dtype=kind)
+    away = np.empty((STRIP, columns.shape[1]), dtype=kind)
+    for at in range(0, len(q), STRIP):
+        part, own = q[at : at + STRIP], total[at : at + STRIP]
+        some = away[: len(part)]
+        for d, column in enumerate(columns):
+            np.subtract(part[:, d, None], column, out=some)
+            np.abs(some, out=some)
+            np.add(own, some, out=own)
+    return total
+
+
+class Products:
+    """Distances by inner products of a block in single precision: ``base`` + score, off by at most what ``scores`` says per query."""
+
+    scale = 1.0
+
+    def __init__(self, train: np.ndarray, metric: str):
+        self.base = 1.0 if metric in ANGULAR else 0.0
+        self.longest = np.sqrt((train * train).sum(axis=1).max())
+        if self.longest < MOST_PRODUCT:
+            self.train = train.astype(np.float32)
+
+    def scores(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lengths = np.sqrt((query * query).sum(axis=1)) * self.longest
+        return (-query).astype(np.float32) @ self.train.T, lengths * (query.shape[1] + 4) * 2.0**-23 + 1e-30
+
+    def holds(self, longest: float) -> bool:
+        return max(self.longest, longest, self.longest * longest) < MOST_PRODUCT
+
+
+class Steps:
+    """L1 distances of a block in whole steps of 16 bits: ``scale`` * score, off by at most what rounding took from both vectors.
+
+    All dimensions share the step; the sum of all dimensions fits the 16 bits.
+    """
+
+    base = 0.0
+
+    def __init__(self, train: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.low = np.minimum(low, train.min(axis=0))
+        span = (np.maximum(high, train.max(axis=0)) - self.low).max()
+        self.levels = MOST_STEPS // max(1, train.shape[1])
+        self.scale = span / max(1, self.levels) or 1.0
+        if self.holds():
+            codes, lost = self._codes(train)
+            self.columns, self.lost = np.ascontiguousarray(codes.T), lost.max()
+
+    def holds(self, longest: float = 0.0) -> bool:
+        return self.levels >= LEAST_STEPS and bool(np.isfinite(self.scale))
+
+    def _codes(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        beside = vectors - self.low
+        steps = np.minimum(np.rint(beside / self.scale), self.levels)
+        return steps.astype(np.int16), np.abs(beside - steps * self.scale).sum(axis=1)
+
+    def scores(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        codes, lost = self._codes(query)
+        return _sums(codes, self.columns, np.int16), (lost + self.lost) / self.scale
+
+
+def _limit(values: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """Limits in the kind of the scores, never smaller (whole numbers: no score lies between)."""
+    if kind == np.int16:
+        return np.floor(np.clip(values, -1, MOST_STEPS)).astype(np.int16)
+    return np.nextafter(values.astype(np.float32), np.float32(np.inf)) if kind == np.float32 else values
+
+
 def pairwise(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """Distance of row pairs; the same two vectors give the same number in every block."""
     if metric in ("cosine", "correlation"):
@@ -73,6 +147,42 @@ class TopK:
         self.dist = np.full((len(ids), k), np.inf)
         self.near = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.label = np.zeros((len(ids), k), dtype=np.int64)
+        self.misses = 0
+        if self.vectors.size:
+            self.low, self.high = self.vectors.min(axis=0), self.vectors.max(axis=0)
+            self.longest = np.sqrt((self.vectors * self.vectors).sum(axis=1).max())
+
+    def _small(self, train: np.ndarray) -> Products | Steps | None:
+        """The block in small numbers, which tell pairs that are too far apart; None where they can't."""
+        if self.misses > MOST_MISSES or not train.size or self.metric in ("l2", "euclidean"):
+            return None
+        block = Steps(train, self.low, self.high) if self.metric == "manhattan" else Products(train, self.metric)
+        return block if block.holds(self.longest) else None
+
+    def _same(self, rows: np.ndarray, ids: np.ndarray) -> np.ndarray | None:
+        return self.ids[rows][:, None] == ids[None, :] if self.skip_same else None
+
+    def _within(self, scores: np.ndarray, limit: np.ndarray, off: np.ndarray, same: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) of the pairs that can be among the k nearest, by scores that may be off by ``off`` of their row."""
+        near = scores <= _limit(limit + off, scores.dtype)[:, None]
+        if same is not None:
+            near &= ~same
+        few = np.count_nonzero(near) <= 16 * self.k * len(near)
+        if few:
+            row, col = np.divmod(np.flatnonzero(near), near.shape[1])
+            each = np.bincount(row, minlength=len(near))
+        else:
+            each = np.count_nonzero(near, axis=1)
+        loose = each > 4 * self.k
+        if loose.any():  # the bounds known so far let much pass: tighten them with this block
+            tight = scores[loose]
+            if same is not None:
+                tight[same[loose]] = np.iinfo(tight.dtype).max if tight.dtype.kind == "i" else np.inf
+            best = np.partition(tight, self.k - 1, axis=1)[:, self.k - 1]
+            near[loose] &= scores[loose] <= _limit(best + 2 * off[loose], scores.dtype)[:, None]
+        if not few or loose.any():
+            row, col = np.divmod(np.flatnonzero(near), near.shape[1])
+        return row, col
 
     def add(self, ids: np.ndarray, vectors: np.ndarray, labels: np.ndarray, asked: np.ndarray | None = None, cell: int | None = None) -> None:
         """Offers a block of train rows to all queries, or to the query rows in ``asked``; ``cell`` is the rows' inverted cell."""
@@ -82,33 +192,35 @@ class TopK:
         if vectors.shape[1] != self.vectors.shape[1]:
             raise ValueError("vectors of different size")
         train = prepared(vectors, self.metric)
+        small = self._small(train)
+        largest, widest = (train * train).sum(axis=1).max(), np.abs(train).max(initial=0)
         step = max(1, PAIRS_AT_ONCE // len(ids))
         for at in range(0, len(asked), step):
-            self._add_part(asked[at : at + step], ids, train, labels)
+            self._add_part(asked[at : at + step], ids, train, labels, small, largest, widest)
 
-    def _add_part(self, rows, ids, train, labels):
+    def _add_part(self, rows, ids, train, labels, small, largest, widest):
         query = self.vectors[rows]
-        scores = rough(query, train, self.metric)
-        if self.skip_same:
-            scores[self.ids[rows][:, None] == ids[None, :]] = np.inf
-        largest = max((query * query).sum(axis=1).max(initial=0), (train * train).sum(axis=1).max(initial=0))
-        widest = max(np.abs(query).max(initial=0), np.abs(train).max(initial=0)) * query.shape[1]
+        largest = max(largest, (query * query).sum(axis=1).max(initial=0))
+        widest = max(widest, np.abs(query).max(initial=0)) * query.shape[1]
         slack = 1e-12 * max(1.0, 4.0 * largest, widest)
-        near = scores <= (self.bound[rows] + slack)[:, None]
-        if self.skip_same:
-            near &= np.isfinite(scores)
-        loose = np.count_nonzero(near, axis=1) > 4 * self.k
-        if loose.any():  # the bounds known so far let much pass: tighten them with this block
-            best = np.partition(scores[loose], self.k - 1, axis=1)[:, self.k - 1] + slack
-            near[loose] &= scores[loose] <= best[:, None]
-        row, col = np.nonzero(near)
+        same, found = self._same(rows, ids), None
+        if small is not None:
+            scores, off = small.scores(query)
+            found = self._within(scores, (self.bound[rows] + slack - small.base) / small.scale, off, same)
+            if len(found[0]) > 4 * self.k * len(rows):
+                self.misses, found = self.misses + 1, None
+        if found is None:
+            found = self._within(rough(query, train, self.metric), self.bound[rows] + slack, np.full(len(rows), slack / 2), same)
+        row, col = found
         if len(row) == 0:
             return
         dist = np.empty(len(row))
         for at in range(0, len(row), PAIRS_AT_ONCE // 4):
             part = slice(at, at + PAIRS_AT_ONCE // 4)
             dist[part] = pairwise(query[row[part]], train[col[part]], self.metric)
-        self._keep(rows, row, ids[col], labels[col], dist)
+        close = dist <= self.bound[rows[row]]
+        if close.any():
+            self._keep(rows, row[close], ids[col[close]], labels[col[close]], dist[close])
 
     def _keep(self, rows, row, near, label, dist):
         """Merges candidates into the lists of the queries that got any."""
@@ -149,7 +261,9 @@ class CodeTopK(TopK):
     """The k nearest coded rows: distances of a query's parts to the codebook entries are looked up by code and summed.
 
     Codes are not turned into vectors. A query's table holds only entries that occur in the block, so it never is larger than
-    the decoded block. Terms are summed in the order of the parts, so equal codes are equally far in every block.
+    the decoded block. Terms are summed in the order of the parts, so equal codes are equally far in every block. Where a part has
+    few entries, all pairs are looked up at once, by a product of the tables with the codes as zeros and ones in single precision; pairs
+    that it can't tell to be too far are looked up one by one.
     """
 
     def __init__(self, ids, vectors, k, metric, codes: ProductCodes, skip_same: bool = False, bound=None):
@@ -166,32 +280,59 @@ class CodeTopK(TopK):
         if vectors.shape[1] != len(self.codes.books):
             raise ValueError("codes of different size")
         used = [np.unique(part.astype(np.int64), return_inverse=True) for part in vectors.T]
+        picks = self._picks(used, len(ids))
         largest = max(len(ids), self.width * max(len(entries) for entries, _ in used))
         step = max(1, PAIRS_AT_ONCE // largest)
         for at in range(0, len(asked), step):
             rows = asked[at : at + step]
-            scores = self._scores(self.vectors[rows], used, None if self.codes.centres is None else self.codes.centres[cell])
-            if self.skip_same:
-                scores[self.ids[rows][:, None] == ids[None, :]] = np.inf
-            near = np.isfinite(scores) & (scores <= self.bound[rows][:, None])
-            loose = np.count_nonzero(near, axis=1) > 4 * self.k
-            if loose.any():
-                near[loose] &= scores[loose] <= np.partition(scores[loose], self.k - 1, axis=1)[:, self.k - 1 : self.k]
-            row, col = np.nonzero(near)
-            if len(row):
-                self._keep(rows, row, ids[col], labels[col], scores[row, col])
-
-    def _scores(self, query: np.ndarray, used: list, centre: np.ndarray | None) -> np.ndarray:
+            base, tables = self._tables(self.vectors[rows], used, None if self.codes.centres is None else self.codes.centres[cell])
+            same, found = self._same(rows, ids), None
+            if picks is not None:
+                widest = sum(np.abs(t).max(axis=1) for t in tables)
+                if (widest < MOST_PRODUCT).all():
+                    off = (widest + np.abs(base[:, 0])) * (len(tables) + 4) * 2.0**-23 + 1e-30
+                    found = self._within(np.hstack(tables).astype(np.float32) @ picks, self.bound[rows] - base[:, 0], off, same)
+            if found is None:
+                scores = self._summed(base, tables, [place for _, place in used])
+                found = self._within(scores, self.bound[rows], np.zeros(len(rows)), same)
+            row, col = found
+            dist = base[row, 0]
+            for table, (_, place) in zip(tables, used):
+                dist = dist + table[row, place[col]]
+            close = dist <= self.bound[rows[row]]
+            if close.any():
+                self._keep(rows, row[close], ids[col[close]], labels[col[close]], dist[close])
+
+    def _picks(self, used: list, n: int) -> np.ndarray | None:
+        """Per entry of the tables and row of the block whether the row has it; None where parts have many entries."""
+        sizes = [len(entries) for entries, _ in used]
+        if sum(sizes) > MOST_ENTRIES * len(sizes):
+            return None
+        found = np.zeros((sum(sizes), n), dtype=np.float32)
+        for (_, place), first in zip(used, np.cumsum([0, *sizes])):
+            found[first + place, np.arange(n)] = 1.0
+        return found
+
+    def _tables(self, query: np.ndarray, used: list, centre: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray]]:
+        """What the sum of a query begins with, and its distances to the entries of each part."""
         product = self.metric == "inner_product"
-        total = np.zeros((len(query), 1))
+        base = np.zeros((len(query), 1))
         if centre is not None and product:
-            total = -(query * centre).sum(axis=1)[:, None]
+            base = -(query * centre).sum(axis=1)[:, None]
         elif centre is not None:
             query = query - centre
-        for j, (entries, place) in enumerate(used):
+        tables = []
+        for j, (entries, _) in enumerate(used):
             part, book = query[:, None, j * self.width : (j + 1) * self.width], self.codes.books[j][entries][None]
             table = -(part * book) if product else np.abs(part - book) if self.metric == "manhattan" else (part - book) ** 2
-            total = total + table.sum(axis=2)[:, place]
+            tables.append(table.sum(axis=2))
+        return base, tables
+
+    @staticmethod
+    def _summed(base: np.ndarray, tables: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
+        total = base
+        for table, place in zip(tables, places):
+            total = total + table[:, place]
         return total
 
 

@@ -36,6 +36,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 CELL_ROWS = 100_000
 CELL_BYTES = 512 * 1024 * 1024
 CELL_PAIRS = 4_000_000_000
+BLOCK_ROWS = 4096  # train rows of a cell compared at a time
+CELLS_PER_CORE = 8
 SEED_ROWS = 20_000
 SEED_SHARE = 1_000  # a larger table gives one seed in so many rows, so the bound does not weaken as it grows
 SEED_FROM = 2_000_000
@@ -78,7 +80,7 @@ def _ids(column) -> np.ndarray:
     )
 
 
-def _vectors(batch: pa.RecordBatch, decode: Decoder) -> np.ndarray:
+def _vectors(batch: pa.RecordBatch | pa.Table, decode: Decoder) -> np.ndarray:
     stored = matrix(batch["vector"])
     return decode(stored) if callable(decode) and len(stored) else stored
 
@@ -132,6 +134,7 @@ def cell_search(
     The caller keeps the rows of a key bounded on both sides.
     """
     has_bound = "bound" in queries.columns
+    rows = 4 * BLOCK_ROWS if isinstance(decode, ProductCodes) else BLOCK_ROWS  # codes are short: fewer tables
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
@@ -139,7 +142,8 @@ def cell_search(
         bound = np.asarray(left["bound"].to_numpy(), dtype=np.float64) if has_bound else None
         best = top_k(_ids(left["id"]), matrix(left["vector"]), k, metric, skip_same, bound, decode)
         cell = right["cell"][0].as_py() if "cell" in keys else None
-        for batch in right.to_batches(max_chunksize=4096):
+        for at in range(0, right.num_rows, rows):
+            batch = right.slice(at, rows)
             best.add(_ids(batch["id"]), _vectors(batch, decode), _labels(batch["label"]), cell=cell)
         return pa.Table.from_batches([best.batch(ARROW_PART)])
 
@@ -172,6 +176,11 @@ def grid_shape(n_queries: int, n_train: int, cells: int, rows: int = CELL_ROWS)
     return query_shards, train_shards
 
 
+def cells_wanted(spark) -> int:
+    """Cells that keep all cores busy and even out what the hash puts together; each more copies rows and gives k hits per query."""
+    return min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), CELLS_PER_CORE * spark.sparkContext.defaultParallelism)
+
+
 def _shard(id: Column, shards: Column) -> Column:
     return F.pmod(F.xxhash64(id), shards.cast("bigint"))
 
@@ -295,8 +304,7 @@ def exact_topk(
             [], "query_id bigint, rank int, neighbor_id bigint, distance double, label int"
         )
     streams = streamed_bytes(n_queries, dim, k) <= broadcast_bytes
-    # several cells per task even out what the hash puts together
-    cells = 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells_wanted(queries.sparkSession)
     rows = max(1, min(CELL_ROWS, CELL_BYTES // (8 * max(dim, 1))))
     shape = grid_shape(n_queries, n_train, cells, rows)
     if decode is None and dim <= boxes.MOST_DIM and metric in boxes.METRICS and n_queries * n_train >= box_from:
