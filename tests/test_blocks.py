@@ -86,6 +86,58 @@ def test_small_numbers_are_given_up_where_they_tell_little():
     assert best.misses == blocks.MOST_MISSES + 1
 
 
+@pytest.mark.parametrize("metric", ["inner_product", "l2", "manhattan"])
+@pytest.mark.parametrize("centres", [False, True])
+@pytest.mark.parametrize("scale", [1.0, 1e-20, 1e25])
+def test_codes_looked_up_at_once_give_the_same_hits(metric, centres, scale, monkeypatch):
+    """With copies (ties), bounds of the caller, and rows that are left out."""
+    rng = np.random.default_rng(22)
+    books = [scale * rng.normal(size=(n, 6)) for n in (16, 9, 16, 2)]
+    codes = np.stack([rng.integers(0, len(b), 2_000) for b in books], axis=1).astype(float)
+    codes[::3] = codes[0]
+    asked = scale * rng.normal(size=(50, 24))
+
+    def found(bound):
+        best = blocks.CodeTopK(np.arange(50), asked, 7, metric, blocks.ProductCodes(books, scale * rng_centres if centres else None), True, bound)
+        for at in range(0, 2_000, 600):
+            some = codes[at : at + 600]
+            best.add(np.arange(at, at + len(some)), some, np.arange(at, at + len(some)) % 5, None, 1)
+        return best.near.tolist(), best.dist.tolist(), best.label.tolist()
+
+    rng_centres = np.random.default_rng(23).normal(size=(3, 24))
+    free = found(None)
+    bounds = np.array(free[1])[:, 4]
+    once = free, found(bounds)
+    monkeypatch.setattr(blocks, "MOST_ENTRIES", 0)
+    assert once == (found(None), found(bounds))
+
+
+def test_codes_are_looked_up_one_by_one_only_where_they_may_be_hits(monkeypatch):
+    rng = np.random.default_rng(24)
+    books = [rng.normal(size=(16, 6)) for _ in range(4)]
+    codes = rng.integers(0, 16, size=(2_000, 4)).astype(float)
+    best = blocks.CodeTopK(np.arange(50), rng.normal(size=(50, 24)), 7, "l2", blocks.ProductCodes(books))
+    monkeypatch.setattr(blocks.CodeTopK, "_summed", None)  # all pairs part by part
+    best.add(np.arange(2_000), codes, np.zeros(2_000, dtype=int))
+    assert np.isfinite(best.dist).all()
+
+
+def test_quality_searches_once(spark, folder, monkeypatch):
+    """The exact hits serve all indexes, and a search is not run again for each of its readers."""
+    from vecflow.catalog import QUERIES, search
+    from vecflow.operators import indexes
+
+    calls, exact = [], neighbors.exact_topk
+    monkeypatch.setattr(search.neighbors, "exact_topk", lambda *a, **b: calls.append("exact") or exact(*a, **b))
+    searched = indexes.search_index
+    monkeypatch.setattr(search.indexes, "search_index", lambda *a, **b: calls.append("index") or searched(*a, **b))
+    found = QUERIES["k15_index_quality"](spark, folder)
+    assert calls == ["exact"] + ["index"] * 3
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "FlatMapCoGroupsInArrow" not in plan
+    assert sorted((r["spec"], r["bad_lists"], r["close"]) for r in found.collect()) == [("IVF16,Flat", 0, 1), ("IVF8,PQ4", 0, 1), ("PQ8", 0, 1)]
+
+
 def test_cells_follow_the_cores(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:

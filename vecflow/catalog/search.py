@@ -9,7 +9,7 @@ from vecflow.catalog.tables import REPORT_SQL
 from vecflow.functions.vectors import doubles
 from vecflow.operators import evaluation, indexes, neighbors, prep, reports, votes
 from vecflow.plans import datagrid, experiments, grids, records
-from vecflow.session import scratch_path
+from vecflow.session import scratch_path, shared_dir
 from vecflow.sources import files, stores
 
 
@@ -312,20 +312,18 @@ def ivf_product_quantised(t: Tables) -> DataFrame:
     return _indexed(t, "IVF8,PQ4", {"nbits": 4}, {"nprobe": 8})
 
 
-def _quality(t: Tables, spec: str, build: dict, nprobe: int, floor: float) -> DataFrame:
+def _quality(train: DataFrame, test: DataFrame, exact: DataFrame, spec: str, build: dict, nprobe: int, floor: float) -> DataFrame:
     """One row on an index whose centres or codebooks are fitted: its hits against the exact ones.
 
     ``bad_lists`` counts queries whose hits are not 15 different rows in order of distance; ``close`` says whether the share of
-    exact hits found reaches the floor.
+    exact hits found reaches the floor. The hits are checkpointed, as both read them.
     """
-    train, test = _sides(t)
-    hits = indexes.search_index(indexes.build_index(train, spec, **build), test, 15, nprobe)
+    hits = indexes.search_index(indexes.build_index(train, spec, **build), test, 15, nprobe).checkpoint()
     order = F.transform(F.array_sort(F.collect_list(F.struct("rank", "distance"))), lambda h: h["distance"])
     lists = hits.groupBy("query_id").agg(F.count_distinct("neighbor_id").alias("n"), order.alias("distances"))
     bad = (F.col("n") != 15) | ~F.forall(
         F.sequence(F.lit(1), F.size("distances") - 1), lambda i: F.get("distances", i) >= F.get("distances", i - 1)
     )
-    exact = neighbors.exact_topk(test, train, 15)
     share = exact.select("query_id", "neighbor_id").join(hits.select("query_id", "neighbor_id", F.lit(1).alias("f")), ["query_id", "neighbor_id"], "left")
     found = share.agg((F.count("f") / F.count("*")).alias("recall"))
     rows = lists.agg(F.count("*").alias("queries"), F.count_if(bad).alias("bad_lists"))
@@ -339,7 +337,11 @@ QUALITY = [("IVF16,Flat", {}, 4, 0.45), ("PQ8", {"nbits": 4}, 1, 0.3), ("IVF8,PQ
 @query("k15_index_quality", "WITH " + SPLIT_SQL + " SELECT spec, count(*) AS queries, 0 AS bad_lists, 1 AS close FROM s, (VALUES "
        + ", ".join(f"('{spec}')" for spec, *_ in QUALITY) + ") AS t(spec) WHERE train1 = 0 GROUP BY spec")
 def index_quality(t: Tables) -> DataFrame:
-    return files.union_all([_quality(t, *one) for one in QUALITY])
+    """Split and exact hits are the same for all indexes: made once and checkpointed."""
+    shared_dir(t.spark)
+    train, test = (side.checkpoint() for side in _sides(t))
+    exact = neighbors.exact_topk(test, train, 15).checkpoint()
+    return files.union_all([_quality(train, test, exact, *one) for one in QUALITY])
 
 
 def _build_configurations(t: Tables) -> DataFrame:
